@@ -1,0 +1 @@
+"""No streaming operator is owed: every panel operator is a batch job (see README)."""
