@@ -12,6 +12,8 @@ not drift between rebalances. So the work splits in three levels, each far small
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..constants import BAR_YEARS
 from ..functions.numeric import ratio
 from ..functions.windows import per_asset, running
-from .factors import bar_index
+from ..session import materialise
 from .ranking import bar_ends
 
 SECONDS_PER_YEAR = 365.25 * 86400.0
@@ -64,10 +66,10 @@ def prepare_series(rows: DataFrame, keys=(), liquidity: str | None = None) -> Da
 
     Input: ranked rows (keys, timestamp, asset, sig, price, and optionally funding_rate, fee_tier,
     slip_tier). Rows without valid liquidity leave the bar, when a liquidity column is named.
-    Output adds ``idx`` (bar number), ``bar_return`` (price move since the previous bar, if the asset
-    was there) and ``last_idx`` (the last bar of the asset's unbroken presence).
+    Output adds the columns of ``series_bars``, ``bar_return`` (price move since the previous bar, if
+    the asset was there) and ``last_idx`` (the last bar of the asset's unbroken presence).
     """
-    indexed = rows.join(bar_index(rows, *keys), [*keys, "timestamp"])
+    indexed = rows.join(series_bars(rows, keys), [*keys, "timestamp"])
     if liquidity:
         indexed = indexed.where((F.col(liquidity) > 0) & (F.abs(liquidity) < float("inf")))
     w = per_asset(*keys)
@@ -84,15 +86,20 @@ def prepare_series(rows: DataFrame, keys=(), liquidity: str | None = None) -> Da
     )
 
 
-def series_bars(series: DataFrame, keys) -> DataFrame:
-    """Bars of each series with the next bar, the number of bars and periods per year."""
-    bars = series.select(*keys, "timestamp", "idx").distinct()
-    w = Window.partitionBy(*keys, F.lit(0)).orderBy("timestamp")
-    stepped = bars.withColumn("next_timestamp", F.lead("timestamp").over(w))
-    step = F.unix_micros("next_timestamp") - F.unix_micros("timestamp")
-    per_series = stepped.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_bars"), periods_per_year(F.median(step / 1e6)).alias("ppy"))
-    return stepped.join(per_series, list(keys))
+def series_bars(rows: DataFrame, keys) -> DataFrame:
+    """Bars of each series: number, next bar, how many there are, and periods per year.
+
+    One row per series and bar, so its windows stay small.
+    """
+    whole = Window.partitionBy(*keys)
+    order = whole.orderBy("timestamp")
+    following = F.lead("timestamp").over(order)
+    step = (F.unix_micros("next_timestamp") - F.unix_micros("timestamp")) / 1e6
+    return (
+        rows.select(*keys, "timestamp").distinct()
+        .withColumns({"idx": F.row_number().over(order).cast("bigint") - 1, "next_timestamp": following})
+        .withColumns({"n_bars": F.count(F.lit(1)).over(whole), "ppy": periods_per_year(F.median(step).over(whole))})
+    )
 
 
 def periods_per_year(median_seconds: Column) -> Column:
@@ -107,27 +114,26 @@ def periods_per_year(median_seconds: Column) -> Column:
 
 def book_targets(series: DataFrame, books: DataFrame, keys, deepest: int) -> DataFrame:
     """Legs every book would take at every bar. ``deepest`` bounds n_long + n_short of all books."""
-    ends = bar_ends(series, keys, deepest, deepest)
-    legs = ends.join(books, list(keys))
+    ends = bar_ends(series, keys, deepest, deepest).select(
+        *keys, "timestamp", "idx", "next_timestamp", "n_bars", "ppy", "asset", "sig", "side", "place", "last_idx")
     wanted = F.when(F.col("side") == 1, F.col("n_long")).otherwise(F.col("n_short"))
-    return legs.withColumns({
+    return ends.join(books, list(keys)).withColumns({
         "is_leg": F.col("place") <= wanted,
         "unit": F.col("side") / wanted,
     }).where((F.col("side") == 1) | F.col("is_leg"))
 
 
-def book_bars(targets: DataFrame) -> DataFrame:
+def book_bars(targets: DataFrame, keys) -> DataFrame:
     """Per book and bar: signal gap, rebalance schedule, thin flag, and when all legs will be gone."""
     leg, long = F.col("is_leg"), F.col("side") == 1
-    state = targets.groupBy("book_id", "idx").agg(
-        F.first("timestamp").alias("timestamp"),
-        F.first("rebalance_every").alias("rebalance_every"), F.first("min_gap").alias("min_gap"),
+    bar = ["book_id", *keys, "idx", "timestamp", "next_timestamp", "n_bars", "ppy"]
+    state = targets.groupBy(*bar, "rebalance_every", "min_gap", "n_long", "n_short").agg(
         (F.min(F.when(leg & long, F.col("sig"))) - F.max(F.when(leg & ~long, F.col("sig")))).alias("signal_gap"),
         (F.max(F.when(leg, F.col("last_idx"))) + 1).alias("gone_idx"),
-        (F.count_if(long) < F.first("n_long") + F.first("n_short")).alias("thin"),
+        F.count_if(long).alias("ranked"),
     )
     due = (F.col("idx") % F.col("rebalance_every") == 0) & (F.col("signal_gap") >= F.col("min_gap"))
-    return state.withColumn("due", due)
+    return state.select(*bar, "signal_gap", "gone_idx", due.alias("due"), (F.col("ranked") < F.col("n_long") + F.col("n_short")).alias("thin"))
 
 
 def _chain_rebalances(bars: pd.DataFrame) -> pd.DataFrame:
@@ -165,24 +171,27 @@ def holdings(targets: DataFrame, chain: DataFrame) -> DataFrame:
 
 
 def moves(held: DataFrame) -> DataFrame:
-    """Units of every (book, bar, asset) before and after the bar's trading: one aggregation."""
-    now = held.select("book_id", "idx", "asset", F.col("unit").alias("unit_now"), F.lit(0.0).alias("unit_before"))
-    before = held.select("book_id", (F.col("idx") + 1).alias("idx"), "asset", F.lit(0.0).alias("unit_now"), F.col("unit").alias("unit_before"))
-    return now.unionByName(before).groupBy("book_id", "idx", "asset").agg(
-        F.sum("unit_now").alias("unit_now"), F.sum("unit_before").alias("unit_before"))
+    """Units of every (book, bar, asset) before and after the bar's trading.
+
+    A leg held at a bar is what the book has after trading there and before trading at the next.
+    """
+    def at(shift, now, before):
+        return F.struct((F.col("idx") + shift).alias("idx"), now.alias("unit_now"), before.alias("unit_before"))
+
+    unit, none = F.col("unit"), F.lit(0.0)
+    return (
+        held.select("book_id", "asset", F.explode(F.array(at(0, unit, none), at(1, none, unit))).alias("at"))
+        .groupBy("book_id", F.col("at.idx").alias("idx"), "asset")
+        .agg(F.sum("at.unit_now").alias("unit_now"), F.sum("at.unit_before").alias("unit_before"))
+    )
 
 
-def priced_moves(moved: DataFrame, series: DataFrame, books: DataFrame, bars: DataFrame, keys) -> DataFrame:
+def priced_moves(moved: DataFrame, series: DataFrame, bars: DataFrame, keys) -> DataFrame:
     """Moves with the asset's own bar: return, funding and cost tiers; missing when it is absent."""
     extra = [c for c in ("quote_volume", "volume") if c in series.columns]
     rows = series.select(*keys, "idx", "asset", "price", "bar_return", "funding_rate", "fee_tier", "slip_tier", *extra)
-    ids = books.select("book_id", *keys)
-    stamps = bars.select(*keys, "idx", "timestamp")
-    on = [*keys, "idx"]
-    return (
-        moved.join(ids, "book_id").join(stamps, on)
-        .join(rows, [*on, "asset"], "left")
-    )
+    stamps = bars.select("book_id", *keys, "idx", "timestamp", "ppy", "rebalanced")
+    return moved.join(stamps, ["book_id", "idx"]).join(rows, [*keys, "idx", "asset"], "left")
 
 
 def book_terms(priced: DataFrame) -> DataFrame:
@@ -204,7 +213,7 @@ def book_terms(priced: DataFrame) -> DataFrame:
         sums.append(F.sum(amount).alias(name))
         for cost in ("fee", "slip"):
             sums.append(F.sum(F.when(present, amount * F.coalesce(f"{cost}_tier", F.lit(0.0))).otherwise(0.0)).alias(f"{name}_{cost}"))
-    return priced.groupBy("book_id", "idx", "timestamp").agg(*sums)
+    return priced.groupBy("book_id", "idx", "timestamp", "ppy", "rebalanced").agg(*sums)
 
 
 # --- runs ------------------------------------------------------------------------------------
@@ -250,18 +259,14 @@ def _follow_scale(bars: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"run_id": bars["run_id"], "idx": bars["idx"], "scale": scales})
 
 
-def run_returns(terms: DataFrame, chain: DataFrame, runs: DataFrame, bars: DataFrame) -> DataFrame:
-    """Returns of every run at every bar, split into price, funding, fee and slippage parts.
-
-    ``runs`` is keyed by (run_id, book_id); ``bars`` carries (book_id, ppy).
-    """
-    flagged = terms.join(chain.select("book_id", "idx", F.lit(True).alias("rebalanced")), ["book_id", "idx"], "left").fillna(False, ["rebalanced"])
-    rows = flagged.join(runs, "book_id").join(bars.select("book_id", "ppy").distinct(), "book_id")
+def run_returns(terms: DataFrame, runs: DataFrame) -> DataFrame:
+    """Returns of every run (run_id, book_id, settings) at every bar, split into price, funding, fee
+    and slippage parts. Runs without a volatility target never leave the JVM."""
+    rows = terms.join(runs, "book_id")
     fixed = rows.where("vol_target = 0").withColumn("scale", F.lit(1.0))
     targeted = rows.where("vol_target > 0")
     scales = targeted.groupBy("run_id").applyInPandas(_follow_scale, "run_id string, idx long, scale double")
-    both = fixed.unionByName(targeted.join(scales, ["run_id", "idx"]))
-    return _equity(both)
+    return _equity(fixed.unionByName(targeted.join(scales, ["run_id", "idx"])))
 
 
 def _equity(rows: DataFrame) -> DataFrame:
@@ -357,14 +362,13 @@ def run_trades(priced: DataFrame, returns: DataFrame) -> DataFrame:
     )
 
 
-def forced_exits(held: DataFrame, bars: DataFrame, series: DataFrame, books: DataFrame, keys) -> DataFrame:
+def forced_exits(held: DataFrame, bars: DataFrame, series: DataFrame, keys) -> DataFrame:
     """Held legs that are absent at the next bar, with the last price seen."""
-    gone = held.where("idx = last_idx").join(bars.select("book_id", "idx", "n_bars", "next_timestamp"), ["book_id", "idx"]).where("idx < n_bars - 1")
+    stamps = bars.select("book_id", *keys, "idx", "n_bars", "next_timestamp")
+    gone = held.where("idx = last_idx").join(stamps, ["book_id", "idx"]).where("idx < n_bars - 1")
     prices = series.select(*keys, "idx", "asset", F.col("price").alias("last_price"))
-    return (
-        gone.join(books.select("book_id", *keys), "book_id").join(prices, [*keys, "idx", "asset"])
-        .select("book_id", F.col("next_timestamp").alias("timestamp"), "asset", "last_price")
-    )
+    return gone.join(prices, [*keys, "idx", "asset"]).select(
+        "book_id", F.col("next_timestamp").alias("timestamp"), "asset", "last_price")
 
 
 def limit_breaches(returns: DataFrame) -> DataFrame:
@@ -407,25 +411,46 @@ def first_breach(breaches: DataFrame) -> DataFrame:
 
 
 class Backtest:
-    """The tables of a grid of runs over prepared series; every member is a lazy DataFrame.
+    """The tables of a grid of runs over prepared series.
 
     ``books`` holds (book_id, *keys, n_long, n_short, rebalance_every, min_gap), ``runs`` holds
-    (run_id, book_id) and the run settings. ``keys`` name a series, at least one column.
+    (run_id, book_id) and the run settings. ``keys`` name a series, at least one column; ``deepest``
+    bounds n_long + n_short. Two small tables are written once because everything else reads them:
+    the ranked legs (a few rows per bar and book) and the per-bar sums (one row per bar and book).
     """
 
     def __init__(self, series: DataFrame, books: DataFrame, runs: DataFrame, keys, deepest: int = 8):
-        self.series, self.books, self.runs, self.keys = series, books, runs, tuple(keys)
-        self.series_bars = series_bars(series, self.keys)
-        ids = books.select("book_id", *self.keys)
-        self.bars = ids.join(self.series_bars, list(self.keys))
-        self.targets = book_targets(series, books, self.keys, deepest)
-        self.book_bars = book_bars(self.targets)
-        self.chain = rebalances(self.book_bars)
-        self.held = holdings(self.targets, self.chain)
-        self.moved = moves(self.held)
-        self.priced = priced_moves(self.moved, series, books, self.series_bars, self.keys)
-        self.terms = book_terms(self.priced)
-        self.returns = run_returns(self.terms, self.chain, runs, self.bars)
+        self.series, self.books, self.runs, self.keys, self.deepest = series, books, runs, tuple(keys), deepest
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        return materialise(book_targets(self.series, self.books, self.keys, self.deepest))
+
+    @cached_property
+    def chain(self) -> DataFrame:
+        return rebalances(book_bars(self.targets, self.keys))
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        """Bars of every book, with the flag of a rebalance."""
+        taken = self.chain.select("book_id", "idx", F.lit(True).alias("rebalanced"))
+        return book_bars(self.targets, self.keys).join(taken, ["book_id", "idx"], "left").fillna(False, ["rebalanced"])
+
+    @cached_property
+    def held(self) -> DataFrame:
+        return holdings(self.targets, self.chain)
+
+    @cached_property
+    def priced(self) -> DataFrame:
+        return priced_moves(moves(self.held), self.series, self.bars, self.keys)
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return materialise(book_terms(self.priced))
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        return run_returns(self.terms, self.runs)
 
     @property
     def positions(self) -> DataFrame:
@@ -437,7 +462,7 @@ class Backtest:
 
     @property
     def exits(self) -> DataFrame:
-        return forced_exits(self.held, self.bars, self.series, self.books, self.keys)
+        return forced_exits(self.held, self.bars, self.series, self.keys)
 
     @property
     def summary(self) -> DataFrame:
@@ -445,7 +470,7 @@ class Backtest:
 
     @property
     def errors(self) -> DataFrame:
-        """First bar of each book with too few assets to rank, or a held asset missing."""
-        thin = self.book_bars.where("thin").select("book_id", "timestamp", F.lit("thin_bar").alias("error"))
+        """Bars of each book with too few assets to rank, or with a held asset missing."""
+        thin = self.bars.where("thin").select("book_id", "timestamp", F.lit("thin_bar").alias("error"))
         missing = self.exits.select("book_id", "timestamp", F.lit("missing_price").alias("error"))
         return thin.unionByName(missing)

@@ -22,15 +22,17 @@ def lag_for_execution(rows: DataFrame, keys=(), smooth: int = 1, signal: str = "
 def bar_ends(rows: DataFrame, keys, top: int, bottom: int, signal: str = "sig") -> DataFrame:
     """The first ``top`` and last ``bottom`` rows of every bar in order signal desc, asset asc.
 
-    Each end is a ``row_number() <= k`` filter, which Spark turns into a partial limit before the
-    shuffle: of a bar with a billion assets only k rows per task travel.
+    Every row enters once per end, and each end is a ``row_number() <= k`` filter, which Spark turns
+    into a partial limit before the shuffle: of a bar with a billion assets only k rows per task and
+    end travel.
     """
-    bar = Window.partitionBy(*keys, "timestamp")
-    high = bar.orderBy(F.col(signal).desc(), F.col("asset").asc())
-    low = bar.orderBy(F.col(signal).asc(), F.col("asset").desc())
-    longs = rows.withColumn("place", F.row_number().over(high)).where(F.col("place") <= top).withColumn("side", F.lit(1))
-    shorts = rows.withColumn("place", F.row_number().over(low)).where(F.col("place") <= bottom).withColumn("side", F.lit(-1))
-    return longs.unionByName(shorts)
+    side, asset = F.col("side"), F.col("asset")
+    order = Window.partitionBy(*keys, "timestamp", "side").orderBy(
+        (F.col(signal) * side).desc(), F.when(side == 1, asset).asc(), F.when(side == -1, asset).desc())
+    both = rows.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
+    depth = max(top, bottom)
+    ends = both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= depth)
+    return ends if top == bottom else ends.where(F.col("place") <= F.when(side == 1, top).otherwise(bottom))
 
 
 def thin_bars(rows: DataFrame, keys, needed: int) -> DataFrame:

@@ -13,11 +13,11 @@ from .registry import (CANON, COLLAPSED, FEED, MARKET, MIGRATION_DIM, BRAND_WEEK
 
 
 @register("scan_panel", with_(BRAND_WEEK) + f"""
-SELECT {q_day('ts')} AS bar, asset, {q_round('price')} AS price, volume, {q_round('quote_volume', 2)} AS quote_volume,
-       {q_round('funding_rate', 8)} AS funding_rate FROM panel WHERE ts >= TIMESTAMP '1998-01-01'""")
+SELECT {q_day('ts')} AS bar, asset, {q_round('price', 8)} AS price, volume, {q_round('quote_volume', 2)} AS quote_volume,
+       {q_round('funding_rate', 10)} AS funding_rate FROM panel WHERE ts >= TIMESTAMP '1998-01-01'""")
 def scan_panel(spark, folder):
     panel = P.ingest(brand_panel(spark, folder)).where(F.col("timestamp") >= F.lit("1998-01-01").cast("timestamp"))
-    return panel.select(day(), "asset", rounded("price"), "volume", rounded("quote_volume", 2), rounded("funding_rate", 8))
+    return panel.select(day(), "asset", rounded("price", 8), "volume", rounded("quote_volume", 2), rounded("funding_rate", 10))
 
 
 @register("canonical_asset", with_(MARKET, FEED, CANON) + """
@@ -28,19 +28,19 @@ def canonical_asset(spark, folder):
 
 
 @register("price_adjust", with_(MARKET, FEED, CANON) + f"""
-SELECT {q_day('ts')} AS bar, source_asset, {q_round('price')} AS price, price_adjustment_factor FROM canon""")
+SELECT {q_day('ts')} AS bar, source_asset, {q_round('price', 8)} AS price, price_adjustment_factor FROM canon""")
 def price_adjust(spark, folder):
     dim = migrations(spark)
     adjusted = P.adjust_prices(P.canonical_assets(raw_feed(spark, folder), dim), dim)
-    return adjusted.select(day(), "source_asset", rounded("price"), "price_adjustment_factor")
+    return adjusted.select(day(), "source_asset", rounded("price", 8), "price_adjustment_factor")
 
 
 @register("canonical_panel", with_(MARKET, FEED, CANON, COLLAPSED) + f"""
-SELECT {q_day('ts')} AS bar, asset, source_asset, {q_round('price')} AS price, {q_round('funding_rate', 8)} AS funding_rate,
+SELECT {q_day('ts')} AS bar, asset, source_asset, {q_round('price', 8)} AS price, {q_round('funding_rate', 10)} AS funding_rate,
        {q_round('price/lag(price) OVER (PARTITION BY asset ORDER BY ts) - 1')} AS asset_return FROM clean""")
 def canonical_panel(spark, folder):
     panel = P.canonical_panel(raw_feed(spark, folder), migrations(spark))
-    return panel.select(day(), "asset", "source_asset", rounded("price"), rounded("funding_rate", 8), rounded("asset_return"))
+    return panel.select(day(), "asset", "source_asset", rounded("price", 8), rounded("funding_rate", 10), rounded("asset_return"))
 
 
 @register("asset_return", with_(BRAND_WEEK, RETURNS) + f"""
@@ -156,9 +156,9 @@ def _legacy_panel(spark, folder):
 
 
 @register("repair_klines", with_(MARKET, _LEGACY) + f"""
-SELECT {q_day('ts')} AS bar, asset, {q_round('price')} AS price, volume FROM fixed""")
+SELECT {q_day('ts')} AS bar, asset, {q_round('price', 8)} AS price, volume FROM fixed""")
 def repair_klines(spark, folder):
-    return P.repair_klines(_legacy_panel(spark, folder), migrations(spark)).select(day(), "asset", rounded("price"), "volume")
+    return P.repair_klines(_legacy_panel(spark, folder), migrations(spark)).select(day(), "asset", rounded("price", 8), "volume")
 
 
 @register("seam_return", with_(MARKET, _LEGACY) + f"""
