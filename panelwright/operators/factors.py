@@ -44,7 +44,7 @@ def carry_factors(panel: DataFrame) -> DataFrame:
     spread = full(F.stddev_samp, "asset_return", before(w, 14), 14)
     return panel.withColumns({
         "carry": stable(-lagged),
-        "funding_surprise": stable(-(lagged - mean)),
+        "funding_surprise": stable(-(lagged - mean), 12),
         "vol_adj_carry": stable(ratio(-lagged, nonzero_std(spread))),
     })
 

@@ -415,12 +415,17 @@ class Backtest:
 
     ``books`` holds (book_id, *keys, n_long, n_short, rebalance_every, min_gap), ``runs`` holds
     (run_id, book_id) and the run settings. ``keys`` name a series, at least one column; ``deepest``
-    bounds n_long + n_short. Two small tables are written once because everything else reads them:
-    the ranked legs (a few rows per bar and book) and the per-bar sums (one row per bar and book).
+    bounds n_long + n_short. Tables that several steps read are written once: the series (read by
+    the ranking and by the pricing of moves), the ranked legs (a few rows per bar and book) and the
+    per-bar sums (one row per bar and book).
     """
 
     def __init__(self, series: DataFrame, books: DataFrame, runs: DataFrame, keys, deepest: int = 8):
-        self.series, self.books, self.runs, self.keys, self.deepest = series, books, runs, tuple(keys), deepest
+        self.source, self.books, self.runs, self.keys, self.deepest = series, books, runs, tuple(keys), deepest
+
+    @cached_property
+    def series(self) -> DataFrame:
+        return materialise(self.source)
 
     @cached_property
     def targets(self) -> DataFrame:

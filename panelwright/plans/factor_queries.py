@@ -25,11 +25,11 @@ def carries(spark, folder):
 
 
 def _simple(name, columns, build):
-    measures = ", ".join(f"{q_round(c, 10)} AS {c}" for c in columns)
+    measures = ", ".join(f"{q_round(c, 12)} AS {c}" for c in columns)
 
     @register(name, with_(MARKET, FACTORS) + f"SELECT {q_day('ts')} AS bar, asset, {measures} FROM fac")
     def query(spark, folder):
-        return build(spark, folder).select(day(), "asset", *[rounded(c, 10) for c in columns])
+        return build(spark, folder).select(day(), "asset", *[rounded(c, 12) for c in columns])
 
 
 _simple("momentum", ["momentum_7", "momentum_14", "momentum_30"], price_only)
@@ -62,9 +62,9 @@ def combo_z(spark, folder):
 
 
 @register("build_signals", with_(MARKET, ALL_FACTORS) + f"""
-SELECT {q_day('ts')} AS bar, asset, {', '.join(f'{q_round(c, 10)} AS {c}' for c in SIGNAL_CANDIDATES)} FROM allfac""")
+SELECT {q_day('ts')} AS bar, asset, {', '.join(f'{q_round(c, 12)} AS {c}' for c in SIGNAL_CANDIDATES)} FROM allfac""")
 def build_signals(spark, folder):
-    return wide(spark, folder).select(day(), "asset", *[rounded(c, 10) for c in SIGNAL_CANDIDATES])
+    return wide(spark, folder).select(day(), "asset", *[rounded(c, 12) for c in SIGNAL_CANDIDATES])
 
 
 _ORDINALS = ", ".join(f"('{c}',{i})" for i, c in enumerate(SIGNAL_CANDIDATES))
@@ -76,9 +76,10 @@ def available_candidates(spark, folder):
     return A.available_candidates(wide(spark, folder)).select("signal", count("ordinal"), "values")
 
 
-def ranked(spark, folder, signal="momentum_7"):
-    """Executable rows of one factor of the market panel."""
-    rows = A.unpivot_signals(price_only(spark, folder), [signal], keep=("timestamp", "asset", "price", "funding_rate", "quote_volume"))
+def ranked(spark, folder, signal="momentum_7", panel=None):
+    """Executable rows of one price factor of the market panel."""
+    frame = A.price_factors(A.asset_return(panel if panel is not None else market_panel(spark, folder)))
+    rows = A.unpivot_signals(frame, [signal], keep=("timestamp", "asset", "price", "funding_rate", "quote_volume"))
     return lag_for_execution(rows, ["signal"])
 
 

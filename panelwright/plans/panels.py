@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import materialise
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -82,6 +84,12 @@ def market_panel(spark: SparkSession, folder: str, unit: str = "week") -> DataFr
     return brand_panel(spark, folder, unit).withColumn("asset", symbol)
 
 
+def stored_market(spark: SparkSession, folder: str) -> DataFrame:
+    """The market panel written once, for queries that pass over it several times: the tables it
+    comes from are far larger and are scanned a single time."""
+    return materialise(market_panel(spark, folder))
+
+
 def raw_feed(spark: SparkSession, folder: str, unit: str = "week") -> DataFrame:
     """The market as it arrives: old tickers on the old price scale before each migration, both
     tickers during an overlap after it, and funding missing on some rows."""

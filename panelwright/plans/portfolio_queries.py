@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import portfolio as B
 from ..operators.factors import asset_return, price_factors, unpivot_signals
 from ..operators.ranking import drop_thin_bars, lag_for_execution, liquidity_percentile, tier_rates
+from ..session import materialise
 from .factor_queries import ranked
-from .panels import brand_panel, market_panel, table
+from .panels import brand_panel, market_panel, stored_market, table
 from .registry import (BRAND_DAY, BRAND_WEEK, FACTORS, MARKET, book_sql, count, day, equity_sql, exec_sql, q_day, q_round,
                        register, rounded, with_)
 
@@ -27,7 +28,7 @@ def single_run(series, n=N, every=EVERY, **settings):
 
 
 def momentum_book(spark, folder, n=N, every=EVERY, **settings):
-    return single_run(B.prepare_series(ranked(spark, folder), KEYS), n, every, **settings)
+    return single_run(B.prepare_series(ranked(spark, folder, panel=stored_market(spark, folder)), KEYS), n, every, **settings)
 
 
 _BOOK = with_(MARKET, FACTORS, exec_sql(), book_sql(N, EVERY), equity_sql())
@@ -38,7 +39,7 @@ SELECT {q_day('ts')} AS bar, {q_round('pr*equity_before', 2)} AS price_pnl, {q_r
   {q_round('(fee_r+slip_r)*equity_before', 2)} AS cost, {q_round('ret')} AS ret, {q_round('turnover')} AS turnover,
   {q_round('equity', 2)} AS equity, {q_round('drawdown')} AS drawdown FROM curve""")
 def weekly_long_short(spark, folder):
-    frame = price_factors(asset_return(brand_panel(spark, folder)))
+    frame = price_factors(asset_return(materialise(brand_panel(spark, folder))))
     rows = lag_for_execution(unpivot_signals(frame, ["momentum_7"], keep=("timestamp", "asset", "price", "funding_rate")), KEYS)
     test = single_run(B.prepare_series(drop_thin_bars(rows, KEYS, 6), KEYS), 3, 1)
     return test.returns.select(
@@ -159,7 +160,7 @@ curve AS (SELECT *, equity/greatest(100000.0, max(equity) OVER (ORDER BY idx)) -
 
 
 def tiered_series(spark, folder, spreads=None):
-    rows = liquidity_percentile(ranked(spark, folder), "quote_volume", keys=KEYS)
+    rows = liquidity_percentile(ranked(spark, folder, panel=stored_market(spark, folder)), "quote_volume", keys=KEYS)
     return B.prepare_series(tier_rates(rows, TIERS, spreads), KEYS, liquidity="quote_volume")
 
 

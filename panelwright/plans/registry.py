@@ -121,7 +121,7 @@ def _price_factor_columns():
     out.append("round(-lag(r) OVER (PARTITION BY asset ORDER BY ts),10) AS reversal_1")
     lagged = "lag(funding_rate) OVER (PARTITION BY asset ORDER BY ts)"
     out.append(f"round(-{lagged},10) AS carry")
-    out.append(f"CASE WHEN count(funding_rate) {f} = 14 THEN round(-({lagged} - avg(funding_rate) {f}),10) END AS funding_surprise")
+    out.append(f"CASE WHEN count(funding_rate) {f} = 14 THEN round(-({lagged} - avg(funding_rate) {f}),12) END AS funding_surprise")
     out.append(f"CASE WHEN count(r) {f} = 14 AND stddev_samp(r) {f} >= 1e-12 THEN round(-{lagged} / stddev_samp(r) {f},10) END AS vol_adj_carry")
     return ",\n  ".join(out)
 
