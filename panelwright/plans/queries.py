@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES
 
-for _module in ("panel_queries", "factor_queries", "portfolio_queries"):
+for _module in ("panel_queries", "factor_queries", "portfolio_queries", "audit_queries"):
     import_module(f"{__package__}.{_module}")
 
 __all__ = ["QUERIES"]
