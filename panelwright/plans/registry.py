@@ -203,3 +203,42 @@ ret_bar AS (SELECT *, turnover*{fee} AS fee_r, turnover*{slip} AS slip_r, pr+fr-
 grow AS (SELECT *, product(1+ret) OVER (ORDER BY idx) AS g FROM ret_bar),
 eq AS (SELECT *, {start}*g AS equity, {start}*coalesce(lag(g) OVER (ORDER BY idx),1) AS equity_before FROM grow),
 curve AS (SELECT *, equity/greatest({start}, max(equity) OVER (ORDER BY idx)) - 1 AS drawdown FROM eq)"""
+
+
+def sliced_sql(p: str, source: str, every: int = 5, fee: str = "0.0004", slip: str = "0.0005") -> str:
+    """Books of many slices at once: ``source`` has k (slice), n, ts, asset, price, funding_rate,
+    quote_volume and a non-null s. Ends in {p}_curve with one row per slice and bar."""
+    return f"""{p}_xl AS (SELECT *, lag(s) OVER (PARTITION BY k, asset ORDER BY ts) AS sig FROM {source} QUALIFY sig IS NOT NULL),
+{p}_bars AS (SELECT k, ts, row_number() OVER (PARTITION BY k ORDER BY ts)-1 AS idx FROM (SELECT DISTINCT k, ts FROM {p}_xl)),
+{p}_xs AS (SELECT x.*, b.idx, b.idx - row_number() OVER (PARTITION BY x.k, x.asset ORDER BY x.ts) AS isl FROM {p}_xl x JOIN {p}_bars b USING (k, ts)),
+{p}_pres AS (SELECT *, max(idx) OVER (PARTITION BY k, asset, isl) AS last_idx FROM {p}_xs),
+{p}_legs AS (SELECT *, row_number() OVER (PARTITION BY k, idx ORDER BY sig DESC, asset) AS up,
+  row_number() OVER (PARTITION BY k, idx ORDER BY sig, asset DESC) AS dn, count(*) OVER (PARTITION BY k, idx) AS ranked FROM {p}_pres),
+{p}_thin AS (SELECT DISTINCT k, ts FROM {p}_legs WHERE ranked < 2*n),
+{p}_pos AS (SELECT l.k, b.idx, b.ts, l.asset, CASE WHEN l.up <= l.n THEN 1.0/l.n ELSE -1.0/l.n END AS u
+  FROM {p}_legs l JOIN {p}_bars b ON b.k = l.k AND b.idx BETWEEN l.idx AND least(l.idx + {every - 1}, l.last_idx)
+  WHERE l.idx % {every} = 0 AND (l.up <= l.n OR l.dn <= l.n)),
+{p}_mv AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.idx, b.idx+1) AS idx, coalesce(a.asset, b.asset) AS asset, coalesce(a.u,0) AS un, coalesce(b.u,0) AS ub
+  FROM {p}_pos a FULL JOIN {p}_pos b ON a.k = b.k AND a.idx = b.idx+1 AND a.asset = b.asset),
+{p}_bar AS (SELECT m.k, m.idx, t.ts, sum(ub*coalesce(x.price/y.price-1,0)) AS pr, -sum(ub*coalesce(x.funding_rate,0)) AS fr, sum(abs(un-ub)) AS turnover
+  FROM {p}_mv m JOIN {p}_bars t ON t.k=m.k AND t.idx=m.idx LEFT JOIN {p}_xs x ON x.k=m.k AND x.idx=m.idx AND x.asset=m.asset
+  LEFT JOIN {p}_xs y ON y.k=m.k AND y.idx=m.idx-1 AND y.asset=m.asset GROUP BY 1,2,3),
+{p}_ret AS (SELECT *, pr+fr-turnover*{fee}-turnover*{slip} AS ret FROM {p}_bar),
+{p}_curve AS (SELECT *, 100000.0*g AS equity, 100000.0*coalesce(lag(g) OVER (PARTITION BY k ORDER BY idx),1) AS equity_before,
+  g/greatest(1.0, max(g) OVER (PARTITION BY k ORDER BY idx)) - 1 AS drawdown
+  FROM (SELECT *, product(1+ret) OVER (PARTITION BY k ORDER BY idx) AS g FROM {p}_ret))"""
+
+
+PPY = "(365.25*86400.0/604800.0)"
+
+
+def summary_sql(curve: str, where: str = "true") -> str:
+    """Run summary per slice of a curve on weekly bars."""
+    act = "FILTER (idx > 0)"
+    return f"""SELECT k, arg_max(equity, idx) AS final_equity, arg_max(equity, idx)/100000.0 - 1 AS total_return, count(*) {act} AS periods,
+  power(arg_max(equity, idx)/100000.0, {PPY}/greatest(count(*) {act},1)) - 1 AS annualized_return,
+  stddev_samp(ret) {act} * sqrt({PPY}) AS annualized_volatility, avg(ret) {act} / stddev_samp(ret) {act} * sqrt({PPY}) AS sharpe,
+  min(drawdown) AS max_drawdown, count(*) FILTER (idx > 0 AND ret > 0) AS winning_periods, count(*) FILTER (idx > 0 AND ret < 0) AS losing_periods,
+  sum(turnover*0.0004*equity_before) AS total_fees, sum(turnover*0.0005*equity_before) AS total_slippage,
+  sum(pr*equity_before) AS price_pnl, sum(fr*equity_before) AS funding_pnl, avg(turnover) {act} AS average_turnover
+  FROM {curve} WHERE {where} GROUP BY k"""
