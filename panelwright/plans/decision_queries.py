@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import HARD_GATES, SIGNAL_CANDIDATES, STATE_EDGES
+from ..constants import HARD_GATES, STATE_EDGES
+from ..functions.windows import previous_value
 from ..operators import decision as D
 from ..operators import stats as S
 from ..operators import validate as V
@@ -16,7 +17,7 @@ from ..sources.reports import run_fingerprint
 from .panels import stored_market, table
 from .portfolio_queries import KEYS, single_run
 from .factor_queries import ranked
-from .registry import count, q_round, register, rounded
+from .registry import register
 
 # One strategy per supplier; its measures come from the whole units it shipped.
 _UNITS = """u AS (SELECT 'S'||l_suppkey AS id, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY 1)"""
@@ -50,9 +51,6 @@ def gate_status(spark, folder):
     return D.gate_status(strategies(spark, folder)).select("strategy_id", "status", F.array_join("reasons", ",").alias("reasons"))
 
 
-_GATE_CASES = ", ".join(f"(q % {m} <> 0)" for m in (3, 5, 7, 11))
-
-
 @register("hard_gates", f"WITH {_UNITS} SELECT id AS strategy_id, (q%3<>0 AND q%5<>0 AND q%7<>0 AND q%11<>0 AND q%13<>0) AS deployable FROM u")
 def hard_gates(spark, folder):
     q = F.col("q")
@@ -78,8 +76,8 @@ def review_apply(spark, folder):
 # Every order is a review update; runs repeat per customer and month.
 _UPDATES = """up AS (SELECT o_orderkey AS id, o_custkey % 400 AS s, CASE WHEN o_orderstatus = 'O' THEN 'REJECTED' ELSE 'FLAG_REVIEW' END AS expected,
   o_orderpriority AS who, CASE WHEN o_orderkey % 7 = 0 THEN 'WAIT' WHEN o_orderkey % 2 = 0 THEN 'APPROVE' ELSE 'REJECT' END AS dec,
-  strftime(o_orderdate, '%Y-%m-%d') AS at, CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE strftime(o_orderdate, '%Y') END AS run FROM orders),
-rk AS (SELECT *, row_number() OVER (PARTITION BY s, run ORDER BY at, id) AS k FROM up)"""
+  strftime(o_orderdate, '%Y-%m-%d') AS stamp, CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE strftime(o_orderdate, '%Y') END AS run FROM orders),
+rk AS (SELECT *, row_number() OVER (PARTITION BY s, run ORDER BY stamp, id) AS k FROM up)"""
 
 
 @register("review_conflicts", f"""WITH {_UPDATES} SELECT id AS update_id,
@@ -111,7 +109,6 @@ x AS (SELECT c.*, CASE WHEN event_type = 'error' THEN 'incomplete_event' WHEN fr
   WHEN NOT EXISTS (SELECT 1 FROM ed WHERE a = from_state AND b = to_state) THEN 'edge_not_allowed' END AS error FROM c)
 SELECT event_id AS seq, from_state, to_state, error FROM x WHERE error IS NOT NULL""")
 def invalid_transitions(spark, folder):
-    from ..functions.windows import previous_value
     pick = F.element_at(F.array(*[F.lit(s) for s in STATES]), (F.col("event_id") % 6 + 1).cast("int"))
     events = table(spark, folder, "events").select(
         F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("strategy_id"), F.col("ts").cast("timestamp").alias("timestamp"), pick.alias("to_state"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import AUM_LEVELS, SIGNAL_CANDIDATES
+from ..constants import AUM_LEVELS
 from ..operators import capacity as K
 from ..operators import walkforward as W
-from ..operators.factors import asset_return, build_signals, price_factors
-from .panels import market_panel, stored_market
+from ..operators.factors import asset_return, price_factors
+from .panels import market_panel, stored_market, table
 from .portfolio_queries import EVERY, KEYS, N, _BOOK, single_run
 from .factor_queries import ranked
 from ..operators import portfolio as B
@@ -111,15 +111,14 @@ ms AS (SELECT ts, asset, avg(v) AS m, stddev_samp(v) AS sd, count(v) AS n FROM h
 advs AS (SELECT h.ts, h.asset, avg(v) AS adv FROM hist h JOIN ms USING (ts, asset) WHERE v > 0 AND (n < 3 OR coalesce(sd,0) = 0 OR v <= m + 3*sd) GROUP BY 1,2)"""
 
 
-@register("adv", with_(MARKET, _ADV) + f"SELECT {q_day('ts')} AS bar, asset, {q_round('adv', 2)} AS adv FROM advs")
+@register("adv", with_(MARKET, _ADV) + f"SELECT {q_day('ts')} AS bar, asset, {q_round('ln(adv)', 8)} AS log_adv FROM advs")
 def adv(spark, folder):
-    return K.average_volume(market_panel(spark, folder)).select(day(), "asset", rounded("adv", 2))
+    return K.average_volume(market_panel(spark, folder)).select(day(), "asset", rounded(F.ln("adv"), 8, "log_adv"))
 
 
 @register("impact_bps", f"""SELECT l_suppkey::BIGINT AS supplier, {q_round('avg(CASE WHEN l_quantity > 0 AND l_extendedprice > 0 THEN 1.0*l_discount*sqrt(l_quantity/l_extendedprice)*10000 ELSE 0 END)', 4)} AS sqrt_bps,
   {q_round('avg(l_discount*(l_quantity/l_extendedprice)*10000)', 4)} AS linear_bps FROM lineitem GROUP BY 1""")
 def impact_bps(spark, folder):
-    from .panels import table
     lines = table(spark, folder, "lineitem").withColumns({
         "sqrt_bps": K.impact_bps("l_quantity", "l_extendedprice", "l_discount"),
         "linear_bps": K.impact_bps("l_quantity", "l_extendedprice", "l_discount", model="linear")})

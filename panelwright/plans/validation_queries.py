@@ -120,9 +120,23 @@ def exposure_sweep(spark, folder):
                        rounded("total_fees", 2, "fee"), rounded("total_slippage", 2, "slippage"))
 
 
-@register("vol_target_run")
+LOOKBACK, TARGET = 20, 0.02
+_WALK = f"""parts AS (SELECT idx, sum(CASE WHEN sign(un)=sign(up) THEN 0 ELSE abs(un) END) AS enter, sum(CASE WHEN sign(un)=sign(up) THEN 0 ELSE abs(up) END) AS leave,
+  sum(CASE WHEN sign(un)=sign(up) THEN abs(un) ELSE 0 END) AS stay FROM mvp GROUP BY 1),
+steps AS MATERIALIZED (SELECT b.idx, b.ts, (b.pr+b.fr)::DOUBLE AS earn, enter::DOUBLE AS enter, leave::DOUBLE AS leave, stay::DOUBLE AS stay, b.idx % {EVERY} = 0 AS reb FROM bar b JOIN parts USING (idx)),
+walk(idx, ts, scale, rets) AS (
+  SELECT idx, ts, 0.5::DOUBLE, [-(enter*0.5*0.0009)] FROM steps WHERE idx = 0
+  UNION ALL SELECT idx, ts, now, list_append(rets, scale*earn - 0.0009*(enter*now + leave*scale + stay*abs(now-scale))) FROM (
+    SELECT n.*, w.scale, w.rets, CASE WHEN NOT reb THEN w.scale WHEN n.idx < {LOOKBACK} THEN 0.5
+      ELSE least(1.0, {TARGET}/sqrt({PPY})/list_aggregate(w.rets[-{LOOKBACK}:], 'stddev_samp')) END AS now
+    FROM walk w JOIN steps n ON n.idx = w.idx + 1)),
+vt AS (SELECT idx, ts, scale, rets[-1] AS ret FROM walk)"""
+
+
+@register("vol_target_run", _BOOK.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _WALK + f"""SELECT {q_day('ts')} AS bar, {q_round('scale')} AS scale, {q_round('ret')} AS ret,
+  {q_round('100000*product(1+ret) OVER (ORDER BY idx)', 2)} AS equity FROM vt""")
 def vol_target_run(spark, folder):
-    returns = momentum_book(spark, folder, vol_target=0.02, vol_lookback=20).returns
+    returns = momentum_book(spark, folder, vol_target=TARGET, vol_lookback=LOOKBACK).returns
     return returns.select(day(), rounded("scale"), rounded("ret"), rounded("equity", 2))
 
 
