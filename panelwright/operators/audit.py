@@ -82,8 +82,11 @@ def gap_summary(df: DataFrame, blocks: DataFrame, migrations: DataFrame, window_
 def funding_gaps(df: DataFrame, migrations: DataFrame) -> DataFrame:
     """Every row without funding and why: near a migration, not yet or no longer listed, or active.
 
-    Runs on raw rows under canonical names, before duplicates are collapsed.
+    Runs on raw rows under canonical names, before duplicates are collapsed. A panel without a funding
+    column has no gaps.
     """
+    if "funding_rate" not in df.columns:
+        return df.where(F.lit(False)).select("timestamp", "asset", F.lit("").alias("reason"))
     rows = with_canonical(df, migrations, "asset", "canonical").withColumn("base", base_token(F.col("canonical")))
     seen = rows.where("funding_rate is not null").groupBy("canonical").agg(
         F.min("timestamp").alias("first_print"), F.max("timestamp").alias("last_print"))
