@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..constants import EULER_GAMMA, STD_FLOOR
 from ..functions.normal import erfc, normal_cdf, normal_quantile
 from ..functions.numeric import ratio, stable
-from ..functions.ranks import average_ranks, quantile_edges
+from ..functions.ranks import average_ranks, largest_group, quantile_edges
 from ..functions.windows import per_asset
 from ..session import materialise
 from .factors import unpivot_signals
@@ -29,7 +29,8 @@ def signal_returns(frame: DataFrame, candidates) -> DataFrame:
 def bar_ic(rows: DataFrame) -> DataFrame:
     """Spearman correlation of signal and next return per bar, for bars of three rows and some spread."""
     keys = ["signal", "timestamp"]
-    ranked = average_ranks(average_ranks(rows, keys, "sig", "sig_rank"), keys, "next_return", "return_rank")
+    largest = largest_group(rows, keys)
+    ranked = average_ranks(average_ranks(rows, keys, "sig", "sig_rank", largest=largest), keys, "next_return", "return_rank", largest=largest)
     spread = (F.min("sig") < F.max("sig")) & (F.min("next_return") < F.max("next_return")) & (F.count(F.lit(1)) >= 3)
     return (
         ranked.groupBy(*keys).agg(F.when(spread, F.corr("sig_rank", "return_rank")).alias("ic")).where("ic is not null")
@@ -53,7 +54,7 @@ def ic_gate(table: DataFrame, minimum: float = 2.0) -> DataFrame:
 def quantile_returns(rows: DataFrame, quantiles: int = 5) -> DataFrame:
     """Mean next return by within-bar quantile bucket; coinciding edges merge buckets."""
     keys = ["signal", "timestamp"]
-    edges = quantile_edges(rows, keys, "sig", quantiles)
+    edges = quantile_edges(rows, keys, "sig", quantiles, largest=largest_group(rows, keys))
     edges = edges.withColumn("edges", F.array_distinct(F.transform("edges", lambda e: F.round(e, 12))))
     below = F.size(F.filter("edges", lambda e: e < F.col("sig")))
     bucket = F.when(F.size("edges") > 1, F.greatest(below - 1, F.lit(0)))
