@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import MIGRATIONS, QUOTE_SUFFIXES
+from .literal import literal_table
 
 SUFFIX_PATTERN = f"({'|'.join(QUOTE_SUFFIXES)})$"
 
@@ -20,7 +21,7 @@ def quote_suffix(symbol) -> Column:
 def migration_table(spark: SparkSession, rows=MIGRATIONS) -> DataFrame:
     """Ticker migrations as (source, canonical, factor, effective). One row per migration ever made."""
     return (
-        spark.createDataFrame(list(rows), "source string, canonical string, factor double, effective string")
+        literal_table(spark, rows, "source string, canonical string, factor double, effective string")
         .withColumn("effective", F.to_timestamp("effective"))
     )
 

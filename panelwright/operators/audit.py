@@ -8,6 +8,7 @@ from ..constants import EXPECTED_FUNDING_REASONS, MIGRATION_WINDOW_DAYS
 from ..functions.numeric import ratio
 from ..functions.symbols import base_token, with_canonical
 from ..functions.windows import per_asset
+from ..session import materialise
 
 DAY = 86400
 
@@ -319,13 +320,13 @@ def preflight_rules(df: DataFrame, migrations: DataFrame, manifest: DataFrame |
 
     spark = df.sparkSession
     named = canonical_assets(df, migrations)
-    panel = canonical_panel(df, migrations)
+    panel = materialise(canonical_panel(df, migrations))  # every rule below reads it
 
     def rule(name, severity, frame, measure=F.count(F.lit(1))):
         return frame.agg(F.coalesce(measure, F.lit(0)).cast("bigint").alias("n")).select(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), "n")
 
     raw_copies = df.groupBy("timestamp", F.upper("asset").alias("asset")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    blocks = gap_blocks(panel, migrations, step_seconds)
+    blocks = materialise(gap_blocks(panel, migrations, step_seconds))
     gaps = funding_gaps(df, migrations)
     segments = lifecycle(panel, migrations)
     coverage = asset_coverage(panel)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import STD_FLOOR
 from ..functions.expanding import expanding_rank
+from ..functions.literal import literal_table
 from ..functions.numeric import ratio
 from ..functions.windows import full, running, through
 from .factors import bar_index
@@ -30,8 +31,8 @@ def cpcv_splits(panel: DataFrame, n_groups: int = 10, n_test: int = 2, embargo:
         raise ValueError("need 2 <= n_groups and 1 <= n_test < n_groups")
     bars = bar_index(panel)
     counted = bars.join(bars.agg(F.count(F.lit(1)).alias("n")), F.lit(True)).where(F.col("n") >= n_groups)
-    folds = panel.sparkSession.createDataFrame(
-        [(i, list(c)) for i, c in enumerate(combinations(range(n_groups), n_test))], "fold_id int, test_groups array<int>")
+    choices = list(combinations(range(n_groups), n_test))
+    folds = literal_table(panel.sparkSession, [(i, list(c)) for i, c in enumerate(choices)], "fold_id int, test_groups array<int>")
 
     def length(share):
         return F.greatest(F.lit(1), F.bround(F.col("n") * share)).cast("bigint") if share > 0 else F.lit(0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import HARD_GATES, STATE_EDGES
+from ..functions.literal import literal_table
 from ..functions.windows import previous_value
 
 GATE_DEFAULTS = {
@@ -87,7 +88,7 @@ def review_conflicts(updates: DataFrame, current: DataFrame, trusted=None) -> Da
 def invalid_transitions(events: DataFrame) -> DataFrame:
     """State events that leave an edge that does not exist, start elsewhere than the last state, or
     lack actor, time or reason. Every strategy starts in RESEARCH."""
-    edges = events.sparkSession.createDataFrame(list(STATE_EDGES), "from_state string, to_state string").withColumn("allowed", F.lit(True))
+    edges = literal_table(events.sparkSession, STATE_EDGES, "from_state string, to_state string").withColumn("allowed", F.lit(True))
     chained = previous_value(events, ["strategy_id"], ["timestamp", "seq"], "to_state", F.date_trunc("day", "timestamp"), "previous")
     blank = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))) == 0
     checked = chained.withColumn("previous", F.coalesce("previous", F.lit("RESEARCH"))).join(edges, ["from_state", "to_state"], "left")

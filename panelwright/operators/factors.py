@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import SIGNAL_CANDIDATES, STD_FLOOR
+from ..functions.literal import literal_table
 from ..functions.numeric import nonzero_std, ratio, stable
-from ..functions.windows import before, full, per_asset, simple_return, through
+from ..functions.windows import before, full, per_asset, simple_return
+from ..session import materialise
 
 LOOKBACKS = (7, 14, 30)
 BENCHMARK = "BTCUSDT"
@@ -54,11 +56,12 @@ def residual_reversal(panel: DataFrame, lookbacks=(14, 30), benchmark: str = BEN
 
     The definition runs on the dense bar x asset grid. A grid window of k bars is complete only when
     the asset has k rows on consecutive bars, so the same result follows from the asset's own rows
-    and their bar index; the grid itself is never built.
+    and their bar index; the grid itself is never built. The bars with the benchmark's returns are a
+    small stored table, so the panel is not shuffled by bar to meet them.
     """
-    bars = bar_index(panel)
     bench = panel.where(F.col("asset") == benchmark).select("timestamp", F.col("asset_return").alias("bench_return"))
-    frame = panel.join(bars, "timestamp").join(bench, "timestamp", "left")
+    bars = materialise(bar_index(panel).join(bench, "timestamp", "left"))
+    frame = panel.join(bars, "timestamp")
     w = per_asset()
     x, y = F.col("asset_return"), F.col("bench_return")
     paired = F.when(x.isNotNull() & y.isNotNull(), F.lit(1))
@@ -77,10 +80,11 @@ def residual_reversal(panel: DataFrame, lookbacks=(14, 30), benchmark: str = BEN
 def cross_sectional_z(panel: DataFrame, columns: list[str], suffix: str = "_z") -> DataFrame:
     """Per-bar z-scores with the population spread; a bar without spread scores 0 throughout.
 
-    Moments are aggregated per bar and joined back, so a crowded bar never meets in one task.
+    Moments are aggregated per bar and joined back, so a crowded bar never meets in one task. The
+    table of moments is stored first: its measured size lets the planner send it to the panel's rows.
     """
-    moments = panel.groupBy("timestamp").agg(*[
-        m for c in columns for m in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_spread"))])
+    moments = materialise(panel.groupBy("timestamp").agg(*[
+        m for c in columns for m in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_spread"))]))
     scored = {
         f"{c}{suffix}": F.when(F.col(f"{c}_spread") < STD_FLOOR, F.lit(0.0))
         .otherwise((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_spread"))
@@ -124,7 +128,7 @@ def available_candidates(frame: DataFrame) -> DataFrame:
 
 
 def candidate_order(spark) -> DataFrame:
-    return spark.createDataFrame([(c, i) for i, c in enumerate(SIGNAL_CANDIDATES)], "signal string, ordinal int")
+    return literal_table(spark, list(zip(SIGNAL_CANDIDATES, range(len(SIGNAL_CANDIDATES)))), "signal string, ordinal int")
 
 
 def unpivot_signals(frame: DataFrame, candidates, keep=("timestamp", "asset")) -> DataFrame:

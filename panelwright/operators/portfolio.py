@@ -40,7 +40,7 @@ BOOK_DEFAULTS = {"n_long": 2, "n_short": 2, "rebalance_every": 1, "min_gap": 0.0
 def run_grid(spark: SparkSession, **dimensions) -> DataFrame:
     """One row per combination of the given values; single values are constants of the grid."""
     settings = {**BOOK_DEFAULTS, **RUN_DEFAULTS, **dimensions}
-    grid = spark.range(1).select()
+    grid = spark.range(0, 1, 1, 1).select()
     for name, values in settings.items():
         options = list(values) if isinstance(values, (list, tuple)) else [values]
         grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in options])))
@@ -66,10 +66,11 @@ def prepare_series(rows: DataFrame, keys=(), liquidity: str | None = None) -> Da
 
     Input: ranked rows (keys, timestamp, asset, sig, price, and optionally funding_rate, fee_tier,
     slip_tier). Rows without valid liquidity leave the bar, when a liquidity column is named.
-    Output adds the columns of ``series_bars``, ``bar_return`` (price move since the previous bar, if
+    The bars are stored first, so that by their measured size they go to the rows and a crowded bar is
+    not shuffled into one task. Output adds the columns of ``series_bars``, ``bar_return`` (price move since the previous bar, if
     the asset was there) and ``last_idx`` (the last bar of the asset's unbroken presence).
     """
-    indexed = rows.join(series_bars(rows, keys), [*keys, "timestamp"])
+    indexed = rows.join(materialise(series_bars(rows, keys)), [*keys, "timestamp"])
     if liquidity:
         indexed = indexed.where((F.col(liquidity) > 0) & (F.abs(liquidity) < float("inf")))
     w = per_asset(*keys)

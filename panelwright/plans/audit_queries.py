@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.literal import literal_table
 from ..operators import audit as Q
 from ..operators import panel as P
 from ..session import materialise
@@ -193,7 +194,7 @@ def manifest(spark, panel):
         F.when(F.length("asset") == 11, F.col("last") - Q.days(400)).alias("delisted_at"),
         F.lit("TRADING").alias("status"), F.lit("weekly_files").alias("source"))
     rows = [(s, a, b, "NOT_TRADING", "inline") for s, a, b in DEAD_SYMBOLS] + [("NEWUSDT", "1997-02-03", None, "TRADING", "inline")]
-    dead = spark.createDataFrame(rows, "symbol string, listed_at string, delisted_at string, status string, source string")
+    dead = literal_table(spark, rows, "symbol string, listed_at string, delisted_at string, status string, source string")
     return listed.unionByName(dead.withColumns({"listed_at": F.to_timestamp("listed_at"), "delisted_at": F.to_timestamp("delisted_at")}))
 
 

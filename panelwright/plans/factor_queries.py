@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from ..constants import SIGNAL_CANDIDATES
 from ..operators import factors as A
 from ..operators.ranking import bar_ends, lag_for_execution, liquidity_percentile, thin_bars
-from .panels import brand_panel, market_panel
+from .panels import brand_panel, market_panel, stored_market
 from .registry import (ALL_FACTORS, BRAND_WEEK, FACTORS, MARKET, count, day, exec_sql, q_day, q_round, register, rounded,
                        with_)
 
 
 def wide(spark, folder):
-    return A.build_signals(market_panel(spark, folder))
+    return A.build_signals(stored_market(spark, folder))
 
 
 def price_only(spark, folder):
@@ -44,7 +44,7 @@ _simple("vol_adj_carry", ["vol_adj_carry"], carries)
 @register("resid_reversal", with_(MARKET, ALL_FACTORS) + f"""
 SELECT {q_day('ts')} AS bar, asset, {q_round('resid_reversal_14', 10)} AS resid_reversal_14, {q_round('resid_reversal_30', 10)} AS resid_reversal_30 FROM allfac""")
 def resid_reversal(spark, folder):
-    frame = A.residual_reversal(A.asset_return(market_panel(spark, folder)))
+    frame = A.residual_reversal(A.asset_return(stored_market(spark, folder)))
     return frame.select(day(), "asset", rounded("resid_reversal_14", 10), rounded("resid_reversal_30", 10))
 
 
@@ -52,7 +52,8 @@ def resid_reversal(spark, folder):
 SELECT {q_day('ts')} AS bar, asset, {q_round("CASE WHEN stddev_pop(momentum_14) OVER (PARTITION BY ts) < 1e-12 THEN 0.0 ELSE (momentum_14 - avg(momentum_14) OVER (PARTITION BY ts)) / stddev_pop(momentum_14) OVER (PARTITION BY ts) END")} AS z
 FROM fac""")
 def xs_zscore(spark, folder):
-    return A.cross_sectional_z(price_only(spark, folder), ["momentum_14"]).select(day(), "asset", rounded("momentum_14_z", name="z"))
+    frame = A.price_factors(A.asset_return(stored_market(spark, folder)))
+    return A.cross_sectional_z(frame, ["momentum_14"]).select(day(), "asset", rounded("momentum_14_z", name="z"))
 
 
 @register("combo_z", with_(MARKET, ALL_FACTORS) + f"""
@@ -67,9 +68,6 @@ def build_signals(spark, folder):
     return wide(spark, folder).select(day(), "asset", *[rounded(c, 12) for c in SIGNAL_CANDIDATES])
 
 
-_ORDINALS = ", ".join(f"('{c}',{i})" for i, c in enumerate(SIGNAL_CANDIDATES))
-
-
 @register("available_candidates", with_(MARKET, ALL_FACTORS) + "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS signal, {i}::BIGINT AS ordinal, count({c})::BIGINT AS values FROM allfac" for i, c in enumerate(SIGNAL_CANDIDATES)) + ") WHERE values > 0")
 def available_candidates(spark, folder):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.symbols import migration_table
 from ..session import materialise
 
 
@@ -20,15 +21,19 @@ def _panel_measures():
     ]
 
 
-def brand_panel(spark: SparkSession, folder: str, unit: str = "week") -> DataFrame:
-    """Asset = part brand. Prices stay near 100, so returns are bounded.
+def brand_panel(spark: SparkSession, folder: str, unit: str = "week", since: str | None = None) -> DataFrame:
+    """Asset = part brand. Prices stay near 100, so returns are bounded. ``since`` is the first day to
+    read, and reaches the file scan.
 
     Lines meet parts in one join (AQE picks broadcast by measured size, or splits a hot part), and
     the aggregation combines on the map side, so a brand that owns a third of all lines is no slower.
     """
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("asset"))
+    lines = table(spark, folder, "lineitem")
+    if since:
+        lines = lines.where(F.col("l_shipdate") >= F.lit(since).cast(lines.schema["l_shipdate"].dataType))
     return (
-        table(spark, folder, "lineitem").join(parts, "l_partkey")
+        lines.join(parts, "l_partkey")
         .groupBy(F.date_trunc(unit, F.col("l_shipdate").cast("timestamp")).alias("timestamp"), "asset")
         .agg(*_panel_measures())
     )
@@ -69,11 +74,8 @@ FIXTURE_MIGRATIONS = (
 OVERLAP_DAYS = 21
 
 
-def migrations(spark: SparkSession, rows=FIXTURE_MIGRATIONS) -> DataFrame:
-    return (
-        spark.createDataFrame(list(rows), "source string, canonical string, factor double, effective string")
-        .withColumn("effective", F.to_timestamp("effective"))
-    )
+def migrations(spark: SparkSession) -> DataFrame:
+    return migration_table(spark, FIXTURE_MIGRATIONS)
 
 
 def market_panel(spark: SparkSession, folder: str, unit: str = "week") -> DataFrame:
@@ -97,7 +99,7 @@ def raw_feed(spark: SparkSession, folder: str, unit: str = "week") -> DataFrame:
     dim = migrations(spark).where("effective is not null").select(
         F.concat("canonical", F.lit("USDT")).alias("asset"), F.concat("source", F.lit("USDT")).alias("old"),
         "factor", "effective")
-    joined = panel.join(F.broadcast(dim), "asset", "left")
+    joined = panel.join(dim, "asset", "left")
     stays = F.col("effective").isNull() | (F.col("timestamp") >= F.col("effective"))
     overlap = (F.col("timestamp") >= F.col("effective")) & (
         F.col("timestamp") < F.col("effective") + F.make_dt_interval(F.lit(OVERLAP_DAYS)))
