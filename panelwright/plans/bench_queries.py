@@ -10,7 +10,10 @@ from ..operators.factors import build_signals
 from ..operators.stats import bar_ic, ic_table, signal_returns
 from ..session import materialise
 from .panels import supplier_panel
-from .registry import day, register, rounded
+from .registry import ALL_FACTORS, SUPPLIER_WEEK, day, q_day, q_round, register, rounded, with_
+from .stats_queries import _ICS, _LONG, _NEXT
+
+_FACTORS = ALL_FACTORS.replace("'BTCUSDT'", "'1'")
 
 
 def supplier_factors(spark, folder):
@@ -18,12 +21,13 @@ def supplier_factors(spark, folder):
     return build_signals(materialise(supplier_panel(spark, folder)), benchmark="1")
 
 
-@register("supplier_signals")
+@register("supplier_signals", with_(SUPPLIER_WEEK, _FACTORS) + f"SELECT {q_day('ts')} AS bar, asset, {', '.join(f'{q_round(c, 12)} AS {c}' for c in SIGNAL_CANDIDATES)} FROM allfac")
 def supplier_signals(spark, folder):
     return supplier_factors(spark, folder).select(day(), "asset", *[rounded(c, 12) for c in SIGNAL_CANDIDATES])
 
 
-@register("supplier_rank_ic")
+@register("supplier_rank_ic", with_(SUPPLIER_WEEK, _FACTORS, _NEXT, _LONG, _ICS) + f"""SELECT signal, {q_round('m')} AS ic_mean, {q_round('sd')} AS ic_std, {q_round('t')} AS ic_tstat,
+  n::BIGINT AS ic_days FROM ictab""")
 def supplier_rank_ic(spark, folder):
     t = ic_table(bar_ic(signal_returns(materialise(supplier_factors(spark, folder)), SIGNAL_CANDIDATES)))
     return t.select("signal", rounded("ic_mean"), rounded("ic_std"), rounded("ic_tstat"), "ic_days")

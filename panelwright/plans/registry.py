@@ -242,3 +242,17 @@ def summary_sql(curve: str, where: str = "true") -> str:
   sum(turnover*0.0004*equity_before) AS total_fees, sum(turnover*0.0005*equity_before) AS total_slippage,
   sum(pr*equity_before) AS price_pnl, sum(fr*equity_before) AS funding_pnl, avg(turnover) {act} AS average_turnover
   FROM {curve} WHERE {where} GROUP BY k"""
+
+
+def q_cdf(x: str, steps: int = 400) -> str:
+    """Normal distribution function by Simpson's rule from 0 to x."""
+    weight = f"CASE WHEN i=0 OR i={steps} THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END"
+    return f"(0.5 + ({x})/{steps}/3/sqrt(2*pi())*list_sum(list_transform(range(0,{steps + 1}), lambda i: ({weight})*exp(-power(({x})*i/{steps}.0,2)/2))))"
+
+
+def q_quantile(name: str, p: str) -> str:
+    """CTE {name}(x): the normal quantile of ``p`` (above one half) by bisection."""
+    return f"""{name}_walk(k, lo, hi, p) AS (SELECT 0, 0.0::DOUBLE, 8.0::DOUBLE, ({p})::DOUBLE UNION ALL
+  SELECT k+1, CASE WHEN c < p THEN (lo+hi)/2 ELSE lo END, CASE WHEN c < p THEN hi ELSE (lo+hi)/2 END, p
+  FROM (SELECT *, {q_cdf('(lo+hi)/2')} AS c FROM {name}_walk) WHERE k < 45),
+{name}(x) AS (SELECT (lo+hi)/2 FROM {name}_walk WHERE k = 45)"""

@@ -8,7 +8,7 @@ from ..constants import SIGNAL_CANDIDATES
 from ..operators import stats as S
 from ..operators.factors import asset_return, build_signals
 from .panels import market_panel, stored_market, supplier_panel, table
-from .registry import (ALL_FACTORS, MARKET, RETURNS, SUPPLIER_WEEK, count, day, q_day, q_round, register, rounded, with_)
+from .registry import (ALL_FACTORS, MARKET, RETURNS, SUPPLIER_WEEK, count, day, q_cdf, q_day, q_quantile, q_round, register, rounded, with_)
 
 _LONG = "long AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS signal, ts, asset, {c} AS sig, nr FROM nx WHERE {c} IS NOT NULL AND nr IS NOT NULL" for c in SIGNAL_CANDIDATES) + ")"
@@ -76,10 +76,10 @@ def bootstrap_ci(spark, folder):
     return S.block_bootstrap(ics(spark, folder))
 
 
-@register("bonferroni")
+@register("bonferroni", _RESEARCH + f"""SELECT signal, {q_round('t')} AS ic_tstat, {q_round(f"least(1.0, {len(SIGNAL_CANDIDATES)}*2*(1-{q_cdf('abs(t)')}))", 5)} AS adjusted_pvalue FROM ictab""")
 def bonferroni(spark, folder):
     t = S.bonferroni(S.ic_table(ics(spark, folder)), len(SIGNAL_CANDIDATES))
-    return t.select("signal", "ic_tstat", "adjusted_pvalue")
+    return t.select("signal", rounded("ic_tstat"), rounded("adjusted_pvalue", 5))
 
 
 def supplier_returns(spark, folder):
@@ -101,15 +101,25 @@ def _scored_suppliers(spark, folder):
     return moments.join(search, F.lit(True))
 
 
-@register("dsr")
+_DSR = with_(SUPPLIER_WEEK, RETURNS, """mo AS (SELECT asset, count(*) AS n, avg(r)/stddev_samp(r) AS sr, skewness(r) AS sk, kurtosis(r)+3 AS ku FROM ret WHERE r IS NOT NULL GROUP BY 1),
+br AS (SELECT count(*) AS trials, var_samp(sr) AS v FROM mo)""", q_quantile("qa", "(SELECT 1 - 1.0/trials FROM br)"), q_quantile("qb", "(SELECT 1 - 1.0/(trials*exp(1.0)) FROM br)"), """
+null_bar AS (SELECT trials, sqrt(v)*((1-0.5772156649015329)*qa.x + 0.5772156649015329*qb.x) AS e FROM br, qa, qb),
+sc AS (SELECT mo.*, trials, e, 1 - sk*sr + (ku-1)/4*sr*sr AS den FROM mo, null_bar)""").replace("WITH ", "WITH RECURSIVE ", 1)
+_SCORE = q_cdf("(sr-e)*sqrt(n-1)/sqrt(den)")
+_DSR_COLUMNS = f"asset, {q_round('sr')} AS observed_sr, trials::BIGINT AS n_trials, {q_round('e')} AS expected_sharpe_null"
+
+
+@register("dsr", _DSR + f"SELECT {_DSR_COLUMNS}, {q_round(f'CASE WHEN den > 0 THEN {_SCORE} ELSE 0 END')} AS dsr, den <= 0 AS degenerate FROM sc")
 def dsr(spark, folder):
     rows = _scored_suppliers(spark, folder).withColumn("n_obs", F.col("n"))
-    return S.deflated_sharpe(rows).select("asset", "observed_sr", "n_trials", "expected_sharpe_null", "dsr", "note")
+    scored = S.deflated_sharpe(rows)
+    return scored.select("asset", rounded("observed_sr"), "n_trials", rounded("expected_sharpe_null"), rounded("dsr"), F.col("note").isNotNull().alias("degenerate"))
 
 
-@register("dsr_v2")
+@register("dsr_v2", _DSR + f"SELECT {_DSR_COLUMNS}, {q_round(f'CASE WHEN den > 0 THEN {_SCORE} END')} AS dsr, CASE WHEN den <= 0 THEN 'degenerate_denominator' END AS error FROM sc")
 def dsr_v2(spark, folder):
-    return S.deflated_sharpe_strict(_scored_suppliers(spark, folder)).select("asset", "observed_sr", "n_trials", "expected_sharpe_null", "dsr", "error")
+    scored = S.deflated_sharpe_strict(_scored_suppliers(spark, folder))
+    return scored.select("asset", rounded("observed_sr"), "n_trials", rounded("expected_sharpe_null"), rounded("dsr"), "error")
 
 
 # Trials: every customer nation is a search, every order a logged attempt.
@@ -139,7 +149,17 @@ def pairwise_corr(spark, folder):
     return S.pairwise_correlation(asset_series(spark, folder)).select("a", "b", rounded("corr"), "overlap")
 
 
-@register("effective_trials")
+_FIRST_FIT = """ids AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM (SELECT DISTINCT asset AS id FROM both_sets)),
+near AS (SELECT list(x.asset||'|'||y.asset) AS pairs FROM (SELECT a.asset, b.asset AS other, corr(a.r, b.r) AS c, count(*) AS n FROM both_sets a JOIN both_sets b ON a.ts=b.ts AND a.asset<>b.asset GROUP BY 1,2) x,
+  LATERAL (SELECT x.other AS asset) y WHERE x.c > 0.9 AND x.n >= 30),
+fit(k, clusters) AS (SELECT 0, []::VARCHAR[][] UNION ALL
+  SELECT k+1, CASE WHEN home IS NULL OR home = 0 THEN list_append(clusters, [id]) ELSE list_transform(clusters, lambda c, i: CASE WHEN i = home THEN list_append(c, id) ELSE c END) END
+  FROM (SELECT f.k, f.clusters, i.id, list_position(list_transform(f.clusters, lambda c: len(list_filter(c, lambda m: NOT list_contains(n.pairs, i.id||'|'||m))) = 0), true) AS home
+    FROM fit f JOIN ids i ON i.k = f.k+1, near n))"""
+
+
+@register("effective_trials", with_(MARKET, RETURNS, "both_sets AS (SELECT ts, asset, r FROM ret WHERE r IS NOT NULL UNION ALL SELECT ts, asset||'_twin', r FROM ret WHERE r IS NOT NULL)", _FIRST_FIT)
+          .replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT 'all' AS search, len(clusters)::BIGINT AS effective_n_trials FROM fit ORDER BY k DESC LIMIT 1")
 def effective_trials(spark, folder):
     series = asset_series(spark, folder).withColumn("search", F.lit("all"))
     twin = series.withColumn("id", F.concat("id", F.lit("_twin")))
