@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 from ..constants import HARD_GATES, STATE_EDGES
 from ..functions.windows import previous_value
 from ..operators import decision as D
-from ..operators import stats as S
-from ..operators import validate as V
-from ..operators import walkforward as W
-from ..operators import portfolio as B
 from ..operators.factors import build_signals
 from ..session import materialise
 from ..sources.reports import run_fingerprint
-from .panels import stored_market, table
-from .portfolio_queries import KEYS, single_run
-from .factor_queries import ranked
+from .check import check_panel, deployment
+from .panels import market_panel, stored_market, table
 from .registry import register
 
 # One strategy per supplier; its measures come from the whole units it shipped.
@@ -141,16 +136,22 @@ def fingerprint(spark, folder):
     return run_fingerprint(text, "strategy_id", "row", {"n_sides": 3, "signal": "momentum_7"})
 
 
+SEARCH = {"candidates": ("momentum_7", "low_vol_14", "carry"), "n_sides": (3,), "vol_target": 0.02, "min_train_days": 730, "test_days": 360,
+          "delist_mode": "forced_exit", "rebalance_every": 5}
+
+
 @register("deployment_decision")
 def deployment_decision(spark, folder):
-    """Walk-forward, splits, stress, research, regimes and deflation of one panel, as one gate row."""
+    """Walk-forward, splits, stress, research, regimes and deflation of one panel, as gate rows."""
     panel = stored_market(spark, folder)
-    frame = materialise(build_signals(panel))
-    search = W.WalkForward(frame, candidates=("momentum_7", "low_vol_14", "carry"), n_sides=(3,), vol_targets=(0.02,), min_train_days=730, test_days=360,
-                           delist_mode="forced_exit", rebalance_every=5)
-    book = single_run(B.prepare_series(ranked(spark, folder, panel=panel), KEYS))
-    segments = V.segment_metrics(book.returns, V.date_split(panel), B.violations(book.returns, book.trades, book.exits, book.runs))
-    reality = S.reality_check(S.ic_table(S.bar_ic(S.signal_returns(frame, ("momentum_7", "low_vol_14", "carry")))))
-    regimes = V.regime_performance(book.returns, V.regime_labels(panel))
-    gates = D.deployment_gates(search.gates, segments, search.summary.where("variant <> 'base'"), reality, regimes, search.data_mining)
-    return D.hard_gates(gates).select(F.explode("gates").alias("gate", "passed"), "deployable")
+    found = deployment(panel, materialise(build_signals(panel)), **SEARCH)
+    return found.gates.select(F.explode("gates").alias("gate", "passed"), "deployable")
+
+
+@register("panel_check")
+def panel_check(spark, folder):
+    """The whole check of the market panel, with cross-validation, as its result row."""
+    rows = market_panel(spark, folder).withColumn("ingest_seq", F.lit(0))
+    row = check_panel(rows, "market", final=True, step_seconds=7 * 86400, cv_groups=6, **SEARCH)
+    return row.select("strategy_id", "status", "gate_status", "decision", "review_required", "deployable", "state", F.array_join("reasons", ",").alias("reasons"),
+                      F.array_join("errors", ",").alias("errors"), "metrics.*", "max_sensible")

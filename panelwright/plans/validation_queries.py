@@ -8,9 +8,9 @@ from ..constants import COST_STRESS_TIERS
 from ..operators import cpcv as C
 from ..operators import portfolio as B
 from ..operators import validate as V
-from ..operators.factors import asset_return, price_factors, unpivot_signals
-from ..operators.ranking import lag_for_execution
+from ..operators.factors import asset_return, price_factors
 from ..session import materialise
+from .check import cost_runs, side_slices, signal_book
 from .factor_queries import ranked
 from .panels import market_panel, stored_market
 from .portfolio_queries import EVERY, KEYS, N, _BOOK, momentum_book, single_run
@@ -178,12 +178,9 @@ _OOS = """src AS (SELECT 'oos' AS k, 3 AS n, f.ts, f.asset, f.price, f.funding_r
   {q_round('min(drawdown)')} AS max_drawdown FROM t{i}_curve""" for i, (f, s) in enumerate(COST_STRESS_TIERS)))
 def cost_stress(spark, folder):
     panel = stored_market(spark, folder)
-    frame = price_factors(asset_return(panel)).join(V.date_split(panel).where("segment = 'out_of_sample'").select("timestamp"), "timestamp", "left_semi")
-    rows = lag_for_execution(unpivot_signals(frame, ["momentum_7"], keep=("timestamp", "asset", "price", "funding_rate")), KEYS)
-    book = single_run(B.prepare_series(rows, KEYS))
-    tiers = F.explode(F.array(*[F.struct(F.lit(i).alias("tier"), F.lit(f).alias("fee"), F.lit(s).alias("slip")) for i, (f, s) in enumerate(COST_STRESS_TIERS)]))
-    runs = book.runs.withColumn("cost", tiers).withColumns({
-        "run_id": F.col("cost.tier").cast("string"), "fee_rate": F.col("cost.fee"), "slip_rate": F.col("cost.slip")}).drop("cost")
+    last = V.date_split(panel).where("segment = 'out_of_sample'")
+    book = signal_book(price_factors(asset_return(panel)), "momentum_7", N, bars=last, rebalance_every=EVERY)
+    runs = cost_runs(book)
     sums = B.run_summary(B.run_returns(book.terms, runs)).join(runs.select("run_id", "fee_rate", "slip_rate"), "run_id")
     return sums.select(F.col("run_id").cast("bigint").alias("tier"), "fee_rate", "slip_rate", rounded("total_return"), rounded("max_drawdown"))
 
@@ -265,15 +262,9 @@ _CPCV = with_(MARKET, FACTORS, _CV, _CVSRC, _VREG, sliced_sql("v", "cvsrc", 1),
 
 def cv_book(panel):
     """Both sides of every fold as slices of one grid: state restarts inside each slice."""
-    splits = materialise(cv_splits(panel))
-    frame = unpivot_signals(price_factors(asset_return(panel)), ["momentum_7"], keep=("timestamp", "asset", "price", "funding_rate"))
-    rows = frame.drop("signal").join(splits.select(F.concat_ws("|", "fold_id", "side").alias("slice_id"), "timestamp"), "timestamp")
-    series = B.prepare_series(lag_for_execution(rows, ["slice_id"]), ["slice_id"])
-    spark = panel.sparkSession
-    config = splits.select(F.concat_ws("|", "fold_id", "side").alias("slice_id")).distinct().join(B.run_grid(spark, n_long=N, n_short=N), F.lit(True))
-    config = config.withColumns({"book_id": F.col("slice_id"), "run_id": F.col("slice_id")})
-    book = B.Backtest(series, config.select("book_id", "slice_id", *B.BOOK_DEFAULTS), config.select("run_id", "book_id", *B.RUN_DEFAULTS), ("slice_id",), 2 * N)
-    return book, splits
+    splits = materialise(side_slices(cv_splits(panel)))
+    frame = price_factors(asset_return(panel))
+    return signal_book(frame, "momentum_7", N, slices=splits), splits
 
 
 def cv_paths(spark, folder):
