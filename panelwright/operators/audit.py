@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import EXPECTED_FUNDING_REASONS, MIGRATION_WINDOW_DAYS
-from ..functions.numeric import ratio
 from ..functions.symbols import base_token, with_canonical
 from ..functions.windows import per_asset
 from ..session import materialise

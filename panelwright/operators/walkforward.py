@@ -42,6 +42,7 @@ def fold_trials(returns: DataFrame, errors: DataFrame, folds: DataFrame, runs: D
     history: each run is evaluated once and cut at every fold's end.
     """
     active = returns.where("idx > 0").select("run_id", "timestamp", "ret")
+    # One row per test window of the calendar: at most as many rows as bars divided by the window.
     cut = active.join(F.broadcast(folds.select("fold", "train_end")), F.col("timestamp") <= F.col("train_end"))
     spread = F.stddev_samp("ret")
     stats = cut.groupBy("fold", "run_id").agg(

@@ -10,7 +10,7 @@ from ..operators.ranking import drop_thin_bars, lag_for_execution, liquidity_per
 from ..session import materialise
 from .factor_queries import ranked
 from .panels import brand_panel, market_panel, stored_market, table
-from .registry import (BRAND_DAY, BRAND_WEEK, FACTORS, MARKET, book_sql, count, day, equity_sql, exec_sql, q_day, q_round,
+from .registry import (BRAND_WEEK, FACTORS, MARKET, book_sql, count, day, equity_sql, exec_sql, q_day, q_round,
                        register, rounded, with_)
 
 # Liquidity tiers (percentile threshold, fee, slippage) of the tiered-cost queries.

@@ -9,7 +9,7 @@ from ..operators import capacity as K
 from ..operators import walkforward as W
 from ..operators.factors import asset_return, price_factors
 from .panels import market_panel, stored_market, table
-from .portfolio_queries import EVERY, KEYS, N, _BOOK, single_run
+from .portfolio_queries import EVERY, KEYS, _BOOK, single_run
 from .factor_queries import ranked
 from ..operators import portfolio as B
 from .registry import (FACTORS, MARKET, PPY, count, day, q_day, q_round, register, rounded, sliced_sql, with_)
