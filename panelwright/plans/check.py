@@ -24,7 +24,6 @@ from ..session import materialise
 # Tiers under which capacity is measured.
 CAPACITY_TIERS = ((0.5, 0.0004, 0.0005), (0.0, 0.0015, 0.004))
 ROW = ("timestamp", "asset", "price", "funding_rate", "quote_volume")
-ONE = F.lit(True)
 
 
 def signal_book(frame: DataFrame, signal: str, n: int, bars: DataFrame | None = None, slices: DataFrame | None = None, tiers=None, **settings) -> B.Backtest:
@@ -43,7 +42,7 @@ def signal_book(frame: DataFrame, signal: str, n: int, bars: DataFrame | None =
         lagged = tier_rates(liquidity_percentile(lagged, "quote_volume", keys=[key]), tiers)
     names = slices.select("slice_id").distinct() if slices is not None else None
     grid = B.run_grid(frame.sparkSession, **{"signal": signal, "n_long": n, "n_short": n, "tiered": bool(tiers), **settings})
-    config = names.join(grid.drop("signal"), ONE) if names is not None else grid
+    config = names.join(grid.drop("signal"), F.lit(True)) if names is not None else grid
     config = config.withColumns({"book_id": F.col(key), "run_id": F.col(key)})
     series = B.prepare_series(lagged, [key], "quote_volume" if tiers else None)
     return B.Backtest(series, config.select("book_id", key, *B.BOOK_DEFAULTS), config.select("run_id", "book_id", *B.RUN_DEFAULTS), (key,), 2 * n)
@@ -129,7 +128,7 @@ def check_panel(df: DataFrame, strategy_id: str = "strategy", *, migrations: Dat
         found.segments.agg(
             segment("out_of_sample", "total_return").alias("oos_total_return"), segment("out_of_sample", "sharpe").alias("oos_sharpe"),
             segment("out_of_sample", "max_drawdown").alias("oos_drawdown"), segment("out_of_sample", "average_turnover").alias("turnover"),
-            segment("train", "max_drawdown").alias("train_drawdown")), ONE).join(mining, ONE)
+            segment("train", "max_drawdown").alias("train_drawdown")), F.lit(True)).join(mining, F.lit(True))
     if final:
         splits = materialise(side_slices(C.cpcv_splits(frame, cv_groups, cv_test_groups)))
         cv = signal_book(frame, found.signal, found.n_sides, slices=splits, **settings)
@@ -148,7 +147,7 @@ def check_panel(df: DataFrame, strategy_id: str = "strategy", *, migrations: Dat
         capacity = spark.range(0, 1, 1, 1).select(F.create_map().cast("map<double,string>").alias("capacity"), F.lit(None).cast("double").alias("max_sensible"))
     members = S.ensemble_precheck(found.search.ensemble_members(3), "fold").agg(F.max("max_pairwise_corr").alias("max_pairwise_corr"))
     unexplained = Q.gap_blocks(panel, dim, step_seconds).agg(F.count_if(F.col("reason") == "unexplained_interior").cast("int").alias("halt_unexplained_count"))
-    row = metrics.join(summary, ONE).join(capacity, ONE).join(members, ONE).join(unexplained, ONE).join(found.gates.select("deployable"), ONE).withColumn("strategy_id", F.lit(strategy_id))
+    row = metrics.join(summary, F.lit(True)).join(capacity, F.lit(True)).join(members, F.lit(True)).join(unexplained, F.lit(True)).join(found.gates.select("deployable"), F.lit(True)).withColumn("strategy_id", F.lit(strategy_id))
     gated = D.gate_status(row, aum_limit, final).withColumns({
         "gate_status": F.col("status"), "status": F.lit("SUCCESS"), "errors": F.array().cast("array<string>"),
         "metrics": F.struct("wf_total_return", "wf_sharpe", "wf_drawdown", "oos_total_return", "oos_sharpe", "oos_drawdown", "dsr", "turnover")})
