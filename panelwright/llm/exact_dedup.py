@@ -68,7 +68,7 @@ def _combine(batches):
     yield from flush()
 
 
-_COMBINED_SCHEMA = pa.schema([("length", pa.int64()), ("content", pa.int64()), ("body", pa.large_binary()), ("points", pa.int64()),
+_COMBINED_SCHEMA = pa.schema([("length", pa.int64()), ("content", pa.int64()), ("body", pa.binary()), ("points", pa.int64()),
                               ("owner", pa.int64()), ("copies", pa.int64())])
 _OWNER_SCHEMA = pa.schema([("text_sha256", pa.string()), ("keep_id", pa.int64()), ("keep_points", pa.int64()), ("group_size", pa.int64())])
 

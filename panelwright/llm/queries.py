@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .repeated_windows import remove_repeats
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +21,23 @@ def register(sql: str | None = None):
     return add
 
 
+@register("""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text,''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2*p+1, 100) AS s FROM d, unnest(range(0, length(h)//2-49)) AS t(p)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM w JOIN m USING (s) WHERE least < doc_id),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM g),
+r AS (SELECT doc_id, min(p) AS a, max(p)+50 AS z FROM n GROUP BY doc_id, span),
+k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS low FROM r),
+t AS (SELECT doc_id, string_agg(substr(h, 2*low+1, 2*(a-low)), '' ORDER BY a) || substr(any_value(h), 2*max(z)+1) AS kept, count(*) AS n_spans, sum(z-a) AS n_removed FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h)//2)::BIGINT AS n_bytes, coalesce(n_removed,0)::BIGINT AS n_removed, coalesce(n_spans,0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept,h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)""")
+def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = remove_repeats(table(spark, folder, "documents"))
+    length = F.aggregate("removed", F.lit(0).cast("bigint"), lambda total, span: total + span["end"] - span["start"])
+    return cut.select("doc_id", "n_bytes", length.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("""
 WITH d AS (SELECT doc_id, length(coalesce(text,'')) AS points, sha256(regexp_replace(coalesce(text,''),'[\\x20\\x09-\\x0D]','','g')) AS text_sha256 FROM documents),
 o AS (SELECT text_sha256, count(*)::BIGINT AS group_size, first(doc_id ORDER BY points DESC, doc_id NULLS LAST) AS keep_id FROM d GROUP BY 1)

@@ -36,13 +36,13 @@ NO_ID = np.iinfo(np.int64).max
 #: Odd multipliers of the hash.
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
-_ASKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("digits", pa.large_binary())])
-_HELD = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("marks", pa.large_binary())])
-_RUNS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("runs", pa.large_binary()), ("last", pa.large_binary()), ("at", pa.large_binary()),
-                   ("least", pa.large_binary()), ("places", pa.large_binary()), ("run_of", pa.large_binary()), ("whole", pa.large_binary())])
-_BITS = pa.schema([("chunk", pa.int64()), ("places", pa.large_binary()), ("bits", pa.large_binary())])
+_ASKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("digits", pa.binary())])
+_HELD = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("marks", pa.binary())])
+_RUNS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("runs", pa.binary()), ("last", pa.binary()), ("at", pa.binary()),
+                   ("least", pa.binary()), ("places", pa.binary()), ("run_of", pa.binary()), ("whole", pa.binary())])
+_BITS = pa.schema([("chunk", pa.int64()), ("places", pa.binary()), ("bits", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
-                  ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.large_binary())])
+                  ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 _DDL = {id(_ASKED): "chunk long, bucket long, digits binary", id(_HELD): "chunk long, bucket long, marks binary",
         id(_RUNS): "chunk long, bucket long, runs binary, last binary, at binary, least binary, places binary, run_of binary, whole binary",
         id(_BITS): "chunk long, places binary, bits binary",
@@ -287,7 +287,7 @@ def _cut(docs: pa.Table, answers: pa.Table, depth: int) -> pa.Table:
         cuts = np.r_[0, np.c_[low[a:b], high[a:b]].reshape(-1) - own.starts[d], len(text)]
         kept.append(b"".join(text[cuts[i]:cuts[i + 1]] for i in range(0, len(cuts), 2)))
     return pa.table([pa.array(own.ids, pa.int64()), pa.array(own.lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), spans),
-                     pa.array(kept, pa.large_binary())], schema=_OUT)
+                     pa.array(kept, pa.binary())], schema=_OUT)
 
 
 def remove_repeats(docs: DataFrame, depth: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
