@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .repeated_windows import remove_repeats
 
 QUERIES: dict = {}
@@ -44,3 +45,16 @@ o AS (SELECT text_sha256, count(*)::BIGINT AS group_size, first(doc_id ORDER BY
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN o USING (text_sha256)""")
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
+
+
+@register("""
+WITH RECURSIVE w AS (SELECT doc_id, string_split(trim(regexp_replace(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[\\x20\\x09-\\x0D]+',' ','g')),' ') AS ws FROM documents),
+v AS (SELECT doc_id, list_filter(ws, lambda x: x <> '') AS ws FROM w),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+3],' ') AS g FROM v, unnest(range(1, greatest(len(ws)-3,1)+1)) AS t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1,2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100*c >= 85*(x.n+y.n-c)),
+r(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT d.doc_id, coalesce(n.n,0)::BIGINT AS n_shingles, k.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(other) AS component_id FROM r GROUP BY id) k ON k.id = d.doc_id""")
+def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"), n=4, num=85, den=100)

@@ -192,7 +192,7 @@ def _send(docs: pa.Table, held: pa.Table, depth: int, buckets: int) -> pa.Table:
             continue
         s, first_holder = start[a:z], ids[a:z] == least[a:z]
         of = np.cumsum(s) - 1
-        out.append((chunk, b, rows[a:z][s].tobytes(), last[a:z][s].astype(np.uint8).tobytes(), at[a:z][s].astype(np.uint8).tobytes(),
+        out.append((chunk, b, pa.compress(rows[a:z][s].tobytes(), "zstd", asbytes=True), last[a:z][s].astype(np.uint8).tobytes(), at[a:z][s].astype(np.uint8).tobytes(),
                     least[a:z][s].astype("<i8").tobytes(), runs[a:z][first_holder].astype("<u4").tobytes(), of[first_holder].astype("<u4").tobytes(),
                     runs[a:z][~first_holder].astype("<u4").tobytes()))
     return _rows(out, _RUNS)
@@ -204,9 +204,9 @@ def _order(sent: pa.Table, depth: int) -> pa.Table:
     width = 2 * depth - k
     width += -width % 8
     column = lambda name, kind: [np.frombuffer(x, kind) for x in sent.column(name).to_pylist()]
-    parts = column("runs", np.uint8)
-    counts = [len(p) // width for p in parts]
-    rows = np.concatenate(parts).reshape(-1, width)
+    counts = [len(x) for x in sent.column("last").to_pylist()]
+    parts = [pa.decompress(x, n * width, "zstd") for x, n in zip(sent.column("runs").to_pylist(), counts)]
+    rows = np.concatenate([np.frombuffer(x, np.uint8) for x in parts]).reshape(-1, width)
     last, at, least = (np.concatenate(column(c, t)).astype(np.int64) for c, t in (("last", np.uint8), ("at", np.uint8), ("least", "<i8")))
     flat = np.r_[rows.reshape(-1), np.zeros(8, np.uint8)]
     words = np.ndarray((len(flat) - 7,), "<u8", flat.data, strides=(1,))
