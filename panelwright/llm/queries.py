@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bit_sliced import top_k
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
+from .mixing import BLOCK_WORDS, PRIMES, Mix
 from .repeated_windows import remove_repeats
+from .url_lists import host_of, first_segment, judge
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +61,80 @@ r(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FRO
 SELECT d.doc_id, coalesce(n.n,0)::BIGINT AS n_shingles, k.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(other) AS component_id FROM r GROUP BY id) k ON k.id = d.doc_id""")
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"), n=4, num=85, den=100)
+
+
+@register("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1]*p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5""")
+def op4_bit_sliced_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"))
+
+
+def _number(key, mark: str):
+    """A number that a key gets on both sides of a comparison."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(mark), key)), 1, 6), 16, 10).cast("bigint")
+
+
+def list_history(pages: DataFrame) -> DataFrame:
+    """A history of a list about the hosts, domains and sections of the pages, as the tables hold none.
+
+    A third of the keys is listed, at a day that follows from the key, taken off after 40 days and listed again 80 days later.
+    """
+    host, section = host_of(F.col("url")), first_segment(F.col("url"))
+    domain = F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)$", 1)
+    keys = (pages.where(host != "").select(F.explode(F.array(F.struct(host.alias("key"), F.lit("host ").alias("mark")), F.struct(domain.alias("key"), F.lit("domain ").alias("mark")),
+            F.struct(F.concat_ws("/", host, section).alias("key"), F.lit("section ").alias("mark")))).alias("k")).select("k.*").where("key <> ''").distinct())
+    number = _number(F.col("key"), "n")
+    listed = keys.withColumn("n", number + F.length("mark")).where("n % 3 = 0")
+    action = F.when(F.expr("n % 9 = 3"), "allow").otherwise("block")
+    steps = F.array(*[F.struct((F.col("n") % 300 + later).alias("day"), what.alias("action"), (F.lit(order) * 10 + F.length("mark")).alias("seq"))
+                      for order, later, what in ((1, 0, action), (2, 40, F.lit("remove")), (3, 120, F.lit("block")))])
+    return listed.withColumn("step", F.explode(steps)).select("key", "step.day", "step.action", "step.seq")
+
+
+@register("""
+WITH p AS (SELECT page_id, url, (page_id * 37) % 365 AS day, lower(regexp_extract(coalesce(url,''),'^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)',1)) AS host,
+  regexp_extract(coalesce(url,''),'^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)',1) AS seg FROM pages),
+k AS (SELECT host AS key, 5 AS m FROM p WHERE host <> '' UNION SELECT regexp_extract(host,'([^.]+\\.[^.]+\\.[^.]+)$',1), 7 FROM p WHERE host <> ''
+  UNION SELECT host||'/'||seg, 8 FROM p WHERE host <> ''),
+n AS (SELECT key, m, ('0x'||substr(md5('n'||key),1,6))::BIGINT + m AS n FROM k WHERE key <> ''),
+e AS (SELECT key, n % 300 AS day, CASE WHEN n % 9 = 3 THEN 'allow' ELSE 'block' END AS action, 10+m AS seq FROM n WHERE n % 3 = 0
+  UNION ALL SELECT key, n % 300 + 40, 'remove', 20+m FROM n WHERE n % 3 = 0 UNION ALL SELECT key, n % 300 + 120, 'block', 30+m FROM n WHERE n % 3 = 0),
+x AS (SELECT key, day AS since, arg_max(action, seq) AS action, lead(day) OVER (PARTITION BY key ORDER BY day) AS until FROM e GROUP BY key, day),
+q AS (SELECT page_id, url, day, host, unnest(list_distinct(list_concat(CASE WHEN seg <> '' THEN [host||'/'||seg] ELSE [] END,
+  list_transform(range(1, greatest(len(string_split(host,'.'))-1,1)+1), lambda i: array_to_string(string_split(host,'.')[i:],'.'))))) AS key FROM p WHERE host <> '' AND day IS NOT NULL),
+h AS (SELECT q.*, action, since FROM q JOIN x USING (key) WHERE action <> 'remove' AND day >= since AND (until IS NULL OR day < until)
+  QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY length(key) DESC) = 1)
+SELECT p.page_id, p.url, p.day, p.host, coalesce(h.action = 'block', false) AS blocked, h.key AS matched_key, h.action, coalesce(h.since,-1)::BIGINT AS since
+FROM p LEFT JOIN h ON p.page_id = h.page_id AND p.url = h.url""")
+def op5_temporal_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page against the entries active on the day of its fetch; the table has no such day, so it follows from page_id."""
+    pages = table(spark, folder, "pages")
+    captures = pages.select("page_id", "url", (F.col("page_id") * 37 % 365).alias("day"))
+    return judge(captures, list_history(pages)).withColumn("since", F.coalesce("since", F.lit(-1)).cast("bigint"))
+
+
+@register(f"""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''),'[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+  coalesce(((doc_id % 1048576) * 7919) % greatest(64, (SELECT count(*)//10000 FROM documents)), 0) AS part FROM documents),
+a AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS src FROM s GROUP BY source),
+b AS (SELECT *, [3.0,1.0,2.0][((src-1)%3+1)::INT]::DOUBLE AS weight, 2.0*source_size AS most FROM a),
+c AS (SELECT *, (1.5*sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most/weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0))
+  / sum(weight) OVER (ORDER BY most/weight, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM b),
+t AS (SELECT src, source, source_size, least(most, coalesce((SELECT max(level) FROM c WHERE level <= most/weight),0)*weight)::DOUBLE AS target,
+  ceil(source_size/{BLOCK_WORDS}.0)::BIGINT AS n FROM c),
+u AS (SELECT *, round(target)::BIGINT // greatest(source_size,1) AS passes, round(target)::BIGINT % greatest(source_size,1) AS rest FROM t),
+g AS (SELECT u.*, pass, k, ({list(PRIMES)}[((src+pass+17)%{len(PRIMES)}+1)::INT])::BIGINT % n AS step, (src*7919+pass*104729+17*1299709) % n AS short
+  FROM u, unnest(range(0, passes+1)) AS p(pass), unnest(range(0, n)) AS q(k) WHERE n > 0),
+o AS (SELECT *, (((n-1+step*(k-short)) % n) + n) % n AS block, source_size-(n-1)*{BLOCK_WORDS} AS tail FROM g),
+f AS (SELECT *, k*{BLOCK_WORDS} - CASE WHEN k > short THEN {BLOCK_WORDS}-tail ELSE 0 END AS before, CASE WHEN block = n-1 THEN tail ELSE {BLOCK_WORDS} END AS length FROM o),
+w AS (SELECT src, block, CASE WHEN pass < passes THEN length ELSE least(length, rest-before) END AS take FROM f),
+d AS (SELECT s.*, src, source_size, target, n, (sum(size) OVER (PARTITION BY s.source ORDER BY part, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM s JOIN u ON s.source IS NOT DISTINCT FROM u.source),
+m AS (SELECT d.doc_id, sum(greatest(0, least(stop, block*{BLOCK_WORDS}+take) - greatest(stop-size, block*{BLOCK_WORDS})))::BIGINT AS taken
+  FROM d JOIN w ON d.src = w.src AND take > 0 AND block*{BLOCK_WORDS} < stop AND (block+1)*{BLOCK_WORDS} > stop-size GROUP BY 1)
+SELECT doc_id, size, source_size, target, coalesce(taken,0)::BIGINT AS taken FROM d LEFT JOIN m USING (doc_id)""")
+def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return Mix(table(spark, folder, "documents")).counts()
