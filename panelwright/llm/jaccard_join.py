@@ -241,3 +241,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     label = components(links.union(more)) if more.first() else label
     members = found.where("kind = 'member'").select(F.col("a").alias("doc_id"), F.col("b").alias("id"), F.col("n").alias("n_shingles"))
     return members.join(label, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+
+
+def keep_one_of_each_component(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component, and those without a doc_id, with all their columns."""
+    linked = jaccard_components(docs, n, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("linked")).distinct()
+    return docs.join(linked, docs["doc_id"] == linked["linked"], "left_anti")

@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bit_sliced import top_k
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .jaccard_join import jaccard_components
+from .licenses import TEMPLATES, WORD_CLASS, scan_licenses
 from .mixing import BLOCK_WORDS, PRIMES, Mix
+from .pieces import encode_pieces, model_path
 from .repeated_windows import remove_repeats
+from .toxicity import held_out, toxicity
 from .url_lists import host_of, first_segment, judge
 
 QUERIES: dict = {}
@@ -138,3 +142,45 @@ m AS (SELECT d.doc_id, sum(greatest(0, least(stop, block*{BLOCK_WORDS}+take) - g
 SELECT doc_id, size, source_size, target, coalesce(taken,0)::BIGINT AS taken FROM d LEFT JOIN m USING (doc_id)""")
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return Mix(table(spark, folder, "documents")).counts()
+
+
+def _license_sql() -> str:
+    low = lambda x: f"translate({x},'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+    words = lambda x: f"regexp_extract_all({low(x)}, '{WORD_CLASS}')"
+    rows = ", ".join(f"('{name}', '{text}')" for name, text in sorted(TEMPLATES.items()))
+    return f"""
+WITH t(license, text) AS (VALUES {rows}),
+tw AS (SELECT license, {words('text')} AS w FROM t),
+tb AS (SELECT DISTINCT license, w[i]||' '||w[i+1] AS g FROM tw, unnest(range(1, len(w))) AS u(i)),
+tn AS (SELECT license, count(*) AS n FROM tb GROUP BY 1),
+d AS (SELECT doc_id, coalesce(text,'') AS text FROM documents),
+p AS (SELECT doc_id, i AS line, string_split(text, chr(10))[i] AS text FROM d, unnest(range(1, len(string_split(text, chr(10)))+1)) AS u(i)
+  UNION ALL SELECT doc_id, 0, text FROM d WHERE contains(text, chr(10))),
+pw AS (SELECT doc_id, line, {words('text')} AS w FROM p),
+pb AS (SELECT DISTINCT doc_id, line, w[i]||' '||w[i+1] AS g FROM pw, unnest(range(1, len(w))) AS u(i)),
+pn AS (SELECT doc_id, line, count(*) AS n FROM pb GROUP BY 1,2),
+c AS (SELECT doc_id, line, license, count(*) AS c FROM pb JOIN tb USING (g) GROUP BY 1,2,3),
+s AS (SELECT doc_id, line, license, 2*c/(pn.n+tn.n)::DOUBLE AS dice FROM c JOIN pn USING (doc_id, line) JOIN tn USING (license) WHERE 2*c >= 0.8*(pn.n+tn.n))
+SELECT doc_id, line::INT AS line, license, dice FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) = 1"""
+
+
+@register(_license_sql())
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents"))
+
+
+@register()
+def op8_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    scores = toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+@register()
+def op9_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages"))
+
+
+@register()
+def op10_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = encode_pieces(table(spark, folder, "documents"), model_path())
+    return encoded.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", "lossless")

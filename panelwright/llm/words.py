@@ -34,7 +34,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def _hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _hash_words(texts: list[bytes], stem: int = 0) -> tuple:
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     space = _IS_SPACE[data]
     edge = np.flatnonzero(np.diff(np.r_[True, space].view(np.int8)))
@@ -45,7 +45,10 @@ def _hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words = stir((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     lengths = np.array([len(t) + 1 for t in texts])
     edges = np.searchsorted(start, np.r_[0, np.cumsum(lengths)])
-    return words, edges
+    if not stem:
+        return words, edges
+    begin = stir((total[np.minimum(start + stem, end)] - total[start]) * down[start] + np.uint64(1 << 32))
+    return words, edges, np.where(end - start > stem, begin, np.uint64(0))
 
 
 def pieces(texts: list[bytes]):
@@ -60,6 +63,20 @@ def pieces(texts: list[bytes]):
         yield low, len(texts)
 
 
+def token_hashes(texts: list[bytes], stem: int):
+    """For each text the hashes of its words, and of the words' first ``stem`` bytes where they are longer (else of nothing)."""
+    for low, high in pieces(texts):
+        words, edges, stems = _hash_words(texts[low:high], stem)
+        for i in range(high - low):
+            yield words[edges[i]:edges[i + 1]], stems[edges[i]:edges[i + 1]]
+
+
+def hash_tokens(tokens: list[bytes], stem: int) -> tuple[list, list]:
+    """Hashes of single tokens, and of each as a stem."""
+    whole = [w[0] for w, _ in token_hashes(tokens, stem)]
+    return whole, [s[0] for _, s in token_hashes([t + b"." for t in tokens], stem)]
+
+
 def word_hashes(texts: list[str]):
     """For each text, in order, the hashes of its words; A-Z count as a-z."""
     raw = [t.encode("utf-8").translate(_LOWER) for t in texts]
