@@ -190,6 +190,7 @@ def _scale(words: list, rest: float, n_clean: int) -> float:
 def _calibrated(model: Toxicity, sample: DataFrame) -> Toxicity:
     """K from the segments of the clean sample, the curve from the evidence of the whole sample; both of bounded size."""
     found = scored(sample, model, keep=("toxic",)).select("toxic", "n_tokens", F.transform("passages", lambda p: p["score"]).alias("scores")).collect()
+    found.sort(key=lambda r: (r["toxic"], r["n_tokens"], r["scores"]))  # sums must not depend on how the rows came
     if not found:
         return model
     clean = [r for r in found if not r["toxic"]]
