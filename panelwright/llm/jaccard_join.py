@@ -13,7 +13,8 @@ differs in at most one shingle.
 
 Signatures travel as 4-byte numbers to buckets of the hash range, each once for all sets that share it in a batch. A bucket
 does not list all pairs: every set is paired with the smallest of its signature, those pairs are verified exactly and joined
-into components, and only sets of one signature that are then still in different components are paired as well. So a group of
+into components, and only sets of one signature that are then still in different components are paired as well. Sizes and
+parity bitmaps, which bound the number of shingles two sets differ in from below, rule most such pairs out before they exist. So a group of
 n near copies costs about n pairs, and no link between different components is missed. Sets with equal shingles
 count as one within a batch.
 """
@@ -25,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
 from .common import id_and_text, text_bytes
@@ -38,8 +39,10 @@ BUCKET_BYTES = 8 << 20
 BATCH_DOCS = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SENT = pa.schema([("bucket", pa.int64()), ("reps", pa.binary()), ("low", pa.binary()), ("who", pa.binary()), ("crowded", pa.binary()),
-                   ("members", pa.binary()), ("pairs", pa.binary()), ("crowd", pa.binary())])
-_SENT_DDL = "bucket long, reps binary, low binary, who binary, crowded binary, members binary, pairs binary, crowd binary"
+                   ("members", pa.binary()), ("pairs", pa.binary()), ("crowd", pa.binary()), ("bitmaps", pa.binary())])
+_SENT_DDL = "bucket long, reps binary, low binary, who binary, crowded binary, members binary, pairs binary, crowd binary, bitmaps binary"
+#: Bits of a set's bitmap, in numbers of 64.
+BITMAP = 16
 _SETS = "id long, shingles array<long>"
 
 
@@ -87,6 +90,12 @@ def signatures(own: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """For each of the bits, whether an odd number of shingles falls on it: two bitmaps differ in no more bits than the sets in shingles."""
+    odd = np.bincount((stir(own + _ODD) % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
@@ -97,7 +106,7 @@ def _pack(columns, edges, b):
 
 def _send_batch(ids: list, texts: list, n: int, num: int, den: int, buckets: int):
     known: dict = {}
-    reps, kept, members = [], [], []
+    reps, kept, members, bitmaps = [], [], [], []
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
     for i, words in zip(order, word_hashes([texts[i] for i in order])):
         own = shingles(words, n)
@@ -110,6 +119,7 @@ def _send_batch(ids: list, texts: list, n: int, num: int, den: int, buckets: int
             known[key] = doc
             reps.append(doc)
             kept.append(signatures(own, num, den))
+            bitmaps.append(np.r_[np.array([doc, len(own)], "<i8"), bitmap(own)])
         members.append((doc, known[key], len(own)))
     # Signatures of this batch, each once; sets that share one here are paired here.
     who = np.repeat(np.arange(len(kept)), [len(k) for k in kept]) if kept else np.zeros(0, np.int64)
@@ -137,12 +147,12 @@ def _send_batch(ids: list, texts: list, n: int, num: int, den: int, buckets: int
     for b in range(buckets):
         a, z = edges[b], edges[b + 1]
         used, back = np.unique(who[heads[a:z]], return_inverse=True) if z > a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        own, two = spread(members, b), spread(pairs, b)
+        own, two = spread(members, b), spread(pairs, b)  # bitmaps are never more than members
         if z == a and not own and not len(two):
             continue
         rows.append((b, ids_of[used].astype("<i8").tobytes() if z > a else b"", (keys[heads[a:z]] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
                      back.astype("<u2").tobytes(), np.packbits(size[a:z] > 1).tobytes(), _members(own), two.astype("<i8").tobytes(),
-                     crowd[crowd_edges[b]:crowd_edges[b + 1]].astype("<i8").tobytes()))
+                     crowd[crowd_edges[b]:crowd_edges[b + 1]].astype("<i8").tobytes(), b"".join(x.tobytes() for x in spread(bitmaps, b))))
     columns = list(zip(*rows)) if rows else [()] * len(_SENT)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SENT)], schema=_SENT)
 
@@ -164,7 +174,8 @@ def _send(batches, n: int, num: int, den: int, buckets: int):
         yield _send_batch(ids, texts, n, num, den, buckets)
 
 
-_OUT = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+_OUT = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64()))])
+_OUT_DDL = "kind string, a long, b long, n long, bits array<long>"
 
 
 def _find(sent: pa.Table) -> pa.Table:
@@ -187,12 +198,16 @@ def _find(sent: pa.Table) -> pa.Table:
     crowd = np.stack([(np.int64(bucket) << 32) | keys[many].astype(np.int64), sets[many]], 1)
     crowd = np.concatenate([crowd, *(x.reshape(-1, 2) for x in column("crowd", "<i8"))])
     members = np.concatenate([x.reshape(-1, 4) for x in column("members", "<i8")])
-    a = np.concatenate([pairs[:, 0], crowd[:, 0], members[:, 1]])
-    b = np.concatenate([pairs[:, 1], crowd[:, 1], members[:, 2]])
-    lost = np.concatenate([np.zeros(len(pairs) + len(crowd), bool), members[:, 0] == 1])
-    kind = np.repeat(np.array(["pair", "crowd", "member"]), [len(pairs), len(crowd), len(members)])
-    size = np.concatenate([np.zeros(len(pairs) + len(crowd), np.int64), members[:, 3]])
-    return pa.table([pa.array(kind, pa.string()), pa.array(a, mask=lost), pa.array(b, mask=lost), pa.array(size)], schema=_OUT)
+    sets = np.concatenate([x.reshape(-1, 2 + BITMAP) for x in column("bitmaps", "<i8")])
+    none = np.zeros(len(pairs) + len(crowd), np.int64)
+    a = np.concatenate([pairs[:, 0], crowd[:, 0], members[:, 1], sets[:, 0]])
+    b = np.concatenate([pairs[:, 1], crowd[:, 1], members[:, 2], sets[:, 0]])
+    lost = np.concatenate([none, members[:, 0], 0 * sets[:, 0]]) == 1
+    kind = np.repeat(np.array(["pair", "crowd", "member", "set"]), [len(pairs), len(crowd), len(members), len(sets)])
+    size = np.concatenate([none, members[:, 3], sets[:, 1]])
+    offsets = np.r_[np.zeros(len(none) + len(members), np.int64), np.arange(len(sets) + 1) * BITMAP].astype(np.int32)
+    bits = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(sets[:, 2:]).reshape(-1)))
+    return pa.table([pa.array(kind, pa.string()), pa.array(a, mask=lost), pa.array(b, mask=lost), pa.array(size), bits], schema=_OUT)
 
 
 def _sets(batches, n: int):
@@ -204,6 +219,17 @@ def _sets(batches, n: int):
             yield pa.RecordBatch.from_arrays([ids[low:low + 500], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part)))], names=["id", "shingles"])
 
 
+def _possible(num: int, den: int) -> Column:
+    """Whether two sets can be similar by their sizes and bitmaps; columns of the second have a mark."""
+    apart = sum((F.bit_count(F.col(f"bits{i}").bitwiseXOR(F.col(f"bits{i}'"))) for i in range(1, BITMAP)), F.bit_count(F.col("bits0").bitwiseXOR(F.col("bits0'"))))
+    most = (F.col("size") + F.col("size'")) * (den - num)
+    return (apart * (den + num) <= most) & (F.abs(F.col("size") - F.col("size'")) * (den + num) <= most)
+
+
+def _marked(frame: DataFrame) -> DataFrame:
+    return frame.select(*[F.col(c).alias(c + "'") for c in frame.columns])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     common = F.size(F.array_intersect("left", "right"))
     near = (pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
@@ -224,21 +250,31 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rows = id_and_text(docs, id_col, text_col)
     buckets = text_bytes(rows) // BUCKET_BYTES + 1
     found = materialise(rows.mapInArrow(lambda batches: _send(batches, n, num, den, buckets), _SENT_DDL)
-                        .groupBy("bucket").applyInArrow(_find, "kind string, a long, b long, n long"))
+                        .groupBy("bucket").applyInArrow(_find, _OUT_DDL))
+    bitmaps = found.where("kind = 'set'").select(F.col("a").alias("id"), F.col("n").alias("size"), *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITMAP)])
     pairs = found.where("kind = 'pair'").select("a", "b").distinct()
     crowd = found.where("kind = 'crowd'").select(F.col("a").alias("signature"), F.col("b").alias("id"))
-    needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "needed")
-    sets = materialise(rows.join(needed, rows["doc_id"] == needed["needed"], "left_semi").mapInArrow(lambda batches: _sets(batches, n), _SETS))
-    links = materialise(_verified(pairs, sets, num, den))
+    near = pairs.join(bitmaps, pairs["a"] == bitmaps["id"]).drop("id")
+    second = _marked(bitmaps)
+    near = materialise(near.join(second, near["b"] == second["id'"]).where(_possible(num, den)).select("a", "b").distinct())
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "needed")
+        sets = rows.join(needed, rows["doc_id"] == needed["needed"], "left_semi").mapInArrow(lambda batches: _sets(batches, n), _SETS)
+        return materialise(_verified(pairs, sets, num, den))
+
+    links = linked(near)
     label = components(links)
-    # Sets of one signature that are in different components so far.
+    # Sets of one signature that are in different components so far, with what rules most of their pairs out.
     crowd = crowd.distinct().join(label, "id", "left").select("signature", "id", F.coalesce("component", "id").alias("component"))
     split = crowd.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
-    crowd = materialise(crowd.join(split, "signature", "left_semi"))
-    left, right = crowd.toDF("signature", "a", "of_a"), crowd.toDF("signature", "b", "of_b")
-    across = left.join(right, "signature").where("of_a <> of_b and a > b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialise(_verified(across, sets, num, den))
-    label = components(links.union(more)) if more.first() else label
+    crowd = crowd.join(split, "signature", "left_semi").join(bitmaps, "id")
+    right = _marked(crowd)
+    met = (crowd["signature"] == right["signature'"]) & (crowd["component"] != right["component'"]) & (crowd["id"] > right["id'"])
+    across = crowd.join(right, met & _possible(num, den)).select(F.col("id").alias("a"), F.col("id'").alias("b")).distinct()
+    across = materialise(across.join(near, ["a", "b"], "left_anti"))
+    if across.first():
+        label = components(links.union(linked(across)))
     members = found.where("kind = 'member'").select(F.col("a").alias("doc_id"), F.col("b").alias("id"), F.col("n").alias("n_shingles"))
     return members.join(label, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 

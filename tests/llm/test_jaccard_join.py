@@ -76,3 +76,12 @@ def test_any_two_similar_sets_share_a_signature():
 
 def test_an_empty_table(spark):
     assert jj.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_bitmaps_never_differ_in_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 50, 700, 5000):
+        base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        other = np.unique(np.r_[base[rng.integers(0, size // 2 + 1):], rng.integers(0, 2**63, rng.integers(0, size), dtype=np.uint64)])
+        bits = int(np.bitwise_count((jj.bitmap(base) ^ jj.bitmap(other)).view("<u8")).sum())
+        assert bits <= len(np.setxor1d(base, other))
