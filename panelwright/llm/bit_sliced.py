@@ -143,6 +143,6 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
     packed = (queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).groupBy("dim", "part")
               .applyInArrow(_pack, "dim int, part long, query_ids binary, queries binary")
               .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))))
-    found = build_index(rows, blocks).join(packed, ["dim", "block"]).mapInArrow(lambda b: _search(b, k), "query_id long, vec_id long, score long")
+    found = build_index(rows, blocks).hint("merge").join(packed.hint("merge"), ["dim", "block"]).mapInArrow(lambda b: _search(b, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -113,7 +113,8 @@ class Mix:
         doc = self.placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
         at = F.col("block") * block
         doc = doc.withColumn("low", F.greatest("start", at)).withColumn("high", F.least(F.col("end"), at + block))
-        met = doc.join(self.slots, ["src", "block"])
+        # The planner takes an exploded side for as small as its source and would broadcast it.
+        met = doc.hint("merge").join(self.slots.hint("merge"), ["src", "block"])
         high = F.least(F.col("high"), F.col("block") * block + F.col("take"))
         return (met.withColumn("high", high).where("high > low")
                 .select("shard", "slot", "pass", "src", "start", "doc_id", "source", "text_key", "size", (F.col("low") - F.col("start")).alias("from"), (F.col("high") - F.col("start")).alias("to")))

@@ -55,7 +55,8 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     valid = intervals(entries).where(F.col("since") <= F.lit(last))
     until = F.coalesce(F.least("until", F.lit(last)), F.lit(last))
     valid = valid.withColumn("period", F.explode(F.sequence(F.floor(F.col("since") / PERIOD), F.floor(until / PERIOD))))
-    hit = asked.join(valid, ["key", "period"]).where("day >= since and (until is null or day < until)")
+    # The planner takes exploded sides for as small as their source and would broadcast them.
+    hit = asked.hint("merge").join(valid.hint("merge"), ["key", "period"]).where("day >= since and (until is null or day < until)")
     best = hit.groupBy("host", "segment", "day").agg(F.max(F.struct(F.length("key").alias("length"), "key", "action", "since")).alias("best"))
     best = best.select(*[F.col(c).alias(f"{c} judged") for c in best.columns])
     joined = rows.join(best, (rows["host of url"] == best["host judged"]) & (rows["segment of path"] == best["segment judged"]) & (rows["day"] == best["day judged"]), "left")
