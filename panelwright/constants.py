@@ -24,19 +24,9 @@ SIGNAL_CANDIDATES = (
     "funding_surprise", "vol_adj_carry", "carry_mom_z", "carry_lowvol_z",
 )
 
-# Bars a factor needs before its first value.
-WARMUP_BARS = {
-    "reversal_1": 2, "momentum_7": 8, "momentum_14": 15, "momentum_30": 31,
-    "vol_adj_momentum_14": 15, "vol_adj_momentum_30": 31, "carry": 2,
-    "resid_reversal_14": 15, "resid_reversal_30": 31, "low_vol_14": 15,
-    "low_vol_30": 31, "funding_surprise": 15, "vol_adj_carry": 15,
-    "carry_mom_z": 31, "carry_lowvol_z": 31,
-}
-
 # Fixed values: (fee, slippage) levels of the cost stress, and the two used inside walk-forward.
 COST_STRESS_TIERS = ((0.0004, 0.0005), (0.0008, 0.001), (0.0012, 0.002), (0.0008, 0.002), (0.0015, 0.004))
 WALK_FORWARD_STRESS = ((0.0008, 0.001), (0.0015, 0.002))
-BASE_FEE, BASE_SLIPPAGE = 0.0004, 0.0005
 
 # Capital levels of the capacity curve.
 AUM_LEVELS = (10_000.0, 100_000.0, 1_000_000.0, 10_000_000.0)

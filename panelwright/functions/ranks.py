@@ -6,8 +6,7 @@ monotone key, each range is ordered on its own, and a prefix sum over the few ra
 local positions into exact positions in the bar. Bounds come from min and max, which do not depend
 on the order rows arrive in, so a retried task lands on the same ranges.
 
-When the caller has measured that even the largest group is small (``largest_group``), one ordered
-pass per group does the same with fewer shuffles.
+The same steps run at every size; the number of ranges follows from the distinct values of a group.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .numeric import ratio
 
 RANGE_ROWS = 100_000
-MAX_RANGES = 4096
 
 
 def _spread_key(value: Column) -> Column:
@@ -25,11 +23,6 @@ def _spread_key(value: Column) -> Column:
     return F.signum(value) * F.log1p(F.abs(value) * 1e9)
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group. One counting job: call it on a stored table."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def value_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row per distinct value of a group: copies, rows before it, and rows in the group."""
     values = (
@@ -40,7 +33,7 @@ def value_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.min("spread").alias("low"), F.max("spread").alias("high"),
         F.count(F.lit(1)).alias("distinct_values"), F.sum("copies").alias("group_rows"),
     )
-    ranges = F.least(F.lit(MAX_RANGES), F.ceil(F.col("distinct_values") / RANGE_ROWS)).cast("bigint")
+    ranges = F.ceil(F.col("distinct_values") / RANGE_ROWS).cast("bigint")
     cut = values.join(span, keys).withColumn(
         "value_range",
         F.when((F.col("low") < F.col("high")) & (ranges > 1),
@@ -59,14 +52,8 @@ def value_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, size: str | None = None, largest: int | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, size: str | None = None) -> DataFrame:
     """Add the 1-based rank with ties averaged, NULL for a NULL value, and the non-null count."""
-    if largest is not None and largest <= RANGE_ROWS:
-        order = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
-        peers = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
-        known = F.col(value).isNotNull()
-        out = df.withColumn(name, F.when(known, F.rank().over(order) + (peers - 1) / 2))
-        return out.withColumn(size, F.when(known, F.count(value).over(Window.partitionBy(*keys)))) if size else out
     ranked = value_positions(df, keys, value).select(
         *keys, value,
         (F.col("rows_before") + (F.col("copies") + 1) / 2).alias(name),
@@ -84,11 +71,8 @@ def percentile_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> D
     )
 
 
-def quantile_edges(df: DataFrame, keys: list[str], value: str, quantiles: int, name: str = "edges", largest: int | None = None) -> DataFrame:
+def quantile_edges(df: DataFrame, keys: list[str], value: str, quantiles: int, name: str = "edges") -> DataFrame:
     """Linear-interpolation quantiles 0, 1/q, .., 1 of every group, without duplicates, ascending."""
-    if largest is not None and largest <= RANGE_ROWS:
-        shares = F.array(*[F.lit(i / quantiles) for i in range(quantiles + 1)])
-        return df.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile(value, shares))).alias(name))
     first, last = F.col("rows_before"), F.col("rows_before") + F.col("copies")
     picks = []
     for i in range(quantiles + 1):

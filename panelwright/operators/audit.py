@@ -16,8 +16,14 @@ def days(n: float) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(n) * DAY))
 
 
-def _effective_by_canonical(migrations: DataFrame, name: str = "effective") -> DataFrame:
-    return migrations.where("effective is not null").select(F.col("canonical").alias("base"), F.col("effective").alias(name))
+def _effective_by_canonical(migrations: DataFrame) -> DataFrame:
+    """(base, instants): one row per asset, however many tickers moved into it."""
+    return migrations.where("effective is not null").groupBy(F.col("canonical").alias("base")).agg(F.collect_set("effective").alias("instants"))
+
+
+def _any_instant(test) -> Column:
+    """Whether one of an asset's migrations passes; false where it has none."""
+    return F.coalesce(F.exists("instants", test), F.lit(False))
 
 
 # --- calendar gaps ---------------------------------------------------------------------------
@@ -52,11 +58,11 @@ def gap_blocks(df: DataFrame, migrations: DataFrame, step_seconds: int = DAY, ad
     dated = blocks.select(
         "asset", at("low").alias("gap_start"), at("high").alias("gap_end"),
         (F.col("high") - F.col("low") + 1).alias("gap_steps"))
-    near = (F.col("effective") >= F.col("gap_start") - days(adjacency_days)) & (F.col("effective") <= F.col("gap_end") + days(adjacency_days))
+    near = _any_instant(lambda at: (at >= F.col("gap_start") - days(adjacency_days)) & (at <= F.col("gap_end") + days(adjacency_days)))
     return (
         dated.withColumn("base", base_token(F.col("asset"))).join(_effective_by_canonical(migrations), "base", "left")
         .withColumn("reason", F.when(near, "migration_halt").otherwise("unexplained_interior"))
-        .drop("base", "effective")
+        .drop("base", "instants")
     )
 
 
@@ -70,7 +76,7 @@ def gap_summary(df: DataFrame, blocks: DataFrame, migrations: DataFrame, window_
     """Per asset: rows, span, missing points, and how many lie near a migration."""
     missing = calendar_gaps(blocks, step_seconds).withColumn("base", base_token(F.col("asset"))).join(
         _effective_by_canonical(migrations), "base", "left")
-    near = F.coalesce(F.abs(F.unix_micros("timestamp") - F.unix_micros("effective")) <= window_days * DAY * 1_000_000, F.lit(False))
+    near = _any_instant(lambda at: F.abs(F.unix_micros("timestamp") - F.unix_micros(at)) <= window_days * DAY * 1_000_000)
     counted = missing.groupBy("asset").agg(F.count(F.lit(1)).alias("missing"), F.count_if(near).alias("near_migration"))
     span = df.groupBy("asset").agg(
         F.count_distinct("timestamp").alias("bars"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
@@ -95,7 +101,7 @@ def funding_gaps(df: DataFrame, migrations: DataFrame) -> DataFrame:
     traded = F.coalesce(F.coalesce(*volumes) > 0, F.lit(False)) if volumes else F.lit(True)
     priced = F.coalesce(F.col("price") > 0, F.lit(False))
     ts = F.col("timestamp")
-    near = F.abs(F.unix_micros("timestamp") - F.unix_micros("effective")) <= MIGRATION_WINDOW_DAYS * DAY * 1_000_000
+    near = _any_instant(lambda at: F.abs(F.unix_micros("timestamp") - F.unix_micros(at)) <= MIGRATION_WINDOW_DAYS * DAY * 1_000_000)
     by_price = F.when(priced, "active").otherwise("delisted")
     reason = (
         F.when(ts.isNull(), by_price).when(near, "migration").when(~F.col("any_print"), by_price)
@@ -153,13 +159,13 @@ def cutover_split(prints: DataFrame, migrations: DataFrame) -> DataFrame:
     new-ticker rows only from it on. ``kept`` marks the rows that stay."""
     rows = with_canonical(prints, migrations, "source", "asset")
     feeds = rows.groupBy("asset").agg((F.min("source") != F.max("source")).alias("several"))
-    old = migrations.where("effective is not null").select(
-        F.col("source").alias("old_base"), F.col("canonical").alias("base"), F.date_trunc("day", "effective").alias("cut"))
+    # One row per asset: the days its old tickers move, and the last of them, from which on the new ticker counts.
+    old = migrations.where("effective is not null").select("source", F.col("canonical").alias("base"), F.date_trunc("day", "effective").alias("cut"))
+    old = old.groupBy("base").agg(F.map_from_entries(F.collect_set(F.struct("source", "cut"))).alias("cuts"), F.max("cut").alias("last_cut"))
     dated = rows.withColumns({"base": base_token(F.col("asset")), "source_base": base_token(F.col("source"))}).join(feeds, "asset").join(old, "base", "left")
-    legacy = F.col("source_base") == F.col("old_base")
-    early = F.date_trunc("day", "timestamp") < F.col("cut")
-    kept = ~F.col("several") | F.col("cut").isNull() | (legacy & early) | (~legacy & ~early)
-    return dated.withColumn("kept", kept).drop("base", "source_base", "old_base", "cut", "several")
+    own, day = F.try_element_at("cuts", F.col("source_base")), F.date_trunc("day", "timestamp")
+    kept = ~F.col("several") | F.col("last_cut").isNull() | F.when(own.isNotNull(), day < own).otherwise(day >= F.col("last_cut"))
+    return dated.withColumn("kept", kept).drop("base", "source_base", "cuts", "last_cut", "several")
 
 
 def funding_coverage(df: DataFrame) -> DataFrame:
@@ -230,13 +236,6 @@ def manifest_segments(manifest: DataFrame, migrations: DataFrame) -> DataFrame:
         F.concat(F.lit("listing_manifest:"), F.coalesce("source", F.lit("unknown"))).alias("source"))
 
 
-def require_listing_dates(segments: DataFrame) -> DataFrame:
-    bad = segments.where("listed_at is null").limit(5).collect()
-    if bad:
-        raise ValueError(f"segments without a listing date: {[r['symbol'] for r in bad]}")
-    return segments
-
-
 def active_assets(segments: DataFrame, instants: DataFrame) -> DataFrame:
     """Assets tradable at each instant: listed at or before it, not yet delisted."""
     live = (F.col("listed_at") <= F.col("instant")) & (F.col("delisted_at").isNull() | (F.col("instant") < F.col("delisted_at")))

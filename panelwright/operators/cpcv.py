@@ -99,10 +99,6 @@ def cpcv_summary(paths: DataFrame, key: str | None = None) -> DataFrame:
         F.coalesce((F.min("dd_train") < -1) | (F.min("dd_oos") < -1), F.lit(False)).alias("ruin_flag"))
 
 
-def sharpe_by_regime(paths: DataFrame) -> DataFrame:
-    return paths.groupBy("regime").agg(F.avg("sharpe_oos").alias("sharpe_mean"), F.count(F.lit(1)).alias("folds"))
-
-
 def gap_jump_audit(returns: DataFrame) -> DataFrame:
     """Drawdown of each run with and without the bars that jump over a hole in its slice."""
     w = Window.partitionBy("run_id").orderBy("idx")

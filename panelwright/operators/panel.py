@@ -133,10 +133,16 @@ def repair_panel(df: DataFrame, cutovers: DataFrame, stale: bool = True) -> tupl
 
 
 def legacy_factor(df: DataFrame, migrations: DataFrame) -> DataFrame:
-    """Rows under a canonical ticker dated before the migration's calendar day, with its factor."""
-    dim = migrations.where("factor is not null and effective is not null").select(
-        F.col("canonical").alias("base"), "factor", F.date_trunc("day", "effective").alias("cutoff"))
-    return df.withColumn("base", base_token(F.col("asset"))).join(dim, "base", "left").drop("base")
+    """Rows under a canonical ticker with the calendar day and factor of the migration that lies next ahead of them.
+
+    An asset that took in several tickers has one row of migrations, so no row of the panel is doubled.
+    """
+    dim = migrations.where("factor is not null and effective is not null").select(F.col("canonical").alias("base"), F.struct(F.date_trunc("day", "effective").alias("cutoff"), "factor").alias("move"))
+    dim = dim.groupBy("base").agg(F.array_sort(F.collect_set("move")).alias("moves"))
+    day = F.date_trunc("day", "timestamp")
+    ahead = F.coalesce(F.try_element_at(F.filter("moves", lambda m: day < m["cutoff"]), F.lit(1)), F.try_element_at("moves", F.lit(-1)))
+    rows = df.withColumn("base", base_token(F.col("asset"))).join(dim, "base", "left").withColumn("move", ahead)
+    return rows.withColumns({"factor": F.col("move.factor"), "cutoff": F.col("move.cutoff")}).drop("base", "moves", "move")
 
 
 def repair_klines(df: DataFrame, migrations: DataFrame) -> DataFrame:
@@ -159,16 +165,16 @@ def migration_seams(df: DataFrame, migrations: DataFrame) -> DataFrame:
     legacy = F.date_trunc("day", "timestamp") < F.col("cutoff")
     stamp_old, stamp_new = F.when(legacy, F.col("timestamp")), F.when(~legacy, F.col("timestamp"))
     return (
-        df.withColumn("base", base_token(F.col("asset"))).join(dim, "base").groupBy("asset")
+        df.withColumn("base", base_token(F.col("asset"))).join(dim.distinct(), "base").groupBy("asset", "cutoff")
         .agg(F.max(stamp_old).alias("last_legacy"), F.min(stamp_new).alias("first_new"),
              F.max_by("price", stamp_old).alias("old_price"), F.min_by("price", stamp_new).alias("new_price"))
         .where("last_legacy is not null and first_new is not null")
-        .withColumn("seam_return", ratio("new_price", "old_price") - 1)
+        .withColumn("seam_return", ratio("new_price", "old_price") - 1).drop("cutoff")
     )
 
 
 def without_broken_seams(df: DataFrame, seams: DataFrame, tolerance: float = 0.20) -> DataFrame:
-    return df.join(seams.where(F.abs("seam_return") > tolerance).select("asset"), "asset", "left_anti")
+    return df.join(seams.where(F.abs("seam_return") > tolerance).select("asset").distinct(), "asset", "left_anti")
 
 
 def asset_coverage(df: DataFrame, suspect_days: float = 7.0) -> DataFrame:

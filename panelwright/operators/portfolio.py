@@ -415,14 +415,19 @@ class Backtest:
     """The tables of a grid of runs over prepared series.
 
     ``books`` holds (book_id, *keys, n_long, n_short, rebalance_every, min_gap), ``runs`` holds
-    (run_id, book_id) and the run settings. ``keys`` name a series, at least one column; ``deepest``
-    bounds n_long + n_short. Tables that several steps read are written once: the series (read by
+    (run_id, book_id) and the run settings. ``keys`` name a series, at least one column. How deep a
+    bar is ranked follows from the books: the largest n_long + n_short. Tables that several steps read are written once: the series (read by
     the ranking and by the pricing of moves), the ranked legs (a few rows per bar and book) and the
     per-bar sums (one row per bar and book).
     """
 
-    def __init__(self, series: DataFrame, books: DataFrame, runs: DataFrame, keys, deepest: int = 8):
-        self.source, self.books, self.runs, self.keys, self.deepest = series, books, runs, tuple(keys), deepest
+    def __init__(self, series: DataFrame, books: DataFrame, runs: DataFrame, keys, deepest: int | None = None):
+        self.source, self.books, self.runs, self.keys, self._deepest = series, books, runs, tuple(keys), deepest
+
+    @cached_property
+    def deepest(self) -> int:
+        """Given by the caller, or read from the books, a small table."""
+        return self._deepest or self.books.agg(F.max(F.col("n_long") + F.col("n_short"))).first()[0] or 1
 
     @cached_property
     def series(self) -> DataFrame:

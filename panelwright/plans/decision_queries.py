@@ -126,9 +126,10 @@ def result_row(spark, folder):
     return D.result_rows(rows).select("strategy_id", "status", "decision", "review_required", "deployable", F.col("metrics.sharpe").alias("sharpe"), "state")
 
 
-@register("run_fingerprint", """WITH h AS (SELECT p_brand AS strategy_id, count(*) AS n, bit_xor(('0x'||substr(sha256(l_orderkey||'|'||l_linenumber||'|'||l_quantity::INT),1,15))::BIGINT) AS x
-  FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1),
-i AS (SELECT strategy_id, sha256(n||':'||x) AS input_sha256, sha256('{"n_sides":3,"signal":"momentum_7"}') AS config_sha256 FROM h)
+@register("run_fingerprint", """WITH k AS (SELECT *, sha256(l_orderkey||'|'||l_linenumber||'|'||l_quantity::INT) AS k FROM lineitem),
+h AS (SELECT p_brand AS strategy_id, count(*) AS n, sum(('0x'||substr(k,1,15))::BIGINT::HUGEINT) AS x, sum(('0x'||substr(k,16,15))::BIGINT::HUGEINT) AS y
+  FROM k JOIN part ON l_partkey=p_partkey GROUP BY 1),
+i AS (SELECT strategy_id, sha256(n||':'||x||':'||y) AS input_sha256, sha256('{"n_sides":3,"signal":"momentum_7"}') AS config_sha256 FROM h)
 SELECT strategy_id, input_sha256, config_sha256, sha256(input_sha256||'|'||config_sha256||'|'||strategy_id) AS run_id FROM i""")
 def fingerprint(spark, folder):
     lines = table(spark, folder, "lineitem").join(table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("strategy_id")), "l_partkey")

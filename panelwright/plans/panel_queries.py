@@ -14,9 +14,9 @@ from .registry import (CANON, COLLAPSED, FEED, MARKET, MIGRATION_DIM, BRAND_WEEK
 
 @register("scan_panel", with_(BRAND_WEEK) + f"""
 SELECT {q_day('ts')} AS bar, asset, {q_round('price', 8)} AS price, volume, {q_round('quote_volume', 2)} AS quote_volume,
-       {q_round('funding_rate', 10)} AS funding_rate FROM panel WHERE ts >= TIMESTAMP '1998-01-01'""")
+       {q_round('funding_rate', 10)} AS funding_rate FROM panel""")
 def scan_panel(spark, folder):
-    return P.ingest(brand_panel(spark, folder, since="1998-01-05")).select(day(), "asset", rounded("price", 8), "volume", rounded("quote_volume", 2), rounded("funding_rate", 10))
+    return P.ingest(brand_panel(spark, folder)).select(day(), "asset", rounded("price", 8), "volume", rounded("quote_volume", 2), rounded("funding_rate", 10))
 
 
 @register("canonical_asset", with_(MARKET, FEED, CANON) + """

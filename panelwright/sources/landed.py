@@ -9,17 +9,12 @@ KLINE_COLUMNS = ("open_time", "open", "high", "low", "close", "volume", "close_t
 FUNDING_TIME_NAMES = ("calctime", "fundingtime", "fundingtimestamp")
 FUNDING_RATE_NAMES = ("lastfundingrate", "fundingrate", "funding")
 MICROSECOND_EPOCH = 10**14
+#: Columns of a funding file, at most.
+FUNDING_WIDTH = 16
 
-PANEL_SCHEMA = "timestamp timestamp, asset string, price double, open double, high double, low double, volume double, quote_volume double, funding_rate double, signal double"
 LIFECYCLE_COLUMNS = ("canonical", "symbol", "listed_at", "delisted_at", "event", "source")
 
 
-def read_panel(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = PANEL_SCHEMA) -> DataFrame:
-    """A stored panel; CSV columns are matched by their header."""
-    reader = spark.read.schema(schema)
-    return reader.option("header", True).option("enforceSchema", False).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
-
-
 def _symbol_from_path() -> Column:
     """Symbol of a file named <SYMBOL>-<interval>-<date>.<ext>."""
     return F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+?)-[^/]*$", 1))
@@ -38,21 +33,37 @@ def read_klines(spark: SparkSession, path: str) -> DataFrame:
         double("close").alias("price"), double("volume").alias("volume"), double("quote_volume").alias("quote_volume"))
 
 
-def normalise_funding(raw: DataFrame) -> DataFrame:
-    """Funding prints from a table whose time and rate columns go by one of several names."""
-    by_name = {c.strip().lower().replace("_", ""): c for c in raw.columns}
-    time = next((by_name[n] for n in FUNDING_TIME_NAMES if n in by_name), None)
-    rate = next((by_name[n] for n in FUNDING_RATE_NAMES if n in by_name), None)
-    if time is None or rate is None:
-        raise ValueError(f"no funding time or rate among {raw.columns}")
-    return raw.select(F.timestamp_millis(F.col(f"`{time}`").cast("bigint")).alias("timestamp"), *[c for c in ("asset", "source") if c in raw.columns],
-                      F.col(f"`{rate}`").cast("double").alias("funding_rate"))
+def _plain(name: Column) -> Column:
+    return F.replace(F.lower(F.trim(name)), F.lit("_"), F.lit(""))
+
+
+def _first_of(names, values: Column, labels: Column) -> Column:
+    """The value under the first of several names that a header has."""
+    at = lambda n: F.greatest(F.array_position(labels, F.lit(n)).cast("int"), F.lit(1))
+    return F.coalesce(*[F.when(F.array_contains(labels, n), F.element_at(values, at(n))) for n in names])
 
 
 def read_funding(spark: SparkSession, path: str) -> DataFrame:
-    """Funding files with a header, by the symbol in the file name."""
-    raw = spark.read.option("header", True).csv(path).withColumn("source", _symbol_from_path())
-    return normalise_funding(raw)
+    """Funding files by the symbol in the file name; every file is read under its own header line.
+
+    Files of one folder may order and name their columns differently. A file whose header has no known time or rate
+    refuses the folder.
+    """
+    columns = [f"c{i}" for i in range(FUNDING_WIDTH)]
+    raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).csv(path)
+    lines = raw.select(F.input_file_name().alias("file"), _symbol_from_path().alias("source"), F.array(*columns).alias("cells"))
+    labels = F.transform("cells", lambda c: F.coalesce(_plain(c), F.lit("")))
+    is_header = F.arrays_overlap(labels, F.array(*[F.lit(n) for n in (*FUNDING_TIME_NAMES, *FUNDING_RATE_NAMES)]))
+    headers = lines.where(is_header).groupBy("file").agg(F.first(labels).alias("labels"))
+    known = lambda names: F.exists("labels", lambda c: c.isin(*names))
+    good = headers.where(known(FUNDING_TIME_NAMES) & known(FUNDING_RATE_NAMES))
+    bad = lines.select("file").distinct().join(good, "file", "left_anti").limit(5).collect()
+    if bad:
+        raise ValueError(f"no funding time or rate in the header of {[r['file'] for r in bad]}")
+    rows = lines.where(~is_header).join(good, "file")
+    cells, names = F.col("cells"), F.col("labels")
+    return rows.select(F.timestamp_millis(_first_of(FUNDING_TIME_NAMES, cells, names).cast("bigint")).alias("timestamp"), "source",
+                       _first_of(FUNDING_RATE_NAMES, cells, names).cast("double").alias("funding_rate"))
 
 
 def read_book_tickers(spark: SparkSession, path: str) -> DataFrame:

@@ -35,11 +35,14 @@ def write_rejected(df: DataFrame, bad, path: str, dataset: str) -> DataFrame:
 
 
 def run_fingerprint(rows: DataFrame, key: str, text: str, config: dict) -> DataFrame:
-    """Identity of a run: hash of its input rows in any order, of its settings, and of both with its name."""
-    part = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
+    """Identity of a run: hash of its input rows in any order, of its settings, and of both with its name.
+
+    Rows are summed as two 60-bit numbers each, so repeated rows count as often as they occur.
+    """
+    first, second = (F.conv(F.substring(F.sha2(text, 256), at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16))
     settings = json.dumps(config, sort_keys=True, separators=(",", ":"))
     return (
-        rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(part).alias("x"))
-        .select(key, F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("x").cast("string")), 256).alias("input_sha256"), F.sha2(F.lit(settings), 256).alias("config_sha256"))
+        rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(first).alias("x"), F.sum(second).alias("y"))
+        .select(key, F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("x").cast("string"), F.col("y").cast("string")), 256).alias("input_sha256"), F.sha2(F.lit(settings), 256).alias("config_sha256"))
         .withColumn("run_id", F.sha2(F.concat_ws("|", "input_sha256", "config_sha256", key), 256))
     )

@@ -68,11 +68,29 @@ def test_funding_gap_reasons(frame, spark):
     assert names(Q.split_funding_gaps(gaps).where("not expected"), "asset") == [("C",)]
 
 
-def test_funding_frequency_sums_hourly_prints(frame):
-    rows = [(f"2026-01-01 {h:02d}:00:00", "X", -0.004) for h in range(24)] + [(f"2026-01-01 {h:02d}:00:00", "Y", 0.0001) for h in (0, 8, 16)]
+def test_funding_frequency_sums_the_prints_of_a_day(frame):
+    rows = [(f"2025-05-{d:02d} {h:02d}:00:00", "P", 0.002 if d == 7 else -0.001) for d in (6, 7, 8) for h in range(0, 24, 4)]
+    rows += [("2025-05-06 00:00:00", "Q", -0.03), ("2025-05-07 00:00:00", "Q", 0.03), ("2025-05-07 12:00:00", "Q", None)]
     report = {r["asset"]: r for r in Q.funding_frequency(frame(rows, ("timestamp", "asset", "funding_rate"))).collect()}
-    assert report["X"]["max_settlements_per_day"] == 24 and report["Y"]["max_settlements_per_day"] == 3
-    assert report["X"]["max_abs_daily_rate"] == pytest.approx(-0.096) and str(report["X"]["max_abs_daily_rate_date"]) == "2026-01-01 00:00:00"
+    assert report["P"]["max_settlements_per_day"] == 6 and report["Q"]["max_settlements_per_day"] == 2
+    assert report["P"]["max_abs_daily_rate"] == pytest.approx(0.012) and str(report["P"]["max_abs_daily_rate_date"])[:10] == "2025-05-07"
+    assert report["Q"]["max_abs_daily_rate"] == pytest.approx(-0.03) and str(report["Q"]["max_abs_daily_rate_date"])[:10] == "2025-05-06"
+
+
+def test_two_tickers_that_move_into_one_asset_double_no_row(frame, spark):
+    moves = spark.createDataFrame([("OLDA", "G", 10.0, "2024-03-05"), ("OLDB", "G", 2.0, "2024-03-09")], "source string, canonical string, factor double, effective string")
+    moves = moves.withColumn("effective", F.to_timestamp("effective"))
+    rows = [(f"2024-03-{d:02d}", "GUSDT", 100.0, 1.0, None) for d in (1, 2, 6, 7, 12)]
+    df = frame(rows, ("timestamp", "asset", "price", "volume", "funding_rate"))
+    assert [r["price"] for r in P.repair_klines(df, moves).orderBy("timestamp").collect()] == [10.0, 10.0, 50.0, 50.0, 100.0]
+    assert Q.funding_gaps(df, moves).count() == 5
+    blocks = Q.gap_blocks(df, moves, adjacency_days=1)
+    assert names(blocks, "asset", "gap_steps", "reason") == [("GUSDT", 3, "migration_halt"), ("GUSDT", 4, "migration_halt")]
+    assert [(r["asset"], r["missing"]) for r in Q.gap_summary(df, blocks, moves).collect()] == [("GUSDT", 7)]
+    assert sorted(str(r["first_new"])[:10] for r in P.migration_seams(df, moves).collect()) == ["2024-03-06", "2024-03-12"]
+    prints = frame([(d, s, 0.01) for d in ("2024-03-04", "2024-03-07", "2024-03-10") for s in ("OLDAUSDT", "OLDBUSDT", "GUSDT")], ("timestamp", "source", "funding_rate"))
+    kept = [(str(r["timestamp"])[8:10], r["source"]) for r in Q.cutover_split(prints, moves).where("kept").orderBy("timestamp", "source").collect()]
+    assert kept == [("04", "OLDAUSDT"), ("04", "OLDBUSDT"), ("07", "OLDBUSDT"), ("10", "GUSDT")]
 
 
 def test_gap_blocks_near_a_migration_and_elsewhere(frame, spark):
@@ -84,18 +102,17 @@ def test_gap_blocks_near_a_migration_and_elsewhere(frame, spark):
 
 
 def test_lifecycle_segments_and_membership(frame, spark):
-    rows = [("2024-07-10", "GALUSDT", 5.0), ("2024-07-11", "GALUSDT", 5.1), ("2024-07-12", "GALUSDT", 5.0), ("2024-07-20", "GUSDT", 0.08), ("2024-07-21", "GUSDT", 0.09),
-            ("2024-07-22", "GUSDT", 0.08), ("2024-07-10", "BTCUSDT", 60000.0), ("2024-07-22", "BTCUSDT", 65000.0)]
+    rows = [(f"2025-09-{d}", "OMNIUSDT", 3.0) for d in (26, 28)] + [(f"2025-10-0{d}", "NOMUSDT", 0.04) for d in (3, 6, 8)] + [(d, "ETHUSDT", 4000.0) for d in ("2025-09-26", "2025-10-08")]
     data, dim = frame(rows, ("timestamp", "source_asset", "price")), migration_table(spark)
     life = Q.lifecycle(data, dim)
     by_symbol = {r["symbol"]: r for r in life.collect()}
-    assert by_symbol["GALUSDT"]["event"] == "migration_source" and str(by_symbol["GALUSDT"]["delisted_at"]) == "2024-07-19 08:00:00"
-    assert by_symbol["GUSDT"]["event"] == "migration_target" and str(by_symbol["GUSDT"]["listed_at"]) == "2024-07-19 08:00:00"
-    assert by_symbol["BTCUSDT"]["event"] == "active" and by_symbol["BTCUSDT"]["delisted_at"] is None
-    when = spark.createDataFrame([("2024-07-11",), ("2024-07-21",)], "instant string").withColumn("instant", F.to_timestamp("instant"))
-    assert [r[1] for r in names(Q.active_assets(life, when), "instant", "canonical")] == ["BTCUSDT", "GUSDT"] * 2
-    early = frame([("2024-07-11", "GUSDT", 0.08), ("2024-07-20", "GUSDT", 0.09), ("2024-07-20", "XUSDT", 1)], ("timestamp", "source_asset", "price")).withColumn("asset", F.col("source_asset"))
-    assert names(Q.universe_audit(early, life.where("symbol = 'GUSDT'"), dim), "asset", "reason") == [("GUSDT", "trading_before_listing"), ("XUSDT", "no_lifecycle_segment")]
+    assert by_symbol["OMNIUSDT"]["event"] == "migration_source" and str(by_symbol["OMNIUSDT"]["delisted_at"]) == "2025-10-01 08:00:00"
+    assert by_symbol["NOMUSDT"]["event"] == "migration_target" and str(by_symbol["NOMUSDT"]["listed_at"]) == "2025-10-01 08:00:00"
+    assert by_symbol["ETHUSDT"]["event"] == "active" and by_symbol["ETHUSDT"]["delisted_at"] is None
+    when = spark.createDataFrame([("2025-09-27",), ("2025-10-05",)], "instant string").withColumn("instant", F.to_timestamp("instant"))
+    assert [r[1] for r in names(Q.active_assets(life, when), "instant", "canonical")] == ["ETHUSDT", "NOMUSDT"] * 2
+    early = frame([("2025-09-20", "NOMUSDT", 0.04), ("2025-10-04", "NOMUSDT", 0.04), ("2025-10-04", "ZUSDT", 1)], ("timestamp", "source_asset", "price")).withColumn("asset", F.col("source_asset"))
+    assert names(Q.universe_audit(early, life.where("symbol = 'NOMUSDT'"), dim), "asset", "reason") == [("NOMUSDT", "trading_before_listing"), ("ZUSDT", "no_lifecycle_segment")]
 
 
 def test_survivorship_counts_the_missing_dead(frame, spark):

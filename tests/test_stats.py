@@ -30,13 +30,12 @@ def test_ranks_and_quantiles_do_not_depend_on_how_a_group_is_cut(spark, monkeypa
     rows, df = values(spark)
     pdf = pd.DataFrame(rows, columns=["g", "id", "v"])
     want = dict(zip(pdf["id"], pdf.groupby("g")["v"].rank(pct=True)))
-    for largest in (None, R.largest_group(df, ["g"])):
-        ranked = R.average_ranks(df, ["g"], "v", "k", "n", largest=largest)
-        for r in ranked.collect():
-            assert (r["k"] is None and math.isnan(want[r["id"]])) or r["k"] / r["n"] == pytest.approx(want[r["id"]])
-        edges = {r["g"]: r["edges"] for r in R.quantile_edges(df, ["g"], "v", 5, largest=largest).collect()}
-        for g, part in pdf.dropna().groupby("g"):
-            assert edges[g] == pytest.approx(sorted(set(np.quantile(part["v"], [0, .2, .4, .6, .8, 1]))))
+    ranked = R.average_ranks(df, ["g"], "v", "k", "n")
+    for r in ranked.collect():
+        assert (r["k"] is None and math.isnan(want[r["id"]])) or r["k"] / r["n"] == pytest.approx(want[r["id"]])
+    edges = {r["g"]: r["edges"] for r in R.quantile_edges(df, ["g"], "v", 5).collect()}
+    for g, part in pdf.dropna().groupby("g"):
+        assert edges[g] == pytest.approx(sorted(set(np.quantile(part["v"], [0, .2, .4, .6, .8, 1]))))
 
 
 def test_research_statistics_match_a_direct_computation(spark):
@@ -154,10 +153,14 @@ def test_landed_files_round_trip(spark, tmp_path):
     assert rows["XUSDT"]["price"] == 1.5 and rows["XUSDT"]["quote_volume"] == 15
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "XUSDT-fundingRate-2024-01.csv").write_text("calc_time,interval,last_funding_rate\n1704067200000,8,0.0001\n")
-    print_row = landed.read_funding(spark, str(tmp_path / "f")).first()
-    assert (print_row["source"], print_row["funding_rate"]) == ("XUSDT", 0.0001)
+    (tmp_path / "f" / "YUSDT-fundingRate-2024-02.csv").write_text("symbol,fundingRate,fundingTime,mark\nYUSDT,-0.0002,1704067200000,5\n")
+    prints = {r["source"]: (str(r["timestamp"]), r["funding_rate"]) for r in landed.read_funding(spark, str(tmp_path / "f")).collect()}
+    assert prints == {"XUSDT": ("2024-01-01 00:00:00", 0.0001), "YUSDT": ("2024-01-01 00:00:00", -0.0002)}
+    (tmp_path / "f" / "ZUSDT-fundingRate-2024-02.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError, match="funding"):
-        landed.normalise_funding(spark.createDataFrame([(1, 2)], "a int, b int"))
+        landed.read_funding(spark, str(tmp_path / "f"))
+    twins = [reports.run_fingerprint(spark.createDataFrame([("k", t), ("k", t)], "k string, t string"), "k", "t", {}).first()["run_id"] for t in ("a", "b")]
+    assert twins[0] != twins[1]
     segments = spark.createDataFrame([("AUSDT", "AUSDT", "2024-01-01", None, "active", "official")], "canonical string, symbol string, listed_at string, delisted_at string, event string, source string")
     back = landed.read_manifest(spark, landed.write_manifest(segments, str(tmp_path / "m"))).first()
     assert str(back["listed_at"]) == "2024-01-01 00:00:00" and back["delisted_at"] is None
