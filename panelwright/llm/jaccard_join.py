@@ -12,8 +12,9 @@ pigeonhole: a set with more than H filled segments agrees with a similar one in
 differs in at most one shingle.
 
 Signatures travel as 4-byte numbers to buckets of the hash range, each once for all sets that share it in a batch. A bucket
-does not list all pairs: every set is paired with the smallest of its signature, those pairs are verified exactly and joined
-into components, and only sets of one signature that are then still in different components are paired as well. Sizes and
+does not list all pairs: every set is paired with the smallest of its signature, and where that leaves different components
+with the largest; those pairs are verified exactly and joined into components, and only sets of one signature that are then
+still in different components are paired as well. Sizes and
 parity bitmaps, which bound the number of shingles two sets differ in from below, rule most such pairs out before they exist. So a group of
 n near copies costs about n pairs, and no link between different components is missed. Sets with equal shingles
 count as one within a batch.
@@ -259,20 +260,31 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     near = materialise(near.join(second, near["b"] == second["id'"]).where(_possible(num, den)).select("a", "b").distinct())
 
     def linked(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "needed")
+        needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "needed").hint("merge")
         sets = rows.join(needed, rows["doc_id"] == needed["needed"], "left_semi").mapInArrow(lambda batches: _sets(batches, n), _SETS)
         return materialise(_verified(pairs, sets, num, den))
 
+    def split(label: DataFrame) -> DataFrame:
+        """Sets of signatures whose sets are in different components so far, with what rules most of their pairs out."""
+        held = crowd.join(label, "id", "left").select("signature", "id", F.coalesce("component", "id").alias("component"))
+        open_ones = held.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("id").alias("last")).where("low < high").select("signature", "last")
+        return held.join(open_ones, "signature").join(bitmaps, "id")
+
+    crowd = materialise(crowd.distinct())
     links = linked(near)
     label = components(links)
-    # Sets of one signature that are in different components so far, with what rules most of their pairs out.
-    crowd = crowd.distinct().join(label, "id", "left").select("signature", "id", F.coalesce("component", "id").alias("component"))
-    split = crowd.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
-    crowd = crowd.join(split, "signature", "left_semi").join(bitmaps, "id")
-    right = _marked(crowd)
-    met = (crowd["signature"] == right["signature'"]) & (crowd["component"] != right["component'"]) & (crowd["id"] > right["id'"])
-    across = crowd.join(right, met & _possible(num, den)).select(F.col("id").alias("a"), F.col("id'").alias("b")).distinct()
-    across = materialise(across.join(near, ["a", "b"], "left_anti"))
+    # A second centre, the largest set of a signature, joins most of what the smallest did not, still one pair per set.
+    second_pairs = split(label).where("id <> last").select(F.col("id").alias("a"), F.col("last").alias("b"), *bitmaps.columns[1:]).join(_marked(bitmaps), F.col("b") == F.col("id'"))
+    second_pairs = materialise(second_pairs.where(_possible(num, den)).select("a", "b").distinct().join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    if second_pairs.first():
+        links = links.union(linked(second_pairs))
+        label = components(links)
+    left = split(label)
+    right = _marked(left)
+    met = (left["signature"] == right["signature'"]) & (left["component"] != right["component'"]) & (left["id"] > right["id'"])
+    across = left.join(right, met & _possible(num, den)).select(F.col("id").alias("a"), F.col("id'").alias("b")).distinct()
+    across = across.join(near, ["a", "b"], "left_anti").join(second_pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    across = materialise(across)
     if across.first():
         label = components(links.union(linked(across)))
     members = found.where("kind = 'member'").select(F.col("a").alias("doc_id"), F.col("b").alias("id"), F.col("n").alias("n_shingles"))

@@ -23,9 +23,9 @@ from .words import stir
 
 #: Characters up to which a unit is merged in arrays, and units that a task remembers.
 LONG_UNIT = 48
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Characters of text that are encoded at a time.
-PART = 1 << 21
+PART = 1 << 20
 _UNIT = re.compile("▁*[^▁]+|▁+")
 #: Stands for a literal U+2581, which must not come back as a space: no text holds a lone surrogate.
 _LITERAL = "\udfff"

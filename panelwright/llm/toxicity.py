@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("labelled"), "labelled")
     label = label.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
     rows = id_and_text(docs)
-    sample = rows.join(label, rows["doc_id"] == label["labelled"]).select("doc_id", "text", "toxic")
+    # The labels of the sample are at most 2 * SAMPLE_DOCS rows of two numbers: small enough for every task.
+    sample = materialise(rows.join(F.broadcast(label), rows["doc_id"] == label["labelled"]).select("doc_id", "text", "toxic"))
     counts = materialise(_token_counts(sample))
     sums = counts.groupBy("stem").agg(F.sum("toxic"), F.sum("clean")).collect()
     n_toxic, n_clean = next(((r[1], r[2]) for r in sums if not r["stem"]), (0, 0))
