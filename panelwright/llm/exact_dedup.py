@@ -16,7 +16,7 @@ import tempfile
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .common import SPACE, SPACE_CLASS, id_and_text
@@ -25,7 +25,7 @@ from .common import SPACE, SPACE_CLASS, id_and_text
 HELD_BYTES = 48 << 20
 _COMBINED = "length long, content long, body binary, points long, owner long, copies long"
 _OWNERS = "text_sha256 string, keep_id long, keep_points long, group_size long"
-_ROW = "row among those of one doc_id and text"
+_ROW, _KEY = "row among those of one doc_id and text", "doc_id and text"
 _RECORD = struct.Struct("<q?qqq")
 
 
@@ -242,9 +242,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns; rows that repeat doc_id and text stay once."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text"))
-    text = F.regexp_replace(F.coalesce(docs["text"], F.lit("")), SPACE_CLASS + "+", "")
-    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.sha2(text, 256) == kept["kept_text"])
-    points = F.length(F.coalesce(docs["text"], F.lit("")))
-    first = Window.partitionBy("doc_id", F.sha2(text, 256)).orderBy(points.desc())
-    return docs.join(kept, same, "left_semi").withColumn(_ROW, F.row_number().over(first)).where(F.col(_ROW) == 1).drop(_ROW)
+    kept = exact_dedup(docs).where("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("key kept"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    keyed = docs.withColumn(_KEY, _row_key(docs["doc_id"], F.sha2(F.regexp_replace(text, SPACE_CLASS + "+", ""), 256)))
+    # One key for the join and the window: the texts move once.
+    first = Window.partitionBy(_KEY).orderBy(F.length(F.coalesce("text", F.lit(""))).desc())
+    one = keyed.join(kept, keyed[_KEY] == kept["key kept"], "left_semi").withColumn(_ROW, F.row_number().over(first))
+    return one.where(F.col(_ROW) == 1).drop(_ROW, _KEY)
+
+
+def _row_key(doc_id: Column, digest: Column) -> Column:
+    return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), digest)
