@@ -12,8 +12,10 @@ NUMERIC = ("open", "high", "low", "price", "volume", "quote_volume")
 
 
 def ingest(df: DataFrame) -> DataFrame:
-    """UTC instants, doubles, and NULL instead of NaN or infinity."""
-    numbers = {c: clean(c) for c in (*NUMERIC, "funding_rate", "signal") if c in df.columns}
+    """UTC instants, doubles, and NULL instead of NaN or infinity; infinite funding stays, for the rules to refuse."""
+    numbers = {c: clean(c) for c in (*NUMERIC, "signal") if c in df.columns}
+    if "funding_rate" in df.columns:
+        numbers["funding_rate"] = F.nanvl(F.col("funding_rate").cast("double"), F.lit(None).cast("double"))
     return df.withColumns({"timestamp": F.col("timestamp").cast("timestamp"), **numbers})
 
 

@@ -111,6 +111,19 @@ def periods_per_year(median_seconds: Column) -> Column:
     return F.when(median_seconds > 0, ppy).otherwise(F.lit(365.0))
 
 
+def emptied_bars(series: DataFrame, keys) -> DataFrame:
+    """Bars that kept no row of a series, one per stretch of them.
+
+    A stretch is named by its first bar; one at the start of a series, which has no bar before it, by the first bar left.
+    """
+    w = Window.partitionBy(*keys).orderBy("idx")
+    bars = series.select(*keys, "idx", "timestamp", "next_timestamp", "n_bars").distinct().withColumns({
+        "opening": F.lag("idx").over(w).isNull() & (F.col("idx") > 0),
+        "hole": F.coalesce(F.lead("idx").over(w), "n_bars") > F.col("idx") + 1})
+    lost = F.array_compact(F.array(F.when(F.col("opening"), F.col("timestamp")), F.when(F.col("hole"), F.col("next_timestamp"))))
+    return bars.select(*keys, F.explode(lost).alias("timestamp"))
+
+
 # --- books -----------------------------------------------------------------------------------
 
 def book_targets(series: DataFrame, books: DataFrame, keys, deepest: int) -> DataFrame:
@@ -213,18 +226,26 @@ def book_terms(priced: DataFrame) -> DataFrame:
     for name, amount in (("enter", enter), ("leave", leave), ("stay", stay)):
         sums.append(F.sum(amount).alias(name))
         for cost in ("fee", "slip"):
-            sums.append(F.sum(F.when(present, amount * F.coalesce(f"{cost}_tier", F.lit(0.0))).otherwise(0.0)).alias(f"{name}_{cost}"))
+            tier = F.col(f"{cost}_tier")
+            sums.append(F.sum(F.when(present, amount * F.coalesce(tier, F.lit(0.0))).otherwise(0.0)).alias(f"{name}_{cost}"))
+            sums.append(F.sum(F.when(present & tier.isNull(), amount).otherwise(0.0)).alias(f"{name}_{cost}_flat"))
     return priced.groupBy("book_id", "idx", "timestamp", "ppy", "rebalanced").agg(*sums)
 
 
+def stressed_multiplier(fee: float, slip: float) -> float:
+    """What a flat cost level is as a multiple of the default rates: how tiered books are stressed."""
+    return max(fee / RUN_DEFAULTS["fee_rate"], slip / RUN_DEFAULTS["slip_rate"])
+
+
 # --- runs ------------------------------------------------------------------------------------
 
 def _bar_cost(now: Column, before: Column, kind: str) -> Column:
-    """Cost of one bar per unit of equity at half exposure one, tiered or flat."""
+    """Cost of one bar per unit of equity at half exposure one, tiered or flat. Legs without a tier pay the flat rate."""
+    amount = lambda name: F.col(f"{name}_{kind}") + F.col(f"{name}_{kind}_flat") * F.col(f"{kind}_rate")
     flat = (F.col("enter") * now + F.col("leave") * before + F.col("stay") * F.abs(now - before)) * F.col(f"{kind}_rate")
     tier = (
-        F.col(f"enter_{kind}") * now + F.col(f"leave_{kind}") * before
-        + F.col(f"stay_{kind}") * F.abs(now - before) + F.col("leave_absent") * before * F.col(f"{kind}_rate")
+        amount("enter") * now + amount("leave") * before
+        + amount("stay") * F.abs(now - before) + F.col("leave_absent") * before * F.col(f"{kind}_rate")
     )
     return F.when(F.col("tiered"), tier).otherwise(flat) * F.col("cost_multiplier")
 
@@ -240,7 +261,8 @@ def _follow_scale(bars: pd.DataFrame) -> pd.DataFrame:
     cost = {k: np.zeros((len(bars), 3)) for k in kinds}
     for k in kinds:
         for j, part in enumerate(("enter", "leave", "stay")):
-            cost[k][:, j] = bars[f"{part}_{k}"] if first["tiered"] else bars[part] * first[f"{k}_rate"]
+            tier = bars[f"{part}_{k}"] + bars[f"{part}_{k}_flat"] * first[f"{k}_rate"]
+            cost[k][:, j] = tier if first["tiered"] else bars[part] * first[f"{k}_rate"]
         if first["tiered"]:
             cost[k][:, 1] += bars["leave_absent"] * first[f"{k}_rate"]
     total = (cost["fee"] + cost["slip"]) * first["cost_multiplier"]
@@ -481,7 +503,8 @@ class Backtest:
 
     @property
     def errors(self) -> DataFrame:
-        """Bars of each book with too few assets to rank, or with a held asset missing."""
-        thin = self.bars.where("thin").select("book_id", "timestamp", F.lit("thin_bar").alias("error"))
+        """Bars of each book with too few assets to rank, none included, or with a held asset missing."""
+        empty = emptied_bars(self.series, self.keys).join(self.books, list(self.keys)).select("book_id", "timestamp")
+        thin = self.bars.where("thin").select("book_id", "timestamp").unionByName(empty).withColumn("error", F.lit("thin_bar"))
         missing = self.exits.select("book_id", "timestamp", F.lit("missing_price").alias("error"))
         return thin.unionByName(missing)

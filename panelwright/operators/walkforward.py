@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..constants import SIGNAL_CANDIDATES, STD_FLOOR, WALK_FORWARD_STRESS
+from ..functions.windows import running
 from ..session import materialise
 from . import portfolio as B
 from . import stats as S
@@ -16,7 +17,7 @@ from .validate import series_summary
 
 MIN_RETURNS = 60
 NO_SPREAD_SHARPE = -9e9
-ROW = ("timestamp", "asset", "price", "funding_rate")
+ROW = ("timestamp", "asset", "price", "funding_rate", "fee_tier", "slip_tier")
 
 
 def wf_folds(panel: DataFrame, min_train_days: float, test_days: float) -> DataFrame:
@@ -39,17 +40,21 @@ def fold_trials(returns: DataFrame, errors: DataFrame, folds: DataFrame, runs: D
     """Every (fold, run) with its training Sharpe (not annualised), return and validity.
 
     A training range always starts at the first bar, so its run is a prefix of the run over the whole
-    history: each run is evaluated once and cut at every fold's end.
+    history: each run is evaluated once. The ends of the folds stand as marks among a run's bars, and the
+    running statistics at a mark are those of its fold, so no bar is repeated for the folds after it.
     """
-    active = returns.where("idx > 0").select("run_id", "timestamp", "ret")
-    # One row per test window of the calendar: at most as many rows as bars divided by the window.
-    cut = active.join(F.broadcast(folds.select("fold", "train_end")), F.col("timestamp") <= F.col("train_end"))
-    spread = F.stddev_samp("ret")
-    stats = cut.groupBy("fold", "run_id").agg(
-        F.count(F.lit(1)).alias("n_returns"), F.when(spread >= STD_FLOOR, F.avg("ret") / spread).otherwise(F.lit(NO_SPREAD_SHARPE)).alias("score"),
-        (F.product(F.col("ret") + 1) - 1).alias("train_return"))
-    failed = errors.groupBy("book_id").agg(F.min("timestamp").alias("first_error"))
     pairs = folds.select("fold", "train_end").join(runs, F.lit(True))
+    bars = returns.where("idx > 0").select("run_id", "timestamp", F.lit(None).cast("int").alias("fold"), "ret")
+    marks = pairs.select("run_id", F.col("train_end").alias("timestamp"), F.col("fold").cast("int").alias("fold"), F.lit(None).cast("double").alias("ret"))
+    past = running(Window.partitionBy("run_id").orderBy("timestamp", F.col("fold").asc_nulls_first()))
+    spread, mean = F.col("spread"), F.col("mean")
+    stats = bars.unionByName(marks).withColumns({
+        "n_returns": F.count("ret").over(past), "spread": F.stddev_samp("ret").over(past), "mean": F.avg("ret").over(past),
+        "train_return": F.product(F.col("ret") + 1).over(past) - 1,
+    }).where("fold is not null").select(
+        "fold", "run_id", F.nullif("n_returns", F.lit(0)).alias("n_returns"), "train_return",
+        F.when(F.col("n_returns") > 0, F.when(spread >= STD_FLOOR, mean / spread).otherwise(F.lit(NO_SPREAD_SHARPE))).alias("score"))
+    failed = errors.groupBy("book_id").agg(F.min("timestamp").alias("first_error"))
     rows = pairs.join(stats, ["fold", "run_id"], "left").join(failed, "book_id", "left")
     reason = F.when(F.col("first_error") <= F.col("train_end"), "data_error").when(
         F.coalesce("n_returns", F.lit(0)) < MIN_RETURNS, "insufficient_sample")
@@ -90,6 +95,8 @@ class WalkForward:
                  test_days: float = 120, stress=WALK_FORWARD_STRESS, delist_mode: str = "error", **settings):
         self.frame, self.candidates, self.n_sides, self.vol_targets = frame, tuple(candidates), tuple(n_sides), tuple(vol_targets)
         self.min_train_days, self.test_days, self.stress, self.delist_mode, self.settings = min_train_days, test_days, stress, delist_mode, settings
+        if settings.get("tiered") and not {"fee_tier", "slip_tier"} <= set(frame.columns):
+            raise ValueError("a tiered search needs the columns fee_tier and slip_tier")
         self.spark: SparkSession = frame.sparkSession
         self.deepest = 2 * max(self.n_sides)
 
@@ -106,17 +113,20 @@ class WalkForward:
     def grid(self) -> DataFrame:
         order = F.create_map(*[F.lit(v) for i, c in enumerate(self.candidates) for v in (c, i)])
         grid = B.run_grid(self.spark, **self.settings, signal=list(self.candidates), n_long=list(self.n_sides), vol_target=list(map(float, self.vol_targets)))
-        position = F.array_position(F.array(*[F.lit(n) for n in self.n_sides]), F.col("n_long")) * 1000 + F.array_position(
-            F.array(*[F.lit(float(v)) for v in self.vol_targets]), F.col("vol_target"))
+        sizes, targets = len(self.n_sides), len(self.vol_targets)
+        position = (F.array_position(F.array(*[F.lit(n) for n in self.n_sides]), F.col("n_long")) - 1) * targets + F.array_position(
+            F.array(*[F.lit(float(v)) for v in self.vol_targets]), F.col("vol_target")) - 1
         return grid.withColumn("n_short", F.col("n_long")).withColumns({
             "book_id": F.concat_ws("|", "signal", "n_long"), "run_id": F.concat_ws("|", "signal", "n_long", "vol_target"),
-            "ordinal": F.try_element_at(order, F.col("signal")) * 1_000_000 + position})
+            "ordinal": F.try_element_at(order, F.col("signal")) * (sizes * targets) + position})
 
     @cached_property
     def search(self) -> B.Backtest:
         series = B.prepare_series(lag_for_execution(self.signals, ["signal"]), ["signal"])
         books = self.grid.select("book_id", "signal", *B.BOOK_DEFAULTS).distinct()
-        return B.Backtest(series, books, self.grid.select("run_id", "book_id", *B.RUN_DEFAULTS), ("signal",), self.deepest)
+        book = B.Backtest(series, books, self.grid.select("run_id", "book_id", *B.RUN_DEFAULTS), ("signal",), self.deepest)
+        book.returns = materialise(book.returns)  # read by the trials and by their correlations
+        return book
 
     def _errors(self, book: B.Backtest) -> DataFrame:
         return book.errors if self.delist_mode == "error" else book.errors.where("error = 'thin_bar'")
@@ -130,6 +140,12 @@ class WalkForward:
     def choices(self) -> DataFrame:
         return best_trial(self.trials)
 
+    def require_trials(self) -> None:
+        """Refuse a search with a fold in which no trial is valid."""
+        lost = self.folds.join(self.choices, "fold", "left_anti").select("fold", F.col("train_end").cast("string")).orderBy("fold").limit(5).collect()
+        if lost:
+            raise ValueError(f"no valid trial in fold {[tuple(x) for x in lost]}")
+
     def _test(self, chosen: DataFrame, variants: DataFrame, slice_of) -> B.Backtest:
         """Run chosen trials (fold, signal, n_long, vol_target) on their fold's test bars only."""
         slices = materialise(chosen.select("fold", "signal", "n_long", "vol_target").join(self.folds, "fold").withColumn("slice_id", slice_of))
@@ -145,11 +161,16 @@ class WalkForward:
     @cached_property
     def variants(self) -> DataFrame:
         """The base costs and each stressed level."""
-        base = B.run_grid(self.spark, **self.settings)
-        costs = F.array(
-            F.struct(F.lit("base").alias("variant"), F.col("fee_rate").alias("f"), F.col("slip_rate").alias("s")),
-            *[F.struct(F.lit(f"fee_{f}_slippage_{s}").alias("variant"), F.lit(f).alias("f"), F.lit(s).alias("s")) for f, s in self.stress])
-        return base.withColumn("c", F.explode(costs)).withColumns({"variant": F.col("c.variant"), "fee_rate": F.col("c.f"), "slip_rate": F.col("c.s")}).drop("c")
+        def level(name, fee=F.col("fee_rate"), slip=F.col("slip_rate"), times=F.col("cost_multiplier")):
+            return F.struct(F.lit(name).alias("variant"), fee.alias("f"), slip.alias("s"), times.alias("m"))
+
+        if self.settings.get("tiered"):
+            factors = [B.stressed_multiplier(f, s) for f, s in self.stress]
+            stressed = [level(f"cost_x_{m:.2f}", times=F.lit(m)) for m in factors]
+        else:
+            stressed = [level(f"fee_{f}_slippage_{s}", F.lit(f), F.lit(s)) for f, s in self.stress]
+        levels = B.run_grid(self.spark, **self.settings).withColumn("c", F.explode(F.array(level("base"), *stressed)))
+        return levels.withColumns({"variant": F.col("c.variant"), "fee_rate": F.col("c.f"), "slip_rate": F.col("c.s"), "cost_multiplier": F.col("c.m")}).drop("c")
 
     @cached_property
     def test(self) -> B.Backtest:
@@ -167,8 +188,10 @@ class WalkForward:
 
     @property
     def fold_results(self) -> DataFrame:
+        """One row per fold; a fold in which no trial is valid has no signal and no returns."""
         gained = self.out_of_sample.where("variant = 'base'").groupBy("fold").agg((F.product(F.col("ret") + 1) - 1).alias("test_return"))
-        return self.choices.select("fold", "signal", "n_long", "vol_target", "sharpe", "train_return").join(self.folds, "fold").join(gained, "fold", "left")
+        chosen = self.choices.select("fold", "signal", "n_long", "vol_target", "sharpe", "train_return")
+        return self.folds.join(chosen, "fold", "left").join(gained, "fold", "left")
 
     @property
     def gates(self) -> DataFrame:

@@ -54,10 +54,16 @@ def side_slices(splits: DataFrame) -> DataFrame:
 
 
 def cost_runs(book: B.Backtest, tiers=COST_STRESS_TIERS) -> DataFrame:
-    """The runs of a book at every stressed cost level; the level's position names the run."""
-    levels = F.array(*[F.struct(F.lit(i).alias("tier"), F.lit(f).alias("fee"), F.lit(s).alias("slip")) for i, (f, s) in enumerate(tiers)])
+    """The runs of a book at every stressed cost level; the level's position names the run.
+
+    Flat costs take the level's rates; tiers are multiplied by what the level is of the default rates.
+    """
+    levels = F.array(*[F.struct(F.lit(i).alias("tier"), F.lit(f).alias("fee"), F.lit(s).alias("slip"), F.lit(B.stressed_multiplier(f, s)).alias("times"))
+                       for i, (f, s) in enumerate(tiers)])
+    flat = lambda level, own: F.when(F.col("tiered"), F.col(own)).otherwise(F.col(level))
     return book.runs.withColumn("cost", F.explode(levels)).withColumns({
-        "run_id": F.col("cost.tier").cast("string"), "fee_rate": F.col("cost.fee"), "slip_rate": F.col("cost.slip")}).drop("cost")
+        "run_id": F.col("cost.tier").cast("string"), "fee_rate": flat("cost.fee", "fee_rate"), "slip_rate": flat("cost.slip", "slip_rate"),
+        "cost_multiplier": F.when(F.col("tiered"), F.col("cost.times")).otherwise(F.col("cost_multiplier"))}).drop("cost")
 
 
 @dataclass
@@ -77,6 +83,7 @@ def deployment(panel: DataFrame, frame: DataFrame, candidates=SIGNAL_CANDIDATES,
     """Search for a signal, validate the one chosen most often on one continuous curve, and collect
     every gate. ``gates`` is one row: the gate map and the hard-gate verdict."""
     search = W.WalkForward(frame, candidates, n_sides, (vol_target,), min_train_days=min_train_days, test_days=test_days, delist_mode=delist_mode, **settings)
+    search.require_trials()
     choice = W.mode_choice(search.choices).first()
     signal, n = choice["signal"], choice["n_sides"]
     if signal is None:
