@@ -10,6 +10,8 @@ from ..functions.windows import per_asset
 from ..session import materialise
 
 DAY = 86400
+#: An asset that stops this many steps before the panel ends is a suspect.
+SUSPECT_STEPS = 7.0
 
 
 def days(n: float) -> Column:
@@ -327,7 +329,7 @@ def preflight_rules(df: DataFrame, migrations: DataFrame, manifest: DataFrame |
     blocks = materialise(gap_blocks(panel, migrations, step_seconds))
     gaps = funding_gaps(df, migrations)
     segments = lifecycle(panel, migrations)
-    coverage = asset_coverage(panel)
+    coverage = asset_coverage(panel, SUSPECT_STEPS * step_seconds / DAY)
     steps = F.sum("gap_steps")
     unexplained = blocks.where("reason = 'unexplained_interior'")
     parts = [
@@ -360,6 +362,47 @@ def preflight_rules(df: DataFrame, migrations: DataFrame, manifest: DataFrame |
     return out.withColumn("severity", F.when(F.col("n") > 0, F.col("severity")).otherwise("ok"))
 
 
+def preflight_findings(df: DataFrame, migrations: DataFrame, manifest: DataFrame | None = None, *, step_seconds: int = DAY, tolerated_gap_steps: int = 1) -> DataFrame:
+    """What the preflight rules count, in full: (rule, asset, timestamp, steps).
+
+    ``timestamp`` is the first missing bar of a gap and the last bar of a suspect; it is null where a whole asset is
+    meant. ``steps`` is the length of a gap, else 0. Rules on the size of a panel name no rows and have no finding here.
+    """
+    from .panel import asset_coverage, canonical_assets, canonical_panel
+
+    panel = materialise(canonical_panel(df, migrations))
+
+    def found(rule, frame, asset="asset", at=F.col("timestamp"), steps=F.lit(0)):
+        rule = rule if isinstance(rule, Column) else F.lit(rule)
+        return frame.select(rule.alias("rule"), F.col(asset).alias("asset"), at.cast("timestamp").alias("timestamp"), steps.cast("bigint").alias("steps"))
+
+    copies = df.groupBy("timestamp", F.upper("asset").alias("asset")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    tolerated = F.col("gap_steps") <= tolerated_gap_steps
+    gap_rule = F.when(F.col("reason") == "migration_halt", "halt_steps").when(tolerated, "tolerated_gap_steps").otherwise("large_gap_steps")
+    inferred = lifecycle(panel, migrations).where(F.col("source").contains("inferred_from_data")).select("canonical").distinct()
+    funding_rule = F.when(F.col("reason") == "active", "active_funding_gap").otherwise("expected_funding_gap")
+    parts = [
+        found("duplicate_raw_key", copies), found("collision", collisions(canonical_assets(df, migrations))), found("discontinuity", discontinuities(panel)),
+        found(gap_rule, gap_blocks(panel, migrations, step_seconds), at=F.col("gap_start"), steps=F.col("gap_steps")),
+        found("inferred_listing", inferred, "canonical", F.lit(None)),
+        found("delisting_suspect", asset_coverage(panel, SUSPECT_STEPS * step_seconds / DAY).where("suspect"), at=F.col("last_seen")),
+        found(funding_rule, funding_gaps(df, migrations)),
+    ]
+    if manifest is not None:
+        missing = survivorship(panel, manifest, migrations)[1].where("dead").select("canonical").distinct()
+        parts.append(found("missing_dead", missing, "canonical", F.lit(None)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def finding_samples(findings: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` findings of each rule by asset and time; Spark limits them before the shuffle."""
+    order = Window.partitionBy("rule").orderBy("asset", F.col("timestamp").asc_nulls_last(), "steps")
+    return findings.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
 def quality_report(panel: DataFrame, blocks: DataFrame, survivorship_row: DataFrame, tolerated: int = 1, max_unexplained: int = 0) -> DataFrame:
     """Halts, unexplained and tolerated blocks, and dead-asset exposure in explicit units."""
     unexplained = F.col("reason") == "unexplained_interior"

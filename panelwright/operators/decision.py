@@ -103,8 +103,12 @@ def initial_state(rows: DataFrame) -> DataFrame:
                            .when(F.col("review_required"), "FLAG_REVIEW").when(F.col("decision") == "APPROVED", "APPROVED_CANDIDATE").otherwise("REJECTED"))
 
 
-def deployment_gates(wf_gates: DataFrame, segments: DataFrame, stress: DataFrame, reality: DataFrame, regimes: DataFrame, mining: DataFrame) -> DataFrame:
-    """All gate booleans of one strategy as a map, from one-row result tables joined together."""
+def deployment_gates(wf_gates: DataFrame, segments: DataFrame, stress: DataFrame, reality: DataFrame, regimes: DataFrame, mining: DataFrame,
+                     spread_checked: bool = False) -> DataFrame:
+    """All gate booleans of one strategy as a map, from one-row result tables joined together.
+
+    ``spread_checked`` says that quoted spreads were looked at before; no table here can tell.
+    """
     of = lambda name, column: F.max(F.when(F.col("segment") == name, F.col(column)))
     seg = segments.agg(
         of("train", "total_return").alias("train_return"), of("validation", "total_return").alias("validation_return"),
@@ -119,13 +123,14 @@ def deployment_gates(wf_gates: DataFrame, segments: DataFrame, stress: DataFrame
         .join(seg, one).join(worst, one).join(reality.select("pass", "best_ic_tstat"), one).join(reg, one).join(mining.select("dsr"), one)
     )
     c = F.col
+    # The names of the gates.
     gates = {
         "ic_signal_found": c("best_ic_tstat") >= 2.0, "wf_positive": c("wf_positive"), "wf_sharpe_above_one": c("wf_sharpe_above_one"),
         "wf_drawdown_gate": c("wf_drawdown_gate"), "wf_stress_positive": c("wf_stress_positive"), "majority_folds_profitable": c("majority_folds_profitable"),
         "static_train_positive": c("train_return") > 0, "static_validation_positive": c("validation_return") > 0, "static_oos_positive": c("oos_return") > 0,
         "static_oos_sharpe_above_one": c("oos_sharpe") > 1, "static_oos_drawdown_gate": c("oos_dd") > -0.20, "static_stress_positive": c("stress_return") > 0,
         "no_risk_violations": c("risk") == 0, "no_capacity_violations": c("capacity") == 0, "oos_positive": c("oos_return") > 0,
-        "reality_check_pass": c("pass"), "dsr_above_95": c("dsr") >= 0.95,
+        "reality_check_pass": c("pass"), "dsr_above_95": c("dsr") >= 0.95, "spread_check_passed": F.lit(spread_checked),
         "majority_regimes_profitable": c("good_regimes") >= c("regimes") * REGIME_SHARE,
     }
     return row.select(F.create_map(*[v for k, g in gates.items() for v in (F.lit(k), F.coalesce(g, F.lit(False)))]).alias("gates"))

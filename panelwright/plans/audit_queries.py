@@ -281,7 +281,7 @@ def signal_audit(spark, folder):
     return report.select("asset", "rows", "unique_signal", rounded("signal_std"), "signal_min", "signal_max", "zero_changes", "cumulative", "failed")
 
 
-@register("preflight_rules", with_(MARKET_DAY, FEED, CANON, COLLAPSED.replace("clean AS", "clean0 AS"), _GAPS) + f""",
+_PREFLIGHT = with_(MARKET_DAY, FEED, CANON, COLLAPSED.replace("clean AS", "clean0 AS"), _GAPS) + f""",
 clean AS (SELECT *, price/lag(price) OVER (PARTITION BY asset ORDER BY ts) - 1 AS signal FROM clean0),
 missing AS (SELECT asset, g.ts FROM (SELECT asset, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS ts FROM
     (SELECT asset, min(ts) AS a, max(ts) AS b FROM clean GROUP BY asset)) g
@@ -292,7 +292,10 @@ blocks AS (SELECT b.*, coalesce(m.effective BETWEEN gap_start - INTERVAL 7 DAY A
   LEFT JOIN mig m ON b.asset = m.canonical||'USDT' AND m.effective IS NOT NULL),
 jumps AS (SELECT price/lag(price) OVER (PARTITION BY asset ORDER BY ts) - 1 AS jump, row_number() OVER (PARTITION BY asset, source_asset ORDER BY ts) AS k FROM clean),
 cover AS (SELECT asset, max(ts) AS last_seen, count(*) AS periods FROM clean GROUP BY 1),
-src AS (SELECT ts, asset, source_asset FROM clean), {_LIFE},
+src AS (SELECT ts, asset, source_asset FROM clean), {_LIFE},"""
+
+
+@register("preflight_rules", _PREFLIGHT + """
 r AS (
   SELECT 'duplicate_raw_key' AS rule, 'error' AS severity, (SELECT count(*) FROM (SELECT 1 FROM feed GROUP BY ts, asset HAVING count(*) > 1)) AS n
   UNION ALL SELECT 'collision', 'error', (SELECT count(*) FROM (SELECT 1 FROM canon GROUP BY ts, asset HAVING count(DISTINCT source_asset) > 1))
@@ -316,6 +319,37 @@ def preflight_rules(spark, folder):
     return Q.preflight_rules(rows, migrations(spark), min_assets=30, require_funding=True)
 
 
+_FINDINGS = """
+f AS (
+  SELECT 'duplicate_raw_key' AS rule, asset, ts, 0 AS steps FROM feed GROUP BY ts, asset HAVING count(*) > 1
+  UNION ALL SELECT 'collision', asset, ts, 0 FROM canon GROUP BY ts, asset HAVING count(DISTINCT source_asset) > 1
+  UNION ALL SELECT 'discontinuity', asset, ts, 0 FROM jumped WHERE k = 1 AND abs(jump) > 0.2
+  UNION ALL SELECT CASE WHEN halt THEN 'halt_steps' WHEN gap_steps <= 1 THEN 'tolerated_gap_steps' ELSE 'large_gap_steps' END, asset, gap_start, gap_steps FROM blocks
+  UNION ALL SELECT DISTINCT 'inferred_listing', canonical, NULL::TIMESTAMP, 0 FROM life WHERE event <> 'migration_target' OR delisted_at IS NOT NULL
+  UNION ALL SELECT 'delisting_suspect', asset, last_seen, 0 FROM cover WHERE last_seen < (SELECT max(ts) FROM clean) - INTERVAL 7 DAY
+  UNION ALL SELECT CASE WHEN reason = 'active' THEN 'active_funding_gap' ELSE 'expected_funding_gap' END, asset, ts, 0 FROM fgaps)
+"""
+_JUMPED = """
+jumped AS (SELECT asset, ts, price/lag(price) OVER (PARTITION BY asset ORDER BY ts) - 1 AS jump,
+  row_number() OVER (PARTITION BY asset, source_asset ORDER BY ts) AS k FROM clean),"""
+
+
+def day_findings(spark, folder):
+    return Q.preflight_findings(materialise(raw_feed(spark, folder, "day")), migrations(spark))
+
+
+@register("preflight_findings", _PREFLIGHT + _JUMPED + _FINDINGS + f"SELECT rule, asset, {q_day('ts')} AS bar, steps::BIGINT AS steps FROM f")
+def preflight_findings(spark, folder):
+    return day_findings(spark, folder).select("rule", "asset", day(), "steps")
+
+
+@register("preflight_samples", _PREFLIGHT + _JUMPED + _FINDINGS + f"""
+SELECT rule, place::INT AS place, asset, {q_day('ts')} AS bar, steps::BIGINT AS steps FROM (
+  SELECT *, row_number() OVER (PARTITION BY rule ORDER BY asset, ts NULLS LAST, steps) AS place FROM f) WHERE place <= 10""")
+def preflight_samples(spark, folder):
+    return Q.finding_samples(day_findings(spark, folder)).select("rule", "place", "asset", day(), "steps")
+
+
 @register("dq_report", with_(MARKET_DAY, MIGRATION_DIM, _MISSING, _MANIFEST, _EARLY, _INSIDE) + """
 SELECT count(*) FILTER (reason = 'migration_halt')::BIGINT AS halt_count, count(*) FILTER (reason <> 'migration_halt')::BIGINT AS halt_unexplained_count,
   count(*) FILTER (reason <> 'migration_halt' AND gap_steps <= 1)::BIGINT AS halt_tolerated_count,

@@ -79,9 +79,11 @@ class Deployment:
 
 
 def deployment(panel: DataFrame, frame: DataFrame, candidates=SIGNAL_CANDIDATES, n_sides=(3,), vol_target: float = 0.20, min_train_days: float = 365,
-               test_days: float = 120, delist_mode: str = "error", benchmark: str = BENCHMARK, **settings) -> Deployment:
+               test_days: float = 120, delist_mode: str = "error", benchmark: str = BENCHMARK,
+               spread_checked: bool = False, **settings) -> Deployment:
     """Search for a signal, validate the one chosen most often on one continuous curve, and collect
-    every gate. ``gates`` is one row: the gate map and the hard-gate verdict."""
+    every gate. ``gates`` is one row: the gate map and the hard-gate verdict. Splits and regimes cover
+    the bars on which the chosen signal exists, so that its warm-up is no part of the training segment."""
     search = W.WalkForward(frame, candidates, n_sides, (vol_target,), min_train_days=min_train_days, test_days=test_days, delist_mode=delist_mode, **settings)
     search.require_trials()
     choice = W.mode_choice(search.choices).first()
@@ -89,13 +91,16 @@ def deployment(panel: DataFrame, frame: DataFrame, candidates=SIGNAL_CANDIDATES,
     if signal is None:
         raise ValueError("no viable trial in any fold")
     book = signal_book(frame, signal, n, vol_target=vol_target, **settings)
-    split = V.date_split(panel)
-    segments = materialise(V.segment_metrics(book.returns, split, B.violations(book.returns, book.trades, book.exits, book.runs)))
+    warm = frame.where(F.col(signal).isNotNull())
+    split = V.date_split(warm)
+    volume = "quote_volume" if settings.get("tiered") and "quote_volume" in frame.columns else None
+    breaches = B.violations(book.returns, book.trades, book.exits, book.runs, liquidity=volume)
+    segments = materialise(V.segment_metrics(book.returns, split, breaches))
     last = signal_book(frame, signal, n, bars=split.where("segment = 'out_of_sample'"), vol_target=vol_target, **settings)
     stress = B.run_summary(B.run_returns(last.terms, cost_runs(last)))
     reality = S.reality_check(S.ic_table(S.bar_ic(S.signal_returns(frame, candidates))))
-    regimes = V.regime_performance(book.returns, V.regime_labels(panel, benchmark))
-    gates = D.deployment_gates(search.gates, segments, stress, reality, regimes, search.data_mining)
+    regimes = V.regime_performance(book.returns, V.regime_labels(warm, benchmark))
+    gates = D.deployment_gates(search.gates, segments, stress, reality, regimes, search.data_mining, spread_checked)
     return Deployment(signal, n, search, book, segments, materialise(D.hard_gates(gates)))
 
 
@@ -126,7 +131,7 @@ def check_panel(df: DataFrame, strategy_id: str = "strategy", *, migrations: Dat
     panel = materialise(P.canonical_panel(raw, dim))
     frame = materialise(build_signals(panel, search.get("benchmark", BENCHMARK)))
     found = deployment(panel, frame, **search)
-    settings = {k: v for k, v in search.items() if k not in ("candidates", "n_sides", "vol_target", "min_train_days", "test_days", "delist_mode", "benchmark")}
+    settings = {k: v for k, v in search.items() if k not in ("candidates", "n_sides", "vol_target", "min_train_days", "test_days", "delist_mode", "benchmark", "spread_checked")}
     settings["vol_target"] = search.get("vol_target", 0.20)
     segment = lambda name, c: F.max(F.when(F.col("segment") == name, F.col(c)))
     base = found.search.summary.where("variant = 'base'")

@@ -81,17 +81,11 @@ def violations(spark, folder):
     return violation_book(spark, folder).select(day(), "type", "asset", rounded("value", 4), rounded("limit", 4))
 
 
-@register("first_breach", _VIOL + f"SELECT {q_day('min(ts)')} AS halted_at FROM viol WHERE type IN ('daily_loss_limit','max_drawdown_limit')")
+@register("first_breach", _VIOL + f"SELECT {q_day('min(ts)')} AS halted_at FROM viol")
 def first_breach(spark, folder):
-    breaches = B.limit_breaches(momentum_limits(spark, folder).returns)
-    return B.first_breach(breaches).select(day("halted_at", "halted_at"))
+    return B.first_breach(violation_book(spark, folder)).select(day("halted_at", "halted_at"))
 
 
-def momentum_limits(spark, folder):
-    volume = F.when(F.col("volume") % 17 == 3, F.lit(0.0)).otherwise(F.col("quote_volume"))
-    rows = ranked(spark, folder, panel=stored_market(spark, folder).withColumn("quote_volume", volume))
-    return single_run(B.prepare_series(rows, KEYS, liquidity="quote_volume"), daily_loss=LOSS, max_drawdown=DRAWDOWN, max_participation=SHARE)
-
 
 GROSS = (2.0, 1.5, 1.0, 0.7)
 
