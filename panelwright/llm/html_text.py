@@ -22,6 +22,7 @@ _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text that no tag but their own end tag interrupts.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
+_RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 BLOCKS = frozenset(("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul").split())
 PARAGRAPHS = frozenset("p pre blockquote li dd dt td h1 h2 h3 h4 h5 h6 figcaption".split())
@@ -67,7 +68,7 @@ def _attributes(raw: str) -> tuple[list, str, bool]:
 def parse(page: str) -> _Node:
     """A tree of elements and texts; end tags that are missing are implied, those without a beginning are ignored."""
     root = node = _Node("html")
-    at, size, lowered = 0, len(page), None
+    at, size = 0, len(page)
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -99,11 +100,9 @@ def parse(page: str) -> _Node:
         child = _Node("template" if hidden else tag, node, words, role)
         node.children.append(child)
         if tag in RAW:
-            if lowered is None:
-                lowered = page.lower()
-            end = lowered.find("</" + tag, at)
-            end = size if end < 0 or len(lowered) != size else end
-            close = page.find(">", end)
+            # Searched in the page itself: lower() moves what stands behind letters like U+0130.
+            end = _RAW_END[tag].search(page, at)
+            close = page.find(">", end.end()) if end else -1
             at = size if close < 0 else close + 1
         elif tag not in VOID and not m[0].endswith("/>"):
             node = child

@@ -39,6 +39,13 @@ def test_short_empty_broken_and_deep_pages():
     assert main_text("<article><p>end</p><script>never") == "end"
 
 
+def test_letters_that_change_length_in_lower_case():
+    page = PAGE.format(main="<article><h1>İstanbul</h1><p>İlk, uzun paragraf.</p><script>var İ = 1;</SCRIPT><p>Son, paragraf: İ.</p></article>").replace("T, t", "İİ, haber")
+    assert main_text(page) == "İstanbul\nİlk, uzun paragraf.\nSon, paragraf: İ."
+    assert main_text("<title>x</title><p>one, two</p><script>a</script><p>İ</p>") == "one, two\nİ"
+    assert main_text("<article><p>one</p><script>'</\u017fcript>' hidden</script><p>two</p></article>") == "one\ntwo"
+
+
 def test_whole_table(spark):
     rng = random.Random(1)
     rows, want = [], {}
