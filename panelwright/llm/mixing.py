@@ -126,12 +126,15 @@ class Mix:
         met = rows.join(taken, (rows["src"] == taken["s"]) & (rows["start"] == taken["first"]) & (rows["size"] > 0), "left")
         return met.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("bigint").alias("taken"))
 
-    def documents(self) -> DataFrame:
-        """The mix as documents: one row per pass that takes a document; a part of it where the pass takes a part."""
+    def documents(self, pass_col: str | None = None) -> DataFrame:
+        """The mix as documents: one row per pass that takes a document; a part of it where the pass takes a part.
+
+        ``pass_col`` names a column for the number of the pass.
+        """
         spans = F.array_sort(F.collect_list(F.struct("from", "to")))
         passes = (self.pieces().groupBy("src", "start", "pass", "doc_id", "source", "text_key", "size")
                   .agg(F.sum(F.col("to") - F.col("from")).alias("words"), spans.alias("spans")))
-        passes = passes.select(*[F.col(c).alias(f"{c} of the mix") for c in ("doc_id", "source", "text_key", "size", "words", "spans")])
+        passes = passes.select(*[F.col(c).alias(f"{c} of the mix") for c in ("doc_id", "source", "text_key", "size", "words", "spans", "pass")])
         docs, key = self.docs, "key of the text"
         docs = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "source", key])
         met = docs.join(passes, docs["doc_id"].eqNullSafe(passes["doc_id of the mix"]) & docs["source"].eqNullSafe(passes["source of the mix"]) & (docs[key] == passes["text_key of the mix"]))
@@ -140,4 +143,4 @@ class Mix:
         met = met.withColumn("text", F.when(F.col("words of the mix") == F.col("size of the mix"), F.col("text")).otherwise(part))
         if "n_chars" in met.columns:
             met = met.withColumn("n_chars", F.length("text").cast("bigint"))
-        return met.select(*[met[c] for c in self.docs.columns])
+        return met.select(*[met[c] for c in self.docs.columns if c != pass_col], *([F.col("pass of the mix").cast("bigint").alias(pass_col)] if pass_col else []))

@@ -1,11 +1,13 @@
 """SentencePiece encoding with seeded merge dropout, and decoding without loss.
 
 A text is a sequence of units: a run of spaces with the word behind it. No piece of a merge-type model spans two units. Within a unit the
-agenda always takes the best merge, the leftmost of equals. A candidate merge is known by its three borders in the unit; a hash
-of seed, variant, unit and borders decides once and for all whether the agenda skips it, so every rerun, task and machine
-cuts a unit alike, while documents of different variants cut it differently. Characters that the model lacks become bytes.
+agenda always takes the best merge, the leftmost of equals. ``encode_occurrences`` decides anew at every place: what the agenda skips
+follows from a hash of seed, document, pass and place of the unit, so every rerun, task and machine cuts a text alike, while two
+occurrences of a word are cut independently. ``encode_pieces`` cuts a unit alike in all documents of a variant. Characters that the
+model lacks become bytes.
 
-Units of usual length are merged all at once, one merge per unit and round, in arrays; longer ones by a heap.
+What a unit becomes when the agenda skips a given set of its steps is the same everywhere, and only this is remembered. Units of usual
+length are merged all at once, one merge per unit and round, in arrays; longer ones by a heap.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from .words import stir
 #: Characters up to which a unit is merged in arrays, and units that a task remembers.
 LONG_UNIT = 48
 REMEMBERED = 250_000
+#: Symbols up to which a unit has fewer than 64 candidates, n - 1 at first and two per merge, and cuts that a task remembers.
+SHORT_UNIT = 20
+CUTS = 800_000
 #: Characters of text that are encoded at a time.
 PART = 1 << 20
 _UNIT = re.compile("▁*[^▁]+|▁+")
@@ -254,25 +259,218 @@ class Encoder:
         self.flat = np.r_[self.flat, rows.astype(np.uint16)]
 
 
+def _with_skips(m: Model, ids: np.ndarray, size: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units of up to SHORT_UNIT symbols, one row each, whose agenda skips the steps of a bit mask: pieces, how many, and steps."""
+    width, n = len(size), int(size.max())
+    ids = ids[:, :n].T.copy()
+    column = np.arange(width)
+    alive = np.arange(n)[:, None] < size
+    after = np.repeat(np.arange(1, n + 1), width).reshape(n, width)
+    before = after - 2
+    after[size - 1, column] = n
+    value = np.full((n, width), _NONE)
+    steps = np.zeros(width, np.int64)
+
+    def offer(a, column):
+        b = after[a, column]
+        real = np.flatnonzero(b < n)
+        a, b, column = a[real], b[real], column[real]
+        pair = (ids[a, column] << 20) | ids[b, column]
+        found = np.minimum(np.searchsorted(m.keys, pair), len(m.keys) - 1)
+        value[a, column] = np.where(m.keys[found] == pair, (m.ranks[found] << 20) | a, _NONE)
+
+    for a in range(n - 1):
+        some = np.flatnonzero(size > a + 1)
+        offer(np.full(len(some), a), some)
+    active, step = column, 0
+    while True:
+        best = value[:, active].min(axis=0)
+        active, best = active[best < _NONE], best[best < _NONE]
+        if not len(active):
+            return ids.T[alive.T], alive.sum(axis=0), steps
+        a = best & ((1 << 20) - 1)
+        steps[active] += 1
+        skip = (skips[active] >> np.uint64(step)) & np.uint64(1) == 1
+        step += 1
+        value[a[skip], active[skip]] = _NONE
+        a, c = a[~skip], active[~skip]
+        b = after[a, c]
+        behind = after[b, c]
+        found = np.searchsorted(m.keys, (ids[a, c] << 20) | ids[b, c])
+        ids[a, c], alive[b, c], after[a, c] = m.merged[found], False, behind
+        value[a, c] = value[b, c] = _NONE
+        inner = behind < n
+        before[behind[inner], c[inner]] = a[inner]
+        offer(a, c)
+        p = before[a, c]
+        value[p[p >= 0], c[p >= 0]] = _NONE
+        offer(p[p >= 0], c[p >= 0])
+
+
+def document_key(doc_id, text: str, turn: int, seed: int) -> int:
+    """What all choices within a document depend on; the text tells documents without a doc_id apart."""
+    own = (zlib.crc32(str(doc_id).encode()) << 32) | zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    return int(stir(stir(np.array([own], np.uint64)) + np.uint64((seed << 32) + turn))[0])
+
+
+def kept_before_skip(keys: np.ndarray, nth: int, rate: float) -> np.ndarray:
+    """How many candidates the agenda keeps between the ``nth`` skipped one and the next: each is skipped with ``rate``."""
+    if rate <= 0:
+        return np.full(len(keys), 64)
+    u = ((stir(keys + np.uint64(nth + 1)) >> np.uint64(11)).astype(float) + 1) / (1 << 53)
+    return np.zeros(len(keys), np.int64) if rate >= 1 else np.minimum(np.log(u) / np.log1p(-rate), 64).astype(np.int64)
+
+
+class OccurrenceEncoder:
+    """Cuts every occurrence of a unit by choices of its own.
+
+    A cut is a unit with the set of agenda steps that are skipped; it holds the pieces and the number of steps. From a cut an occurrence
+    goes on to the one that skips one more step, until the next step to skip lies behind the last. What is remembered of the cuts
+    never changes a result.
+    """
+
+    def __init__(self, path: str, rate: float, seed: int):
+        self.model, self.rate, self.seed = model(path), rate, seed
+        self.byte = np.array([self.model.byte[b] for b in range(256)])
+        self._forget()
+
+    def _forget(self):
+        self.unit, self.next, self.root = {}, {}, np.zeros(0, np.int64)
+        self.symbols, self.size = np.zeros((0, SHORT_UNIT), np.int64), np.zeros(0, np.int64)
+        self.flat, self.first, self.count, self.steps, self.of, self.skips = (np.zeros(0, t) for t in (np.uint16, np.int64, np.int64, np.int64, np.int64, np.uint64))
+
+    def _bytes(self, rows: np.ndarray) -> np.ndarray:
+        return np.where(rows >= self.model.size, self.byte[np.maximum(rows - self.model.size, 0) % 256], rows)
+
+    def _learn(self, units: np.ndarray, skips: np.ndarray) -> None:
+        """New cuts, in the order given."""
+        first, counts, steps = (np.zeros(len(units), np.int64) for _ in range(3))
+        size, flat, held = self.size[units], [self.flat], len(self.flat)
+        for low, high in ((0, 8), (8, SHORT_UNIT)):
+            some = np.flatnonzero((size > low) & (size <= high))
+            if len(some):
+                rows, counts[some], steps[some] = _with_skips(self.model, self.symbols[units[some]], size[some], skips[some])
+                first[some] = held + np.cumsum(counts[some]) - counts[some]
+                flat.append(self._bytes(rows).astype(np.uint16))
+                held += len(rows)
+        self.flat, self.first = np.concatenate(flat), np.r_[self.first, first]
+        self.count, self.steps = np.r_[self.count, counts], np.r_[self.steps, steps]
+        self.of, self.skips = np.r_[self.of, units], np.r_[self.skips, skips]
+
+    def _cut(self, roots: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The cut of each occurrence, from that of its unit without skips."""
+        cut = roots.copy()
+        going, at, nth = np.arange(len(cut)), np.zeros(len(cut), np.int64), 0
+        while len(going):
+            at = at + kept_before_skip(keys[going], nth, self.rate)
+            on = at < self.steps[cut[going]]
+            going, at, nth = going[on], at[on], nth + 1
+            if not len(going):
+                break
+            ways, which = np.unique(cut[going] * 64 + at, return_inverse=True)
+            fresh = []
+            known = len(self.steps)
+            to = np.zeros(len(ways), np.int64)
+            for i, way in enumerate(ways.tolist()):
+                found = self.next.get(way)
+                if found is None:
+                    self.next[way] = found = known + len(fresh)
+                    fresh.append(way)
+                to[i] = found
+            if fresh:
+                ways = np.array(fresh)
+                self._learn(self.of[ways // 64], self.skips[ways // 64] | (np.uint64(1) << (ways % 64).astype(np.uint64)))
+            cut[going] = to[which]
+            at = at + 1
+        return cut
+
+    def encode(self, ids: list, texts: list[str], turns: list[int] | None = None) -> list[np.ndarray]:
+        """``turns``: the pass in which each document is taken."""
+        if len(self.steps) > CUTS or len(self.unit) > CUTS:
+            self._forget()
+        slots, sizes, fresh = [], [], []
+        for text in texts:
+            units = units_of(text)
+            for unit in units:
+                at = self.unit.get(unit)
+                if at is None:
+                    self.unit[unit] = at = len(self.unit)
+                    fresh.append(unit)
+                slots.append(at)
+            sizes.append(len(units))
+        sizes, slots = np.array(sizes, np.int64), np.array(slots, np.int64)
+        edges = np.r_[0, np.cumsum(sizes)]
+        own = np.array([document_key(d, t, p, self.seed) for d, t, p in zip(ids, texts, turns or [0] * len(texts))], np.uint64)
+        keys = stir(np.repeat(own, sizes) + stir((np.arange(len(slots)) - np.repeat(edges[:-1], sizes)).astype(np.uint64)))
+        if fresh:
+            # Every unit has a row; those that are too long for it have an empty one and no cut.
+            symbols, size, _ = self.model.symbols(fresh)
+            row, short = np.repeat(np.arange(len(fresh)), size), np.repeat(size <= SHORT_UNIT, size)
+            table = np.zeros((len(fresh), SHORT_UNIT), np.int64)
+            table[row[short], (np.arange(len(symbols)) - np.repeat(np.cumsum(size) - size, size))[short]] = symbols[short]
+            begin = len(self.size)
+            self.symbols, self.size = np.concatenate([self.symbols, table]), np.r_[self.size, size]
+            self.root = np.r_[self.root, np.full(len(fresh), -1)]
+            learnt = begin + np.flatnonzero(size <= SHORT_UNIT)
+            if len(learnt):
+                self.root[learnt] = len(self.steps) + np.arange(len(learnt))
+                self._learn(learnt, np.zeros(len(learnt), np.uint64))
+        if not len(slots):
+            return [np.zeros(0, np.uint16) for _ in texts]
+        long = np.flatnonzero(self.size[slots] > SHORT_UNIT)
+        short = np.flatnonzero(self.size[slots] <= SHORT_UNIT)
+        first, count = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
+        cut = self._cut(self.root[slots[short]], keys[short])
+        flat = self.flat
+        first[short], count[short] = self.first[cut], self.count[cut]
+        if len(long):
+            rows, count[long] = self._long(self._named(slots[long]), keys[long])
+            first[long] = len(flat) + np.cumsum(count[long]) - count[long]
+            flat = np.r_[flat, rows]
+        total = np.r_[0, np.cumsum(count)]
+        out = flat[np.repeat(first - total[:-1], count) + np.arange(total[-1])]
+        return [out[total[a]:total[b]] for a, b in zip(edges[:-1], edges[1:])]
+
+    def _named(self, slots: np.ndarray) -> list[str]:
+        names = list(self.unit)
+        return [names[s] for s in slots]
+
+    def _long(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        symbols, size, _ = self.model.symbols(units)
+        longest, counts = size > LONG_UNIT, np.zeros(len(units), np.int64)
+        edges, parts = np.r_[0, np.cumsum(size)], np.empty(len(units), object)
+        some = np.flatnonzero(~longest)
+        if len(some):
+            rows, counts[some] = _together(self.model, symbols[~np.repeat(longest, size)], size[some], keys[some], self.rate)
+            for i, part in zip(some, np.split(rows, np.cumsum(counts[some])[:-1])):
+                parts[i] = part
+        for i in np.flatnonzero(longest):
+            parts[i] = np.array(agenda(self.model, symbols[edges[i]:edges[i + 1]].tolist(), keys[i], self.rate), np.int64)
+            counts[i] = len(parts[i])
+        return self._bytes(np.concatenate(list(parts))).astype(np.uint16), counts
+
+
 def decode(m: Model, ids) -> str:
     """The text that was encoded, to the last character."""
     return b"".join([m.bytes[i] for i in ids])[1:].decode("utf-8")
 
 
-def _encode(batches, path: str, rate: float, seed: int, variants: int):
-    own = Encoder(path, rate, seed, variants)
+def _encode(batches, path: str, rate: float, seed: int, variants: int | None):
+    """Without ``variants`` every occurrence is cut by itself, and the third column is the pass."""
+    own = OccurrenceEncoder(path, rate, seed) if variants is None else Encoder(path, rate, seed, variants)
     for batch in batches:
         names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         low, size = 0, 0
         for i, text in enumerate(texts):
             size += len(text)
             if size >= PART or i == len(texts) - 1:
-                parts = own.encode(names[low:i + 1], texts[low:i + 1])
+                turns = [batch.column(2)[low:i + 1].to_pylist()] if variants is None else []
+                parts = own.encode(names[low:i + 1], texts[low:i + 1], *turns)
                 offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
                 pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32)))
                 lossless = [decode(own.model, p.tolist()) == t for p, t in zip(parts, texts[low:i + 1])]
-                yield pa.RecordBatch.from_arrays([batch.column(k)[low:i + 1] for k in range(batch.num_columns)] + [pieces, pa.array(lossless)],
-                                                 names=[*batch.schema.names, "pieces", "lossless"])
+                yield pa.RecordBatch.from_arrays([batch.column(k)[low:i + 1] for k in range(2)] + [pieces, pa.array(lossless)],
+                                                 names=[*batch.schema.names[:2], "pieces", "lossless"])
                 low, size = i + 1, 0
 
 
@@ -290,6 +488,17 @@ def encode_pieces(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 17,
     return rows.mapInArrow(lambda b: _encode(b, path, rate, seed, variants), "doc_id long, text string, pieces array<int>, lossless boolean")
 
 
+def encode_occurrences(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", pass_col: str = "pass") -> DataFrame:
+    """doc_id, text, pieces, lossless for every row, as ``encode_pieces``, but each occurrence of a unit is cut by choices of its own.
+
+    ``pass_col``, if ``docs`` has it, is the pass in which a mix takes the document: two passes are cut differently. Rows that
+    repeat doc_id, text and pass are encoded alike.
+    """
+    turn = F.coalesce(docs[pass_col].cast("bigint"), F.lit(0)) if pass_col in docs.columns else F.lit(0).cast("bigint")
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), turn.cast("bigint").alias("pass"))
+    return rows.mapInArrow(lambda b: _encode(b, path, rate, seed, None), "doc_id long, text string, pieces array<int>, lossless boolean")
+
+
 def model_path(name: str = "piece_bpe_32k.model") -> str:
     """Where the installed collection of public tokenizers keeps a model."""
     import public_tokenizers

@@ -11,7 +11,7 @@ from .html_text import extract_text
 from .jaccard_join import jaccard_components
 from .licenses import TEMPLATES, WORD_CLASS, scan_licenses
 from .mixing import BLOCK_WORDS, PRIMES, Mix
-from .pieces import encode_pieces, model_path
+from .pieces import encode_occurrences, model_path
 from .repeated_windows import remove_repeats
 from .toxicity import held_out, toxicity
 from .url_lists import host_of, first_segment, judge
@@ -182,5 +182,5 @@ def op9_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @register()
 def op10_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = encode_pieces(table(spark, folder, "documents"), model_path())
+    encoded = encode_occurrences(table(spark, folder, "documents"), model_path())
     return encoded.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", "lossless")
