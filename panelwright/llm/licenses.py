@@ -3,12 +3,15 @@
 Every line of a text and the whole text are passages. Two sets of a and b bigrams reach a coefficient of t only if b lies
 between a * t / (2 - t) and a * (2 - t) / t, so sorted template sizes leave a passage with few candidates, and an index of the
 templates' bigrams counts the common ones of all candidates at once.
+
+``scan_notices`` looks at every window of words instead, across lines and within them: of the windows that reach the least
+coefficient the best are kept, and what overlaps them is merged into them.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -45,6 +48,7 @@ WORD_CLASS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORDS = re.compile(WORD_CLASS)
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _HITS = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("license", pa.string()), ("dice", pa.float64())])
+_NOTICES = pa.schema([("doc_id", pa.int64()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("first_word", pa.int64()), ("n_words", pa.int32()), ("license", pa.string()), ("dice", pa.float64())])
 
 
 def bigrams(words: list[str]) -> set:
@@ -78,6 +82,67 @@ class Templates:
         scored = [(-2 * n / (size + self.sizes[i]), self.names[i]) for i, n in common.items() if 2 * n >= self.least * (size + self.sizes[i])]
         return (min(scored)[1], -min(scored)[0]) if scored else None
 
+    def windows(self, words: list[str]) -> list:
+        """(dice, license, first word, behind the last word) of the best windows, in order; none overlap.
+
+        A window of a template of a bigrams has up to a * (2 - t) / t of them, repeated ones counted. Of the overlapping windows of a
+        template the closest stays, then the shorter, the earlier; of those of several templates the one with the most common bigrams (a note is
+        part of a header), then the closest, the first name. A window that begins or ends with a bigram the template lacks is never closer than
+        without it, so windows run from one of the template's bigrams to another.
+        """
+        places = defaultdict(list)
+        for at, pair in enumerate(zip(words, words[1:])):
+            if pair[0] in self.firsts and pair in self.holders:
+                for i in self.holders[pair]:
+                    places[i].append(at)
+        best = []
+        for i, at in places.items():
+            found, a = [], self.sizes[i]
+            longest, fewest = int(a * (2 - self.least) / self.least + 1e-9), a * self.least / (2 - self.least) - 1e-9
+            for k, first in enumerate(at):
+                behind = bisect_left(at, first + longest, k)
+                if behind - k < fewest:
+                    continue
+                seen, common, known = set(), set(), first
+                for last in at[k:behind]:
+                    seen.update(zip(words[known:last + 1], words[known + 1:last + 2]))
+                    known = last + 1
+                    common.add((words[last], words[last + 1]))
+                    if 2 * len(common) >= self.least * (a + len(seen)):
+                        found.append((-2 * len(common) / (a + len(seen)), last + 2 - first, first, len(common)))
+            best += [(-common, dice, self.names[i], first, n) for dice, n, first, common in apart(sorted(found), lambda w: (w[2], w[2] + w[1]))]
+        kept = apart(sorted(best), lambda w: (w[3], w[3] + w[4]))
+        return sorted(((-dice, name, first, first + n) for _, dice, name, first, n in kept), key=lambda w: w[2])
+
+
+def apart(rows: list, span) -> list:
+    """The rows whose span (first, behind) overlaps that of no row kept before."""
+    taken, out = [], []
+    for row in rows:
+        first, behind = span(row)
+        k = bisect_left(taken, (first, first))
+        if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or taken[k][0] >= behind):
+            insort(taken, (first, behind))
+            out.append(row)
+    return out
+
+
+def _scan_windows(batches, templates: dict[str, str], least: float):
+    known = Templates(templates, least)
+    for batch in batches:
+        rows = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            text = text.translate(_LOWER)
+            hits = known.windows(_WORDS.findall(text))
+            if hits:
+                ends, total = [], 0
+                for line in text.split("\n"):
+                    total += len(_WORDS.findall(line))
+                    ends.append(total)
+                rows += [(doc_id, bisect_right(ends, a) + 1, bisect_right(ends, z - 1) + 1, a, z - a, name, dice) for dice, name, a, z in hits]
+        columns = list(zip(*rows)) if rows else [()] * len(_NOTICES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _NOTICES)], schema=_NOTICES)
+
 
 def _scan(batches, templates: dict[str, str], least: float):
     known = Templates(templates, least)
@@ -108,3 +173,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     """
     known = TEMPLATES if templates is None else templates
     return id_and_text(docs, id_col, text_col).mapInArrow(lambda b: _scan(b, known, least), "doc_id long, line int, license string, dice double")
+
+
+def scan_notices(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, first_line, last_line (from 1), first_word (from 0), n_words, license, dice: every notice, wherever it stands in a text.
+
+    * A notice may go over several lines or share its lines with other text. Notices of a document do not overlap.
+    * Null, empty and blank texts have no notice. A null doc_id is returned as it is; rows that repeat are scanned one by one.
+    * An empty table, or no template, gives an empty result. Other columns are ignored.
+    """
+    known = TEMPLATES if templates is None else templates
+    return id_and_text(docs, id_col, text_col).mapInArrow(lambda b: _scan_windows(b, known, least),
+                                                          "doc_id long, first_line int, last_line int, first_word long, n_words int, license string, dice double")

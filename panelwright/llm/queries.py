@@ -9,7 +9,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .jaccard_join import jaccard_components
-from .licenses import TEMPLATES, WORD_CLASS, scan_licenses
+from .licenses import TEMPLATES, WORD_CLASS, scan_licenses, scan_notices
 from .mixing import BLOCK_WORDS, PRIMES, Mix
 from .pieces import encode_occurrences, model_path
 from .repeated_windows import remove_repeats
@@ -169,6 +169,12 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents"))
 
 
+@register()
+def op7_license_notices(spark: SparkSession, folder: str) -> DataFrame:
+    """Notices over several lines and within lines; the SQL of ``op7_license_scan`` knows lines and whole texts only."""
+    return scan_notices(table(spark, folder, "documents"))
+
+
 @register()
 def op8_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     scores = toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))

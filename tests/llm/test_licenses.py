@@ -42,3 +42,63 @@ def test_changed_templates_and_odd_rows(spark):
 def test_empty_tables(spark):
     assert lc.scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
     assert lc.scan_licenses(spark.createDataFrame([(1, "Released under the MIT License.", "x", 1, "y")], SCHEMA), {}).count() == 0
+
+
+def brute_windows(words, templates, least):
+    """Every window of every length against every template."""
+    def apart(rows):
+        out = []
+        for row in sorted(rows):
+            if all(row[-2] + row[-1] <= a or a + n <= row[-2] for *_, a, n in out):
+                out.append(row)
+        return out
+
+    best = []
+    for name, text in templates.items():
+        own = lc.bigrams(re.findall(lc.WORD_CLASS, text.lower()))
+        found = []
+        for a in range(len(words)):
+            for n in range(1, int(len(own) * (2 - least) / least + 1e-9) + 1):
+                b = lc.bigrams(words[a:a + n + 1])
+                if a + n < len(words) and 2 * len(b & own) >= least * (len(b) + len(own)):
+                    found.append((-2 * len(b & own) / (len(b) + len(own)), n + 1, a, len(b & own), a, n + 1))
+        best += [(-common, dice, name, a, n) for dice, n, a, common, *_ in apart(found)]
+    return sorted([(-dice, name, a, a + n) for _, dice, name, a, n in apart(best)], key=lambda w: w[2])
+
+
+def test_windows_against_all_windows():
+    rng = random.Random(5)
+    some = {n: lc.TEMPLATES[n] for n in ("mit-note", "all-rights-reserved", "cc-by-4.0", "cc-by-sa-4.0", "cc-by-sa-long", "mit-notice", "isc")}
+    known, hits = lc.Templates(some, 0.8), 0
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randrange(5)):
+            words += [rng.choice(["the", "license", "under", "software", "x", "all", "x"]) for _ in range(rng.randrange(6))]
+            notice = re.findall(lc.WORD_CLASS, rng.choice(list(some.values())).lower())
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                notice[rng.randrange(len(notice))] = rng.choice(["other", "the", "x"])
+            words += notice
+        want = brute_windows(words, some, 0.8)
+        hits += len(want)
+        assert known.windows(words) == want
+    assert hits > 100
+
+
+def test_notices_over_several_lines_and_within_lines(spark, tmp_path):
+    import textwrap
+
+    from panelwright.llm.queries import QUERIES
+
+    code, rows, want = "\n".join(f"int f{i}(int a) {{ return a + {i}; }}" for i in range(80)), [], set()
+    for i, (name, text) in enumerate(sorted(lc.TEMPLATES.items())):
+        wrapped = textwrap.wrap(text, 70)
+        rows.append((i, "/*\n" + "\n".join(" * " + line for line in wrapped) + "\n */\n" + code, "x", 1, "y"))
+        rows.append((100 + i, f"Some words come first, in {i} lines. {text} More words follow it, as they do.\n{code}", "x", 1, "y"))
+        want |= {(i, 2, 1 + len(wrapped), name), (100 + i, 1, 1, name)}
+    rows += [(300, None, "x", 1, "y"), (301, "", "x", 1, "y"), (None, f"{lc.TEMPLATES['mit-note']} {lc.TEMPLATES['mit-note']}\nand {lc.TEMPLATES['isc']}", "x", 1, "y")]
+    want |= {(None, 1, 1, "mit-note"), (None, 2, 2, "isc")}
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op7_license_notices"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.first_line, r.last_line, r.license) for r in got} == want and len(got) == len(want) + 1
+    assert all(r.dice == 1 for r in got)
+    assert lc.scan_notices(spark.createDataFrame([], SCHEMA)).count() == 0 and lc.scan_notices(spark.createDataFrame(rows, SCHEMA), {}).count() == 0
