@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Parts that are never main text (scripts, navigation, forms, and elements whose class, id or role says advert, comment,
-sidebar and the like) leave the tree first. Every paragraph earns points for being there, for its length and for its
+sidebar and the like) leave the tree first. A name says so if it ends in such a word ("reader-comments", "ad-slot"); one that only
+holds it ("side-effects") lowers the points of an element in an article or with much text. Every paragraph earns points for being there, for its length and for its
 commas; it passes them to its parent, half of them to the grandparent, a third to the next, less at each step. An ancestor's
 points are discounted by the share of its text that is links. The best container is kept, and those of its siblings that
 reach a fifth of its points or are plain paragraphs beside it; nothing inside them is dropped or cut.
@@ -37,32 +38,46 @@ NEVER_ROLES = frozenset("navigation banner complementary contentinfo search form
 NEVER_WORDS = frozenset(("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner comment comments commentlist disqus reply replies respond "
                          "sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal "
                          "overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toc skip hidden offscreen").split())
-#: Words that keep an element whatever else its class says.
+#: Words behind which a name says nothing more about what an element is.
+STRUCTURAL = frozenset("list lists item items section area wrap wrapper container box block bar top bottom left right thread count counter link links posts articles stories button buttons icon icons "
+                       "inner outer row col column panel module unit slot holder form header title heading body text group zone region".split())
+#: A layout that has, or lacks, such a part.
+WITH = frozenset("has with no without".split())
+#: Ordinary nouns: ids in articles, and of elements that begin with a heading, are often made of titles; a class may mark a remark.
+PLAIN_IDS = frozenset("side rail share sharing skip foot hidden reply replies respond menu login signup alert notice notices overlay modal popup banner promotion social subscription toc".split())
+PLAIN_CLASSES = frozenset("side skip foot alert notice notices".split())
+#: Characters of unlinked paragraphs that are much text, and what is left of an element's points if a name casts doubt on it.
+MUCH_TEXT = 200
+DOUBT = 0.2
+#: Words that keep an element whatever other names its class has; one of NEVER_WORDS behind it in the same name wins.
 KEEP_WORDS = frozenset("article content main post entry story".split())
 BONUS = {"article": 25.0, "main": 15.0}
 
 
 class _Node:
-    __slots__ = ("tag", "words", "role", "children", "parent", "points", "text", "linked")
+    __slots__ = ("tag", "words", "role", "children", "parent", "points", "text", "linked", "names", "doubt")
 
-    def __init__(self, tag: str, parent=None, words=(), role: str = ""):
-        self.tag, self.parent, self.words, self.role = tag, parent, words, role
+    def __init__(self, tag: str, parent=None, words=(), role: str = "", names=()):
+        self.tag, self.parent, self.words, self.role, self.names, self.doubt = tag, parent, words, role, names, False
         self.children: list = []
         self.points, self.text, self.linked = 0.0, 0, 0
 
 
-def _attributes(raw: str) -> tuple[list, str, bool]:
-    """Words of class and id, the role, and whether the element is hidden."""
-    words, role, hidden = [], "", False
+def _attributes(raw: str) -> tuple[list, str, bool, list]:
+    """Words of class and id, the role, whether the element is hidden, and each name: whether it is an id, and its words."""
+    words, role, hidden, names = [], "", False, []
     if raw and not raw.isspace():
         for name, a, b, c, bare in _ATTRIBUTE.findall(raw):
             name, value = (name or bare).lower(), html.unescape(a or b or c)
             if name in ("class", "id"):
-                words += [w.lower() for w in _PART.findall(value)]
+                for one in value.split():
+                    parts = [w.lower() for w in _PART.findall(one)]
+                    names.append((name == "id", parts))
+                    words += parts
             elif name == "role":
                 role = value.strip().lower()
             hidden |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower())
-    return words, role, hidden
+    return words, role, hidden, names
 
 
 def parse(page: str) -> _Node:
@@ -96,8 +111,8 @@ def parse(page: str) -> _Node:
                 up = up.parent
             if last is not None:
                 node = last.parent
-        words, role, hidden = _attributes(m[3])
-        child = _Node("template" if hidden else tag, node, words, role)
+        words, role, hidden, names = _attributes(m[3])
+        child = _Node("template" if hidden else tag, node, words, role, names)
         node.children.append(child)
         if tag in RAW:
             # Searched in the page itself: lower() moves what stands behind letters like U+0130.
@@ -117,9 +132,67 @@ def _unwanted(node: _Node, inside: bool) -> bool:
         return True
     if node.tag == "header":
         return not inside
-    if node.tag in ("body", "article", "main") and not NEVER_WORDS.intersection(node.words[:1]):
+    if node.tag in ("body", "main") or not NEVER_WORDS.intersection(node.words):
         return False
-    return bool(NEVER_WORDS.intersection(node.words)) and not KEEP_WORDS.intersection(node.words)
+    if node.tag == "article":
+        return _says(node, *node.names[0], inside) == "never"
+    said = {_says(node, own_id, parts, inside) for own_id, parts in node.names}
+    if "behind" in said:
+        return True
+    if KEEP_WORDS.intersection(node.words) or not said & {"never", "doubt"}:
+        return False
+    if "never" in said:
+        return True
+    node.doubt = True
+    return not inside and _paragraph_text(node) < MUCH_TEXT
+
+
+def _says(node: _Node, own_id: bool, parts: list, inside: bool) -> str:
+    """What a name says: "never" main text, the same "behind" a word that keeps, "doubt", or nothing."""
+    never = NEVER_WORDS.intersection(parts)
+    if not never or parts[0] in WITH:
+        return ""
+    last = len(parts)
+    while last and (parts[last - 1] in STRUCTURAL or len(parts[last - 1]) == 1):
+        last -= 1
+    sure = last and parts[last - 1] in NEVER_WORDS
+    if own_id:
+        if node.tag in PARAGRAPHS:
+            return ""
+        headed = _begins_with_heading(node)
+        if headed and not all(w in NEVER_WORDS or w in STRUCTURAL or w in KEEP_WORDS or len(w) == 1 for w in parts):
+            return ""
+        if (headed or inside) and never <= PLAIN_IDS:
+            return ""
+    elif inside and never <= PLAIN_CLASSES:
+        return ""
+    if not sure:
+        return "doubt"
+    return "behind" if KEEP_WORDS.intersection(parts[:last]) else "never"
+
+
+def _begins_with_heading(node: _Node) -> bool:
+    for _ in range(4):
+        first = next((c for c in node.children if not isinstance(c, str) or not c.isspace()), None)
+        if first is None or isinstance(first, str):
+            return False
+        if first.tag in HEADINGS:
+            return True
+        node = first
+    return False
+
+
+def _paragraph_text(node: _Node) -> int:
+    """Characters of paragraphs without their links, counted up to MUCH_TEXT."""
+    total, stack = 0, [(node, node.tag in PARAGRAPHS)]
+    while stack and total < MUCH_TEXT:
+        at, counts = stack.pop()
+        for c in at.children:
+            if isinstance(c, str):
+                total += len(c.strip()) if counts else 0
+            elif c.tag != "a" and c.tag not in NEVER:
+                stack.append((c, counts or c.tag in PARAGRAPHS))
+    return total
 
 
 def _prune(root: _Node) -> None:
@@ -167,7 +240,7 @@ def _score(nodes: list) -> None:
             up, step = up.parent, step + 1
     for node in nodes:
         if node.points:
-            node.points = (node.points + BONUS.get(node.tag, 0.0)) * (1 - node.linked / max(node.text, 1))
+            node.points = (node.points + BONUS.get(node.tag, 0.0)) * (1 - node.linked / max(node.text, 1)) * (DOUBT if node.doubt else 1)
 
 
 def _kept(root: _Node) -> list:

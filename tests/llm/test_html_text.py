@@ -46,6 +46,26 @@ def test_letters_that_change_length_in_lower_case():
     assert main_text("<article><p>one</p><script>'</\u017fcript>' hidden</script><p>two</p></article>") == "one\ntwo"
 
 
+def test_names_made_of_titles_keep_their_text():
+    body = """<h1>Title</h1><section id="side-effects"><h2>Side effects</h2><p>Nausea, mostly.</p></section><h2 id="related-work">Related work</h2><p>Others, too.</p>
+<div id="alert-rules"><p>Rules, of alerts.</p></div><p id="ad-hoc-queries">Queries, ad hoc.</p><div class="alert"><p>Mind, the gap.</p></div><section id="market-share"><h3>Market share</h3><p>Half, or so.</p></section>"""
+    want = "Title\nSide effects\nNausea, mostly.\nRelated work\nOthers, too.\nRules, of alerts.\nQueries, ad hoc.\nMind, the gap.\nMarket share\nHalf, or so."
+    assert main_text(PAGE.format(main=f"<article>{body}</article>")) == want
+    assert main_text(PAGE.format(main=f"<main>{body}</main>")) == want
+    sections = "".join(f'<section id="{name}"><h2>Part</h2><p>Text, of {name}.</p></section>' for name in ("side-effects", "related-work", "notice-periods"))
+    assert main_text(PAGE.format(main=f"<div>{sections}</div>")).count("Text, of") == 3
+    assert main_text(PAGE.format(main=f'<div class="sidebar-layout-x has-ads"><div><p>{"Long, text. " * 40}</p></div></div>')).count("Long, text.") == 40
+    assert main_text("<body class='side-effects'><article><p>One, two.</p></article>") == "One, two."
+
+
+def test_words_that_keep_do_not_keep_comments_and_adverts():
+    long = "A reader, with a long, long, comma-rich remark, goes on. " * 8
+    for name in ("post-comments", "content-ad", "article-share", "post-comments-list", "entry__related", "reader-comments", "ad-slot"):
+        for main in (f'<article><p>Text, of it.</p><div class="{name}"><p>{long}</p></div></article>', f'<article><p>Text, of it.</p></article><div class="{name}"><p>{long}</p></div>'):
+            assert main_text(PAGE.format(main=main)) == "Text, of it.", main
+    assert main_text(PAGE.format(main='<article><p>Text, of it.</p><section id="comments"><h2>Comments</h2><p>No, no.</p></section></article>')) == "Text, of it."
+
+
 def test_whole_table(spark):
     rng = random.Random(1)
     rows, want = [], {}
