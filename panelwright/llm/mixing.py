@@ -1,10 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The documents of a source form one stream of words, cut into blocks of fixed length. A source's target becomes slots: whole
-passes over its blocks and a last partial pass. Every slot falls on an output shard by a keyed hash, so the counts that a shard draws
-from the sources are multinomial while each source's total is exact; within a pass, slots go through a pseudorandom
-permutation of the block indexes of their source; blocks are joined to slots by index. The last slot of a partial pass is cut, so a
-source gives its target to the word, and a document is never taken more than ``cap`` times.
+passes over its blocks and a last partial pass, with exact totals; no counts are drawn at random. A keyed hash names a shard for every
+slot, which nothing here writes. Within a pass, slots go through the blocks of their source by a stride; blocks are joined to slots
+by index. The last slot of a partial pass is cut, so a source gives its target to the word, and a document is never taken more
+than ``cap`` times.
 """
 
 from __future__ import annotations
