@@ -138,6 +138,22 @@ def _token_counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("stem", "token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _least_hashes(label: DataFrame) -> DataFrame:
+    """Rows of every class below a hash that leaves somewhat more than SAMPLE_DOCS of them: all that can be in the sample."""
+    label = materialise(label.withColumn("hash", F.xxhash64("labelled")))
+    chosen = F.lit(False)
+    for toxic, n in label.groupBy("toxic").count().collect():
+        own, share = F.col("toxic") == toxic, 1.2 * SAMPLE_DOCS / n
+        while share < 1:
+            below = own & (F.col("hash") < F.lit(int(share * 2.0**64) - 2**63))
+            if label.where(below).count() >= SAMPLE_DOCS:
+                own = below
+                break
+            share *= 2
+        chosen |= own
+    return label.where(chosen)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     """Fit on at most SAMPLE_DOCS labelled documents of each class, by the smallest hashes of their doc_ids.
 
@@ -146,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     """
     label = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
              .groupBy(F.col("doc_id").cast("bigint").alias("labelled")).agg(F.max("toxic").alias("toxic")))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("labelled"), "labelled")
-    label = label.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
+    order = Window.partitionBy("toxic").orderBy("hash", "labelled")
+    label = _least_hashes(label).withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
     rows = id_and_text(docs)
     # The labels of the sample are at most 2 * SAMPLE_DOCS rows of two numbers: small enough for every task.
     sample = materialise(rows.join(F.broadcast(label), rows["doc_id"] == label["labelled"]).select("doc_id", "text", "toxic"))

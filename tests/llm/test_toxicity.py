@@ -88,3 +88,15 @@ def test_empty_tables_and_one_class(spark):
     docs = spark.createDataFrame([(1, "a b", 1, "x", 9)], SCHEMA)
     for x in (label, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")):
         assert [r.score < 0.5 for r in tx.toxicity(docs, x).collect()] == [True]
+
+
+def test_only_labels_that_can_be_in_the_sample_are_ranked(spark, monkeypatch):
+    monkeypatch.setattr(tx, "SAMPLE_DOCS", 200)
+    label = spark.range(6000).select(F.col("id").alias("labelled"), (F.col("id") % 20 == 0).cast("int").alias("toxic"))
+    ranked = tx._least_hashes(label).collect()
+    rows = label.withColumn("hash", F.xxhash64("labelled")).collect()
+    for toxic in (0, 1):
+        own = sorted((r.hash, r.labelled) for r in ranked if r.toxic == toxic)
+        assert own[:200] == sorted((r.hash, r.labelled) for r in rows if r.toxic == toxic)[:200] and 200 <= len(own) < 400
+    few = label.where("labelled < 100")
+    assert tx._least_hashes(few).count() == 100 and tx._least_hashes(few.where("toxic = 7")).count() == 0
