@@ -15,6 +15,7 @@ from .pieces import encode_occurrences, model_path
 from .repeated_windows import remove_repeats
 from .toxicity import held_out, toxicity
 from .url_lists import host_of, first_segment, judge
+from .winnowing import decontaminate
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -190,3 +191,22 @@ def op9_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
 def op10_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
     encoded = encode_occurrences(table(spark, folder, "documents"), model_path())
     return encoded.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", "lossless")
+
+
+@register("""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+n AS (SELECT item_id, ws, least(len(ws),10) AS t FROM b WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item_id, t, array_to_string(ws[i:i+t-1],' ') AS g FROM n, unnest(range(1, len(ws)-t+2)) AS u(i)),
+k AS (SELECT DISTINCT t FROM w),
+x AS (SELECT doc_id, i AS s, t, array_to_string(ws[i:i+t-1],' ') AS g FROM d, k, unnest(range(1, len(ws)-t+2)) AS u(i)),
+h AS (SELECT doc_id, s, t, item_id FROM x JOIN w USING (t, g)),
+c AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM h, unnest(range(s, s+t)) AS v(p) GROUP BY 1),
+l AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS items, count(*)::BIGINT AS n_items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit,0)::BIGINT AS n_hit, coalesce(n_items,0)::BIGINT AS n_items, sha256(coalesce(items,'')) AS items_sha256, coalesce(n_hit,0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN l ON d.doc_id = l.doc_id""")
+def op13_winnowing_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda total, span: total + span["end"] - span["begin"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
