@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .alignment import align_tokens
 from .bit_sliced import top_k
 from .common import table
 from .exact_dedup import exact_dedup
@@ -193,6 +194,11 @@ def op10_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
     return encoded.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", "lossless")
 
 
+@register()
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokens(table(spark, folder, "documents"), model_path("byte_bpe_50k.json"), model_path()).drop("links")
+
+
 @register("""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
