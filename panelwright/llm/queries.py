@@ -12,6 +12,7 @@ from .html_text import extract_text
 from .jaccard_join import jaccard_components
 from .licenses import TEMPLATES, WORD_CLASS, scan_licenses, scan_notices
 from .mixing import BLOCK_WORDS, PRIMES, Mix
+from .prefix_trie import conversation_trie
 from .pieces import encode_occurrences, model_path
 from .repeated_windows import remove_repeats
 from .toxicity import held_out, toxicity
@@ -199,6 +200,34 @@ def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align_tokens(table(spark, folder, "documents"), model_path("byte_bpe_50k.json"), model_path()).drop("links")
 
 
+def _trie_sql() -> str:
+    steps = [0] * 16
+    for n in range(16):
+        steps[n] = n
+        for _ in range(4):
+            steps[n] = steps[n] >> 1 ^ (0xEDB88320 if steps[n] & 1 else 0)
+    nibbles = "list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(c::VARCHAR)+1), lambda i: [(ascii(substr(c::VARCHAR,i::INT,1)) & 15)::BIGINT, (ascii(substr(c::VARCHAR,i::INT,1)) >> 4)::BIGINT])))"
+    return f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role,''), coalesce(text,'')) - 1 AS pos,
+  md5(length(coalesce(role,''))||':'||coalesce(role,'')||coalesce(text,'')) AS k, strlen(coalesce(text,''))::BIGINT AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS len, c - c % 5 AS base FROM t GROUP BY c),
+h AS (SELECT *, xor(list_reduce({nibbles}, lambda a, b: xor(a >> 4, ({steps}::BIGINT[])[(xor(a, b) & 15) + 1])), 4294967295) % 9 AS h FROM n),
+v AS (SELECT h.c, h.h, h.base, least(h.h, coalesce(b.len,0)) AS m, least(h.h, coalesce(b.len,0)) + greatest(h.len - h.h, 0) AS n_turns FROM h LEFT JOIN n b ON b.c = h.base),
+r AS (SELECT v.c, m + pos - h + 1 AS depth, k, bytes, n_turns FROM t JOIN v ON t.c = v.c WHERE pos >= h UNION ALL SELECT v.c, pos + 1, k, bytes, n_turns FROM t JOIN v ON t.c = v.base WHERE pos < h),
+p AS (SELECT c, depth, md5(string_agg(k, '') OVER (PARTITION BY c ORDER BY depth ROWS UNBOUNDED PRECEDING)) AS k, bytes, n_turns FROM r UNION ALL SELECT c, 0, '', 0, n_turns FROM v),
+o AS (SELECT depth, k, min(c) AS conv_id, count(*)::BIGINT AS n_convs, max(bytes) AS bytes, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE depth = n_turns), '') AS ends FROM p GROUP BY depth, k),
+q AS (SELECT o.*, u.conv_id AS parent_conv_id, u.k AS up FROM o LEFT JOIN p ON p.c = o.conv_id AND p.depth = o.depth - 1 LEFT JOIN o u ON u.depth = p.depth AND u.k = p.k),
+d AS (SELECT depth - 1 AS depth, up AS k, count(*)::BIGINT AS n_children FROM q WHERE depth > 0 GROUP BY 1, 2),
+x AS (SELECT q.*, coalesce(n_children,0)::BIGINT AS n_children FROM q LEFT JOIN d USING (depth, k)),
+s AS (SELECT p.depth, p.k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n_convs-1)*x.bytes)::BIGINT AS saved_tokens FROM x JOIN p ON p.c = x.conv_id AND p.depth <= x.depth GROUP BY 1, 2)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM x JOIN s USING (depth, k)"""
+
+
+@register(_trie_sql())
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(table(spark, folder, "conversations"))
+
+
 @register("""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
