@@ -18,13 +18,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright.session import materialise
 
 #: Characters of text that are aligned at a time, and units that a worker remembers.
-PART = 1 << 20
-REMEMBERED = 300_000
+PART = 1 << 19
+REMEMBERED = 200_000
+#: Links that are judged at a time, and new units that are encoded as one text.
+LINKS = 1 << 19
+JOINED = 100
 #: Pairs of two vocabularies that may be broadcast (16 bytes each).
 MOST_PAIRS = 1 << 24
 #: Unicode white space.
@@ -80,8 +84,10 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b, self.of_a, self.of_b = vocabularies(path_a, path_b)
-        self.len_a, self.len_b = (np.array([len(t) for t in of], np.int64) for of in (self.of_a, self.of_b))
-        self.name_a, self.name_b = ([str(i) for i in range(len(of))] for of in (self.of_a, self.of_b))
+        self.length = [np.array([len(t) for t in of], np.int64) for of in (self.of_a, self.of_b)]
+        self.begin = [np.cumsum(n) - n for n in self.length]
+        self.flat = [np.frombuffer(b"".join(of), np.uint8) for of in (self.of_a, self.of_b)]
+        self.names = [str(i).encode() + end for of, ends in ((self.of_a, (b",", b"|")), (self.of_b, (b",", b";"))) for i in range(len(of)) for end in ends]
         self._forget()
 
     def _forget(self) -> None:
@@ -97,68 +103,84 @@ class Aligner:
 
     def _learn(self, units: list[str]) -> None:
         """The tokens, their ends and the groups of new units; a unit whose tokens are not its bytes gets -1 tokens."""
-        raw = [u.encode() for u in units]
+        # Units follow one another in a text as they are, but for white space at the end and U+2581, which may join what comes next.
+        alone = [u[-1] in SPACES or "▁" in u for u in units]
+        order = [i for i, own in enumerate(alone) if not own]
+        texts = ["".join([units[i] for i in order[k:k + JOINED]]) for k in range(0, len(order), JOINED)]
+        order += [i for i, own in enumerate(alone) if own]
+        texts += [u for u, own in zip(units, alone) if own]
+        raw = [units[i].encode() for i in order]
         size = np.array([len(r) for r in raw])
         base = np.cumsum(size) - size
-        ids_a, ends_a, count_a, good_a = self._first(units, raw, base)
-        ids_b, ends_b, count_b, good_b = self._second(units, raw, base)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        self.base, self.size, self.data = base, size, data
+        ids_a, ends_a, of_a, good_a = self._placed(*self._first(texts), self.length[0], self.flat[0], self.begin[0])
+        ids_b, ends_b, of_b, good_b = self._placed(*self._second(texts), self.length[1], self.flat[1], self.begin[1])
         good = good_a & good_b
-        of_a, of_b = np.repeat(np.arange(len(units)), count_a), np.repeat(np.arange(len(units)), count_b)
+        count_a, count_b = (np.bincount(of, minlength=len(raw)) for of in (of_a, of_b))
         in_a, in_b = good[of_a], good[of_b]
         ids_a, ends_a, of_a, ids_b, ends_b, of_b = ids_a[in_a], ends_a[in_a], of_a[in_a], ids_b[in_b], ends_b[in_b], of_b[in_b]
         # Ends are places in all units in a row, so they ascend, and an end in both lists is a common border.
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        ends, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
         links = ids_b[at_b] * len(self.of_a) + ids_a[at_a]
-        n_links = np.bincount(of_a[at_a], minlength=len(units)).astype(np.int64)
-        a, b, low_a, low_b, k = ids_a.tolist(), ids_b.tolist(), 0, 0, 0
-        at_a, at_b = (at_a + 1).tolist(), (at_b + 1).tolist()
-        for n in n_links.tolist():
-            groups = []
-            for i in range(k, k + n):
-                groups.append(",".join([self.name_a[x] for x in a[low_a:at_a[i]]]) + "|" + ",".join([self.name_b[x] for x in b[low_b:at_b[i]]]))
-                low_a, low_b = at_a[i], at_b[i]
-            k += n
-            self.shown.append(";".join(groups).encode())
-        self.first.append(self.links_held + np.cumsum(n_links) - n_links)
+        n_links = np.bincount(of_a[at_a], minlength=len(raw)).astype(np.int64)
+        # A token is followed by a comma; the last ones of a group by a bar and a semicolon.
+        group = np.r_[2 * np.searchsorted(ends, ends_a), 2 * np.searchsorted(ends, ends_b) + 1]
+        name = np.r_[2 * ids_a, 2 * (len(self.of_a) + ids_b)]
+        name[np.r_[at_a, len(ids_a) + at_b]] += 1
+        names = self.names
+        shown = [names[i] for i in name[np.argsort(group, kind="stable")].tolist()]
+        edges = np.r_[0, np.cumsum(np.where(good, count_a + count_b, 0))].tolist()
+        text = [b"".join(shown[i:j])[:-1] for i, j in zip(edges[:-1], edges[1:])]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.shown += [text[i] for i in back.tolist()]
+        self.first.append((self.links_held + np.cumsum(n_links) - n_links)[back])
         self.links_held += len(links)
-        self.n_a.append(np.where(good, count_a, -1))
-        self.n_b.append(np.where(good, count_b, -1))
-        self.n_links.append(n_links)
+        self.n_a.append(np.where(good, count_a, -1)[back])
+        self.n_b.append(np.where(good, count_b, -1)[back])
+        self.n_links.append(n_links[back])
         self.links.append(links)
 
-    def _first(self, units, raw, base):
-        encoded = self.a.encode_batch(units, add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        count = np.array([len(x) for x in ids])
-        cuts = np.array([c for e in encoded for c in e.offsets], np.int64).reshape(-1, 2)
-        chars = np.array([len(u) for u in units])
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
+    def _first(self, texts: list[str]):
+        """Ids of the first tokenizer, and the bytes at which its character offsets begin and end, in all texts in a row."""
+        encoded = self.a.encode_batch(texts, add_special_tokens=False)
+        ids = np.array([i for e in encoded for i in e.ids], np.int64)
+        cuts = np.array([x for e in encoded for cut in e.offsets for x in cut], np.int64).reshape(-1, 2)
+        chars = np.array([len(t) for t in texts])
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
         place = np.r_[0, np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))]
-        head = np.repeat(np.cumsum(chars) - chars, count)
-        return self._placed(ids, count, place[head + cuts[:, 0]], place[head + cuts[:, 1]], self.len_a, self.of_a, raw, base)
-
-    def _second(self, units, raw, base):
-        encoded = self.b.encode([u[1:] for u in units], return_type="proto", num_threads=1)
-        pieces = [e.pieces for e in encoded]
-        ids = [[p.id for p in some] for some in pieces]
-        count = np.array([len(x) for x in ids])
-        begin, end = (np.array([getattr(p, name) for some in pieces for p in some], np.int64) + 1 for name in ("begin", "end"))
+        head = np.repeat(np.cumsum(chars) - chars, [len(e) for e in encoded])
+        return ids, place[head + cuts[:, 0]], place[head + cuts[:, 1]]
+
+    def _second(self, texts: list[str]):
+        """Ids of the second tokenizer, and its spans in bytes; the blank in front of a text belongs to its first piece."""
+        encoded = [e.pieces for e in self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)]
+        rows = np.array([x for pieces in encoded for p in pieces for x in (p.id, p.begin, p.end)], np.int64).reshape(-1, 3)
+        count, size = np.array([len(x) for x in encoded]), np.array([len(t.encode()) for t in texts])
+        head = np.repeat(np.cumsum(size) - size, count)
+        begin = head + rows[:, 1] + 1
         heads = (np.cumsum(count) - count)[count > 0]
-        begin[heads] = 0  # the blank in front belongs to the first piece
-        head = np.repeat(base, count)
-        return self._placed(ids, count, head + begin, head + end, self.len_b, self.of_b, raw, base)
-
-    @staticmethod
-    def _placed(ids, count, begin, end, length, of, raw, base):
-        """Ids and ends of all tokens in a row, tokens per unit, and whether the tokens of a unit are its bytes."""
-        flat = np.array([i for x in ids for i in x], np.int64)
-        own = length[flat]
-        total = np.r_[0, np.cumsum(own)]
-        heads = np.cumsum(count) - count
-        decoded = np.repeat(base - total[heads], count) + total[1:]
+        begin[heads] = head[heads]
+        return rows[:, 0], begin, head + rows[:, 2] + 1
+
+    def _placed(self, ids, begin, end, length, flat, at):
+        """Ids, ends and units of all tokens in a row, and whether the tokens of a unit are its bytes."""
+        own = length[ids]
+        # A part of a character has the cut of the whole character; a byte piece may have an empty one.
+        of = np.searchsorted(self.base, begin, "right") - 1
+        total = np.cumsum(own)
+        sums = np.bincount(of, weights=own, minlength=len(self.size)).astype(np.int64)
+        heads = np.cumsum(sums) - sums
+        decoded = self.base[of] + total - heads[of]
         ends = np.where(end - begin == own, end, decoded)
-        good = np.array([b"".join([of[i] for i in x]) == r for x, r in zip(ids, raw)], bool)
-        return flat, np.where(np.repeat(good, count), ends, decoded), count, good
+        good = sums == self.size
+        fits = good[of]
+        some, start = own[fits], (decoded - own)[fits]
+        place = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+        wrong = flat[np.repeat(at[ids[fits]], some) + place] != self.data[np.repeat(start, some) + place]
+        good[np.repeat(of[fits], some)[wrong]] = False
+        return ids, np.where(good[of], ends, decoded), of, good
 
     def align(self, texts: list[str]):
         """For each text: tokens of both, groups, digest and links."""
@@ -199,32 +221,40 @@ class Aligner:
 
 def _batches(batches, path_a: str, path_b: str):
     own = aligner(path_a, path_b)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        low, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= PART or i == len(texts) - 1:
-                rows = list(own.align(texts[low:i + 1]))
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([ids[low:i + 1], *columns], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
-                low, size = i + 1, 0
+        for part in _parts(batch, pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), PART):
+            rows = own.align(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
+
+
+def _parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int):
+    """Runs of rows of about so much each; a larger row is a part of its own."""
+    if batch.num_rows:
+        edges = np.unique(np.r_[0, np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1, batch.num_rows])
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            yield batch.slice(low, high - low)
 
 
 def _links(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """All links of a batch in a row, and how many each row has."""
     parts = [np.frombuffer(x.as_buffer(), kind) for x in column]
-    return np.concatenate(parts) if parts else np.zeros(0, kind), np.array([len(p) for p in parts], np.int64)
+    return np.concatenate([np.zeros(0, kind), *parts]), np.array([len(p) for p in parts], np.int64)
 
 
-def _count(batches, kind: str):
+def _in_parts(batches, column: int, kind: str):
     for batch in batches:
+        yield from _parts(batch, pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize, LINKS)
+
+
+def _count(batches, kind: str):
+    for batch in _in_parts(batches, 0, kind):
         pairs, counts = np.unique(_links(batch.column(0), kind)[0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int64)), pa.array(counts)], names=["pair", "n"])
 
 
-def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, links for every row; ``links`` holds ids of both tokenizers.
+def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", with_links: bool = True) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, links (optional) for every row; ``links`` holds ids of both tokenizers.
 
     A group runs from one place where tokens of both end to the next; the two tokens that end there are linked, so a group has one link. An
     id pair's count is the number of links of the whole table that hold it; ``n_best`` counts links whose pair is (or ties as) the most frequent
@@ -251,15 +281,17 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
 
     def judged(batches):
         known, n, best = shared.value
-        for batch in batches:
+        for batch in _in_parts(batches, 5, kind):
             flat, sizes = _links(batch.column(5), kind)
-            at = np.searchsorted(known, flat)
-            edge = np.r_[0, np.cumsum(sizes)]
-            good, many = (np.diff(np.r_[0, np.cumsum(x[at].astype(np.int64))][edge]) for x in (best, n))
-            ids = flat.astype(np.int64)
-            offsets = pa.array(edge.astype(np.int32))
-            links = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array((ids % size_a).astype(np.int32)), pa.array((ids // size_a).astype(np.int32))], ["a", "b"]))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [batch.column(3), pa.array(good), pa.array(many), batch.column(4), links],
-                                             names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "links"])
-
-    return aligned.mapInArrow(judged, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, links array<struct<a:int,b:int>>")
+            at, edge = np.searchsorted(known, flat), np.r_[0, np.cumsum(sizes)]
+            good, many = (np.diff(np.r_[0, np.cumsum(x[at], dtype=np.int64)][edge]) for x in (best, n))
+            columns = [batch.column(i) for i in range(4)] + [batch.column(3), pa.array(good), pa.array(many), batch.column(4)]
+            if with_links:
+                ids = flat.astype(np.int64)
+                pair = [pa.array((ids % size_a).astype(np.int32)), pa.array((ids // size_a).astype(np.int32))]
+                columns.append(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.StructArray.from_arrays(pair, ["a", "b"])))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string" + ", links array<struct<a:int,b:int>>" * with_links
+    names = [field.split()[0] for field in schema.split(", ")]
+    return aligned.mapInArrow(judged, schema)

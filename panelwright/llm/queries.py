@@ -197,7 +197,7 @@ def op10_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
 
 @register()
 def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
-    return align_tokens(table(spark, folder, "documents"), model_path("byte_bpe_50k.json"), model_path()).drop("links")
+    return align_tokens(table(spark, folder, "documents"), model_path("byte_bpe_50k.json"), model_path(), with_links=False)
 
 
 def _trie_sql() -> str:
