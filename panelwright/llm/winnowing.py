@@ -88,7 +88,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_co
     met = prints.join(windows.select("span", "f").distinct(), ["span", "f"])
     met = materialise(met.groupBy("k1", "k2").agg(F.collect_set(F.struct("span", "at")).alias("met")))
 
-    suspects = rows.join(met, ["k1", "k2"]).select("k1", "k2", words_of(F.col("text")).alias("words"), "met")
+    # Joined in one way at every size: what is dealt out then grows as the input does.
+    suspects = rows.join(met.hint("merge"), ["k1", "k2"]).select("k1", "k2", words_of(F.col("text")).alias("words"), "met")
     begins = F.array_distinct(F.flatten(F.transform("met", lambda m: F.transform(
         F.sequence(F.greatest(F.lit(1), m["at"] - m["span"] + F.floor((m["span"] + 1) / 2).cast("int")), m["at"]), lambda i: F.struct(i.alias("begin"), m["span"].alias("span"))))))
     starts = suspects.select("k1", "k2", F.explode(let(F.col("words"), lambda words: F.transform(begins, lambda at: F.struct(
