@@ -3,11 +3,10 @@
 A text is a sequence of units: a run of spaces with the word behind it. No piece of a merge-type model spans two units. Within a unit the
 agenda always takes the best merge, the leftmost of equals. ``encode_occurrences`` decides anew at every place: what the agenda skips
 follows from a hash of seed, document, pass and place of the unit, so every rerun, task and machine cuts a text alike, while two
-occurrences of a word are cut independently. ``encode_pieces`` cuts a unit alike in all documents of a variant. Characters that the
-model lacks become bytes.
+occurrences of a word are cut independently. Characters that the model lacks become bytes.
 
 What a unit becomes when the agenda skips a given set of its steps is the same everywhere, and only this is remembered. Units of usual
-length are merged all at once, one merge per unit and round, in arrays; longer ones by a heap.
+length are merged all at once, one merge per unit and round, in arrays; longer ones by a heap, under the same rule.
 """
 
 from __future__ import annotations
@@ -23,12 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .words import stir
 
-#: Characters up to which a unit is merged in arrays, and units that a task remembers.
-LONG_UNIT = 48
-REMEMBERED = 250_000
-#: Symbols up to which a unit has fewer than 64 candidates, n - 1 at first and two per merge, and cuts that a task remembers.
+#: Symbols up to which a unit has fewer than 64 candidates, n - 1 at first and two per merge, and cuts that a worker remembers.
 SHORT_UNIT = 20
-CUTS = 800_000
+CUTS = 400_000
 #: Characters of text that are encoded at a time.
 PART = 1 << 20
 _UNIT = re.compile("▁*[^▁]+|▁+")
@@ -102,39 +98,35 @@ class Model:
         return ids, count, number
 
 
-def _dropped(key, start, mid, end, rate: float):
-    """Whether the agenda skips the candidate with these borders; works on numbers and on arrays."""
-    h = stir(np.atleast_1d(np.asarray(key, np.uint64)) + stir(np.atleast_1d(np.asarray((start << 42) | (mid << 21) | end, np.uint64))))
-    return (h >> np.uint64(11)) < np.uint64(rate * (1 << 53))
-
-
 def units_of(text: str) -> list[str]:
     return _UNIT.findall("▁" + text.replace("▁", _LITERAL).replace(" ", "▁")) if text else []
 
 
-def unit_keys(numbers: np.ndarray, variants, seed: int) -> np.ndarray:
-    """What the choices within a unit depend on: its text, the variant and the seed."""
-    return stir(numbers ^ stir((np.asarray(variants, np.uint64) << np.uint64(32)) + np.uint64(seed)))
-
-
 def agenda(m: Model, ids: list[int], key: int, rate: float) -> list[int]:
-    """The symbols of one unit by a heap of candidates."""
+    """The symbols of one unit of any length by a heap of candidates; the agenda skips the steps that the key says."""
     n = len(ids)
     before, after, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
     heap = []
 
     def offer(a):
         b = after[a] if a >= 0 else n
-        if a >= 0 and b < n and (merged := m.pairs.get((ids[a], ids[b]))) is not None and not (rate and _dropped(key, a, b, end[b], rate)):
+        if a >= 0 and b < n and (merged := m.pairs.get((ids[a], ids[b]))) is not None:
             heapq.heappush(heap, (m.rank[merged], a, b, end[b], merged))
 
     for a in range(n - 1):
         offer(a)
     gone = [False] * n
+    key, nth, step = np.array([key], np.uint64), 0, 0
+    skip_at = int(kept_before_skip(key, 0, rate)[0])
     while heap:
         _, a, b, stop, merged = heapq.heappop(heap)
         if gone[a] or gone[b] or after[a] != b or end[b] != stop:
             continue
+        step += 1
+        if step > skip_at:
+            nth += 1
+            skip_at = step + int(kept_before_skip(key, nth, rate)[0])
+            continue
         gone[b], ids[a], end[a], after[a] = True, merged, stop, after[b]
         if after[a] < n:
             before[after[a]] = a
@@ -143,122 +135,6 @@ def agenda(m: Model, ids: list[int], key: int, rate: float) -> list[int]:
     return [i for i, dead in zip(ids, gone) if not dead]
 
 
-def _together(m: Model, ids: np.ndarray, count: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of many units at once: their pieces in a row, and how many each unit has."""
-    heads = np.cumsum(count) - count
-    left = np.ones(len(ids), bool)
-    out = ids.copy()
-    for n in np.unique(count[count > 1]):
-        units = np.flatnonzero(count == n)
-        at = heads[units] + np.arange(n)[:, None]
-        out[at], left[at] = _same_length(m, ids[at], keys[units], rate)
-    return out[left], np.add.reduceat(left, heads, dtype=np.int64) if len(count) else count
-
-
-def _same_length(m: Model, ids: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """One column per unit. Every round each unit makes its best merge; only the two candidates beside it are new."""
-    n, width = ids.shape
-    ids, alive = ids.copy(), np.ones((n, width), bool)
-    after = np.repeat(np.arange(1, n + 1), width).reshape(n, width)  # the next symbol, or n; also where a symbol ends
-    before = after - 2
-    value = np.full((n, width), _NONE)  # rank, then place, of the candidate that begins at a symbol
-
-    def offer(a, column):
-        b = after[a, column]
-        real = np.flatnonzero(b < n)
-        a, b, column = a[real], b[real], column[real]
-        pair = (ids[a, column] << 20) | ids[b, column]
-        found = np.minimum(np.searchsorted(m.keys, pair), len(m.keys) - 1)
-        fits = m.keys[found] == pair
-        if rate:
-            some = np.flatnonzero(fits)
-            fits[some[_dropped(keys[column[some]], a[some], b[some], after[b[some], column[some]], rate)]] = False
-        value[a, column] = np.where(fits, (m.ranks[found] << 20) | a, _NONE)
-
-    for a in range(n - 1):
-        offer(np.full(width, a), np.arange(width))
-    active = np.arange(width)
-    while True:
-        best = value[:, active].min(axis=0)
-        active, best = active[best < _NONE], best[best < _NONE]
-        if not len(active):
-            return ids, alive
-        a = best & ((1 << 20) - 1)
-        b = after[a, active]
-        c = after[b, active]
-        found = np.searchsorted(m.keys, (ids[a, active] << 20) | ids[b, active])
-        ids[a, active], alive[b, active], after[a, active] = m.merged[found], False, c
-        value[a, active] = value[b, active] = _NONE
-        inner = c < n
-        before[c[inner], active[inner]] = a[inner]
-        offer(a, active)
-        p = before[a, active]
-        value[p[p >= 0], active[p >= 0]] = _NONE
-        offer(p[p >= 0], active[p >= 0])
-
-
-class Encoder:
-    """Remembers the units of a task, up to a bound; what it remembers never changes a result."""
-
-    def __init__(self, path: str, rate: float, seed: int, variants: int):
-        self.model, self.rate, self.seed, self.variants = model(path), rate, seed, variants
-        self._forget()
-
-    def _forget(self):
-        self.slot = [{} for _ in range(self.variants)]
-        self.held, self.first, self.count = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint16)
-
-    def variant(self, doc_id) -> int:
-        return zlib.crc32(str(doc_id).encode()) % self.variants
-
-    def encode(self, ids: list, texts: list[str]) -> list[np.ndarray]:
-        if self.held > REMEMBERED:
-            self._forget()
-        slots, fresh, ends = [], [], []
-        for doc_id, text in zip(ids, texts):
-            v = self.variant(doc_id)
-            known = self.slot[v]
-            for unit in units_of(text):
-                at = known.get(unit)
-                if at is None:
-                    known[unit] = at = self.held
-                    self.held += 1
-                    fresh.append((unit, v))
-                slots.append(at)
-            ends.append(len(slots))
-        self._learn(fresh)
-        slots = np.array(slots, np.int64)
-        count = self.count[slots]
-        total = np.r_[0, np.cumsum(count)]
-        flat = self.flat[np.repeat(self.first[slots] - total[:-1], count) + np.arange(total[-1])]
-        edges = total[np.r_[0, ends]]
-        return [flat[a:b] for a, b in zip(edges[:-1], edges[1:])]
-
-    def _learn(self, fresh: list) -> None:
-        if not fresh:
-            return
-        symbols, size, numbers = self.model.symbols([u for u, _ in fresh])
-        keys = unit_keys(numbers, [v for _, v in fresh], self.seed)
-        long = size > LONG_UNIT
-        in_long = np.repeat(long, size)
-        counts = np.zeros(len(fresh), np.int64)
-        rows, counts[~long] = _together(self.model, symbols[~in_long], size[~long], keys[~long], self.rate)
-        if long.any():
-            edges = np.r_[0, np.cumsum(size)]
-            parts = np.empty(len(fresh), object)
-            parts[~long] = np.split(rows, np.cumsum(counts[~long]))[:-1]
-            for i in np.flatnonzero(long):
-                parts[i] = np.array(agenda(self.model, symbols[edges[i]:edges[i + 1]].tolist(), keys[i], self.rate), np.int64)
-                counts[i] = len(parts[i])
-            rows = np.concatenate(list(parts))
-        byte = np.array([self.model.byte[b] for b in range(256)])
-        rows = np.where(rows >= self.model.size, byte[np.maximum(rows - self.model.size, 0) % 256], rows)
-        self.first = np.r_[self.first, len(self.flat) + np.cumsum(counts) - counts]
-        self.count = np.r_[self.count, counts]
-        self.flat = np.r_[self.flat, rows.astype(np.uint16)]
-
-
 def _with_skips(m: Model, ids: np.ndarray, size: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Units of up to SHORT_UNIT symbols, one row each, whose agenda skips the steps of a bit mask: pieces, how many, and steps."""
     width, n = len(size), int(size.max())
@@ -307,18 +183,22 @@ def _with_skips(m: Model, ids: np.ndarray, size: np.ndarray, skips: np.ndarray)
         offer(p[p >= 0], c[p >= 0])
 
 
-def document_key(doc_id, text: str, turn: int, seed: int) -> int:
-    """What all choices within a document depend on; the text tells documents without a doc_id apart."""
-    own = (zlib.crc32(str(doc_id).encode()) << 32) | zlib.crc32(text.encode("utf-8", "surrogatepass"))
-    return int(stir(stir(np.array([own], np.uint64)) + np.uint64((seed << 32) + turn))[0])
+def document_keys(ids: list, texts: list[str], turns: list[int], seed: int) -> np.ndarray:
+    """What all choices within each document depend on; the text tells documents without a doc_id apart."""
+    own = [(zlib.crc32(str(i).encode()) << 32) | zlib.crc32(t.encode("utf-8", "surrogatepass")) for i, t in zip(ids, texts)]
+    return stir(stir(np.array(own, np.uint64)) + np.array([(seed << 32) + turn for turn in turns], np.uint64))
+
+
+#: More steps than a unit has.
+_NEVER = 1 << 40
 
 
 def kept_before_skip(keys: np.ndarray, nth: int, rate: float) -> np.ndarray:
     """How many candidates the agenda keeps between the ``nth`` skipped one and the next: each is skipped with ``rate``."""
     if rate <= 0:
-        return np.full(len(keys), 64)
+        return np.full(len(keys), _NEVER)
     u = ((stir(keys + np.uint64(nth + 1)) >> np.uint64(11)).astype(float) + 1) / (1 << 53)
-    return np.zeros(len(keys), np.int64) if rate >= 1 else np.minimum(np.log(u) / np.log1p(-rate), 64).astype(np.int64)
+    return np.zeros(len(keys), np.int64) if rate >= 1 else np.minimum(np.log(u) / np.log1p(-rate), _NEVER).astype(np.int64)
 
 
 class OccurrenceEncoder:
@@ -332,10 +212,14 @@ class OccurrenceEncoder:
     def __init__(self, path: str, rate: float, seed: int):
         self.model, self.rate, self.seed = model(path), rate, seed
         self.byte = np.array([self.model.byte[b] for b in range(256)])
+        own = np.array([len(b) for b in self.model.bytes], np.int64)
+        self.bytes = np.frombuffer(b"".join(self.model.bytes), np.uint8), own, np.cumsum(own) - own
         self._forget()
 
     def _forget(self):
-        self.unit, self.next, self.root = {}, {}, np.zeros(0, np.int64)
+        self.unit, self.names, self.root = {}, [], np.zeros(0, np.int64)
+        # The ways from one cut to another, in order: cut and step, and the cut that skips this step as well.
+        self.ways, self.way_to = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.symbols, self.size = np.zeros((0, SHORT_UNIT), np.int64), np.zeros(0, np.int64)
         self.flat, self.first, self.count, self.steps, self.of, self.skips = (np.zeros(0, t) for t in (np.uint16, np.int64, np.int64, np.int64, np.int64, np.uint64))
 
@@ -368,18 +252,17 @@ class OccurrenceEncoder:
             if not len(going):
                 break
             ways, which = np.unique(cut[going] * 64 + at, return_inverse=True)
-            fresh = []
-            known = len(self.steps)
+            place = np.searchsorted(self.ways, ways)
+            fresh = np.ones(len(ways), bool)
+            old = np.flatnonzero(place < len(self.ways))
+            fresh[old] = self.ways[place[old]] != ways[old]
             to = np.zeros(len(ways), np.int64)
-            for i, way in enumerate(ways.tolist()):
-                found = self.next.get(way)
-                if found is None:
-                    self.next[way] = found = known + len(fresh)
-                    fresh.append(way)
-                to[i] = found
-            if fresh:
-                ways = np.array(fresh)
-                self._learn(self.of[ways // 64], self.skips[ways // 64] | (np.uint64(1) << (ways % 64).astype(np.uint64)))
+            to[~fresh] = self.way_to[place[~fresh]]
+            if fresh.any():
+                new = ways[fresh]
+                to[fresh] = len(self.steps) + np.arange(len(new))
+                self.ways, self.way_to = np.insert(self.ways, place[fresh], new), np.insert(self.way_to, place[fresh], to[fresh])
+                self._learn(self.of[new // 64], self.skips[new // 64] | (np.uint64(1) << (new % 64).astype(np.uint64)))
             cut[going] = to[which]
             at = at + 1
         return cut
@@ -400,9 +283,10 @@ class OccurrenceEncoder:
             sizes.append(len(units))
         sizes, slots = np.array(sizes, np.int64), np.array(slots, np.int64)
         edges = np.r_[0, np.cumsum(sizes)]
-        own = np.array([document_key(d, t, p, self.seed) for d, t, p in zip(ids, texts, turns or [0] * len(texts))], np.uint64)
+        own = document_keys(ids, texts, turns or [0] * len(texts), self.seed)
         keys = stir(np.repeat(own, sizes) + stir((np.arange(len(slots)) - np.repeat(edges[:-1], sizes)).astype(np.uint64)))
         if fresh:
+            self.names += fresh
             # Every unit has a row; those that are too long for it have an empty one and no cut.
             symbols, size, _ = self.model.symbols(fresh)
             row, short = np.repeat(np.arange(len(fresh)), size), np.repeat(size <= SHORT_UNIT, size)
@@ -424,30 +308,28 @@ class OccurrenceEncoder:
         flat = self.flat
         first[short], count[short] = self.first[cut], self.count[cut]
         if len(long):
-            rows, count[long] = self._long(self._named(slots[long]), keys[long])
+            rows, count[long] = self._long([self.names[k] for k in slots[long]], keys[long])
             first[long] = len(flat) + np.cumsum(count[long]) - count[long]
             flat = np.r_[flat, rows]
         total = np.r_[0, np.cumsum(count)]
         out = flat[np.repeat(first - total[:-1], count) + np.arange(total[-1])]
         return [out[total[a]:total[b]] for a, b in zip(edges[:-1], edges[1:])]
 
-    def _named(self, slots: np.ndarray) -> list[str]:
-        names = list(self.unit)
-        return [names[s] for s in slots]
-
     def _long(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         symbols, size, _ = self.model.symbols(units)
-        longest, counts = size > LONG_UNIT, np.zeros(len(units), np.int64)
-        edges, parts = np.r_[0, np.cumsum(size)], np.empty(len(units), object)
-        some = np.flatnonzero(~longest)
-        if len(some):
-            rows, counts[some] = _together(self.model, symbols[~np.repeat(longest, size)], size[some], keys[some], self.rate)
-            for i, part in zip(some, np.split(rows, np.cumsum(counts[some])[:-1])):
-                parts[i] = part
-        for i in np.flatnonzero(longest):
-            parts[i] = np.array(agenda(self.model, symbols[edges[i]:edges[i + 1]].tolist(), keys[i], self.rate), np.int64)
-            counts[i] = len(parts[i])
-        return self._bytes(np.concatenate(list(parts))).astype(np.uint16), counts
+        edges = np.r_[0, np.cumsum(size)]
+        parts = [np.array(agenda(self.model, symbols[a:b].tolist(), key, self.rate), np.int64) for a, b, key in zip(edges[:-1], edges[1:], keys)]
+        return self._bytes(np.concatenate(parts)).astype(np.uint16), np.array([len(p) for p in parts])
+
+    def lossless(self, parts: list[np.ndarray], texts: list[str]) -> list[bool]:
+        """Whether the bytes of the pieces are those of each text behind the model's first blank."""
+        flat, own, begin = self.bytes
+        ids = np.concatenate(parts).astype(np.int64)
+        size = own[ids]
+        total = np.r_[0, np.cumsum(size)]
+        data = flat[np.repeat(begin[ids] - total[:-1], size) + np.arange(total[-1])].tobytes()
+        edges = total[np.r_[0, np.cumsum([len(p) for p in parts])]].tolist()
+        return [data[a + 1:b] == t.encode() for a, b, t in zip(edges[:-1], edges[1:], texts)]
 
 
 def decode(m: Model, ids) -> str:
@@ -455,48 +337,41 @@ def decode(m: Model, ids) -> str:
     return b"".join([m.bytes[i] for i in ids])[1:].decode("utf-8")
 
 
-def _encode(batches, path: str, rate: float, seed: int, variants: int | None):
-    """Without ``variants`` every occurrence is cut by itself, and the third column is the pass."""
-    own = OccurrenceEncoder(path, rate, seed) if variants is None else Encoder(path, rate, seed, variants)
+@lru_cache(maxsize=1)
+def encoder(path: str, rate: float, seed: int) -> OccurrenceEncoder:
+    """A worker keeps what it has learnt from one task to the next."""
+    return OccurrenceEncoder(path, rate, seed)
+
+
+def _encode(batches, path: str, rate: float, seed: int):
+    own = encoder(path, rate, seed)
     for batch in batches:
-        names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        names, texts, turns = (batch.column(i).to_pylist() for i in range(3))
         low, size = 0, 0
         for i, text in enumerate(texts):
             size += len(text)
             if size >= PART or i == len(texts) - 1:
-                turns = [batch.column(2)[low:i + 1].to_pylist()] if variants is None else []
-                parts = own.encode(names[low:i + 1], texts[low:i + 1], *turns)
+                parts = own.encode(names[low:i + 1], texts[low:i + 1], turns[low:i + 1])
                 offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
                 pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32)))
-                lossless = [decode(own.model, p.tolist()) == t for p, t in zip(parts, texts[low:i + 1])]
-                yield pa.RecordBatch.from_arrays([batch.column(k)[low:i + 1] for k in range(2)] + [pieces, pa.array(lossless)],
-                                                 names=[*batch.schema.names[:2], "pieces", "lossless"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:i + 1], batch.column(1)[low:i + 1], pieces, pa.array(own.lossless(parts, texts[low:i + 1]))],
+                                                 names=["doc_id", "text", "pieces", "lossless"])
                 low, size = i + 1, 0
 
 
-def encode_pieces(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 17, variants: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, pieces (array of ids), lossless (decoding gives the text back) for every row.
+def encode_occurrences(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", pass_col: str | None = None) -> DataFrame:
+    """doc_id, text, pieces (array of ids), lossless (decoding gives the text back) for every row; each occurrence of a unit is cut by itself.
 
-    ``path`` names the model file on every machine. ``rate`` is the share of candidate merges that are skipped; 0 gives the
-    model's own segmentation.
+    ``path`` names the model file on every machine. ``rate`` is the share of candidate merges that are skipped; 0 gives the model's own
+    segmentation. ``pass_col``, if given, names the pass in which a mix takes the document: two passes are cut differently.
 
     * A null text counts as empty; an empty text has no pieces. Any other text decodes to itself, blanks and U+2581 included.
-    * A null doc_id has a variant like any other; repeated rows are encoded alike.
-    * An empty table gives an empty result. Other columns are ignored.
-    """
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return rows.mapInArrow(lambda b: _encode(b, path, rate, seed, variants), "doc_id long, text string, pieces array<int>, lossless boolean")
-
-
-def encode_occurrences(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", pass_col: str = "pass") -> DataFrame:
-    """doc_id, text, pieces, lossless for every row, as ``encode_pieces``, but each occurrence of a unit is cut by choices of its own.
-
-    ``pass_col``, if ``docs`` has it, is the pass in which a mix takes the document: two passes are cut differently. Rows that
-    repeat doc_id, text and pass are encoded alike.
+    * A null doc_id is a document like any other; rows that repeat doc_id, text and pass are encoded alike.
+    * An empty table gives an empty result. Other columns, whatever their names, are ignored.
     """
-    turn = F.coalesce(docs[pass_col].cast("bigint"), F.lit(0)) if pass_col in docs.columns else F.lit(0).cast("bigint")
+    turn = F.coalesce(docs[pass_col].cast("bigint"), F.lit(0)) if pass_col else F.lit(0)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), turn.cast("bigint").alias("pass"))
-    return rows.mapInArrow(lambda b: _encode(b, path, rate, seed, None), "doc_id long, text string, pieces array<int>, lossless boolean")
+    return rows.mapInArrow(lambda b: _encode(b, path, rate, seed), "doc_id long, text string, pieces array<int>, lossless boolean")
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

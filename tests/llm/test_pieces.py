@@ -9,7 +9,7 @@ import sentencepiece
 from panelwright.llm import pieces as pc
 
 PATH = pc.model_path()
-SCHEMA = "doc_id long, text string, pieces string, lossless int"
+SCHEMA = "doc_id long, text string, pieces string, lossless int, pass string"
 
 
 def texts(seed=1):
@@ -19,48 +19,24 @@ def texts(seed=1):
         "".join(rng.choice(syllables) + rng.choice(["", "", " "]) for _ in range(rng.randrange(60))) for _ in range(300)]
 
 
-def test_without_dropout_it_is_the_models_own_segmentation():
-    own = pc.Encoder(PATH, 0.0, 17, 4)
-    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    some = [t for t in texts() if "▁" not in t]
-    for text, got in zip(some, own.encode(list(range(len(some))), some)):
-        assert got.tolist() == library.encode(text), text
-
-
-@pytest.mark.parametrize("rate", [0.1, 0.5, 1.0])
-def test_arrays_and_heap_agree_and_decoding_is_exact(rate):
-    own = pc.Encoder(PATH, rate, 3, 2)
-    some = texts(2)
-    for i, (text, got) in enumerate(zip(some, own.encode(list(range(len(some))), some))):
-        want = []
-        for unit in pc.units_of(text):
-            symbols, _, number = own.model.symbols([unit])
-            key = pc.unit_keys(number, [own.variant(i)], 3)[0]
-            want += [own.model.byte[p - own.model.size] if p >= own.model.size else p for p in pc.agenda(own.model, symbols.tolist(), key, rate)]
-        assert got.tolist() == want and pc.decode(own.model, want) == text
-
-
-def test_variants_seeds_and_reruns():
-    text = "internationalization of extraordinary circumstances " * 5
-    runs = {(seed, i): pc.Encoder(PATH, 0.3, seed, 4).encode([i], [text])[0].tolist() for seed in (1, 2) for i in range(8)}
-    assert len({tuple(r) for r in runs.values()}) > 4
-    assert runs[1, 0] == pc.Encoder(PATH, 0.3, 1, 4).encode([5, 0], [text, text])[1].tolist()
-    share = np.mean([pc._dropped(np.uint64(k), 0, 1, 2, 0.25) for k in range(4000)])
-    assert 0.22 < share < 0.28
-
-
-def test_whole_table_with_odd_rows(spark, monkeypatch):
-    rows = [(i, t, "x", 1) for i, t in enumerate(texts(3))] + [(None, "null id", "x", 1), (7, None, None, None), (8, "same", "x", 1), (8, "same", "x", 1), (9, "wörd " * 40000, "x", 1)]
-    got = pc.encode_pieces(spark.createDataFrame(rows, SCHEMA).repartition(3), PATH).collect()
+def test_whole_table_with_odd_rows(spark):
+    rows = [(i, t, "x", 1, "x") for i, t in enumerate(texts(3))] + [(None, "null id", "x", 1, "y"), (7, None, None, None, None), (8, "same", "x", 1, "a"), (8, "same", "x", 1, "b"), (9, "wörd " * 40000, "x", 1, "z")]
+    got = pc.encode_occurrences(spark.createDataFrame(rows, SCHEMA).repartition(3), PATH).collect()
     assert len(got) == len(rows) and all(r.lossless for r in got)
     assert {len(r.pieces) for r in got if not r.text} == {0}
-    own = pc.Encoder(PATH, 0.1, 17, 2)
+    own = pc.OccurrenceEncoder(PATH, 0.1, 17)
     for r in got:
         assert r.pieces == own.encode([r.doc_id], [r.text])[0].tolist()
 
 
 def test_an_empty_table(spark):
-    assert pc.encode_pieces(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+    assert pc.encode_occurrences(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_a_wrong_cut_is_not_lossless():
+    own = pc.OccurrenceEncoder(PATH, 0.1, 17)
+    parts = own.encode([1, 2, 3], ["one two", "", "é▁"])
+    assert own.lossless(parts, ["one two", "", "é▁"]) == [True] * 3 and own.lossless(parts, ["one tw", "a", "é "]) == [False] * 3
 
 
 def plainly(m, unit, key, rate):
@@ -91,8 +67,8 @@ def test_occurrences_against_a_plain_agenda(rate, monkeypatch):
     for i, (text, cut) in enumerate(zip(some, got)):
         assert pc.decode(m, cut.tolist()) == text
         units = pc.units_of(text)
-        if all(len(m.symbols([u])[0]) <= pc.SHORT_UNIT for u in units):
-            keys = [pc.stir(np.array([pc.document_key(i, text, 0, 3)], np.uint64) + pc.stir(np.array([k], np.uint64))) for k in range(len(units))]
+        if all(len(u) < 1000 for u in units):
+            keys = [pc.stir(pc.document_keys([i], [text], [0], 3) + pc.stir(np.array([k], np.uint64))) for k in range(len(units))]
             assert cut.tolist() == [p for u, key in zip(units, keys) for p in plainly(m, u, key, rate)], text
     monkeypatch.setattr(pc, "CUTS", 50)
     forgetful = pc.OccurrenceEncoder(PATH, rate, 3)
@@ -105,7 +81,7 @@ def test_occurrences_against_a_plain_agenda(rate, monkeypatch):
 def test_occurrences_documents_and_passes_are_cut_differently(spark):
     word = "internationalization"
     docs = spark.createDataFrame([(i, " ".join([word] * 200), p) for i in range(3) for p in (0, 1)] + [(None, f"{word} {word}", 0)], "doc_id long, text string, pass long")
-    rows = {(r.doc_id, n): r for n, r in enumerate(pc.encode_occurrences(docs, PATH).collect())}
+    rows = {(r.doc_id, n): r for n, r in enumerate(pc.encode_occurrences(docs, PATH, pass_col="pass").collect())}
     assert all(r.lossless for r in rows.values()) and len({tuple(r.pieces) for r in rows.values()}) == 7
     m, cuts = pc.model(PATH), set()
     for r in rows.values():
@@ -116,7 +92,7 @@ def test_occurrences_documents_and_passes_are_cut_differently(spark):
                 line = []
             line.append(p)
     assert len(cuts) > 10
-    assert [r.pieces for r in pc.encode_occurrences(docs.repartition(5), PATH).orderBy("doc_id", "pieces").collect()] == [r.pieces for r in pc.encode_occurrences(docs, PATH).orderBy("doc_id", "pieces").collect()]
+    assert [r.pieces for r in pc.encode_occurrences(docs.repartition(5), PATH, pass_col="pass").orderBy("doc_id", "pieces").collect()] == [r.pieces for r in pc.encode_occurrences(docs, PATH, pass_col="pass").orderBy("doc_id", "pieces").collect()]
 
 
 def test_registered_queries_and_the_mix_cut_anew(spark, tmp_path):
