@@ -1,12 +1,13 @@
 """Exact ranks and quantiles inside a cross section of any size.
 
 A bar may hold a third of all rows, so its ranking must not need one task. Equal values are first
-collapsed by a partial aggregation. The distinct values are then cut into value ranges with a
-monotone key, each range is ordered on its own, and a prefix sum over the few range counts turns
-local positions into exact positions in the bar. Bounds come from min and max, which do not depend
-on the order rows arrive in, so a retried task lands on the same ranges.
+collapsed by a partial aggregation. The distinct values are then cut into ranges of about equally
+many values, each range is ordered on its own, and a prefix sum over the few range counts turns
+local positions into exact positions in the bar. The edges of the ranges are order statistics of a
+sample that a hash of the value picks, so they follow the values however heavy their tails, and do not
+depend on the order rows arrive in: a retried task lands on the same ranges.
 
-The same steps run at every size; the number of ranges follows from the distinct values of a group.
+The same steps run at every size; a bar of fewer rows than a range has no edges.
 """
 
 from __future__ import annotations
@@ -15,34 +16,41 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .numeric import ratio
 
+#: Distinct values of a range, about, and how many of them the sample holds.
 RANGE_ROWS = 100_000
+SAMPLED = 64
+#: Edges that are compared at a time.
+STRIDE = 64
 
 
-def _spread_key(value: Column) -> Column:
-    """Monotone in ``value`` and spread out for heavy tails and tiny values alike."""
-    return F.signum(value) * F.log1p(F.abs(value) * 1e9)
+def range_edges(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, edges) of every group of more than ``RANGE_ROWS`` rows: each range above an edge holds about as many distinct values."""
+    picked = F.when(F.pmod(F.xxhash64(value), F.lit(max(RANGE_ROWS // SAMPLED, 1))) == 0, F.col(value))
+    groups = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set(picked)).alias("sample"))
+    edges = F.filter("sample", lambda v, i: (i + 1) % min(SAMPLED, RANGE_ROWS) == 0)
+    return groups.where(F.col("rows") > RANGE_ROWS).select(*keys, edges.alias("edges"))
+
+
+def _range_of(value: Column) -> Column:
+    """How many edges lie at or below a value, by a stretch of edges and then within it; 0 without edges."""
+    reached = F.size(F.filter("edges", lambda e, i: (i % STRIDE == STRIDE - 1) & (e <= value))) * STRIDE
+    return F.when(F.col("edges").isNull(), 0).otherwise(reached + F.size(F.filter(F.slice("edges", reached + 1, STRIDE), lambda e: e <= value)))
+
+
+def value_ranges(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row per distinct value of a group: copies, and the range it lies in."""
+    values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
+    return values.join(range_edges(df, keys, value), keys, "left").withColumn("value_range", _range_of(F.col(value))).drop("edges")
 
 
 def value_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row per distinct value of a group: copies, rows before it, and rows in the group."""
-    values = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("spread", _spread_key(F.col(value)))
-    )
-    span = values.groupBy(*keys).agg(
-        F.min("spread").alias("low"), F.max("spread").alias("high"),
-        F.count(F.lit(1)).alias("distinct_values"), F.sum("copies").alias("group_rows"),
-    )
-    ranges = F.ceil(F.col("distinct_values") / RANGE_ROWS).cast("bigint")
-    cut = values.join(span, keys).withColumn(
-        "value_range",
-        F.when((F.col("low") < F.col("high")) & (ranges > 1),
-               F.width_bucket("spread", "low", "high", ranges)).otherwise(F.lit(1).cast("bigint")),
-    )
-    ordered_ranges = Window.partitionBy(*keys).orderBy("value_range").rowsBetween(Window.unboundedPreceding, -1)
+    cut = value_ranges(df, keys, value)
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("value_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*keys, "value_range").agg(F.sum("copies").alias("range_rows"))
-        .select(*keys, "value_range", F.coalesce(F.sum("range_rows").over(ordered_ranges), F.lit(0)).alias("offset"))
+        .select(*keys, "value_range", F.coalesce(F.sum("range_rows").over(before), F.lit(0)).alias("offset"), F.sum("range_rows").over(group).alias("group_rows"))
     )
     inside = Window.partitionBy(*keys, "value_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import EXPECTED_FUNDING_REASONS, MIGRATION_WINDOW_DAYS
+from ..functions.intervals import interval_join
 from ..functions.symbols import base_token, with_canonical
 from ..functions.windows import per_asset
 from ..session import materialise
@@ -240,8 +241,7 @@ def manifest_segments(manifest: DataFrame, migrations: DataFrame) -> DataFrame:
 
 def active_assets(segments: DataFrame, instants: DataFrame) -> DataFrame:
     """Assets tradable at each instant: listed at or before it, not yet delisted."""
-    live = (F.col("listed_at") <= F.col("instant")) & (F.col("delisted_at").isNull() | (F.col("instant") < F.col("delisted_at")))
-    return instants.join(segments, live).select("instant", "canonical").distinct()
+    return interval_join(instants, segments, "instant", "listed_at", "delisted_at").select("instant", "canonical").distinct()
 
 
 def universe_audit(df: DataFrame, segments: DataFrame, migrations: DataFrame) -> DataFrame:

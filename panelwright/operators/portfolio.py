@@ -150,29 +150,27 @@ def book_bars(targets: DataFrame, keys) -> DataFrame:
     return state.select(*bar, "signal_gap", "gone_idx", due.alias("due"), (F.col("ranked") < F.col("n_long") + F.col("n_short")).alias("thin"))
 
 
-def _chain_rebalances(bars: pd.DataFrame) -> pd.DataFrame:
-    """Follow one book from its first bar: the next rebalance is the next due bar, or the bar on
-    which the last held leg has vanished."""
-    bars = bars.sort_values("idx")
-    idx, due, gone = bars["idx"].to_numpy(), bars["due"].to_numpy(dtype=bool), bars["gone_idx"].to_numpy()
-    due_idx = idx[due]
-    taken, until, at = [], [], 0
-    while at < len(idx):
-        following = due_idx[np.searchsorted(due_idx, idx[at], side="right"):][:1]
-        stop = min([gone[at], *following]) if len(following) else gone[at]
-        taken.append(idx[at])
-        until.append(stop)
-        at = int(np.searchsorted(idx, stop, side="left"))
-    return pd.DataFrame({"book_id": bars["book_id"].iloc[0], "idx": taken, "until_idx": until})
-
-
 def rebalances(bars: DataFrame) -> DataFrame:
     """Bars on which each book trades to its targets, and the bar the holding ends before.
 
-    The chain is sequential in time, so one task walks one book's bars: scalars, one row per bar.
+    A holding ends at the next due bar, or at the bar on which its last leg has vanished. No step passes a due bar, so every due bar
+    is traded, and only bars that such a break leads to are left to find. They follow by doubled pointers: every round takes what
+    the books' bars reach by the pointers so far and joins the pointers with themselves, until no pointer is left.
     """
-    return bars.select("book_id", "idx", "due", "gone_idx").groupBy("book_id").applyInPandas(
-        _chain_rebalances, "book_id string, idx long, until_idx long")
+    book = Window.partitionBy("book_id")
+    earlier, later = book.orderBy("idx"), book.orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    marked = bars.select("book_id", "idx", "due", "gone_idx").withColumns({
+        "next_due": F.min(F.when(F.col("due"), F.col("idx"))).over(later), "previous": F.lag("idx").over(earlier)})
+    marked = materialise(marked.withColumn("until_idx", F.least("next_due", "gone_idx")))
+    reached = marked.select("book_id", F.col("idx").alias("to"), F.explode(F.sequence(F.coalesce(F.col("previous") + 1, "idx"), "idx")).alias("gone_idx"))
+    breaks = marked.where("next_due is null or gone_idx < next_due").join(reached, ["book_id", "gone_idx"])
+    jumps = materialise(breaks.where("next_due is null or to < next_due").select("book_id", "idx", "to"))
+    taken = marked.where("due or previous is null").select("book_id", "idx")
+    while not jumps.isEmpty():
+        taken = materialise(taken.union(taken.join(jumps, ["book_id", "idx"]).select("book_id", F.col("to").alias("idx"))).distinct())
+        further = jumps.select("book_id", F.col("idx").alias("to"), F.col("to").alias("beyond"))
+        jumps = materialise(jumps.join(further, ["book_id", "to"]).select("book_id", "idx", F.col("beyond").alias("to")))
+    return marked.join(taken, ["book_id", "idx"]).select("book_id", "idx", "until_idx")
 
 
 def holdings(targets: DataFrame, chain: DataFrame) -> DataFrame:
