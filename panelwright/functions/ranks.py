@@ -7,13 +7,14 @@ local positions into exact positions in the bar. The edges of the ranges are ord
 sample that a hash of the value picks, so they follow the values however heavy their tails, and do not
 depend on the order rows arrive in: a retried task lands on the same ranges.
 
-The same steps run at every size; a bar of fewer rows than a range has no edges.
+A bar of fewer rows than a range has no edges; its ranks are taken by windows, without collapsing values or joining back.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
 from .numeric import ratio
 
 #: Distinct values of a range, about, and how many of them the sample holds.
@@ -60,14 +61,31 @@ def value_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
+def _ranks_beside(rows: DataFrame, keys: list[str], value: str, name: str, size: str | None) -> DataFrame:
+    """Ranks of groups that fit a task: windows over one partitioning, nothing joined back."""
+    group, known = Window.partitionBy(*keys), F.col(value).isNotNull()
+    upto = F.count(value).over(group.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rank = upto - (F.count(value).over(Window.partitionBy(*keys, value)) - 1) / 2
+    return rows.withColumns({name: F.when(known, rank)} | ({size: F.when(known, F.count(value).over(group))} if size else {}))
+
+
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, size: str | None = None) -> DataFrame:
-    """Add the 1-based rank with ties averaged, NULL for a NULL value, and the non-null count."""
-    ranked = value_positions(df, keys, value).select(
+    """Add the 1-based rank with ties averaged, NULL for a NULL value, and the non-null count.
+
+    Groups of at most ``RANGE_ROWS`` values are ranked where they lie; larger ones by ranges. Both give the same ranks.
+    """
+    edges = materialise(range_edges(df, keys, value))
+    if edges.isEmpty():
+        return _ranks_beside(df, keys, value, name, size)
+    marked = df.join(edges.select(*keys, F.lit(True).alias("_cut")), keys, "left")
+    large = marked.where("_cut").drop("_cut")
+    ranked = value_positions(large, keys, value).select(
         *keys, value,
         (F.col("rows_before") + (F.col("copies") + 1) / 2).alias(name),
         *([F.col("group_rows").alias(size)] if size else []),
     )
-    return df.join(ranked, [*keys, value], "left")
+    small = _ranks_beside(marked.where("_cut is null").drop("_cut"), keys, value, name, size)
+    return small.unionByName(large.join(ranked, [*keys, value], "left"))
 
 
 def percentile_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
