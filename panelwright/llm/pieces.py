@@ -70,12 +70,31 @@ class Model:
         self.keys, self.merged = keys[by], np.array(list(pairs.values()), np.int64)[by]
         self.ranks = np.array([self.rank[i] for i in self.merged])
         self.size = len(pieces)
+        # Where a pair may stand among the keys, by a hash; pairs whose place another one took are looked up by search.
+        self.place = np.full(1 << 21, -1, np.int32)
+        self.place[self._slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
+        self.shared = np.bincount(self._slot(self.keys), minlength=1 << 21) > 1
 
         self.of_char = np.full(0x110000, -1, np.int64)
         for p, i in self.id_of.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
 
+    @staticmethod
+    def _slot(pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+
+    def find(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each pair among the merges, and whether it is one."""
+        slot = self._slot(pairs)
+        found = self.place[slot]
+        fits = self.keys[found] == pairs
+        again = np.flatnonzero(self.shared[slot] & ~fits)
+        if len(again):
+            found[again] = np.minimum(np.searchsorted(self.keys, pairs[again]), len(self.keys) - 1)
+            fits[again] = self.keys[found[again]] == pairs[again]
+        return found, fits
+
     def symbols(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces of the single characters of all units in a row, how many each unit has, and a number for each unit's text.
 
@@ -151,9 +170,8 @@ def _with_skips(m: Model, ids: np.ndarray, size: np.ndarray, skips: np.ndarray)
         b = after[a, column]
         real = np.flatnonzero(b < n)
         a, b, column = a[real], b[real], column[real]
-        pair = (ids[a, column] << 20) | ids[b, column]
-        found = np.minimum(np.searchsorted(m.keys, pair), len(m.keys) - 1)
-        value[a, column] = np.where(m.keys[found] == pair, (m.ranks[found] << 20) | a, _NONE)
+        found, fits = m.find((ids[a, column] << 20) | ids[b, column])
+        value[a, column] = np.where(fits, (m.ranks[found] << 20) | a, _NONE)
 
     for a in range(n - 1):
         some = np.flatnonzero(size > a + 1)
@@ -172,7 +190,7 @@ def _with_skips(m: Model, ids: np.ndarray, size: np.ndarray, skips: np.ndarray)
         a, c = a[~skip], active[~skip]
         b = after[a, c]
         behind = after[b, c]
-        found = np.searchsorted(m.keys, (ids[a, c] << 20) | ids[b, c])
+        found = m.find((ids[a, c] << 20) | ids[b, c])[0]
         ids[a, c], alive[b, c], after[a, c] = m.merged[found], False, behind
         value[a, c] = value[b, c] = _NONE
         inner = behind < n
