@@ -4,20 +4,29 @@ Parts that are never main text (scripts, navigation, forms, and elements whose c
 sidebar and the like) leave the tree first. A name says so if it ends in such a word ("reader-comments", "ad-slot"); one that only
 holds it ("side-effects") lowers the points of an element in an article or with much text. Every paragraph earns points for being there, for its length and for its
 commas; it passes them to its parent, half of them to the grandparent, a third to the next, less at each step. An ancestor's
-points are discounted by the share of its text that is links. The best container is kept, and those of its siblings that
-reach a fifth of its points or are plain paragraphs beside it; nothing inside them is dropped or cut.
+points are discounted by the share of its text that is links. The best container is kept (in an article or main element, that
+element), and those of its siblings that reach a fifth of its points, bear the same tag and names, or are plain paragraphs beside
+it; nothing inside them is dropped or cut. Tags are read as HTML has it, and in time proportional to the page, whatever is left open.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'>]+)")
+_TAG = r"<(/?)([a-zA-Z][^\s/>]*+)"
+_OTHER = r"<!--(?:-?>|.*?(?:--!?>|(?P<open>\Z)))|<[!?][^>]*+>"
+#: A quote opens a value only behind an equals sign; one that is never closed is part of the value.
+_VALUE = r"\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)"
+_NAME = r"=?[^\s/>=]++|="
+_TOKEN = re.compile(rf"{_TAG}((?:[\s/]++|(?:{_NAME})(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?+)?+)*+)>|(<)/?[a-zA-Z]|{_OTHER}", re.S)
+#: Once a tag finds no end outside its quotes, quotes are looked at no more.
+_UNQUOTED = re.compile(rf"{_TAG}([^>]*+)>|{_OTHER}", re.S)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+(?:{_VALUE})?+)?+")
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +55,10 @@ WITH = frozenset("has with no without".split())
 #: Ordinary nouns: ids in articles, and of elements that begin with a heading, are often made of titles; a class may mark a remark.
 PLAIN_IDS = frozenset("side rail share sharing skip foot hidden reply replies respond menu login signup alert notice notices overlay modal popup banner promotion social subscription toc".split())
 PLAIN_CLASSES = frozenset("side skip foot alert notice notices".split())
+#: Ordinary nouns that parts of an article may be about: such a part stays if it has much text.
+SUBJECTS = frozenset("share sharing social menu rail".split())
+#: Words of readers' remarks, which articles within articles may be.
+REMARKS = frozenset("comment comments reply replies respond".split())
 #: Characters of unlinked paragraphs that are much text, and what is left of an element's points if a name casts doubt on it.
 MUCH_TEXT = 200
 DOUBT = 0.2
@@ -55,20 +68,21 @@ BONUS = {"article": 25.0, "main": 15.0}
 
 
 class _Node:
-    __slots__ = ("tag", "words", "role", "children", "parent", "points", "text", "linked", "names", "doubt")
+    __slots__ = ("tag", "words", "role", "children", "parent", "points", "text", "linked", "names", "doubt", "plain", "hidden")
 
     def __init__(self, tag: str, parent=None, words=(), role: str = "", names=()):
-        self.tag, self.parent, self.words, self.role, self.names, self.doubt = tag, parent, words, role, names, False
+        self.tag, self.parent, self.words, self.role, self.names, self.doubt, self.hidden = tag, parent, words, role, names, False, False
         self.children: list = []
         self.points, self.text, self.linked = 0.0, 0, 0
+        self.plain = None
 
 
 def _attributes(raw: str) -> tuple[list, str, bool, list]:
     """Words of class and id, the role, whether the element is hidden, and each name: whether it is an id, and its words."""
     words, role, hidden, names = [], "", False, []
     if raw and not raw.isspace():
-        for name, a, b, c, bare in _ATTRIBUTE.findall(raw):
-            name, value = (name or bare).lower(), html.unescape(a or b or c)
+        for name, a, b, c in _ATTRIBUTE.findall(raw):
+            name, value = name.lower(), html.unescape(a or b or c)
             if name in ("class", "id"):
                 for one in value.split():
                     parts = [w.lower() for w in _PART.findall(one)]
@@ -82,63 +96,74 @@ def _attributes(raw: str) -> tuple[list, str, bool, list]:
 
 def parse(page: str) -> _Node:
     """A tree of elements and texts; end tags that are missing are implied, those without a beginning are ignored."""
-    root = node = _Node("html")
-    at, size = 0, len(page)
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
+    root = _Node("html")
+    stack = [root]
+    depths: dict[str, list] = {}  # places of the open elements of a tag in the stack, ascending
+
+    def close(depth: int) -> None:
+        for node in reversed(stack[depth:]):
+            depths[node.tag].pop()
+        del stack[depth:]
+
+    at, size, ends = 0, len(page), page.rfind(">") + 1
+    token, start = _TOKEN, 0
+    while (m := token.search(page, start, ends)) is not None:
+        if token is _TOKEN and m[4]:
+            token = _UNQUOTED
             continue
         if m.start() > at:
-            node.children.append(page[at:m.start()])
-        at = m.end()
+            stack[-1].children.append(page[at:m.start()])
+        at = start = m.end()
         tag = m[2].lower() if m[2] else None
         if tag is None:
+            if m["open"] is not None:  # a comment without an end
+                return root
             continue
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if depths.get(tag):
+                close(depths[tag][-1])
             continue
         if tag == "html":
             continue
         if tag in BLOCKS or tag in ENDS:
             ending, scope = (("p",), ("td", "th", "button", "object")) if tag not in ENDS else ((*ENDS[tag], "p"), SCOPE[tag])
-            up, last = node, None
-            while up is not root and up.tag not in scope:
-                if up.tag in ending:
-                    last = up
-                up = up.parent
-            if last is not None:
-                node = last.parent
+            floor = max((depths[t][-1] for t in scope if depths.get(t)), default=0)
+            inside = [d[bisect_right(d, floor)] for d in map(depths.get, ending) if d and d[-1] > floor]
+            if inside:
+                close(min(inside))
         words, role, hidden, names = _attributes(m[3])
-        child = _Node("template" if hidden else tag, node, words, role, names)
-        node.children.append(child)
+        child = _Node(tag, stack[-1], words, role, names)
+        child.hidden = hidden
+        stack[-1].children.append(child)
         if tag in RAW:
             # Searched in the page itself: lower() moves what stands behind letters like U+0130.
             end = _RAW_END[tag].search(page, at)
-            close = page.find(">", end.end()) if end else -1
-            at = size if close < 0 else close + 1
-        elif tag not in VOID and not m[0].endswith("/>"):
-            node = child
+            close_at = page.find(">", end.end()) if end else -1
+            at = start = size if close_at < 0 else close_at + 1
+        elif tag not in VOID and m[3] != "/" and m[3][-2:] not in (' /', '"/', "'/"):
+            depths.setdefault(tag, []).append(len(stack))
+            stack.append(child)
     if at < size:
-        node.children.append(page[at:])
+        stack[-1].children.append(page[at:].partition("<!--")[0])
     return root
 
 
 def _unwanted(node: _Node, inside: bool) -> bool:
     """``inside``: within an article or main element, whose own header may hold its title."""
-    if node.tag in NEVER or node.role in NEVER_ROLES:
+    if node.hidden or node.tag in NEVER or node.role in NEVER_ROLES:
         return True
     if node.tag == "header":
         return not inside
     if node.tag in ("body", "main") or not NEVER_WORDS.intersection(node.words):
         return False
     if node.tag == "article":
-        return _says(node, *node.names[0], inside) == "never"
+        return _says(node, *node.names[0], inside) == "never" or any(_is_remark(parts) for _, parts in node.names)
     said = {_says(node, own_id, parts, inside) for own_id, parts in node.names}
     if "behind" in said:
         return True
+    if inside and NEVER_WORDS.intersection(node.words) <= SUBJECTS and _paragraph_text(node) >= MUCH_TEXT:
+        node.doubt = True
+        return False
     if KEEP_WORDS.intersection(node.words) or not said & {"never", "doubt"}:
         return False
     if "never" in said:
@@ -147,6 +172,10 @@ def _unwanted(node: _Node, inside: bool) -> bool:
     return not inside and _paragraph_text(node) < MUCH_TEXT
 
 
+def _is_remark(parts: list) -> bool:
+    return not REMARKS.isdisjoint(parts) and all(w in REMARKS or w in KEEP_WORDS or w in STRUCTURAL or len(w) == 1 for w in parts)
+
+
 def _says(node: _Node, own_id: bool, parts: list, inside: bool) -> str:
     """What a name says: "never" main text, the same "behind" a word that keeps, "doubt", or nothing."""
     never = NEVER_WORDS.intersection(parts)
@@ -183,16 +212,18 @@ def _begins_with_heading(node: _Node) -> bool:
 
 
 def _paragraph_text(node: _Node) -> int:
-    """Characters of paragraphs without their links, counted up to MUCH_TEXT."""
-    total, stack = 0, [(node, node.tag in PARAGRAPHS)]
-    while stack and total < MUCH_TEXT:
-        at, counts = stack.pop()
-        for c in at.children:
-            if isinstance(c, str):
-                total += len(c.strip()) if counts else 0
-            elif c.tag != "a" and c.tag not in NEVER:
-                stack.append((c, counts or c.tag in PARAGRAPHS))
-    return total
+    """Characters of paragraphs without their links. Every node of a page is counted once."""
+    if node.plain is None:
+        todo, order = [node], []
+        while todo:
+            at = todo.pop()
+            order.append(at)
+            todo += [c for c in at.children if not isinstance(c, str) and c.plain is None]
+        for at in reversed(order):
+            below = [c.plain for c in at.children if not isinstance(c, str) and c.tag != "a" and c.tag not in NEVER]
+            whole = sum(len(c.strip()) for c in at.children if isinstance(c, str)) + sum(whole for whole, _ in below)
+            at.plain = (whole, whole if at.tag in PARAGRAPHS else sum(counted for _, counted in below))
+    return node.plain[1]
 
 
 def _prune(root: _Node) -> None:
@@ -249,6 +280,12 @@ def _kept(root: _Node) -> list:
     best = max(nodes, key=lambda n: n.points)
     if not best.points:
         return [root] if root.text and root.linked < root.text else []
+    up, article = best, None
+    while up is not None:  # the outermost article, or else the main element
+        if up.tag == "article" or (up.tag == "main" and article is None):
+            article = up
+        up = up.parent
+    best = article or best
     if best.parent is None:
         return [best]
     out = []
@@ -256,7 +293,8 @@ def _kept(root: _Node) -> list:
         if isinstance(c, str):
             continue
         plain = c.tag in PARAGRAPHS and c.text and c.linked * 4 < c.text
-        if c is best or (c.points >= 0.2 * best.points and c.linked * 2 < c.text) or plain:
+        alike = c.tag == best.tag != "article" and c.names == best.names and c.text
+        if c is best or ((c.points >= 0.2 * best.points or alike) and c.linked * 2 < c.text) or plain:
             out.append(c)
     return out
 

@@ -2,6 +2,7 @@
 
 import html
 import random
+import time
 
 from panelwright.llm.html_text import extract_text, main_text
 
@@ -77,3 +78,47 @@ def test_whole_table(spark):
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")).collect()
     assert len(got) == len(rows) and all(r.text == want.get(r.page_id, "") and r.n_chars == len(r.text) for r in got)
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_articles_of_one_long_and_short_parts_stay_whole():
+    long = "".join(f"<p>Paragraph {i}, of the long part, with commas, and words.</p>" for i in range(30))
+    parts = [f"<section><h2>Opening</h2><p>Short.</p></section>", f"<section><h2>Middle</h2>{long}</section>", "<section><p>The end.</p></section>"]
+    for main in ("<article><h1>T</h1><div>{}</div></article>", "<main><div>{}</div></main>", "<div class='post'>{}</div>", "<div class='page'><div><article>{}</article></div></div>"):
+        got = main_text(PAGE.format(main=main.format("".join(parts)))).split("\n")
+        assert got[-34:][:2] == ["Opening", "Short."] and got[-1] == "The end." and len(got) == 34 + ("<h1>" in main)
+    divided = "<article><div><p>One.</p></div><div>" + long + "</div><article><p>Quoted.</p></article><div><p>Last.</p></div></article>"
+    assert main_text(PAGE.format(main=divided)).split("\n")[0] == "One." and main_text(PAGE.format(main=divided)).endswith("Quoted.\nLast.")
+
+
+def test_quotes_count_behind_an_equals_sign():
+    for tag in ("<p data-x=it's>", '<p title="5" screen">', "<p '>", '<p title = "a > b">', "<p a=\"it's\" b='\"'>", "<p a=''b=\"\">", '<p "a>', "<p/ a=x/>", "<p =x>"):
+        assert main_text(f"<article>{tag}One, two.</p><p>Don't, \"really\".</p></article>") == "One, two.\nDon't, \"really\".", tag
+    assert main_text('<article><p>One.</p><p title="open>Two.</p><p>Three.</p></article>') == "One.\nTwo.\nThree."
+    assert main_text('<article><p>One.</p><p a="x"b=\'>Two.</p><p>Three.</p></article>') == "One.\nTwo.\nThree."
+    assert main_text("<p>a</p><!--><p>b</p><!-- c --!><p>d</p><!-- e > f") == "a\nb\nd"
+    assert main_text("<p>a</p>b <!-- c") == "a\nb"
+    assert main_text("<article><p hidden>a</p><div style='display: none'><p>b</p></div><p>c</p></article><div hidden><p>d</p></div>") == "c"
+
+
+def test_subjects_of_articles_stay_and_remarks_go():
+    words = "Words, of the part, that go on. " * 20
+    for name in ("market-share", "social", "guard-rail"):
+        assert main_text(PAGE.format(main=f'<article><p>One.</p><section class="{name}"><p>{words}</p></section></article>')) == "One.\n" + words.strip(), name
+    for name in ("market-share", "social", "main-menu"):
+        assert main_text(PAGE.format(main=f'<article><p>One.</p><div class="{name}"><a href=x>{words}</a></div></article>')) == "One.", name
+    for names in ('class="card comment"', 'id="c12" class="comment"', 'class="h-entry comment-item"', 'class="post-comment"'):
+        assert main_text(PAGE.format(main=f"<article><p>One.</p><article {names}><p>{words}</p></article></article>")) == "One.", names
+        assert main_text(PAGE.format(main=f"<article><p>One.</p></article><article {names}><p>{words}</p></article>")) == "One.", names
+    for names in ('class="post category-comments"', 'class="post no-comments"', 'id="post-1" class="entry tag-share"'):
+        assert main_text(PAGE.format(main=f"<article {names}><p>One, two.</p></article>")) == "One, two.", names
+
+
+def test_open_tags_take_time_in_proportion():
+    def seconds(page):
+        begin = time.process_time()
+        main_text(page)
+        return time.process_time() - begin
+
+    for piece in ("<p <", "<div>", "<p><b>", "<p><button><div>", "<div class='side-x'>", "<li><ul>", "<!", "<!--", "<a b='>\">", "<a b=", "</i>", "<td><p>", "<a b=\"", "<section id='ad-x'>"):
+        assert seconds(piece * (250_000 // len(piece)) + ">") < 5, piece
+    assert seconds("<p " + "a" * 250_000 + " " * 250_000 + ">") < 5
