@@ -11,7 +11,7 @@ from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .jaccard_join import jaccard_components
 from .licenses import TEMPLATES, WORD_CLASS, scan_licenses, scan_notices
-from .mixing import BLOCK_WORDS, PRIMES, Mix
+from .mixing import ADD, BLOCK_WORDS, PRIME, ROUNDS, Mix
 from .prefix_trie import conversation_trie
 from .pieces import encode_occurrences, model_path
 from .repeated_windows import remove_repeats
@@ -124,9 +124,13 @@ def op5_temporal_url_lists(spark: SparkSession, folder: str) -> DataFrame:
     return judge(captures, list_history(pages)).withColumn("since", F.coalesce("since", F.lit(-1)).cast("bigint"))
 
 
+def _mixed_sql(v: str) -> str:
+    return f"((({v}) % {PRIME}) * ((({v}) + {ADD}) % {PRIME})) % {PRIME}"
+
+
 @register(f"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''),'[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-  coalesce(((doc_id % 1048576) * 7919) % greatest(64, (SELECT count(*)//10000 FROM documents)), 0) AS part FROM documents),
+  {_mixed_sql(_mixed_sql(f'(doc_id % {PRIME})'))} % greatest(64, (SELECT count(*)//10000 FROM documents)) AS part FROM documents),
 a AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS src FROM s GROUP BY source),
 b AS (SELECT *, [3.0,1.0,2.0][((src-1)%3+1)::INT]::DOUBLE AS weight, 2.0*source_size AS most FROM a),
 c AS (SELECT *, (1.5*sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most/weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0))
@@ -134,10 +138,12 @@ c AS (SELECT *, (1.5*sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER B
 t AS (SELECT src, source, source_size, least(most, coalesce((SELECT max(level) FROM c WHERE level <= most/weight),0)*weight)::DOUBLE AS target,
   ceil(source_size/{BLOCK_WORDS}.0)::BIGINT AS n FROM c),
 u AS (SELECT *, round(target)::BIGINT // greatest(source_size,1) AS passes, round(target)::BIGINT % greatest(source_size,1) AS rest FROM t),
-g AS (SELECT u.*, pass, k, ({list(PRIMES)}[((src+pass+17)%{len(PRIMES)}+1)::INT])::BIGINT % n AS step, (src*7919+pass*104729+17*1299709) % n AS short
-  FROM u, unnest(range(0, passes+1)) AS p(pass), unnest(range(0, n)) AS q(k) WHERE n > 0),
-o AS (SELECT *, (((n-1+step*(k-short)) % n) + n) % n AS block, source_size-(n-1)*{BLOCK_WORDS} AS tail FROM g),
-f AS (SELECT *, k*{BLOCK_WORDS} - CASE WHEN k > short THEN {BLOCK_WORDS}-tail ELSE 0 END AS before, CASE WHEN block = n-1 THEN tail ELSE {BLOCK_WORDS} END AS length FROM o),
+v AS (SELECT u.*, pass, list_transform(range(0, {ROUNDS}), lambda r: {_mixed_sql(_mixed_sql(_mixed_sql('(src*69069 + pass*10007 + 17*1000003 + r*104729)')))}) AS keys
+  FROM u, unnest(range(0, passes+1)) AS p(pass) WHERE n > 0),
+o AS (SELECT *, list_reduce(list_prepend(k, keys), lambda x, y: CASE WHEN ({_mixed_sql('(greatest(x, (y % n + n - x) % n) + y)')} >> 15) % 2 = 1 THEN (y % n + n - x) % n ELSE x END) AS block,
+  source_size-(n-1)*{BLOCK_WORDS} AS tail FROM v, unnest(range(0, n)) AS q(k)),
+h AS (SELECT *, max(CASE WHEN block = n-1 THEN k END) OVER (PARTITION BY src, pass) AS short FROM o),
+f AS (SELECT *, k*{BLOCK_WORDS} - CASE WHEN k > short THEN {BLOCK_WORDS}-tail ELSE 0 END AS before, CASE WHEN block = n-1 THEN tail ELSE {BLOCK_WORDS} END AS length FROM h),
 w AS (SELECT src, block, CASE WHEN pass < passes THEN length ELSE least(length, rest-before) END AS take FROM f),
 d AS (SELECT s.*, src, source_size, target, n, (sum(size) OVER (PARTITION BY s.source ORDER BY part, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM s JOIN u ON s.source IS NOT DISTINCT FROM u.source),
 m AS (SELECT d.doc_id, sum(greatest(0, least(stop, block*{BLOCK_WORDS}+take) - greatest(stop-size, block*{BLOCK_WORDS})))::BIGINT AS taken

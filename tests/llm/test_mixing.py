@@ -3,7 +3,9 @@
 import random
 from collections import Counter, defaultdict
 
-from panelwright.llm.mixing import Mix
+from pyspark.sql import functions as F
+
+from panelwright.llm.mixing import Mix, part_of, permuted, round_keys, shard_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, block long, src int"
 
@@ -71,3 +73,41 @@ def test_the_mix_as_documents_holds_the_words_taken(spark):
 def test_an_empty_table(spark):
     mix = Mix(spark.createDataFrame([], SCHEMA))
     assert mix.counts().count() == 0 and mix.documents().count() == 0
+
+
+def test_permutations_of_any_length(spark):
+    rows = [(s, n) for s in (1, 2, 900) for n in (1, 2, 3, 64, 331, 1000, 1386)]
+    keys = round_keys(F.col("src"), 1, 17)
+    at = spark.createDataFrame(rows, "src long, n long").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    there = permuted(F.col("at"), F.col("n"), keys)
+    got = defaultdict(dict)
+    for r in at.withColumn("there", there).withColumn("back", permuted(F.col("there"), F.col("n"), F.reverse(keys))).collect():
+        assert r.back == r["at"]
+        got[r.src, r.n][r["at"]] = r.there
+    assert all(sorted(p.values()) == list(range(n)) for (_, n), p in got.items())
+    for (_, n), p in got.items():
+        if n > 300:  # neighbours do not stay together, and half a pass reaches all parts of the stream
+            assert sum(abs(p[i + 1] - p[i]) <= 2 for i in range(n - 1)) < n / 20
+            assert all(n / 20 < sum(p[i] * 4 // n == q for i in range(n // 2)) < n / 5 for q in range(4))
+
+
+def test_shards_draw_their_sources_and_totals_are_exact(spark):
+    need = {1: 30_000, 2: 7, 3: 9_000, 4: 1, 5: 0, 6: 993}
+    got = shard_counts(spark.createDataFrame(list(need.items()), "src int, count long"), seed=3, per_shard=1000).collect()
+    numbers, shards = defaultdict(list), defaultdict(Counter)
+    for r in got:
+        numbers[r.src] += range(r.low, r.high)
+        shards[r.shard][r.src] += r.high - r.low
+    assert all(sorted(numbers[s]) == list(range(n)) for s, n in need.items())
+    assert len(shards) == 41 and all(sum(shards[k].values()) == 1000 for k in range(40)) and sum(shards[40].values()) == 1
+    # 1,000 draws at odds of 0.75: standard deviation 13.7. The first shards are drawn freely, the last ones are balanced.
+    free = [shards[k][1] for k in range(30)]
+    assert all(abs(n - 750) < 70 for n in free) and len(set(free)) > 10
+    assert shard_counts(spark.createDataFrame([], "src int, count long")).count() == 0
+
+
+def test_null_ids_and_multiples_spread_over_the_parts(spark):
+    data = [(None if i % 2 else i * 64, f"w{i} x", "en", "a", 1, "x", 2, 3) for i in range(2000)]
+    mix = Mix(spark.createDataFrame(data, SCHEMA))
+    part = Counter(r[0] for r in mix.sizes.select(part_of(F.col("doc_id"), F.col("text_key"), 64)).collect())
+    assert len(part) > 50 and max(part.values()) < 120
