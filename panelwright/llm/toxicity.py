@@ -24,9 +24,8 @@ from ..session import materialise
 from .common import id_and_text
 from .words import hash_tokens, token_hashes
 
-#: Bounds of the fit: labelled documents per class, and tokens of the model.
+#: Bound of the fit: labelled documents per class. The model holds every token that is significant in them.
 SAMPLE_DOCS = 12_000
-MODEL_TOKENS = 4096
 #: The prior: so many tokens in the proportions of both classes together, and a flat share for every token, without which
 #: a token that one class lacks has no finite weight; least significance of a weight, in standard deviations.
 PRIOR = 500.0
@@ -157,7 +156,8 @@ def _least_hashes(label: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     """Fit on at most SAMPLE_DOCS labelled documents of each class, by the smallest hashes of their doc_ids.
 
-    Rows that are held out are never read for it. With labels of one class only, or none, the model knows no token and
+    Rows that are held out are never read for it. Of rows that repeat a labelled doc_id one is read, the one with the least text, so
+    the sample stays bounded however often an id is repeated. With labels of one class only, or none, the model knows no token and
     every score is near 0.
     """
     label = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -166,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     label = _least_hashes(label).withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
     rows = id_and_text(docs)
     # The labels of the sample are at most 2 * SAMPLE_DOCS rows of two numbers: small enough for every task.
-    sample = materialise(rows.join(F.broadcast(label), rows["doc_id"] == label["labelled"]).select("doc_id", "text", "toxic"))
+    sample = rows.join(F.broadcast(label), rows["doc_id"] == label["labelled"]).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    sample = materialise(sample)
     counts = materialise(_token_counts(sample))
     sums = counts.groupBy("stem").agg(F.sum("toxic"), F.sum("clean")).collect()
     n_toxic, n_clean = next(((r[1], r[2]) for r in sums if not r["stem"]), (0, 0))
@@ -177,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     y, z = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(y / (n_toxic + PRIOR - y)) - F.log(z / (n_clean + PRIOR - z))
     chosen = (counts.withColumn("weight", odds).withColumn("sure", odds / F.sqrt(1 / y + 1 / z)).where((F.col("sure") >= SIGNIFICANT) & (F.col("weight") >= LEAST_ODDS))
-              .orderBy(F.desc("sure"), "token", "stem").limit(MODEL_TOKENS).collect())
+              .orderBy("token", "stem").collect())
     words = [r for r in chosen if not r["stem"]]
     if not chosen:
         return nothing

@@ -100,3 +100,12 @@ def test_only_labels_that_can_be_in_the_sample_are_ranked(spark, monkeypatch):
         assert own[:200] == sorted((r.hash, r.labelled) for r in rows if r.toxic == toxic)[:200] and 200 <= len(own) < 400
     few = label.where("labelled < 100")
     assert tx._least_hashes(few).count() == 100 and tx._least_hashes(few.where("toxic = 7")).count() == 0
+
+
+def test_repeated_rows_of_a_labelled_document_count_once(spark):
+    rows, labels = corpus(200)
+    label = spark.createDataFrame(labels, "doc_id long, toxic int")
+    again = rows + [r for r in rows[:20] for _ in range(30)] + [(rows[0][0], None, *rows[0][2:])]
+    models = [tx.fit(tx.id_and_text(spark.createDataFrame(x, SCHEMA)), label) for x in (rows, again[:-1])]
+    assert (models[0].tokens == models[1].tokens).all() and (models[0].weights == models[1].weights).all() and models[0].middle == models[1].middle
+    assert len(tx.fit(tx.id_and_text(spark.createDataFrame(again, SCHEMA)), label).tokens)
