@@ -76,11 +76,26 @@ def calendar_gaps(blocks: DataFrame, step_seconds: int = DAY) -> DataFrame:
 
 
 def gap_summary(df: DataFrame, blocks: DataFrame, migrations: DataFrame, window_days: int = MIGRATION_WINDOW_DAYS, step_seconds: int = DAY) -> DataFrame:
-    """Per asset: rows, span, missing points, and how many lie near a migration."""
-    missing = calendar_gaps(blocks, step_seconds).withColumn("base", base_token(F.col("asset"))).join(
-        _effective_by_canonical(migrations), "base", "left")
-    near = _any_instant(lambda at: F.abs(F.unix_micros("timestamp") - F.unix_micros(at)) <= window_days * DAY * 1_000_000)
-    counted = missing.groupBy("asset").agg(F.count(F.lit(1)).alias("missing"), F.count_if(near).alias("near_migration"))
+    """Per asset: rows, span, missing points, and how many lie near a migration.
+
+    No point is listed: each migration covers a range of a block's grid, and a sweep over the ranges counts their union.
+    """
+    known = blocks.withColumn("base", base_token(F.col("asset"))).join(_effective_by_canonical(migrations), "base", "left")
+    step, reach = step_seconds * 1_000_000, window_days * DAY * 1_000_000
+    start = F.unix_micros("gap_start")
+    known = known.withColumn("last", F.floor((F.unix_micros("gap_end") - start) / step))
+
+    def covered(at):
+        low, high = F.ceil((F.unix_micros(at) - reach - start) / step), F.floor((F.unix_micros(at) + reach - start) / step)
+        return F.struct(F.greatest(low, F.lit(0)).alias("low"), F.least(high, F.col("last")).alias("high"))
+
+    def sweep(state, part):
+        fresh = F.greatest(part["high"] - F.greatest(part["low"] - 1, state["seen"]), F.lit(0))
+        return F.struct(F.greatest(state["seen"], part["high"]).alias("seen"), (state["points"] + fresh).alias("points"))
+
+    nothing = F.struct(F.lit(-1).cast("bigint").alias("seen"), F.lit(0).cast("bigint").alias("points"))
+    near = F.aggregate(F.array_sort(F.transform("instants", covered)), nothing, sweep, lambda state: state["points"])
+    counted = known.groupBy("asset").agg(F.sum(F.col("last") + 1).alias("missing"), F.sum(F.coalesce(near, F.lit(0))).cast("bigint").alias("near_migration"))
     span = df.groupBy("asset").agg(
         F.count_distinct("timestamp").alias("bars"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
     return span.join(counted, "asset").withColumn("interior", F.col("missing") - F.col("near_migration"))

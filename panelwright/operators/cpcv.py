@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from math import comb
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..constants import STD_FLOOR
 from ..functions.expanding import expanding_rank
-from ..functions.literal import literal_table
 from ..functions.numeric import ratio
 from ..functions.windows import full, running, through
 from .factors import bar_index
@@ -21,6 +20,25 @@ def _group_bounds(n: Column, groups: int, group: Column) -> tuple[Column, Column
     return low, low + size + F.when(group < extra, F.lit(1)).otherwise(F.lit(0)) - 1
 
 
+def group_choices(spark: SparkSession, n_groups: int, n_test: int) -> DataFrame:
+    """(fold_id, test_groups): every choice of test groups in lexicographic order, each found from its number alone.
+
+    Group by group, as many choices go with it as the groups behind it allow: a number below that takes the group, any
+    other goes on without it and less by so many.
+    """
+    behind = F.array(*[F.array(*[F.lit(comb(n_groups - 1 - g, k - 1) if k else 0).cast("bigint") for k in range(n_test + 1)]) for g in range(n_groups)])
+
+    def take(state, group):
+        here = F.element_at(F.element_at(behind, group + 1), state["missing"] + 1)
+        taken = (state["missing"] > 0) & (state["left"] < here)
+        return F.when(taken, F.struct(state["left"].alias("left"), (state["missing"] - 1).alias("missing"), F.concat(state["groups"], F.array(group)).alias("groups"))).otherwise(
+            F.struct((state["left"] - here).alias("left"), state["missing"].alias("missing"), state["groups"].alias("groups")))
+
+    start = F.struct(F.col("id").alias("left"), F.lit(n_test).alias("missing"), F.array().cast("array<int>").alias("groups"))
+    groups = F.aggregate(F.sequence(F.lit(0), F.lit(n_groups - 1)), start, take, lambda state: state["groups"])
+    return spark.range(comb(n_groups, n_test)).select(F.col("id").cast("int").alias("fold_id"), groups.alias("test_groups"))
+
+
 def cpcv_splits(panel: DataFrame, n_groups: int = 10, n_test: int = 2, embargo: float = 0.01, purge: float = 0.01) -> DataFrame:
     """(fold_id, timestamp, side) for every choice of test groups. Training bars within the purge of a
     test group, or in the embargo after it, belong to neither side.
@@ -31,8 +49,7 @@ def cpcv_splits(panel: DataFrame, n_groups: int = 10, n_test: int = 2, embargo:
         raise ValueError("need 2 <= n_groups and 1 <= n_test < n_groups")
     bars = bar_index(panel)
     counted = bars.join(bars.agg(F.count(F.lit(1)).alias("n")), F.lit(True)).where(F.col("n") >= n_groups)
-    choices = list(combinations(range(n_groups), n_test))
-    folds = literal_table(panel.sparkSession, [(i, list(c)) for i, c in enumerate(choices)], "fold_id int, test_groups array<int>")
+    folds = group_choices(panel.sparkSession, n_groups, n_test)
 
     def length(share):
         return F.greatest(F.lit(1), F.bround(F.col("n") * share)).cast("bigint") if share > 0 else F.lit(0)

@@ -9,8 +9,6 @@ KLINE_COLUMNS = ("open_time", "open", "high", "low", "close", "volume", "close_t
 FUNDING_TIME_NAMES = ("calctime", "fundingtime", "fundingtimestamp")
 FUNDING_RATE_NAMES = ("lastfundingrate", "fundingrate", "funding")
 MICROSECOND_EPOCH = 10**14
-#: Columns of a funding file, at most.
-FUNDING_WIDTH = 16
 
 LIFECYCLE_COLUMNS = ("canonical", "symbol", "listed_at", "delisted_at", "event", "source")
 
@@ -46,10 +44,11 @@ def _first_of(names, values: Column, labels: Column) -> Column:
 def read_funding(spark: SparkSession, path: str) -> DataFrame:
     """Funding files by the symbol in the file name; every file is read under its own header line.
 
-    Files of one folder may order and name their columns differently. A file whose header has no known time or rate
+    Files of one folder may order and name their columns differently, and have any number of them. A file whose header has no known time or rate
     refuses the folder.
     """
-    columns = [f"c{i}" for i in range(FUNDING_WIDTH)]
+    commas = spark.read.text(path).agg(F.max(F.regexp_count("value", F.lit(",")))).first()[0]
+    columns = [f"c{i}" for i in range((commas or 0) + 1)]
     raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).csv(path)
     lines = raw.select(F.input_file_name().alias("file"), _symbol_from_path().alias("source"), F.array(*columns).alias("cells"))
     labels = F.transform("cells", lambda c: F.coalesce(_plain(c), F.lit("")))

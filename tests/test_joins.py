@@ -1,5 +1,6 @@
 """Interval joins, equi-depth ranges and rebalance schedules against plain loops."""
 
+import itertools
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -8,8 +9,10 @@ import pytest
 
 from panelwright.functions import ranks as R
 from panelwright.functions.intervals import interval_join
-from panelwright.operators.audit import active_assets
+from panelwright.operators.audit import active_assets, gap_summary
+from panelwright.operators.cpcv import group_choices
 from panelwright.operators.portfolio import rebalances
+from panelwright.sources.landed import read_funding
 
 START = datetime(2021, 3, 1)
 
@@ -88,3 +91,33 @@ def test_rebalances_follow_the_walk(spark):
     want = walk(bars)
     assert Counter(map(tuple, got.collect())) == want and max(Counter(b for b, _, _ in want).values()) > 40
     assert rebalances(spark.createDataFrame([], "book_id string, idx long, due boolean, gone_idx long")).count() == 0
+
+
+def test_choices_of_groups_follow_from_their_numbers(spark):
+    for g in range(2, 13):
+        for k in range(1, g):
+            got = group_choices(spark, g, k).collect()
+            assert [r["fold_id"] for r in got] == list(range(len(got))) and [tuple(r["test_groups"]) for r in got] == list(itertools.combinations(range(g), k)), (g, k)
+
+
+def test_gap_points_near_overlapping_migrations_are_counted_once(spark):
+    rng = random.Random(5)
+    day = datetime(2021, 1, 1)
+    for step_hours in (24, 8, 5):
+        step = timedelta(hours=step_hours)
+        moves = [(f"OLD{i}USDT", "AAA", day + timedelta(hours=rng.randrange(0, 24 * 90))) for i in range(6)]
+        blocks = [(a, day + step * s, day + step * (s + n - 1)) for a in ("AAAUSDT", "BBBUSDT") for s, n in ((3, 1), (10, 40), (70, 25))]
+        dim = spark.createDataFrame(moves, "legacy string, canonical string, effective timestamp")
+        bars = spark.createDataFrame([("AAAUSDT", day), ("BBBUSDT", day)], "asset string, timestamp timestamp")
+        frame = spark.createDataFrame(blocks, "asset string, gap_start timestamp, gap_end timestamp")
+        got = {r["asset"]: (r["missing"], r["near_migration"]) for r in gap_summary(bars, frame, dim, 7, step_hours * 3600).collect()}
+        points = [low + step * i for a, low, high in blocks if a == "AAAUSDT" for i in range((high - low) // step + 1)]
+        near = sum(any(abs(p - at) <= timedelta(days=7) for _, _, at in moves) for p in points)
+        assert got == {"AAAUSDT": (66, near), "BBBUSDT": (66, 0)} and 0 < near < 66
+
+
+def test_funding_files_of_any_width(spark, tmp_path):
+    more = ",".join(f"x{i}" for i in range(30))
+    (tmp_path / "AAAUSDT-fundingRate-2021-01.csv").write_text(f"{more},calc_time,last_funding_rate\n" + ",".join("9" * 30) + ",1609459200000,0.25\n")
+    (tmp_path / "BBBUSDT-fundingRate-2021-01.csv").write_text("fundingRate,fundingTime\n0.5,1609459200000\n")
+    assert {r["source"]: r["funding_rate"] for r in read_funding(spark, str(tmp_path)).collect()} == {"AAAUSDT": 0.25, "BBBUSDT": 0.5}
