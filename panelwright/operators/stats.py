@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import EULER_GAMMA, STD_FLOOR
 from ..functions.normal import erfc, normal_cdf, normal_quantile
-from ..functions.numeric import stable
+from ..functions.numeric import clean, stable
 from ..functions.ranks import average_ranks, quantile_edges
 from ..functions.windows import per_asset
 from ..session import materialise
@@ -16,6 +16,10 @@ from .factors import unpivot_signals
 
 MIN_IC_BARS = 30
 MIN_OVERLAP = 30
+# Expected series and bars of a tile: two tiles of numbers fit a task many times over.
+TILE_SERIES, TILE_BARS = 128, 512
+# A spread below this share of the squares is what rounding leaves of none.
+VARIES = 1e-13
 
 
 def signal_returns(frame: DataFrame, candidates) -> DataFrame:
@@ -183,17 +187,69 @@ def trial_counts(trials: DataFrame, key: str = "search") -> DataFrame:
         F.count_if(F.col("exclusion_reason") == "insufficient_sample").alias("insufficient_samples"))
 
 
+def _pair_products(rows: pd.DataFrame) -> pd.DataFrame:
+    """Counts, sums and products of every two series of one group of tiles, by matrix products."""
+    bars, at = np.unique(rows["at"].to_numpy(), return_inverse=True)
+    block, ret, ids = rows["tile"].to_numpy(), rows["ret"].to_numpy(), rows["id"].to_numpy(dtype=object)
+
+    def matrices(which):
+        mine = block == which
+        who, names = pd.factorize(ids[mine], sort=True)
+        there, value = np.zeros((2, len(bars), len(names)))
+        there[at[mine], who], value[at[mine], who] = 1.0, ret[mine]
+        return names, there, value
+
+    low, high = rows["low"].iat[0], rows["high"].iat[0]
+    names, there, value = matrices(low)
+    others, there_too, value_too = matrices(high) if high != low else (names, there, value)
+    n = there.T @ there_too
+    i, j = np.nonzero(np.triu(n, 1) if high == low else n)
+    sums = {"n": n, "sum_a": value.T @ there_too, "sum_b": there.T @ value_too, "square_a": (value * value).T @ there_too,
+            "square_b": there.T @ (value_too * value_too), "product": value.T @ value_too}
+    out = pd.DataFrame({"a": names[i], "b": others[j], **{c: m[i, j] for c, m in sums.items()}})
+    turned = (out["a"] > out["b"]).to_numpy(dtype=bool)
+    for x, y in (("a", "b"), ("sum_a", "sum_b"), ("square_a", "square_b")):
+        out[x], out[y] = out[y].where(turned, out[x]), out[x].where(turned, out[y])
+    return out
+
+
 def pairwise_correlation(series: DataFrame, keys=(), minimum: int = 0) -> DataFrame:
-    """Correlation of every two series (id, timestamp, ret) on their common bars.
+    """Correlation of every two series (id, timestamp, ret) on their common bars, and how many those are.
 
-    The result is one row per pair of trials by definition; sums per pair combine before the shuffle.
+    Blocked Gram matrices: series and bars are dealt by hash into tiles whose number follows from the input, a tile meets
+    every other tile of the same bars, and two tiles give the sums of all their pairs by matrix products. So there is no
+    row of two series and a bar: a pair has one row per block of bars, and these are added up. Returns are measured from
+    the mean of their series, which keeps the digits of the sums. A series has one row per bar; bars whose return is null
+    or not finite do not count. Two series of which one does not vary on the common bars have no correlation.
     """
-    a = series.select(*keys, "timestamp", F.col("id").alias("a"), F.col("ret").alias("ret_a"))
-    b = series.select(*keys, "timestamp", F.col("id").alias("b"), F.col("ret").alias("ret_b"))
-    pairs = a.join(b, [*keys, "timestamp"]).where("a < b")
-    n = F.count(F.lit(1))
-    spread = (F.stddev_samp("ret_a") >= STD_FLOOR) & (F.stddev_samp("ret_b") >= STD_FLOOR)
-    return pairs.groupBy(*keys, "a", "b").agg(F.when(spread & (n >= minimum), F.corr("ret_a", "ret_b")).alias("corr"), n.alias("overlap"))
+    keys = list(keys)
+    known = series.select(*keys, "timestamp", "id", clean("ret").alias("ret")).where("ret is not null and id is not null and timestamp is not null")
+    blocks = lambda c, size: F.ceil(F.approx_count_distinct(c) / size).cast("int")
+    sizes = known.groupBy(*keys).agg(blocks("id", TILE_SERIES).alias("tiles"), blocks("timestamp", TILE_BARS).alias("spans"))
+    dealt = known.withColumn("ret", F.col("ret") - F.avg("ret").over(Window.partitionBy(*keys, "id"))).join(sizes, keys or F.lit(True)).select(
+        *keys, "id", "ret", F.unix_micros("timestamp").alias("at"), F.pmod(F.xxhash64("timestamp"), F.col("spans")).cast("int").alias("span"),
+        F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    met = dealt.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("other")
+
+    def tile_pair(key, rows):
+        return _pair_products(rows).assign(**dict(zip(keys, key)))
+
+    sums = ("n", "sum_a", "sum_b", "square_a", "square_b", "product")
+    types = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in known.select(*keys).schema], "a string", "b string", *[f"{c} double" for c in sums]])
+    parts = met.groupBy(*keys, "span", "low", "high").applyInPandas(tile_pair, types)
+    added = parts.groupBy(*keys, "a", "b").agg(*[F.sum(c).alias(c) for c in sums])
+    n = F.col("n")
+
+    def moment(x, y, total):
+        return F.col(total) - F.col(x) * F.col(y) / n
+
+    def varies(c):
+        around = moment(f"sum_{c}", f"sum_{c}", f"square_{c}")
+        return (n > 1) & (around > F.col(f"square_{c}") * VARIES) & (F.sqrt(around / (n - 1)) >= STD_FLOOR)
+
+    corr = moment("sum_a", "sum_b", "product") / F.sqrt(moment("sum_a", "sum_a", "square_a")) / F.sqrt(moment("sum_b", "sum_b", "square_b"))
+    kept = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), corr))
+    return added.select(*keys, "a", "b", F.when(varies("a") & varies("b") & (n >= minimum), kept).alias("corr"), n.cast("bigint").alias("overlap"))
 
 
 def effective_trials(series: DataFrame, threshold: float = 0.9, key: str = "search") -> DataFrame:

@@ -82,6 +82,35 @@ def test_copies_of_a_trial_count_once(spark):
     assert {r["trial"] for r in S.trial_conflicts(bad).collect()} == {"x", "y"}
 
 
+@pytest.mark.parametrize("series, bars", [(3, 7), (128, 512)])
+def test_correlations_of_uneven_series_by_tiles_are_those_of_their_common_bars(spark, monkeypatch, series, bars):
+    """Small tiles and large ones; far from zero, constant, with holes, without a common bar, with bad returns, in two groups."""
+    monkeypatch.setattr(S, "TILE_SERIES", series)
+    monkeypatch.setattr(S, "TILE_BARS", bars)
+    rng = np.random.default_rng(6)
+    days = pd.date_range("2025-02-01", periods=60)
+    made = {f"s{i}": pd.Series(rng.normal(1000 if i == 2 else 0, 0.01, 60), days).sample(frac=1 - i / 12, random_state=i) for i in range(9)}
+    made |= {"still": pd.Series(0.1, days), "head": pd.Series(rng.normal(size=20), days[:20]), "tail": pd.Series(rng.normal(size=20), days[40:]), "lone": pd.Series([0.2], days[:1])}
+    made["step"] = pd.Series([0.3] * 20 + list(rng.normal(size=40)), days)  # does not vary where head is
+    rows = [(g, k, t.to_pydatetime(), float(v)) for g in ("x", "y") for k, s in made.items() for t, v in s.items() if g == "x" or k < "s5"]
+    bad = [("x", "head", days[30].to_pydatetime(), float("nan")), ("x", "tail", days[0].to_pydatetime(), None), ("x", "lone", days[5].to_pydatetime(), float("inf")), (None, "a", days[0].to_pydatetime(), 1.0)]
+    df = spark.createDataFrame(rows + bad, "search string, id string, timestamp timestamp, ret double")
+    got = {(r["search"], r["a"], r["b"]): (r["corr"], r["overlap"]) for r in S.pairwise_correlation(df, ["search"], 5).collect() if r["search"]}
+    expected = {}
+    for g, known in (("x", sorted(made)), ("y", sorted(k for k in made if k < "s5"))):
+        for a, b in ((a, b) for a in known for b in known if a < b):
+            both = pd.concat([made[a], made[b]], axis=1, join="inner")
+            if len(both):
+                flat = len(both) < 5 or min(both.nunique()) == 1
+                expected[g, a, b] = (None if flat else both.corr().iloc[0, 1], len(both))
+    assert got.keys() == expected.keys() and {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in expected.items()}
+    assert {k for k, v in got.items() if v[0] is None} == {k for k, v in expected.items() if v[0] is None}
+    assert all(v[0] is None or v[0] == pytest.approx(expected[k][0], abs=1e-9) for k, v in got.items())
+    alone = S.pairwise_correlation(df.where("search = 'y'").drop("search"))
+    assert alone.count() == sum(g == "y" for g, *_ in expected)
+    assert S.pairwise_correlation(df.where("1 = 0"), ["search"]).count() == 0
+
+
 def test_future_bars_never_change_earlier_factors(spark):
     rng = random.Random(4)
     days = [d.strftime("%Y-%m-%d") for d in pd.date_range("2026-01-01", periods=50)]
