@@ -506,3 +506,7 @@ class Backtest:
         thin = self.bars.where("thin").select("book_id", "timestamp").unionByName(empty).withColumn("error", F.lit("thin_bar"))
         missing = self.exits.select("book_id", "timestamp", F.lit("missing_price").alias("error"))
         return thin.unionByName(missing)
+
+    def refusals(self, delist_mode: str = "error") -> DataFrame:
+        """The errors for which a book is refused; with forced exits a vanished holding is none."""
+        return self.errors if delist_mode == "error" else self.errors.where("error = 'thin_bar'")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..constants import SIGNAL_CANDIDATES, STD_FLOOR, WALK_FORWARD_STRESS
 from ..functions.windows import running
-from ..session import materialise
+from ..session import materialise, refuse
 from . import portfolio as B
 from . import stats as S
 from .factors import unpivot_signals
@@ -128,13 +128,10 @@ class WalkForward:
         book.returns = materialise(book.returns)  # read by the trials and by their correlations
         return book
 
-    def _errors(self, book: B.Backtest) -> DataFrame:
-        return book.errors if self.delist_mode == "error" else book.errors.where("error = 'thin_bar'")
-
     @cached_property
     def trials(self) -> DataFrame:
         runs = self.grid.select("run_id", "book_id", "signal", "n_long", "vol_target", "ordinal")
-        return materialise(fold_trials(self.search.returns, self._errors(self.search), self.folds, runs))
+        return materialise(fold_trials(self.search.returns, self.search.refusals(self.delist_mode), self.folds, runs))
 
     @cached_property
     def choices(self) -> DataFrame:
@@ -142,9 +139,18 @@ class WalkForward:
 
     def require_trials(self) -> None:
         """Refuse a search with a fold in which no trial is valid."""
-        lost = self.folds.join(self.choices, "fold", "left_anti").select("fold", F.col("train_end").cast("string")).orderBy("fold").limit(5).collect()
-        if lost:
-            raise ValueError(f"no valid trial in fold {[tuple(x) for x in lost]}")
+        lost = self.folds.join(self.choices, "fold", "left_anti")
+        refuse(lost.select("fold", F.col("train_end").cast("string")).orderBy("fold"), "no valid trial in fold")
+
+    @cached_property
+    def test_errors(self) -> DataFrame:
+        """(fold, timestamp, error) of the chosen books on their test bars. Costs change no book, so these are the errors
+        of every stressed level too."""
+        return materialise(self.test.refusals(self.delist_mode).select(F.col("book_id").cast("int").alias("fold"), "timestamp", "error"))
+
+    def require_tests(self) -> None:
+        """Refuse a search whose choice cannot be held on the test bars of its fold."""
+        refuse(self.test_errors.select("fold", "error", F.col("timestamp").cast("string")).orderBy("fold", "timestamp"), "a chosen book cannot be run on its test bars")
 
     def _test(self, chosen: DataFrame, variants: DataFrame, slice_of) -> B.Backtest:
         """Run chosen trials (fold, signal, n_long, vol_target) on their fold's test bars only."""
@@ -188,10 +194,14 @@ class WalkForward:
 
     @property
     def fold_results(self) -> DataFrame:
-        """One row per fold; a fold in which no trial is valid has no signal and no returns."""
+        """One row per fold. A fold in which no trial is valid has no signal and no returns; one whose choice cannot be held
+        on every test bar has no test return and says so in ``exclusion_reason``."""
         gained = self.out_of_sample.where("variant = 'base'").groupBy("fold").agg((F.product(F.col("ret") + 1) - 1).alias("test_return"))
         chosen = self.choices.select("fold", "signal", "n_long", "vol_target", "sharpe", "train_return")
-        return self.folds.join(chosen, "fold", "left").join(gained, "fold", "left")
+        broken = self.test_errors.groupBy("fold").agg(F.count(F.lit(1)).alias("error_bars"))
+        rows = self.folds.join(chosen, "fold", "left").join(gained, "fold", "left").join(broken, "fold", "left").fillna(0, ["error_bars"])
+        reason = F.when(F.col("signal").isNull(), "no_valid_trial").when(F.col("error_bars") > 0, "data_error")
+        return rows.withColumn("exclusion_reason", reason).withColumn("test_return", F.when(reason.isNull(), F.col("test_return")))
 
     @property
     def gates(self) -> DataFrame:
@@ -227,7 +237,9 @@ class WalkForward:
         return S.deflated_sharpe(rows.withColumn("trials_variance", F.col("v") * F.col("periods_per_year")).withColumn("n_trials", F.col("effective_n_trials")))
 
     def ensemble_members(self, k: int) -> DataFrame:
-        """Test returns of the k best distinct signals per fold as (fold, id, timestamp, ret)."""
+        """Test returns of the k best distinct signals per fold as (fold, id, timestamp, ret); a signal that cannot be held
+        on every test bar of a fold is no member there."""
         book = self._test(top_signals(self.trials, k), self.variants.where("variant = 'base'"), F.concat_ws("~", "fold", "signal"))
         parts = F.split("book_id", "~")
-        return book.returns.where("idx > 0").select(parts[0].cast("int").alias("fold"), parts[1].alias("id"), "timestamp", "ret", "ppy")
+        sound = book.returns.join(book.refusals(self.delist_mode).select("book_id").distinct(), "book_id", "left_anti")
+        return sound.where("idx > 0").select(parts[0].cast("int").alias("fold"), parts[1].alias("id"), "timestamp", "ret", "ppy")

@@ -19,7 +19,7 @@ from ..operators import validate as V
 from ..operators import walkforward as W
 from ..operators.factors import BENCHMARK, build_signals, unpivot_signals
 from ..operators.ranking import lag_for_execution, liquidity_percentile, tier_rates
-from ..session import materialise
+from ..session import materialise, refuse
 
 # Tiers under which capacity is measured.
 CAPACITY_TIERS = ((0.5, 0.0004, 0.0005), (0.0, 0.0015, 0.004))
@@ -76,16 +76,23 @@ class Deployment:
     book: B.Backtest
     segments: DataFrame
     gates: DataFrame
+    errors: DataFrame
 
 
 def deployment(panel: DataFrame, frame: DataFrame, candidates=SIGNAL_CANDIDATES, n_sides=(3,), vol_target: float = 0.20, min_train_days: float = 365,
                test_days: float = 120, delist_mode: str = "error", benchmark: str = BENCHMARK,
-               spread_checked: bool = False, **settings) -> Deployment:
+               spread_checked: bool = False, strict: bool = True, **settings) -> Deployment:
     """Search for a signal, validate the one chosen most often on one continuous curve, and collect
     every gate. ``gates`` is one row: the gate map and the hard-gate verdict. Splits and regimes cover
-    the bars on which the chosen signal exists, so that its warm-up is no part of the training segment."""
+    the bars on which the chosen signal exists, so that its warm-up is no part of the training segment.
+
+    ``errors`` names every bar (book, timestamp, error) on which a book behind a gate cannot be run: those of the test folds,
+    the validation curve and the stressed out-of-sample segment. With ``strict`` any of them refuses the deployment; without,
+    they are listed and nothing is deployable."""
     search = W.WalkForward(frame, candidates, n_sides, (vol_target,), min_train_days=min_train_days, test_days=test_days, delist_mode=delist_mode, **settings)
     search.require_trials()
+    if strict:
+        search.require_tests()
     choice = W.mode_choice(search.choices).first()
     signal, n = choice["signal"], choice["n_sides"]
     if signal is None:
@@ -97,11 +104,18 @@ def deployment(panel: DataFrame, frame: DataFrame, candidates=SIGNAL_CANDIDATES,
     breaches = B.violations(book.returns, book.trades, book.exits, book.runs, liquidity=volume)
     segments = materialise(V.segment_metrics(book.returns, split, breaches))
     last = signal_book(frame, signal, n, bars=split.where("segment = 'out_of_sample'"), vol_target=vol_target, **settings)
+    named = [search.test_errors.select(F.concat(F.lit("test fold "), "fold").alias("book"), "timestamp", "error")]
+    named += [b.refusals(delist_mode).select(F.lit(name).alias("book"), "timestamp", "error") for name, b in (("validation", book), ("out of sample", last))]
+    errors = materialise(named[0].unionByName(named[1]).unionByName(named[2]))
+    if strict:
+        refuse(errors.select("book", "error", F.col("timestamp").cast("string")).orderBy("book", "timestamp"), "a book behind the decision cannot be run")
     stress = B.run_summary(B.run_returns(last.terms, cost_runs(last)))
     reality = S.reality_check(S.ic_table(S.bar_ic(S.signal_returns(frame, candidates))))
     regimes = V.regime_performance(book.returns, V.regime_labels(warm, benchmark))
     gates = D.deployment_gates(search.gates, segments, stress, reality, regimes, search.data_mining, spread_checked)
-    return Deployment(signal, n, search, book, segments, materialise(D.hard_gates(gates)))
+    sound = errors.agg((F.count(F.lit(1)) == 0).alias("sound"))
+    verdict = D.hard_gates(gates).join(sound, F.lit(True)).withColumn("deployable", F.col("deployable") & F.col("sound")).drop("sound")
+    return Deployment(signal, n, search, book, segments, materialise(verdict), errors)
 
 
 def check_panel(df: DataFrame, strategy_id: str = "strategy", *, migrations: DataFrame | None = None, manifest: DataFrame | None = None, final: bool = False,

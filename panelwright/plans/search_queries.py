@@ -86,10 +86,11 @@ def mode_choice(spark, folder):
 
 
 @register("walk_forward", _WF + ", " + _TESTS + f"""SELECT b.fold::BIGINT AS fold, b.signal, b.n::BIGINT AS n, {q_round('b.sh')} AS train_sharpe, {q_round('b.tr')} AS train_return,
-  {q_round("(SELECT product(1+ret)-1 FROM oos WHERE variant = 'base' AND k = b.fold)")} AS test_return FROM best b""")
+  {q_round("CASE WHEN t.k IS NULL THEN (SELECT product(1+ret)-1 FROM oos WHERE variant = 'base' AND k = b.fold) END")} AS test_return,
+  CASE WHEN t.k IS NOT NULL THEN 'data_error' END AS exclusion_reason FROM best b LEFT JOIN (SELECT DISTINCT k FROM b_thin) t ON t.k = b.fold""")
 def walk_forward(spark, folder):
     r = small_search(spark, folder).fold_results
-    return r.select(count("fold"), "signal", count("n_long", "n"), rounded("sharpe", name="train_sharpe"), rounded("train_return"), rounded("test_return"))
+    return r.select(count("fold"), "signal", count("n_long", "n"), rounded("sharpe", name="train_sharpe"), rounded("train_return"), rounded("test_return"), "exclusion_reason")
 
 
 @register("wf_summary", _WF + ", " + _TESTS + f"""SELECT variant, {q_round('total_return')} AS total_return, periods::BIGINT AS periods, {q_round('sharpe')} AS sharpe, {q_round('max_drawdown')} AS max_drawdown FROM wsum""")

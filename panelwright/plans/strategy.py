@@ -11,7 +11,7 @@ from ..operators import audit as Q
 from ..operators import panel as P
 from ..operators import portfolio as B
 from ..operators.ranking import lag_for_execution, liquidity_percentile, tier_rates
-from ..session import materialise
+from ..session import materialise, refuse
 
 
 @dataclass
@@ -32,12 +32,6 @@ class StrategyResult:
         }
 
 
-def _refuse(bad: DataFrame, message: str) -> None:
-    rows = bad.limit(5).collect()
-    if rows:
-        raise ValueError(f"{message}: {[tuple(r) for r in rows]}")
-
-
 def run_strategy(df: DataFrame, signal: str = "signal", *, migrations: DataFrame | None = None, smooth: int = 1, liquidity: str | None = None,
                  tiers=None, spreads: DataFrame | None = None, delist_mode: str = "error", require_funding: bool = False, enforce_limits: bool = False,
                  strict: bool = True, **settings) -> StrategyResult:
@@ -59,7 +53,7 @@ def run_strategy(df: DataFrame, signal: str = "signal", *, migrations: DataFrame
     rows = df if "ingest_seq" in df.columns else df.withColumn("ingest_seq", F.monotonically_increasing_id())
     raw = materialise(P.ingest(rows))
     if strict:
-        _refuse(Q.collisions(P.canonical_assets(raw, dim)), "several source tickers feed one asset at one bar")
+        refuse(Q.collisions(P.canonical_assets(raw, dim)), "several source tickers feed one asset at one bar")
     gaps = Q.funding_gaps(raw, dim)
     panel = P.canonical_panel(raw, dim).withColumn("series", F.lit("strategy")).withColumn("sig", F.col(signal))
     tiered = bool(tiers and liquidity and liquidity in df.columns)
@@ -72,18 +66,17 @@ def run_strategy(df: DataFrame, signal: str = "signal", *, migrations: DataFrame
     if strict:
         if rows.isEmpty():
             raise ValueError("no executable signals: the one-bar lag needs at least two bars per asset")
-        _refuse(P.panel_violations(rows, "sig").where("violations > 0"), "invalid rows")
+        refuse(P.panel_violations(rows, "sig").where("violations > 0"), "invalid rows")
     grid = B.run_grid(spark, **{"series": "strategy", "tiered": tiered, **settings})
-    _refuse(grid.where(~B.valid_run()), "invalid settings")
+    refuse(grid.where(~B.valid_run()), "invalid settings")
     config = grid.withColumns({"book_id": F.lit("strategy"), "run_id": F.lit("strategy")})
     sides = settings.get("n_long", B.BOOK_DEFAULTS["n_long"]) + settings.get("n_short", B.BOOK_DEFAULTS["n_short"])
     book = B.Backtest(B.prepare_series(rows, ["series"], liquidity if tiered else None), config.select("book_id", "series", *B.BOOK_DEFAULTS),
                       config.select("run_id", "book_id", *B.RUN_DEFAULTS), ["series"], sides)
     if strict:
-        kinds = book.errors if delist_mode == "error" else book.errors.where("error = 'thin_bar'")
-        _refuse(kinds.select("error", F.col("timestamp").cast("string")).orderBy("timestamp"), "the book cannot be run")
+        refuse(book.refusals(delist_mode).select("error", F.col("timestamp").cast("string")).orderBy("timestamp"), "the book cannot be run")
     invalid = rows.where(F.coalesce(~(F.col(liquidity) > 0), F.lit(True))).withColumn("run_id", F.lit("strategy")) if tiered else None
     breaches = B.violations(book.returns, book.trades, book.exits, book.runs, invalid, liquidity if tiered else None)
     if enforce_limits:
-        _refuse(breaches.select(F.col("timestamp").cast("string"), "type").orderBy("timestamp"), "risk limit breached")
+        refuse(breaches.select(F.col("timestamp").cast("string"), "type").orderBy("timestamp"), "risk limit breached")
     return StrategyResult(book, breaches, gaps)

@@ -56,3 +56,10 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{scratch_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def refuse(bad: DataFrame, message: str) -> None:
+    """Raise on any row of ``bad``; the message shows the first five."""
+    rows = bad.limit(5).collect()
+    if rows:
+        raise ValueError(f"{message}: {[tuple(r) for r in rows]}")
