@@ -24,9 +24,9 @@ from .words import stir
 
 #: Symbols up to which a unit has fewer than 64 candidates, n - 1 at first and two per merge, and cuts that a worker remembers.
 SHORT_UNIT = 20
-CUTS = 400_000
+CUTS = 250_000
 #: Characters of text that are encoded at a time.
-PART = 1 << 20
+PART = 1 << 19
 _UNIT = re.compile("▁*[^▁]+|▁+")
 #: Stands for a literal U+2581, which must not come back as a space: no text holds a lone surrogate.
 _LITERAL = "\udfff"
@@ -238,7 +238,7 @@ class OccurrenceEncoder:
         self.unit, self.names, self.root = {}, [], np.zeros(0, np.int64)
         # The ways from one cut to another, in order: cut and step, and the cut that skips this step as well.
         self.ways, self.way_to = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.symbols, self.size = np.zeros((0, SHORT_UNIT), np.int64), np.zeros(0, np.int64)
+        self.symbols, self.size = np.zeros((0, SHORT_UNIT), np.int32), np.zeros(0, np.int64)
         self.flat, self.first, self.count, self.steps, self.of, self.skips = (np.zeros(0, t) for t in (np.uint16, np.int64, np.int64, np.int64, np.int64, np.uint64))
 
     def _bytes(self, rows: np.ndarray) -> np.ndarray:
@@ -251,7 +251,7 @@ class OccurrenceEncoder:
         for low, high in ((0, 8), (8, SHORT_UNIT)):
             some = np.flatnonzero((size > low) & (size <= high))
             if len(some):
-                rows, counts[some], steps[some] = _with_skips(self.model, self.symbols[units[some]], size[some], skips[some])
+                rows, counts[some], steps[some] = _with_skips(self.model, self.symbols[units[some]].astype(np.int64), size[some], skips[some])
                 first[some] = held + np.cumsum(counts[some]) - counts[some]
                 flat.append(self._bytes(rows).astype(np.uint16))
                 held += len(rows)
@@ -308,7 +308,7 @@ class OccurrenceEncoder:
             # Every unit has a row; those that are too long for it have an empty one and no cut.
             symbols, size, _ = self.model.symbols(fresh)
             row, short = np.repeat(np.arange(len(fresh)), size), np.repeat(size <= SHORT_UNIT, size)
-            table = np.zeros((len(fresh), SHORT_UNIT), np.int64)
+            table = np.zeros((len(fresh), SHORT_UNIT), np.int32)
             table[row[short], (np.arange(len(symbols)) - np.repeat(np.cumsum(size) - size, size))[short]] = symbols[short]
             begin = len(self.size)
             self.symbols, self.size = np.concatenate([self.symbols, table]), np.r_[self.size, size]
