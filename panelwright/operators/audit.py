@@ -175,10 +175,12 @@ def funding_conflicts(prints: DataFrame) -> DataFrame:
 def cutover_split(prints: DataFrame, migrations: DataFrame) -> DataFrame:
     """Where several tickers feed one asset, old-ticker rows count only before the migration day and
     new-ticker rows only from it on. ``kept`` marks the rows that stay."""
-    rows = with_canonical(prints, migrations, "source", "asset")
+    # A ticker that is listed with several days moves on the last of them.
+    moves = migrations.groupBy("source", "canonical").agg(F.max("effective").alias("effective"))
+    rows = with_canonical(prints, moves, "source", "asset")
     feeds = rows.groupBy("asset").agg((F.min("source") != F.max("source")).alias("several"))
     # One row per asset: the days its old tickers move, and the last of them, from which on the new ticker counts.
-    old = migrations.where("effective is not null").select("source", F.col("canonical").alias("base"), F.date_trunc("day", "effective").alias("cut"))
+    old = moves.where("effective is not null").select("source", F.col("canonical").alias("base"), F.date_trunc("day", "effective").alias("cut"))
     old = old.groupBy("base").agg(F.map_from_entries(F.collect_set(F.struct("source", "cut"))).alias("cuts"), F.max("cut").alias("last_cut"))
     dated = rows.withColumns({"base": base_token(F.col("asset")), "source_base": base_token(F.col("source"))}).join(feeds, "asset").join(old, "base", "left")
     own, day = F.try_element_at("cuts", F.col("source_base")), F.date_trunc("day", "timestamp")

@@ -93,6 +93,10 @@ def test_two_tickers_that_move_into_one_asset_double_no_row(frame, spark):
     prints = frame([(d, s, 0.01) for d in ("2024-03-04", "2024-03-07", "2024-03-10") for s in ("OLDAUSDT", "OLDBUSDT", "GUSDT")], ("timestamp", "source", "funding_rate"))
     kept = [(str(r["timestamp"])[8:10], r["source"]) for r in Q.cutover_split(prints, moves).where("kept").orderBy("timestamp", "source").collect()]
     assert kept == [("04", "OLDAUSDT"), ("04", "OLDBUSDT"), ("07", "OLDBUSDT"), ("10", "GUSDT")]
+    # A ticker that is listed with two days moves on the later one.
+    again = moves.unionByName(moves.where("source = 'OLDA'").withColumn("effective", F.to_timestamp(F.lit("2024-03-08"))))
+    kept = [(str(r["timestamp"])[8:10], r["source"]) for r in Q.cutover_split(prints, again).where("kept").orderBy("timestamp", "source").collect()]
+    assert kept == [("04", "OLDAUSDT"), ("04", "OLDBUSDT"), ("07", "OLDAUSDT"), ("07", "OLDBUSDT"), ("10", "GUSDT")]
 
 
 def test_gap_blocks_near_a_migration_and_elsewhere(frame, spark):
