@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import SIGNAL_CANDIDATES
+from ..constants import SIGNAL_CANDIDATES, STD_FLOOR
 from ..operators import walkforward as W
 from ..operators.factors import build_signals
-from ..operators.stats import bar_ic, ic_table, signal_returns
+from ..operators.stats import MIN_IC_BARS, bar_ic, ic_table, signal_returns
 from ..session import materialise
 from .panels import supplier_panel
 from .registry import ALL_FACTORS, SUPPLIER_WEEK, day, q_day, q_round, register, rounded, with_
@@ -26,7 +26,8 @@ def supplier_signals(spark, folder):
     return supplier_factors(spark, folder).select(day(), "asset", *[rounded(c, 12) for c in SIGNAL_CANDIDATES])
 
 
-@register("supplier_rank_ic", with_(SUPPLIER_WEEK, _FACTORS, _NEXT, _LONG, _ICS) + f"""SELECT signal, {q_round('m')} AS ic_mean, {q_round('sd')} AS ic_std, {q_round('t')} AS ic_tstat,
+@register("supplier_rank_ic", with_(SUPPLIER_WEEK, _FACTORS, _NEXT, _LONG, _ICS) + f"""SELECT signal, CASE WHEN n >= {MIN_IC_BARS} THEN {q_round('m')} END AS ic_mean,
+  CASE WHEN n >= {MIN_IC_BARS} THEN {q_round('sd')} END AS ic_std, CASE WHEN n >= {MIN_IC_BARS} AND sd >= {STD_FLOOR} THEN {q_round('t')} END AS ic_tstat,
   n::BIGINT AS ic_days FROM ictab""")
 def supplier_rank_ic(spark, folder):
     t = ic_table(bar_ic(signal_returns(materialise(supplier_factors(spark, folder)), SIGNAL_CANDIDATES)))
