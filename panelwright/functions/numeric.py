@@ -28,6 +28,19 @@ def nonzero_std(value) -> Column:
     return F.when(c >= STD_FLOOR, c)
 
 
+def half_up(value, digits: int) -> Column:
+    """``F.round`` of a double, without its detour over a decimal string wherever the value is no near tie.
+
+    The nearest integer to the scaled value, divided by an exact power of ten, is the double next to that decimal, which is what
+    ``F.round`` gives. Near ties (the scaled value is off by less than its last bits), huge and missing values go to ``F.round``.
+    """
+    c, power = col_of(value), F.lit(float(10 ** digits))
+    scaled = c * power
+    whole = F.rint(scaled)
+    clear = F.abs(scaled - whole) + F.abs(scaled) * F.lit(2.0 ** -50) < 0.49
+    return F.when(clear, whole / power).otherwise(F.round(c, digits))
+
+
 def stable(value, digits: int = 10) -> Column:
     """Round a value before it is ranked, so that sums taken in another order rank the same."""
-    return F.round(col_of(value), digits) + F.lit(0.0)
+    return half_up(value, digits) + F.lit(0.0)

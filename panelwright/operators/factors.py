@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import SIGNAL_CANDIDATES, STD_FLOOR
 from ..functions.literal import literal_table
 from ..functions.numeric import nonzero_std, ratio, stable
-from ..functions.windows import before, full, per_asset, simple_return
+from ..functions.windows import before, per_asset, simple_return
 from ..session import materialise
 
 LOOKBACKS = (7, 14, 30)
+RESIDUAL_LOOKBACKS = (14, 30)
 BENCHMARK = "BTCUSDT"
 
 
@@ -24,57 +25,118 @@ def bar_index(panel: DataFrame, *keys: str) -> DataFrame:
     return panel.select(*keys, "timestamp").distinct().withColumn("idx", F.row_number().over(order) - 1)
 
 
-def price_factors(panel: DataFrame) -> DataFrame:
-    """momentum, vol-adjusted momentum, low volatility and one-bar reversal."""
-    w = per_asset()
+def _windowed(panel: DataFrame, windows: dict, formulas: dict) -> DataFrame:
+    """Add ``formulas`` over ``windows``, each of which is computed once, however many formulas read it.
+
+    A sliding frame is folded anew for every row, by every aggregate that names it, so factors share
+    their frames: one pass over an asset's rows holds all aggregates of a lookback.
+    """
+    return panel.withColumns(windows).withColumns(formulas).drop(*windows)
+
+
+def _moment_windows(k: int) -> dict:
+    """How many returns the ``k`` bars before have, their sum and their spread."""
+    frame = before(per_asset(), k)
+    return {f"_n_{k}": F.count("asset_return").over(frame), f"_sum_{k}": F.sum("asset_return").over(frame), f"_std_{k}": F.stddev_samp("asset_return").over(frame)}
+
+
+def _full_moment(name: str, k: int) -> Column:
+    return F.when(F.col(f"_n_{k}") == k, F.col(f"_{name}_{k}"))
+
+
+def _price_windows() -> dict:
+    windows = {"_return_lag": F.lag("asset_return").over(per_asset())}
+    for k in LOOKBACKS:
+        windows |= _moment_windows(k)
+    return windows
+
+
+def _price_formulas() -> dict:
     cols = {}
     for k in LOOKBACKS:
-        total = full(F.sum, "asset_return", before(w, k), k)
-        spread = full(F.stddev_samp, "asset_return", before(w, k), k)
+        total, spread = _full_moment("sum", k), _full_moment("std", k)
         cols[f"momentum_{k}"] = stable(total)
         cols[f"vol_adj_momentum_{k}"] = stable(ratio(total, nonzero_std(spread)))
         cols[f"low_vol_{k}"] = stable(-spread)
-    cols["reversal_1"] = stable(-F.lag("asset_return").over(w))
-    return panel.withColumns(cols)
+    cols["reversal_1"] = stable(-F.col("_return_lag"))
+    return cols
 
 
-def carry_factors(panel: DataFrame) -> DataFrame:
-    """carry, its surprise against the trailing mean, and carry per unit of volatility."""
+def price_factors(panel: DataFrame) -> DataFrame:
+    """momentum, vol-adjusted momentum, low volatility and one-bar reversal."""
+    return _windowed(panel, _price_windows(), _price_formulas())
+
+
+def _carry_windows() -> dict:
     w = per_asset()
-    lagged = F.lag("funding_rate").over(w)
-    mean = full(F.avg, "funding_rate", before(w, 14), 14)
-    spread = full(F.stddev_samp, "asset_return", before(w, 14), 14)
-    return panel.withColumns({
+    return _moment_windows(14) | {
+        "_funding_lag": F.lag("funding_rate").over(w), "_n_funding": F.count("funding_rate").over(before(w, 14)),
+        "_avg_funding": F.avg("funding_rate").over(before(w, 14))}
+
+
+def _carry_formulas() -> dict:
+    lagged = F.col("_funding_lag")
+    mean = F.when(F.col("_n_funding") == 14, F.col("_avg_funding"))
+    return {
         "carry": stable(-lagged),
         "funding_surprise": stable(-(lagged - mean), 12),
-        "vol_adj_carry": stable(ratio(-lagged, nonzero_std(spread))),
-    })
+        "vol_adj_carry": stable(ratio(-lagged, nonzero_std(_full_moment("std", 14)))),
+    }
 
 
-def residual_reversal(panel: DataFrame, lookbacks=(14, 30), benchmark: str = BENCHMARK) -> DataFrame:
-    """Reversal of the return the benchmark does not explain.
+def carry_factors(panel: DataFrame) -> DataFrame:
+    """carry, its surprise against the trailing mean, and carry per unit of volatility."""
+    return _windowed(panel, _carry_windows(), _carry_formulas())
 
-    The definition runs on the dense bar x asset grid. A grid window of k bars is complete only when
-    the asset has k rows on consecutive bars, so the same result follows from the asset's own rows
-    and their bar index; the grid itself is never built. The bars with the benchmark's returns are a
-    small stored table, so the panel is not shuffled by bar to meet them.
-    """
+
+def _with_bars(panel: DataFrame, lookbacks, benchmark: str) -> DataFrame:
+    """Add the bar index and what is the same for every asset at a bar: the benchmark's return, and of its ``k`` bars before how
+    many returns there are, their sum and their variance. The bars are a small stored table, so the panel is not shuffled by bar
+    to meet them, and the benchmark's moments are taken once per bar instead of once per row."""
     bench = panel.where(F.col("asset") == benchmark).select("timestamp", F.col("asset_return").alias("bench_return"))
-    bars = materialise(bar_index(panel).join(bench, "timestamp", "left"))
-    frame = panel.join(bars, "timestamp")
-    w = per_asset()
-    x, y = F.col("asset_return"), F.col("bench_return")
-    paired = F.when(x.isNotNull() & y.isNotNull(), F.lit(1))
+    y, moments = F.col("bench_return"), {}
+    for k in lookbacks:
+        frame = before(Window.partitionBy(F.lit(0)).orderBy("idx"), k)
+        moments |= {f"_bench_n_{k}": F.count(y).over(frame), f"_bench_sum_{k}": F.sum(y).over(frame), f"_bench_var_{k}": F.var_samp(y).over(frame)}
+    return panel.join(materialise(bar_index(panel).join(bench, "timestamp", "left").withColumns(moments)), "timestamp")
+
+
+def _without_bars(frame: DataFrame, lookbacks) -> DataFrame:
+    return frame.drop("idx", "bench_return", *[f"_bench_{m}_{k}" for m in ("n", "sum", "var") for k in lookbacks])
+
+
+def _residual_windows(lookbacks) -> dict:
+    windows = {}
+    for k in lookbacks:
+        frame = before(per_asset(), k)
+        windows |= _moment_windows(k) | {
+            f"_first_idx_{k}": F.lag("idx", k).over(per_asset()), f"_covar_{k}": F.covar_samp("asset_return", "bench_return").over(frame)}
+    return windows
+
+
+def _residual_formulas(lookbacks, benchmark: str) -> dict:
+    """A frame of k rows lies on consecutive bars when its first row, k rows back, lies k bars back; the benchmark's moments of
+    these bars are then those of the frame."""
     cols = {}
     for k in lookbacks:
-        frame_k = before(w, k)
-        complete = (F.count(paired).over(frame_k) == k) & (F.min("idx").over(frame_k) == F.col("idx") - k)
-        beta = ratio(F.covar_samp(x, y).over(frame_k), F.var_samp(y).over(frame_k))
-        residual = F.sum(x).over(frame_k) - beta * F.sum(y).over(frame_k)
+        complete = (F.col(f"_first_idx_{k}") == F.col("idx") - k) & (F.col(f"_n_{k}") == k) & (F.col(f"_bench_n_{k}") == k)
+        beta = ratio(f"_covar_{k}", f"_bench_var_{k}")
+        residual = F.col(f"_sum_{k}") - beta * F.col(f"_bench_sum_{k}")
         neutral = F.when(F.col("idx") >= k, F.lit(0.0))
         cols[f"resid_reversal_{k}"] = F.when(F.col("asset") == benchmark, neutral).otherwise(
             F.when(complete, stable(-residual)))
-    return frame.withColumns(cols).drop("idx", "bench_return")
+    return cols
+
+
+def residual_reversal(panel: DataFrame, lookbacks=RESIDUAL_LOOKBACKS, benchmark: str = BENCHMARK) -> DataFrame:
+    """Reversal of the return the benchmark does not explain.
+
+    The definition runs on the dense bar x asset grid. A grid window of k bars is complete only when
+    the asset has k rows on consecutive bars, so the same result follows from the asset's own rows
+    and their bar index; the grid itself is never built.
+    """
+    frame = _with_bars(panel, lookbacks, benchmark)
+    return _without_bars(_windowed(frame, _residual_windows(lookbacks), _residual_formulas(lookbacks, benchmark)), lookbacks)
 
 
 def cross_sectional_z(panel: DataFrame, columns: list[str], suffix: str = "_z") -> DataFrame:
@@ -106,14 +168,14 @@ def combined_scores(panel: DataFrame) -> DataFrame:
 
 
 def build_signals(panel: DataFrame, benchmark: str = BENCHMARK) -> DataFrame:
-    """All factors of a panel. Returns are always derived from price; stale columns are dropped."""
-    frame = price_factors(asset_return(panel.drop("asset_return", "signal")))
-    if "funding_rate" in panel.columns:
-        frame = carry_factors(frame)
-    frame = residual_reversal(frame, benchmark=benchmark)
+    """All factors of a panel, from one pass over each asset's rows. Returns are always derived from
+    price; stale columns are dropped."""
+    frame = _with_bars(asset_return(panel.drop("asset_return", "signal")), RESIDUAL_LOOKBACKS, benchmark)
+    windows, formulas = _price_windows() | _residual_windows(RESIDUAL_LOOKBACKS), _price_formulas()
     if "funding_rate" in panel.columns:
-        frame = combined_scores(frame)
-    return frame
+        windows, formulas = windows | _carry_windows(), formulas | _carry_formulas()
+    frame = _without_bars(_windowed(frame, windows, formulas | _residual_formulas(RESIDUAL_LOOKBACKS, benchmark)), RESIDUAL_LOOKBACKS)
+    return combined_scores(frame) if "funding_rate" in panel.columns else frame
 
 
 def available_candidates(frame: DataFrame) -> DataFrame:

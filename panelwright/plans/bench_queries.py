@@ -10,7 +10,7 @@ from ..operators.factors import build_signals
 from ..operators.stats import MIN_IC_BARS, bar_ic, ic_table, signal_returns
 from ..session import materialise
 from .panels import supplier_panel
-from .registry import ALL_FACTORS, SUPPLIER_WEEK, day, q_day, q_round, register, rounded, with_
+from .registry import ALL_FACTORS, SUPPLIER_WEEK, q_day, q_round, register, rounded, with_
 from .stats_queries import _ICS, _LONG, _NEXT
 
 _FACTORS = ALL_FACTORS.replace("'BTCUSDT'", "'1'")
@@ -23,7 +23,8 @@ def supplier_factors(spark, folder):
 
 @register("supplier_signals", with_(SUPPLIER_WEEK, _FACTORS) + f"SELECT {q_day('ts')} AS bar, asset, {', '.join(f'{q_round(c, 12)} AS {c}' for c in SIGNAL_CANDIDATES)} FROM allfac")
 def supplier_signals(spark, folder):
-    return supplier_factors(spark, folder).select(day(), "asset", *[rounded(c, 12) for c in SIGNAL_CANDIDATES])
+    # Factors are rounded to ten digits or twelve already, which rounding to twelve leaves as they are.
+    return supplier_factors(spark, folder).select(F.col("timestamp").cast("date").cast("string").alias("bar"), "asset", *SIGNAL_CANDIDATES)
 
 
 @register("supplier_rank_ic", with_(SUPPLIER_WEEK, _FACTORS, _NEXT, _LONG, _ICS) + f"""SELECT signal, CASE WHEN n >= {MIN_IC_BARS} THEN {q_round('m')} END AS ic_mean,

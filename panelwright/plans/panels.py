@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.numeric import half_up
 from ..functions.symbols import migration_table
 from ..session import materialise
 
@@ -14,10 +15,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def _panel_measures():
     return [
-        F.round(100 * (1 + F.avg("l_discount")), 8).alias("price"),
+        half_up(100 * (1 + F.avg("l_discount")), 8).alias("price"),
         F.sum("l_quantity").alias("volume"),
-        F.round(F.sum("l_extendedprice"), 2).alias("quote_volume"),
-        F.round((F.avg("l_tax") - 0.04) / 100, 10).alias("funding_rate"),
+        half_up(F.sum("l_extendedprice"), 2).alias("quote_volume"),
+        half_up((F.avg("l_tax") - 0.04) / 100, 10).alias("funding_rate"),
     ]
 
 

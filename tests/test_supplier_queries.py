@@ -6,7 +6,11 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 
-from panelwright.plans import bench_queries as Q
+from pyspark.sql import functions as F
+
+from panelwright.functions import numeric
+from panelwright.operators.factors import build_signals
+from panelwright.plans.panels import supplier_panel
 from panelwright.plans.oracles import ORACLES
 from panelwright.plans.queries import QUERIES
 
@@ -37,3 +41,32 @@ def test_rank_ic_and_its_sql_give_no_statistics_below_thirty_bars(spark, tmp_pat
     short = {s for s, row in want.items() if row[3] < 30}
     assert {"momentum_30", "low_vol_30"} <= short and "carry" not in short
     assert all(want[s][:3] == (None, None, None) for s in short)
+
+
+def test_factors_fold_every_sliding_frame_once(spark, tmp_path):
+    folder = lines(spark, tmp_path, suppliers=3, weeks=5)
+    plan = build_signals(supplier_panel(spark, folder), benchmark="1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("stddev_samp(") == 3
+    assert plan.count("covar_samp(") == 2 and plan.count("var_samp(bench_return") == 0
+
+
+def test_supplier_signals_match_their_sql_with_gaps_in_the_benchmark_and_in_assets(spark, tmp_path):
+    folder = lines(spark, tmp_path, weeks=60, skip=lambda s, w: (s, w) in {(1, 20), (2, 30), (2, 31), (4, 0)} or (s == 5 and w > 40))
+    got = {tuple(r[:2]): tuple(r[2:]) for r in QUERIES["supplier_signals"](spark, folder).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{folder}/lineitem.parquet/*.parquet'")
+    want = {r[:2]: r[2:] for r in con.execute(ORACLES["supplier_signals"]).fetchall()}
+    assert got.keys() == want.keys()
+    for key, row in want.items():
+        assert got[key] == pytest.approx(row, abs=2e-10), key
+
+
+def test_rounding_by_arithmetic_equals_rounding_by_decimals(spark):
+    rng = random.Random(2)
+    ties = [sign * n / 2 ** k for n in (1, 3, 5, 12345, 10**9 + 1) for k in range(0, 14) for sign in (1, -1)]
+    rows = [*ties, *(rng.gauss(0, 10 ** rng.randrange(-12, 14)) for _ in range(3000)), *(rng.randrange(10**6) / 10**4 + 5e-11 for _ in range(300)),
+            0.0, -0.0, -4e-11, 1e300, -1e17, 5e-324, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in rows], "v double")
+    for digits in (0, 2, 8, 10, 12):
+        wrong = df.where(~(numeric.half_up("v", digits) + F.lit(0.0)).eqNullSafe(F.round("v", digits) + F.lit(0.0)))
+        assert wrong.collect() == []
