@@ -22,7 +22,7 @@ from ..constants import BAR_YEARS
 from ..functions.numeric import ratio
 from ..functions.windows import per_asset, running
 from ..session import materialise
-from .ranking import bar_ends
+from .ranking import bar_ends, contenders
 
 SECONDS_PER_YEAR = 365.25 * 86400.0
 
@@ -61,7 +61,7 @@ def valid_run() -> Column:
 
 # --- series ----------------------------------------------------------------------------------
 
-def prepare_series(rows: DataFrame, keys=(), liquidity: str | None = None) -> DataFrame:
+def prepare_series(rows: DataFrame, keys=(), liquidity: str | None = None, deepest: int | None = None) -> DataFrame:
     """Index the bars of each series and attach what a position needs at a bar.
 
     Input: ranked rows (keys, timestamp, asset, sig, price, and optionally funding_rate, fee_tier,
@@ -69,10 +69,14 @@ def prepare_series(rows: DataFrame, keys=(), liquidity: str | None = None) -> Da
     The bars are stored first, so that by their measured size they go to the rows and a crowded bar is
     not shuffled into one task. Output adds the columns of ``series_bars``, ``bar_return`` (price move since the previous bar, if
     the asset was there) and ``last_idx`` (the last bar of the asset's unbroken presence).
+
+    With ``deepest``, which bounds n_long + n_short of all books, only assets that a book can hold are prepared; every bar that
+    has rows keeps some. Worth it for many series, whose rows would otherwise be shuffled and stored once per series.
     """
-    indexed = rows.join(materialise(series_bars(rows, keys)), [*keys, "timestamp"])
+    bars = materialise(series_bars(rows, keys))
     if liquidity:
-        indexed = indexed.where((F.col(liquidity) > 0) & (F.abs(liquidity) < float("inf")))
+        rows = rows.where((F.col(liquidity) > 0) & (F.abs(liquidity) < float("inf")))
+    indexed = (contenders(rows, keys, deepest) if deepest else rows).join(bars, [*keys, "timestamp"])
     w = per_asset(*keys)
     follows = F.lag("idx").over(w) == F.col("idx") - 1
     optional = {c: F.lit(None).cast("double") for c in ("fee_tier", "slip_tier", "funding_rate") if c not in rows.columns}

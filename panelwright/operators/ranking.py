@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.numeric import stable
 from ..functions.ranks import percentile_ranks
 from ..functions.windows import before, full, per_asset, through
+from ..session import materialise
 
 
 def lag_for_execution(rows: DataFrame, keys=(), smooth: int = 1, signal: str = "sig") -> DataFrame:
@@ -35,6 +36,30 @@ def bar_ends(rows: DataFrame, keys, top: int, bottom: int, signal: str = "sig")
     return ends if top == bottom else ends.where(F.col("place") <= F.when(side == 1, top).otherwise(bottom))
 
 
+def near_ends(rows: DataFrame, keys, depth: int, signal: str = "sig") -> DataFrame:
+    """The rows that can be among the first or last ``depth`` of their bar; the ends of what is left are those of all rows.
+
+    A bar's assets are dealt into buckets. Of the buckets' highest values the ``depth``-th is reached by at least ``depth``
+    assets, so no row below it is among the first; the other end alike. Bars with fewer buckets keep all rows.
+    """
+    bucket = F.pmod(F.xxhash64("asset"), F.lit(8 * depth))
+    peaks = rows.groupBy(*keys, "timestamp", bucket.alias("bucket")).agg(F.max(signal).alias("up"), F.max(F.col(signal) * -1).alias("down"))
+    reach = lambda side: F.try_element_at(F.sort_array(F.collect_list(side), False), F.lit(depth)).alias(side)
+    bounds = materialise(peaks.groupBy(*keys, "timestamp").agg(reach("up"), reach("down")))
+    inside = F.col("up").isNull() | (F.col(signal) >= F.col("up")) | (F.col(signal) * -1 >= F.col("down"))
+    return rows.join(bounds, [*keys, "timestamp"]).where(inside).drop("up", "down")
+
+
+def contenders(rows: DataFrame, keys, depth: int, signal: str = "sig") -> DataFrame:
+    """All rows of the assets that end at least one bar of their series: the only ones a book of that depth can ever hold.
+
+    Their number is bounded by bars and depth, however many assets a bar has. Reads ``rows`` four times, so they should be stored.
+    """
+    narrow = rows.select(*keys, "timestamp", "asset", signal)
+    ends = bar_ends(near_ends(narrow, keys, depth, signal), keys, depth, depth, signal)
+    return rows.join(materialise(ends.select(*keys, "asset").distinct()), [*keys, "asset"], "left_semi")
+
+
 def thin_bars(rows: DataFrame, keys, needed: int) -> DataFrame:
     """Bars with too few rankable assets."""
     return rows.groupBy(*keys, "timestamp").agg(F.count(F.lit(1)).alias("assets")).where(F.col("assets") < needed)

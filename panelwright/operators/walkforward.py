@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..constants import SIGNAL_CANDIDATES, STD_FLOOR, WALK_FORWARD_STRESS
-from ..functions.windows import running
+from ..functions.windows import per_asset, running
 from ..session import materialise, refuse
 from . import portfolio as B
 from . import stats as S
@@ -87,7 +87,7 @@ def mode_choice(choices: DataFrame) -> DataFrame:
 class WalkForward:
     """Search and out-of-sample tables of one factor panel; all members are lazy DataFrames.
 
-    ``frame`` holds the factor columns. Written once: folds and trials, which are small and feed the
+    ``frame`` holds the factor columns and is read once. Written once: its rows (``table``), folds and trials, which are small and feed the
     choice, the registry and the deflation, and what each backtest writes itself.
     """
 
@@ -102,12 +102,31 @@ class WalkForward:
 
     @cached_property
     def folds(self) -> DataFrame:
-        return materialise(wf_folds(self.frame, self.min_train_days, self.test_days))
+        return materialise(wf_folds(self.table, self.min_train_days, self.test_days))
 
     @cached_property
+    def carried(self) -> list[str]:
+        return [c for c in ROW if c in self.frame.columns]
+
+    @cached_property
+    def table(self) -> DataFrame:
+        """What books read of the panel, every candidate, and its value when it is executed (``late_<candidate>``: the asset's
+        last value before, on rows that have one themselves). One row per bar and asset: candidates become rows only on the way
+        to sums and filters, so nothing is shuffled or written once per candidate."""
+        past = per_asset().rowsBetween(Window.unboundedPreceding, -1)
+        late = {f"late_{c}": F.when(F.col(c).isNotNull(), F.last(c, True).over(past)) for c in self.candidates}
+        return materialise(self.frame.select(*self.carried, *self.candidates).withColumns(late))
+
+    @property
     def signals(self) -> DataFrame:
-        """(signal, sig) rows of all candidates; read by the search and by every test."""
-        return materialise(unpivot_signals(self.frame, self.candidates, keep=tuple(c for c in ROW if c in self.frame.columns)))
+        """(signal, sig) rows of all candidates; read by every test."""
+        return unpivot_signals(self.table, self.candidates, keep=tuple(self.carried))
+
+    @property
+    def executed(self) -> DataFrame:
+        """The rows of ``lag_for_execution`` over all candidates."""
+        late = self.table.select(*self.carried, *[F.col(f"late_{c}").alias(c) for c in self.candidates])
+        return unpivot_signals(late, self.candidates, keep=tuple(self.carried))
 
     @cached_property
     def grid(self) -> DataFrame:
@@ -122,7 +141,7 @@ class WalkForward:
 
     @cached_property
     def search(self) -> B.Backtest:
-        series = B.prepare_series(lag_for_execution(self.signals, ["signal"]), ["signal"])
+        series = B.prepare_series(self.executed, ["signal"], deepest=self.deepest)
         books = self.grid.select("book_id", "signal", *B.BOOK_DEFAULTS).distinct()
         book = B.Backtest(series, books, self.grid.select("run_id", "book_id", *B.RUN_DEFAULTS), ("signal",), self.deepest)
         book.returns = materialise(book.returns)  # read by the trials and by their correlations
@@ -157,7 +176,7 @@ class WalkForward:
         slices = materialise(chosen.select("fold", "signal", "n_long", "vol_target").join(self.folds, "fold").withColumn("slice_id", slice_of))
         inside = (F.col("timestamp") >= F.col("test_start")) & (F.col("timestamp") <= F.col("test_end"))
         rows = self.signals.join(slices.select("signal", "slice_id", "test_start", "test_end"), "signal").where(inside).drop("signal", "test_start", "test_end")
-        series = B.prepare_series(lag_for_execution(rows, ["slice_id"]), ["slice_id"])
+        series = B.prepare_series(materialise(lag_for_execution(rows, ["slice_id"])), ["slice_id"], deepest=self.deepest)
         config = slices.select("slice_id", "n_long", F.col("n_long").alias("n_short"), "vol_target").join(
             variants.drop("n_long", "n_short", "vol_target"), F.lit(True)).withColumns({
                 "book_id": F.col("slice_id"), "run_id": F.concat_ws("|", "slice_id", "variant")})

@@ -37,7 +37,7 @@ def supplier_rank_ic(spark, folder):
 
 def full_search(spark, folder) -> W.WalkForward:
     """15 signals x 3 sizes x 2 volatility targets over all folds, with two stressed cost levels."""
-    return W.WalkForward(materialise(supplier_factors(spark, folder)), SIGNAL_CANDIDATES, (2, 3, 4), (0.0, 0.05), min_train_days=730, test_days=360,
+    return W.WalkForward(supplier_factors(spark, folder), SIGNAL_CANDIDATES, (2, 3, 4), (0.0, 0.05), min_train_days=730, test_days=360,
                          delist_mode="forced_exit", rebalance_every=5)
 
 

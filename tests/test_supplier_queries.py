@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions import numeric
-from panelwright.operators.factors import build_signals
+from panelwright.operators.factors import build_signals, unpivot_signals
+from panelwright.operators.ranking import bar_ends, contenders, lag_for_execution, near_ends
+from panelwright.operators.walkforward import WalkForward
 from panelwright.plans.panels import supplier_panel
 from panelwright.plans.oracles import ORACLES
 from panelwright.plans.queries import QUERIES
@@ -70,3 +72,26 @@ def test_rounding_by_arithmetic_equals_rounding_by_decimals(spark):
     for digits in (0, 2, 8, 10, 12):
         wrong = df.where(~(numeric.half_up("v", digits) + F.lit(0.0)).eqNullSafe(F.round("v", digits) + F.lit(0.0)))
         assert wrong.collect() == []
+
+
+def test_rows_near_the_ends_hold_the_ends_of_crowded_bars_with_ties(spark):
+    rng = random.Random(4)
+    rows = [("tied" if t % 2 else "spread", datetime(1995, 1, 2 + t), f"a{i}", float(rng.randrange(3)) if t % 2 else rng.gauss(0, 1))
+            for t in range(4) for i in range(400 if t else 5)]
+    df = spark.createDataFrame(rows, "signal string, timestamp timestamp, asset string, sig double")
+    near = near_ends(df, ["signal"], 3)
+    ends = lambda d: {(r["timestamp"], r["side"], r["place"], r["asset"]) for r in bar_ends(d, ["signal"], 3, 3).collect()}
+    assert ends(near) == ends(df) == ends(contenders(df, ["signal"], 3))
+    assert near.where("signal = 'spread'").count() < 60
+
+
+def test_a_search_stores_no_row_per_candidate_and_executes_what_the_lag_gives(spark, tmp_path):
+    folder = lines(spark, tmp_path, suppliers=5, weeks=50, skip=lambda s, w: (s + w) % 9 == 0)
+    frame = build_signals(supplier_panel(spark, folder), benchmark="1").withColumn(
+        "carry", F.when(F.col("volume") % 3 > 0, F.col("carry")))
+    names = ("momentum_7", "carry", "low_vol_14")
+    search = WalkForward(frame, names, (2,), delist_mode="forced_exit")
+    assert search.table.count() == frame.count()
+    got = {tuple(r) for r in search.executed.select("signal", "timestamp", "asset", "sig").collect()}
+    want = lag_for_execution(unpivot_signals(frame, names), ["signal"]).select("signal", "timestamp", "asset", "sig")
+    assert got == {tuple(r) for r in want.collect()} and len(got) > 300
