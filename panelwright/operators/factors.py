@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import SIGNAL_CANDIDATES, STD_FLOOR
+from ..functions.folds import sliding_folds
 from ..functions.literal import literal_table
 from ..functions.numeric import nonzero_std, ratio, stable
 from ..functions.windows import before, per_asset, simple_return
@@ -13,6 +14,8 @@ from ..session import materialise
 LOOKBACKS = (7, 14, 30)
 RESIDUAL_LOOKBACKS = (14, 30)
 BENCHMARK = "BTCUSDT"
+# Factors are rounded to ten digits, or so many.
+DIGITS = {"funding_surprise": 12}
 
 
 def asset_return(panel: DataFrame) -> DataFrame:
@@ -31,7 +34,21 @@ def _windowed(panel: DataFrame, windows: dict, formulas: dict) -> DataFrame:
     A sliding frame is folded anew for every row, by every aggregate that names it, so factors share
     their frames: one pass over an asset's rows holds all aggregates of a lookback.
     """
-    return panel.withColumns(windows).withColumns(formulas).drop(*windows)
+    return _evaluated(panel.withColumns(windows), formulas).drop(*windows)
+
+
+def _evaluated(frame: DataFrame, formulas: dict) -> DataFrame:
+    """Add ``formulas``, rounded. The values of a row are rounded as arrays by one function: rounding names its argument several times,
+    and written out for every factor it makes the generated method of a row longer than the JVM compiles."""
+    def rounded(columns, digits):
+        return F.transform(F.array(*columns), lambda value: stable(value, digits))
+
+    alike: dict[int, list[str]] = {}
+    for c in formulas:
+        alike.setdefault(DIGITS.get(c, 10), []).append(c)
+    arrays = {f"_rounded_{d}": rounded(columns, d) for d, columns in alike.items()}
+    items = {c: F.col(f"_rounded_{d}")[i] for d, columns in alike.items() for i, c in enumerate(columns)}
+    return frame.withColumns(formulas).withColumns(arrays).withColumns(items).drop(*arrays)
 
 
 def _moment_windows(k: int) -> dict:
@@ -55,10 +72,10 @@ def _price_formulas() -> dict:
     cols = {}
     for k in LOOKBACKS:
         total, spread = _full_moment("sum", k), _full_moment("std", k)
-        cols[f"momentum_{k}"] = stable(total)
-        cols[f"vol_adj_momentum_{k}"] = stable(ratio(total, nonzero_std(spread)))
-        cols[f"low_vol_{k}"] = stable(-spread)
-    cols["reversal_1"] = stable(-F.col("_return_lag"))
+        cols[f"momentum_{k}"] = total
+        cols[f"vol_adj_momentum_{k}"] = ratio(total, nonzero_std(spread))
+        cols[f"low_vol_{k}"] = -spread
+    cols["reversal_1"] = -F.col("_return_lag")
     return cols
 
 
@@ -78,9 +95,9 @@ def _carry_formulas() -> dict:
     lagged = F.col("_funding_lag")
     mean = F.when(F.col("_n_funding") == 14, F.col("_avg_funding"))
     return {
-        "carry": stable(-lagged),
-        "funding_surprise": stable(-(lagged - mean), 12),
-        "vol_adj_carry": stable(ratio(-lagged, nonzero_std(_full_moment("std", 14)))),
+        "carry": -lagged,
+        "funding_surprise": -(lagged - mean),
+        "vol_adj_carry": ratio(-lagged, nonzero_std(_full_moment("std", 14))),
     }
 
 
@@ -89,8 +106,8 @@ def carry_factors(panel: DataFrame) -> DataFrame:
     return _windowed(panel, _carry_windows(), _carry_formulas())
 
 
-def _with_bars(panel: DataFrame, lookbacks, benchmark: str) -> DataFrame:
-    """Add the bar index and what is the same for every asset at a bar: the benchmark's return, and of its ``k`` bars before how
+def _bars(panel: DataFrame, lookbacks, benchmark: str) -> DataFrame:
+    """The bar index and what is the same for every asset at a bar: the benchmark's return, and of its ``k`` bars before how
     many returns there are, their sum and their variance. The bars are a small stored table, so the panel is not shuffled by bar
     to meet them, and the benchmark's moments are taken once per bar instead of once per row."""
     bench = panel.where(F.col("asset") == benchmark).select("timestamp", F.col("asset_return").alias("bench_return"))
@@ -98,7 +115,11 @@ def _with_bars(panel: DataFrame, lookbacks, benchmark: str) -> DataFrame:
     for k in lookbacks:
         frame = before(Window.partitionBy(F.lit(0)).orderBy("idx"), k)
         moments |= {f"_bench_n_{k}": F.count(y).over(frame), f"_bench_sum_{k}": F.sum(y).over(frame), f"_bench_var_{k}": F.var_samp(y).over(frame)}
-    return panel.join(materialise(bar_index(panel).join(bench, "timestamp", "left").withColumns(moments)), "timestamp")
+    return materialise(bar_index(panel).join(bench, "timestamp", "left").withColumns(moments))
+
+
+def _with_bars(panel: DataFrame, lookbacks, benchmark: str) -> DataFrame:
+    return panel.join(_bars(panel, lookbacks, benchmark), "timestamp")
 
 
 def _without_bars(frame: DataFrame, lookbacks) -> DataFrame:
@@ -124,7 +145,7 @@ def _residual_formulas(lookbacks, benchmark: str) -> dict:
         residual = F.col(f"_sum_{k}") - beta * F.col(f"_bench_sum_{k}")
         neutral = F.when(F.col("idx") >= k, F.lit(0.0))
         cols[f"resid_reversal_{k}"] = F.when(F.col("asset") == benchmark, neutral).otherwise(
-            F.when(complete, stable(-residual)))
+            F.when(complete, -residual))
     return cols
 
 
@@ -178,6 +199,25 @@ def build_signals(panel: DataFrame, benchmark: str = BENCHMARK) -> DataFrame:
     return combined_scores(frame) if "funding_rate" in panel.columns else frame
 
 
+def folded_signals(panel: DataFrame, benchmark: str = BENCHMARK) -> DataFrame:
+    """``build_signals`` for a panel of many assets: the same factors, their frames folded over batches of rows instead of row by row.
+
+    The frame is stored before its z-scores, which read it twice: for the moments of every bar, and for the scores. Columns of the
+    panel that nobody reads behind this step are best left out before it.
+    """
+    panel = panel.drop("asset_return", "signal")
+    bars = _bars(asset_return(panel), RESIDUAL_LOOKBACKS, benchmark)
+    # The window of the return comes last: it puts the rows of an asset into one partition.
+    ordered = asset_return(panel.join(bars.select("timestamp", "idx", "bench_return"), "timestamp"))
+    formulas, funding = _price_formulas() | _residual_formulas(RESIDUAL_LOOKBACKS, benchmark), "funding_rate" in panel.columns
+    folded = sliding_folds(ordered, LOOKBACKS, RESIDUAL_LOOKBACKS, 14 if funding else None)
+    if funding:
+        folded, formulas = folded.withColumn("_n_funding", F.when(F.col("_avg_funding").isNotNull(), 14)), formulas | _carry_formulas()
+    frame = _evaluated(folded.join(bars.drop("idx", "bench_return"), "timestamp"), formulas)
+    stored = materialise(frame.select(*panel.columns, "asset_return", *formulas))
+    return combined_scores(stored) if funding else stored
+
+
 def available_candidates(frame: DataFrame) -> DataFrame:
     """Candidate columns that exist and hold at least one value, with their order and count."""
     present = [c for c in SIGNAL_CANDIDATES if c in frame.columns]

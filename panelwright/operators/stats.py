@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import EULER_GAMMA, STD_FLOOR
@@ -16,6 +17,8 @@ from .factors import unpivot_signals
 
 MIN_IC_BARS = 30
 MIN_OVERLAP = 30
+# Rows of a bar that one task ranks: some MB per signal.
+BAR_ROWS = 500_000
 # Expected series and bars of a tile: two tiles of numbers fit a task many times over.
 TILE_SERIES, TILE_BARS = 128, 512
 # A spread below this share of the squares is what rounding leaves of none.
@@ -35,9 +38,70 @@ def bar_ic(rows: DataFrame) -> DataFrame:
     keys = ["signal", "timestamp"]
     ranked = average_ranks(average_ranks(rows, keys, "sig", "sig_rank"), keys, "next_return", "return_rank")
     spread = (F.min("sig") < F.max("sig")) & (F.min("next_return") < F.max("next_return")) & (F.count(F.lit(1)) >= 3)
-    return (
-        ranked.groupBy(*keys).agg(F.when(spread, F.corr("sig_rank", "return_rank")).alias("ic")).where("ic is not null")
-    )
+    # Not F.corr: under ANSI rules it fails on a bar whose ranks do not vary, also where its value is not taken.
+    corr = F.try_divide(F.covar_pop("sig_rank", "return_rank"), F.stddev_pop("sig_rank") * F.stddev_pop("return_rank"))
+    return ranked.groupBy(*keys).agg(F.when(spread, corr).alias("ic")).where("ic is not null")
+
+
+def with_next_return(panel: DataFrame) -> DataFrame:
+    """Add the return of the asset's next row, the one that ``signal_returns`` sets beside a signal."""
+    return panel.withColumn("next_return", stable(F.try_divide(F.lead("price").over(per_asset()), F.col("price")) - 1))
+
+
+def _sorted_ranks(ascending: np.ndarray) -> np.ndarray:
+    """1-based ranks of values in order, ties averaged; NaN is one value, as it is to Spark."""
+    new = np.ones(len(ascending), bool)
+    new[1:] = (ascending[1:] != ascending[:-1]) & ~(np.isnan(ascending[1:]) & np.isnan(ascending[:-1]))
+    first = np.flatnonzero(new)
+    copies = np.diff(first, append=len(ascending))
+    return np.repeat(first + (copies + 1) / 2, copies)
+
+
+def _rank_correlations(bar: pa.Table, candidates) -> pa.Table:
+    """One row: the rank correlation of every candidate with the next return over the rows that have both."""
+    returns = bar.column("next_return").to_numpy()
+    by_return = np.argsort(returns)
+    ranks, last = np.empty((2, len(returns))), None
+
+    def correlation(column):
+        nonlocal last
+        known = column.is_valid().to_numpy()
+        rows = np.flatnonzero(known)
+        if len(rows) < 3:
+            return None
+        if last is None or not np.array_equal(known, last):
+            kept = by_return[known[by_return]]
+            ranks[1, kept] = _sorted_ranks(returns[kept])
+            last = known
+        values = column.fill_null(0.0).to_numpy()[rows]
+        order = np.argsort(values)
+        ranks[0, rows[order]] = _sorted_ranks(values[order])
+        a, b = ranks[:, rows] - (len(rows) + 1) / 2
+        spread = np.sqrt(a @ a) * np.sqrt(b @ b)
+        return a @ b / spread if spread > 0 else None
+
+    return pa.table({"timestamp": bar.column("timestamp").slice(0, 1), **{c: pa.array([correlation(bar.column(c))], pa.float64()) for c in candidates}})
+
+
+def panel_ic(frame: DataFrame, candidates) -> DataFrame:
+    """``bar_ic`` of every candidate from rows that hold them all, beside ``next_return``.
+
+    Nothing is stored or shuffled once per candidate: a bar's rows travel once and its columns are ranked in one task. A bar of
+    more than ``BAR_ROWS`` rows goes to ``bar_ic``, which ranks it by ranges.
+    """
+    candidates = list(candidates)
+    rows = frame.where("next_return is not null").select("timestamp", "next_return", *candidates)
+    crowded = materialise(rows.groupBy("timestamp").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BAR_ROWS).select("timestamp"))
+    schema = ", ".join(["timestamp timestamp", *[f"`{c}` double" for c in candidates]])
+
+    def ranked(bars):
+        wide = bars.groupBy("timestamp").applyInArrow(lambda bar: _rank_correlations(bar, candidates), schema)
+        return wide.unpivot(["timestamp"], candidates, "signal", "ic").where("ic is not null").select("signal", "timestamp", "ic")
+
+    if crowded.isEmpty():
+        return ranked(rows)
+    large = materialise(unpivot_signals(rows.join(crowded, "timestamp", "left_semi"), candidates, keep=("timestamp", "next_return")))
+    return ranked(rows.join(crowded, "timestamp", "left_anti")).unionByName(bar_ic(large))
 
 
 def ic_table(ics: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..constants import SIGNAL_CANDIDATES, STD_FLOOR
 from ..operators import walkforward as W
-from ..operators.factors import build_signals
-from ..operators.stats import MIN_IC_BARS, bar_ic, ic_table, signal_returns
+from ..operators.factors import folded_signals
+from ..operators.stats import MIN_IC_BARS, ic_table, panel_ic, with_next_return
 from ..session import materialise
 from .panels import supplier_panel
 from .registry import ALL_FACTORS, SUPPLIER_WEEK, q_day, q_round, register, rounded, with_
@@ -18,7 +18,7 @@ _FACTORS = ALL_FACTORS.replace("'BTCUSDT'", "'1'")
 
 def supplier_factors(spark, folder):
     """All factors of the supplier panel; supplier 1 is the benchmark."""
-    return build_signals(materialise(supplier_panel(spark, folder)), benchmark="1")
+    return folded_signals(materialise(supplier_panel(spark, folder)), benchmark="1")
 
 
 @register("supplier_signals", with_(SUPPLIER_WEEK, _FACTORS) + f"SELECT {q_day('ts')} AS bar, asset, {', '.join(f'{q_round(c, 12)} AS {c}' for c in SIGNAL_CANDIDATES)} FROM allfac")
@@ -31,7 +31,8 @@ def supplier_signals(spark, folder):
   CASE WHEN n >= {MIN_IC_BARS} THEN {q_round('sd')} END AS ic_std, CASE WHEN n >= {MIN_IC_BARS} AND sd >= {STD_FLOOR} THEN {q_round('t')} END AS ic_tstat,
   n::BIGINT AS ic_days FROM ictab""")
 def supplier_rank_ic(spark, folder):
-    t = ic_table(bar_ic(signal_returns(materialise(supplier_factors(spark, folder)), SIGNAL_CANDIDATES)))
+    panel = materialise(supplier_panel(spark, folder).select("timestamp", "asset", "price", "funding_rate"))
+    t = ic_table(panel_ic(folded_signals(with_next_return(panel), benchmark="1"), SIGNAL_CANDIDATES))
     return t.select("signal", rounded("ic_mean"), rounded("ic_std"), rounded("ic_tstat"), "ic_days")
 
 

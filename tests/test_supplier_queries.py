@@ -2,19 +2,23 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
-from panelwright.functions import numeric
-from panelwright.operators.factors import build_signals, unpivot_signals
+from panelwright.functions import folds, numeric
+from panelwright.operators import stats
+from panelwright.operators.factors import build_signals, folded_signals, unpivot_signals
 from panelwright.operators.ranking import bar_ends, contenders, lag_for_execution, near_ends
 from panelwright.operators.walkforward import WalkForward
 from panelwright.plans.panels import supplier_panel
 from panelwright.plans.oracles import ORACLES
 from panelwright.plans.queries import QUERIES
+from panelwright.session import scratch_folder
 
 
 def lines(spark, folder, suppliers=6, weeks=42, seed=5, skip=lambda s, w: False):
@@ -95,3 +99,50 @@ def test_a_search_stores_no_row_per_candidate_and_executes_what_the_lag_gives(sp
     got = {tuple(r) for r in search.executed.select("signal", "timestamp", "asset", "sig").collect()}
     want = lag_for_execution(unpivot_signals(frame, names), ["signal"]).select("signal", "timestamp", "asset", "sig")
     assert got == {tuple(r) for r in want.collect()} and len(got) > 300
+
+
+def test_rank_ic_stores_no_row_per_signal(spark, tmp_path):
+    folder = lines(spark, tmp_path)
+    panel = supplier_panel(spark, folder).count()
+    scratch = Path(scratch_folder(spark))
+    before = set(scratch.glob("table-*"))
+    QUERIES["supplier_rank_ic"](spark, folder).collect()
+    stored = [spark.read.parquet(str(t)).count() for t in set(scratch.glob("table-*")) - before]
+    assert max(stored) == panel
+
+
+def test_folded_frames_equal_windows_across_batches_gaps_and_missing_values(spark, tmp_path):
+    folder = lines(spark, tmp_path, weeks=60, skip=lambda s, w: (s, w) in {(1, 20), (2, 30), (2, 31), (4, 0)} or (s == 5 and w > 4))
+    panel = supplier_panel(spark, folder).withColumns({
+        "price": F.when((F.col("asset") == "3") & (F.col("volume") % 11 == 0), F.lit(0.0)).when((F.col("asset") != "4") | (F.col("volume") % 13 > 0), F.col("price")),
+        "funding_rate": F.when(F.col("asset") == "0", F.lit(float("inf"))).when((F.col("asset") != "2") | (F.col("volume") % 5 > 0), F.col("funding_rate"))})
+    for frame in (panel, panel.drop("funding_rate")):
+        want = build_signals(frame, benchmark="1")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+        try:
+            got = {tuple(map(repr, r)) for r in folded_signals(frame, benchmark="1").select(*want.columns).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == {tuple(map(repr, r)) for r in want.collect()} and len(got) > 300
+
+
+def test_rows_of_an_asset_out_of_order_are_refused():
+    at = pa.array([2, 1], pa.timestamp("us"))
+    with pytest.raises(ValueError, match="order"):
+        folds._ages(pa.record_batch({"asset": ["a", "a"], "timestamp": at}))
+    assert folds._ages(pa.record_batch({"asset": pa.array([None, None], pa.string()), "timestamp": at[::-1]})).tolist() == [0, 1]
+
+
+def test_bars_ranked_in_one_task_equal_bars_ranked_by_signal_with_ties_and_missing_values(spark, monkeypatch):
+    rng = random.Random(8)
+    odd = [None, float("nan"), float("inf"), float("-inf")]
+    some = lambda t: rng.choice(odd) if rng.random() < 0.2 else float(rng.randrange(6)) if t % 2 else rng.gauss(0, 1)
+    # Bars of one row up to forty; one whose signals do not vary, one whose returns do not.
+    rows = [(datetime(1995, 1, 2 + t), f"a{i}", 1.0 if t == 5 else some(t), None if t == 7 else some(t), 2.0 if t == 6 else some(t)) for t in range(9) for i in range((1, 2, 3, 4)[t] if t < 4 else 40)]
+    frame = spark.createDataFrame(rows, "timestamp timestamp, asset string, x double, y double, next_return double")
+    want = stats.bar_ic(unpivot_signals(frame.where("next_return is not null"), ("x", "y"), keep=("timestamp", "asset", "next_return")))
+    want = {(r["signal"], r["timestamp"]): pytest.approx(r["ic"], abs=1e-12) for r in want.collect()}
+    for crowd in (500, 10, 0):
+        monkeypatch.setattr(stats, "BAR_ROWS", crowd)
+        got = {(r["signal"], r["timestamp"]): r["ic"] for r in stats.panel_ic(frame, ("x", "y")).collect()}
+        assert got == want and len(got) > 8
